@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from .common import free_name, written
 
 SHINGLE = 3
@@ -234,3 +236,145 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, node: int = NODE) ->
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates by similarity. Three differing bits of a whole text's fingerprint are a similarity of shingles of about
+# 0.97; to find those of 0.8, windows of a text get fingerprints too, and what these bring together is verified.
+
+#: Words in a shingle, and the least share of common shingles (Jaccard), for removal.
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+#: Windows of a text with fingerprints, each around the shingle whose hash comes first in an order of its own.
+WINDOWS = 10
+#: Words before the shingle, and in all, that a window has.
+WINDOW_BEFORE, WINDOW_WORDS = 4, 13
+#: Places of a sketch: the least hash of each of so many ranges.
+PLACES = 256
+#: Texts in a group that a task compares; a larger group is split by the texts' other windows, up to DEPTH of them.
+GROUP = 4000
+DEPTH = 4
+_ORDERS = (2 * np.random.default_rng(64).integers(1, 2**62, WINDOWS, dtype=np.uint64) + 1).astype(np.uint64)
+
+
+def describe(text: bytes | None, k: int = WIDE_SHINGLE) -> tuple[int, int, list[int], np.ndarray]:
+    """Of a text: a hash of all its words, its fingerprint, its windows' fingerprints and its sketch (int32, 0 where a range
+    has no hash). Both fingerprints and sketch are zero for a text without words."""
+    from xxhash import xxh64_intdigest as digest
+
+    words = (text or b"").lower().split()
+    sketch = np.zeros(PLACES, dtype=np.int32)
+    if not words:
+        return 0, 0, [0] * WINDOWS, sketch
+    h = np.concatenate(list(shingle_hashes(b" ".join(words), k)))
+    bits = sum(np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), STEP))
+    whole = int(np.packbits(2 * bits > len(h), bitorder="little").view("<i8")[0])
+    least = np.unique(h)
+    place, first = np.unique(least >> np.uint64(56), return_index=True)
+    sketch[place.astype(np.int64)] = ((least[first] >> np.uint64(24)) | np.uint64(1)).astype(np.uint32).view(np.int32)
+    windows = []
+    for order in _ORDERS:
+        at = int((h * order).argmin())
+        at = max(0, at - WINDOW_BEFORE)
+        windows.append(fingerprint(b" ".join(words[at : at + WINDOW_WORDS])))
+    return digest(b" ".join(words), seed=1) - 2**63, whole, windows, sketch
+
+
+def sketch_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The share of common shingles of one sketch with each of many: exact where no range has two hashes, else within
+    about 0.025 (one standard deviation)."""
+    same = ((many == one) & (one != 0)).sum(axis=1)
+    either = ((many != 0) | (one != 0)).sum(axis=1)
+    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
+
+
+def _compare_group(similarity: float):
+    """Links of texts in a group, as a spanning forest: each text is compared with all that are not yet connected to it."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("text_key").sort_values("text_key", kind="stable")
+        keys, sketches = pdf["text_key"].to_numpy(), np.stack([np.frombuffer(x, dtype=np.int32) for x in pdf["sketch"]])
+        part, links = np.arange(len(keys)), []
+        for i in range(len(keys) - 1):
+            others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+            for j in range(0, len(others), 2048):
+                some = others[j : j + 2048]
+                for m in some[sketch_similarity(sketches[i], sketches[some]) >= similarity].tolist():
+                    if part[m] != part[i]:
+                        part[part == part[m]] = part[i]
+                        links.append((keys[i], keys[m]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return compare
+
+
+def _split_groups(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """members: (group, last, text_key), last being the number of the group's last window. Returns the groups of 2 to GROUP
+    texts, and larger ones (None if there are none)."""
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    small = members.join(sizes.filter(F.col("n") <= GROUP).select("group"), "group")
+    return small, members.join(sizes.filter(F.col("n") > GROUP).select("group"), "group") if most > GROUP else None
+
+
+def similar_texts(described: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """described: (text_key, fp, windows, sketch binary), one row for each text_key. Returns (node, root): for each text_key
+    with a similar one, the smallest in its class. Candidates are texts with a window's fingerprint in common, or whole
+    fingerprints that the trie's self-join links; each link holds by its sketches."""
+    members = written(
+        described.select("text_key", F.posexplode("windows").alias("last", "w"))
+        .select(F.xxhash64("last", "w").alias("group"), "last", "text_key").distinct()
+    )
+    found = []
+    for depth in range(DEPTH):
+        small, large = _split_groups(members)
+        found.append(small.select("group", "text_key"))
+        if large is None:
+            break
+        if depth == DEPTH - 1:
+            found.append(large.select("group", "text_key"))
+            break
+        more = large.join(described.select("text_key", "windows"), "text_key").select("text_key", "group", F.col("last").alias("before"), F.posexplode("windows").alias("last", "w"))
+        members = written(more.filter("last > before").select(F.xxhash64("group", "last", "w").alias("group"), "last", "text_key"))
+    trie = components(trie_self_join(described.filter("fp <> 0").select("fp").distinct()))
+    rooted = described.select("text_key", "fp").join(trie, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("trie"), F.coalesce("root", "fp")).alias("group"), F.lit(0).alias("last"), "text_key")
+    small, large = _split_groups(written(rooted))
+    found += [small.select("group", "text_key")] + ([large.select("group", "text_key")] if large is not None else [])
+    groups = found[0]
+    for more in found[1:]:
+        groups = groups.unionByName(more)
+    groups = groups.join(described.select("text_key", "sketch"), "text_key")
+    return components(groups.groupBy("group").applyInPandas(_compare_group(similarity), "a long, b long"))
+
+
+def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_SHINGLE) -> DataFrame:
+    """documents, all their columns, with one row of each class of near duplicates: texts of the same words, or connected by
+    links of at least this share of common shingles of k words. The row with the smallest doc_id stays (null ids last).
+
+    Texts without words are one class. Links of texts with at most some hundred shingles are exact, those of longer ones
+    estimated by sketches.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                found = [describe(t, k) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3].tobytes() for f in found], pa.binary())],
+                    ["doc_id", "row_key", "text_key", "fp", "windows", "sketch"],
+                )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    key = free_name(documents, "row_key")
+    keyed = documents.withColumn(key, F.xxhash64(*documents.columns))
+    rows = written(
+        keyed.select("doc_id", F.col(key).alias("row_key"), F.col("text").cast("binary").alias("text"))
+        .mapInArrow(each, f"doc_id {kind}, row_key long, text_key long, fp long, windows array<long>, sketch binary")
+    )
+    texts = written(rows.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("windows").alias("windows"), F.first("sketch").alias("sketch")))
+    classes = similar_texts(texts, similarity)
+    rooted = rows.select("doc_id", "row_key", "text_key").join(classes, F.col("text_key") == F.col("node"), "left")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
+    stay = rooted.groupBy(F.coalesce("root", "text_key").alias("class")).agg(best.alias("stay")).select("stay")
+    nth = free_name(keyed, "nth")
+    kept = keyed.join(stay, F.col(key) == F.col("stay"), "left_semi")
+    return kept.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).filter(F.col(nth) == 1).select(*documents.columns)
