@@ -248,58 +248,68 @@ SIMILARITY = 0.8
 WINDOWS = 10
 #: Words before the shingle, and in all, that a window has.
 WINDOW_BEFORE, WINDOW_WORDS = 4, 13
-#: Places of a sketch: the least hash of each of so many ranges.
+#: Places of a sketch: the least shingle of each of so many ranges of hashes.
 PLACES = 256
+#: Links whose sketches are this much less alike than asked for are not looked at more closely: over five standard
+#: deviations of what a sketch can miss.
+SKETCH_MARGIN = 0.15
 #: Texts in a group that a task compares; a larger group is split by the texts' other windows, up to DEPTH of them.
 GROUP = 4000
 DEPTH = 4
 _ORDERS = (2 * np.random.default_rng(64).integers(1, 2**62, WINDOWS, dtype=np.uint64) + 1).astype(np.uint64)
 
 
-def describe(text: bytes | None, k: int = WIDE_SHINGLE) -> tuple[int, int, list[int], np.ndarray]:
-    """Of a text: a hash of all its words, its fingerprint, its windows' fingerprints and its sketch (int32, 0 where a range
-    has no hash). Both fingerprints and sketch are zero for a text without words."""
+def describe(text: bytes | None, k: int = WIDE_SHINGLE) -> tuple[int, int, list[int], bytes]:
+    """Of a text: a hash of all its words, its fingerprint, its windows' fingerprints, and its distinct shingles as sorted
+    32-bit hashes. Hash and fingerprints are zero and there are no shingles where there are no words."""
     from xxhash import xxh64_intdigest as digest
 
     words = (text or b"").lower().split()
-    sketch = np.zeros(PLACES, dtype=np.int32)
     if not words:
-        return 0, 0, [0] * WINDOWS, sketch
+        return 0, 0, [0] * WINDOWS, b""
     h = np.concatenate(list(shingle_hashes(b" ".join(words), k)))
     bits = sum(np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), STEP))
     whole = int(np.packbits(2 * bits > len(h), bitorder="little").view("<i8")[0])
-    least = np.unique(h)
-    place, first = np.unique(least >> np.uint64(56), return_index=True)
-    sketch[place.astype(np.int64)] = ((least[first] >> np.uint64(24)) | np.uint64(1)).astype(np.uint32).view(np.int32)
     windows = []
     for order in _ORDERS:
-        at = int((h * order).argmin())
-        at = max(0, at - WINDOW_BEFORE)
+        at = max(0, int((h * order).argmin()) - WINDOW_BEFORE)
         windows.append(fingerprint(b" ".join(words[at : at + WINDOW_WORDS])))
-    return digest(b" ".join(words), seed=1) - 2**63, whole, windows, sketch
+    return digest(b" ".join(words), seed=1) - 2**63, whole, windows, np.unique(h >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least shingle of each range of hashes, 0 where there is none."""
+    out = np.zeros(PLACES, dtype=np.uint32)
+    place, first = np.unique(shingles >> np.uint32(24), return_index=True)
+    out[place] = shingles[first] | np.uint32(1)
+    return out
 
 
 def sketch_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The share of common shingles of one sketch with each of many: exact where no range has two hashes, else within
-    about 0.025 (one standard deviation)."""
+    """About the share of common shingles of one sketch with each of many."""
     same = ((many == one) & (one != 0)).sum(axis=1)
     either = ((many != 0) | (one != 0)).sum(axis=1)
     return np.where(either > 0, same / np.maximum(either, 1), 1.0)
 
 
 def _compare_group(similarity: float):
-    """Links of texts in a group, as a spanning forest: each text is compared with all that are not yet connected to it."""
+    """Links of texts in a group, as a spanning forest: each text is compared with all that are not yet connected to it,
+    by their sketches, and by all their shingles where these come near."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("text_key").sort_values("text_key", kind="stable")
-        keys, sketches = pdf["text_key"].to_numpy(), np.stack([np.frombuffer(x, dtype=np.int32) for x in pdf["sketch"]])
+        keys, sets = pdf["text_key"].to_numpy(), [np.frombuffer(x, dtype="<u4") for x in pdf["shingles"]]
+        sketches = np.stack([sketch(s) for s in sets])
         part, links = np.arange(len(keys)), []
         for i in range(len(keys) - 1):
             others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
             for j in range(0, len(others), 2048):
                 some = others[j : j + 2048]
-                for m in some[sketch_similarity(sketches[i], sketches[some]) >= similarity].tolist():
-                    if part[m] != part[i]:
+                for m in some[sketch_similarity(sketches[i], sketches[some]) >= similarity - SKETCH_MARGIN].tolist():
+                    if part[m] == part[i]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[m], assume_unique=True))
+                    if both >= similarity * (len(sets[i]) + len(sets[m]) - both):
                         part[part == part[m]] = part[i]
                         links.append((keys[i], keys[m]))
         return pd.DataFrame(links, columns=["a", "b"])
@@ -316,10 +326,10 @@ def _split_groups(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return small, members.join(sizes.filter(F.col("n") > GROUP).select("group"), "group") if most > GROUP else None
 
 
-def similar_texts(described: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """described: (text_key, fp, windows, sketch binary), one row for each text_key. Returns (node, root): for each text_key
-    with a similar one, the smallest in its class. Candidates are texts with a window's fingerprint in common, or whole
-    fingerprints that the trie's self-join links; each link holds by its sketches."""
+def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """described: (text_key, fp, windows), one row for each text_key; shingles: (text_key, shingles). Returns (node, root):
+    for each text_key with a similar one, the smallest in its class. Candidates are texts with a window's fingerprint in
+    common, or whole fingerprints that the trie's self-join links; each link holds by all shingles of its texts."""
     members = written(
         described.select("text_key", F.posexplode("windows").alias("last", "w"))
         .select(F.xxhash64("last", "w").alias("group"), "last", "text_key").distinct()
@@ -342,7 +352,7 @@ def similar_texts(described: DataFrame, similarity: float = SIMILARITY) -> DataF
     groups = found[0]
     for more in found[1:]:
         groups = groups.unionByName(more)
-    groups = groups.join(described.select("text_key", "sketch"), "text_key")
+    groups = groups.join(shingles, "text_key")
     return components(groups.groupBy("group").applyInPandas(_compare_group(similarity), "a long, b long"))
 
 
@@ -350,8 +360,8 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     """documents, all their columns, with one row of each class of near duplicates: texts of the same words, or connected by
     links of at least this share of common shingles of k words. The row with the smallest doc_id stays (null ids last).
 
-    Texts without words are one class. Links of texts with at most some hundred shingles are exact, those of longer ones
-    estimated by sketches.
+    Texts without words are one class. Every link holds by the texts' whole sets of shingles; a pair at just the least
+    similarity is brought together with a probability of about 0.99999.
     """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,8 +369,8 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
                 part = b.slice(i, 1000)
                 found = [describe(t, k) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3].tobytes() for f in found], pa.binary())],
-                    ["doc_id", "row_key", "text_key", "fp", "windows", "sketch"],
+                    [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.binary())],
+                    ["doc_id", "row_key", "text_key", "fp", "windows", "shingles"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -368,10 +378,11 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     keyed = documents.withColumn(key, F.xxhash64(*documents.columns))
     rows = written(
         keyed.select("doc_id", F.col(key).alias("row_key"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(each, f"doc_id {kind}, row_key long, text_key long, fp long, windows array<long>, sketch binary")
+        .mapInArrow(each, f"doc_id {kind}, row_key long, text_key long, fp long, windows array<long>, shingles binary")
     )
-    texts = written(rows.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("windows").alias("windows"), F.first("sketch").alias("sketch")))
-    classes = similar_texts(texts, similarity)
+    texts = written(rows.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("windows").alias("windows"), F.min("row_key").alias("row_key")))
+    shingles = rows.select("text_key", "row_key", "shingles").join(texts.select("text_key", "row_key"), ["text_key", "row_key"], "left_semi")
+    classes = similar_texts(texts, shingles.select("text_key", "shingles"), similarity)
     rooted = rows.select("doc_id", "row_key", "text_key").join(classes, F.col("text_key") == F.col("node"), "left")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
     stay = rooted.groupBy(F.coalesce("root", "text_key").alias("class")).agg(best.alias("stay")).select("stay")
