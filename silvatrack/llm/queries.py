@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, sharding, simhash, token_output
+from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, secret_scan, sharding, simhash, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -51,7 +55,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_language, op3_licenses, op5_mix_sources, op6_near_duplicates, op7_merkle_fingerprints, op8_decontaminate, op9_token_files, op10_shard)}
+    return {f.__name__: f for f in (op1_main_text, op2_language, op3_licenses, op4_secrets, op5_mix_sources, op6_near_duplicates, op7_merkle_fingerprints, op8_decontaminate, op9_token_files, op10_shard)}
 
 
 _OP8 = r"""
