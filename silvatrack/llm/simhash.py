@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .common import free_name, written
+from .common import free_name, partitions, written
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 #: Fingerprints below one node that a task walks; larger nodes are opened.
 NODE = 30_000
+#: Fingerprints that a task gets at a time, about; it takes whole nodes, and many small ones together.
+CELL_FPS = 8000
 #: Pairs of nodes that a task holds at a time.
 FRONTIER = 400_000
 #: Shingles that are hashed at a time.
@@ -117,32 +119,30 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Nodes of a binary trie over sorted distinct numbers of an even count of bits, every second level; children[d][i]..children[d][i+1] are
-    node i's at the next level. It ends where every node holds one number, or at the last bit."""
+    """Nodes of a binary trie over sorted distinct 64-bit numbers, from depth start on, every second level: children[d][i]
+    to children[d][i + 1] are node i's at the next level. It ends where every node holds one number."""
 
-    def __init__(self, values: np.ndarray, bits: int):
-        self.levels, self.children, self.bits = [np.zeros(1, dtype=np.uint64)], [], bits
-        depth = 0
-        while len(self.levels[-1]) < len(values) and depth < bits:
+    def __init__(self, values: np.ndarray, start: int):
+        self.levels, self.children, depth = [np.unique(values >> np.uint64(64 - start))], [], start
+        while len(self.levels[-1]) < len(values):
             depth += 2
-            nodes = np.unique(values >> np.uint64(bits - depth)) if depth < bits else values
-            above = nodes >> np.uint64(2)
-            self.children.append(np.searchsorted(above, np.append(self.levels[-1], self.levels[-1][-1] + np.uint64(1))))
+            nodes = np.unique(values >> np.uint64(64 - depth))
+            self.children.append(np.append(np.searchsorted(nodes >> np.uint64(2), self.levels[-1]), len(nodes)))
             self.levels.append(nodes)
 
 
-def trie_links(values: np.ndarray, left: np.ndarray | None, bits: int, budget: int, forest: Forest, spent: int = 0) -> None:
-    """Joins in forest all pairs of values (sorted, distinct, of so many bits) that differ in at most budget - spent bits;
-    with left, a mask over values, only pairs of one inside and one outside it."""
-    trie = Trie(values, bits)
-    keep = budget - spent
-    stack = [(0, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint8))]
+def trie_links(values: np.ndarray, start: int, budget: int, forest: Forest, left: np.ndarray | None = None) -> None:
+    """Joins in forest all pairs of values (sorted, distinct, 64 bits) that are equal in their first start bits and differ in
+    at most budget others; with left, a mask over values, only pairs of one inside and one outside it."""
+    trie = Trie(values, start)
+    roots = np.arange(len(trie.levels[0]))
+    stack = [(0, roots, roots, np.zeros(len(roots), dtype=np.uint8))]
     while stack:
         depth, a, b, err = stack.pop()
         if depth == len(trie.children):
             off = (a < b) if left is None else ((a < b) & (left[a] != left[b]))
             a, b = a[off], b[off]
-            near = np.bitwise_count(values[a] ^ values[b]) <= keep
+            near = np.bitwise_count(values[a] ^ values[b]) <= budget
             forest.join(a[near], b[near])
             continue
         if len(a) > FRONTIER // 8:
@@ -155,9 +155,8 @@ def trie_links(values: np.ndarray, left: np.ndarray | None, bits: int, budget: i
         x, row = x[row2], row[row2]
         ordered = x <= y
         x, y, row = x[ordered], y[ordered], row[ordered]
-        low = np.uint64(3)
-        e = err[row] + np.bitwise_count((nodes[x] ^ nodes[y]) & low)
-        ok = e <= keep
+        e = err[row] + np.bitwise_count((nodes[x] ^ nodes[y]) & np.uint64(3))
+        ok = e <= budget
         stack.append((depth + 1, x[ok], y[ok], e[ok].astype(np.uint8)))
 
 
@@ -166,17 +165,20 @@ def _turned(fp: Column, run: int) -> Column:
     return fp if run == 0 else F.shiftleft(fp, 16 * run).bitwiseOR(F.shiftrightunsigned(fp, 64 - 16 * run))
 
 
-def _walk_node(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The links below one node, or between the two nodes of a pair: a spanning forest."""
-    fps, at = np.unique(pdf["turned"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)
-    side, run = pdf["side"].to_numpy()[at], int(pdf["run"].iloc[0])
-    forest = Forest(len(fps))
-    left = side == 1 if (side != 0).any() else None
-    if len(fps) > 1:
-        rest = fps & np.uint64((1 << 48) - 1)
-        trie_links(rest, left, 48, MAX_BITS, forest)
-    back = lambda v: ((v >> np.uint64(16 * run)) | (v << np.uint64(64 - 16 * run)) if run else v).view(np.int64)
-    return pd.DataFrame({"a": back(fps[np.array(forest.a, dtype=np.int64)]), "b": back(fps[np.array(forest.b, dtype=np.int64)])})
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links below the nodes of depth 16 that a task has, or between the two of a pair of deeper
+    nodes (sides 1 and 2)."""
+    links = []
+    for run, rows in pdf.groupby("run"):
+        fps, at = np.unique(rows["turned"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)
+        side = rows["side"].to_numpy()[at]
+        forest = Forest(len(fps))
+        trie_links(fps, 16, MAX_BITS, forest, side == 1 if (side != 0).any() else None)
+        found = fps[np.array([forest.a, forest.b], dtype=np.int64)]
+        right, left = np.uint64(16 * run), np.uint64(64 - 16 * run)
+        links.append(((found >> right) | (found << left) if run else found).view(np.int64))
+    a, b = np.concatenate(links, axis=1)
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def trie_self_join(fps: DataFrame, node: int = NODE) -> DataFrame:
@@ -184,23 +186,27 @@ def trie_self_join(fps: DataFrame, node: int = NODE) -> DataFrame:
     whatever all such links connect: each node's are a spanning forest."""
     runs = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), _turned(F.col("fp"), r).alias("turned")) for r in range(4)])).alias("t")
     rows = fps.select(runs).select("t.run", "t.turned", F.shiftrightunsigned("t.turned", 48).cast("int").alias("first"))
-    counts = rows.groupBy("run", "first").agg(F.count(F.lit(1)).alias("n"))
-    shared = counts.filter("n > 1")
-    top = counts.agg(F.max("n")).first()[0] or 0
-    flat = rows.join(shared.filter(F.col("n") <= node), ["run", "first"]).select("run", "first", "turned", F.lit(0).alias("node_a"), F.lit(0).alias("node_b"), F.lit(0).alias("side"))
+    counts = rows.groupBy("run", "first").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    if not total:
+        return rows.limit(0).select(F.col("turned").alias("a"), F.col("turned").alias("b"))
+    cells, schema = math.ceil(total / CELL_FPS), "a long, b long"
+    tasks = partitions(fps.sparkSession)  # named, since the work is many times what the few bytes would be coalesced for
+    whole = rows.join(counts.filter(F.col("n") <= node), ["run", "first"]).select("run", "turned", F.lit(0).alias("side"), F.pmod(F.xxhash64("run", "first"), F.lit(cells)).alias("cell"))
+    links = whole.repartition(tasks, "cell").groupBy("cell").applyInPandas(_walk, schema)
     if top > node:
         # Large nodes: the next bits (as many as make the largest small enough) name deeper nodes; all pairs of these
         # with at most MAX_BITS between them get a task each.
         deep = min(16, math.ceil(math.log2(top / node)) + 1)
         masks = [sum(1 << i for i in c) for r in range(MAX_BITS + 1) for c in combinations(range(deep), r)]
-        big = rows.join(shared.filter(F.col("n") > node), ["run", "first"]).withColumn("own", F.shiftrightunsigned(F.shiftleft("turned", 16), 64 - deep).cast("int"))
+        big = rows.join(counts.filter(F.col("n") > node), ["run", "first"]).withColumn("own", F.shiftrightunsigned(F.shiftleft("turned", 16), 64 - deep).cast("int"))
         big = big.select("run", "first", "turned", "own", F.explode(F.expr("array(" + ",".join(map(str, masks)) + ")")).alias("mask"))
         opened = big.withColumn("other", F.col("own").bitwiseXOR(F.col("mask"))).select(
             "run", "first", "turned", F.least("own", "other").alias("node_a"), F.greatest("own", "other").alias("node_b"),
             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
         )
-        flat = flat.unionByName(opened)
-    return flat.groupBy("run", "first", "node_a", "node_b").applyInPandas(_walk_node, "a long, b long")
+        links = links.unionByName(opened.repartition(tasks, "run", "first", "node_a", "node_b").groupBy("run", "first", "node_a", "node_b").applyInPandas(_walk, schema))
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,6 +262,8 @@ SKETCH_MARGIN = 0.15
 #: Texts in a group that a task compares; a larger group is split by the texts' other windows, up to DEPTH of them.
 GROUP = 4000
 DEPTH = 4
+#: Texts of groups that a task compares, about; a group is never divided among tasks.
+CELL = 4000
 _ORDERS = (2 * np.random.default_rng(64).integers(1, 2**62, WINDOWS, dtype=np.uint64) + 1).astype(np.uint64)
 
 
@@ -293,14 +301,14 @@ def sketch_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _compare_group(similarity: float):
-    """Links of texts in a group, as a spanning forest: each text is compared with all that are not yet connected to it,
-    by their sketches, and by all their shingles where these come near."""
+    """Links of texts in the groups that a task has, as spanning forests: each text is compared with all of its group that
+    are not yet connected to it, by their sketches, and by all their shingles where these come near."""
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def group(pdf: pd.DataFrame, links: list[tuple[int, int]]) -> None:
         pdf = pdf.drop_duplicates("text_key").sort_values("text_key", kind="stable")
         keys, sets = pdf["text_key"].to_numpy(), [np.frombuffer(x, dtype="<u4") for x in pdf["shingles"]]
         sketches = np.stack([sketch(s) for s in sets])
-        part, links = np.arange(len(keys)), []
+        part = np.arange(len(keys))
         for i in range(len(keys) - 1):
             others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
             for j in range(0, len(others), 2048):
@@ -312,7 +320,12 @@ def _compare_group(similarity: float):
                     if both >= similarity * (len(sets[i]) + len(sets[m]) - both):
                         part[part == part[m]] = part[i]
                         links.append((keys[i], keys[m]))
-        return pd.DataFrame(links, columns=["a", "b"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        for _, rows in pdf.groupby("group"):
+            group(rows, links)
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return compare
 
@@ -352,8 +365,9 @@ def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float =
     groups = found[0]
     for more in found[1:]:
         groups = groups.unionByName(more)
-    groups = groups.join(shingles, "text_key")
-    return components(groups.groupBy("group").applyInPandas(_compare_group(similarity), "a long, b long"))
+    cells = max(1, math.ceil(groups.count() / CELL))
+    groups = groups.join(shingles, "text_key").withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)))
+    return components(groups.repartition(partitions(groups.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_group(similarity), "a long, b long"))
 
 
 def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_SHINGLE) -> DataFrame:
