@@ -135,7 +135,8 @@ def tokens(page: str) -> tuple[list[Token], bool]:
 
 
 #: Weights that hold where labelled pages say nothing.
-PRIOR_CONTENT = {"w p ": 0.9, "w div ": 0.6, "w li ": 0.5, "w li a": 0.1, "w p a": 0.6, "w  ": 0.3, "w td ": 0.5, "w blockquote ": 0.9, "w pre ": 0.9}
+PRIOR_CONTENT = {"w p ": 0.9, "w div ": 0.6, "w li ": 0.5, "w li a": 0.1, "w p a": 0.6, "w  ": 0.55, "w td ": 0.5, "w blockquote ": 0.9, "w pre ": 0.9}
+PRIOR_CONTENT |= {f"w h{i} ": 0.95 for i in range(1, 7)} | {f"t {t}": 0.97 for t in "p h1 h2 h3 h4 h5 h6 br b i em strong code blockquote pre".split()}
 
 
 def learn(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
@@ -144,7 +145,7 @@ def learn(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     out = {}
     for feature in set(counts) | set(PRIOR_CONTENT):
         inside, outside = counts.get(feature, (0.0, 0.0))
-        prior = PRIOR_CONTENT.get(feature, 0.02 if " out" in feature else 0.8 if re.match(r"w h\d ", feature) else 0.5)
+        prior = PRIOR_CONTENT.get(feature, 0.02 if " out" in feature else 0.5)
         share = (inside + PRIOR * prior) / (inside + outside + PRIOR)
         out[feature] = 2 * share - 1 if feature[0] == "w" else -0.1 - 2.9 * (1 - share)
     return out
@@ -171,10 +172,16 @@ def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
     for t in found:
         w = weights.get(t.feature)
         if w is None:
-            w = 0.0 if not t.feature else (-0.9 if t.out else 0.4 if re.match(r"w h\d", t.feature) else 0.2) if t.text is not None else (-3.0 if t.out else -0.5)
+            w = 0.0 if not t.feature else (-0.9 if t.out else 0.2) if t.text is not None else (-3.0 if t.out else -0.5)
         w *= OUT_SHARE if t.out else 1.0
         scores.append(w * t.n if t.text is not None else w)
     start, end = best_region(scores)
+    if end > start:  # a block that the region cuts is taken whole
+        first, last = found[start].block, found[end - 1].block
+        while start > 0 and found[start - 1].block == first:
+            start -= 1
+        while end < len(found) and found[end].block == last:
+            end += 1
     blocks: list[tuple[int, list[str]]] = []
     for t in found[start:end]:
         if t.text is None or t.out:
