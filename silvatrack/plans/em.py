@@ -69,20 +69,33 @@ def expectation(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: n
 
 
 def posteriors(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np.ndarray, **how) -> DataFrame:
-    """(chunk_id, i, t, q array): of every node of every chunk. mode may be "viterbi": one-hot of the likeliest joint path."""
+    """(chunk_id, i, t, q array): of every node of every chunk. mode may be "viterbi" or "viterbi_chain": one-hot of the
+    likeliest path of all species together, or of each as a chain of its own."""
     shape, k = avail.shape, len(params["gamma"])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
                 x = _chunk(row, shape)
-                q = np.eye(k)[kernels.viterbi(x, avail, params, tree)] if mode == "viterbi" else kernels.MODES[mode](x, avail, params, tree, seed=int(row.chunk_id) % 2**32, **how)[0]
+                q = np.eye(k)[kernels.viterbi(x, avail, params, tree, mode == "viterbi")] if mode.startswith("viterbi") else kernels.MODES[mode](x, avail, params, tree, seed=int(row.chunk_id) % 2**32, **how)[0]
                 i, t = np.indices(q.shape[:2])
                 yield pd.DataFrame({"chunk_id": row.chunk_id, "i": i.ravel().astype(np.int32), "t": t.ravel(), "q": list(q.reshape(-1, k))})
 
     return packed.mapInPandas(each, "chunk_id long, i int, t long, q array<double>")
 
 
+def objectives(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np.ndarray, **how) -> DataFrame:
+    """(chunk_id, objective) of each chunk."""
+    shape = avail.shape
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = [kernels.MODES[mode](_chunk(r, shape), avail, params, tree, **how)[2] for r in pdf.itertuples()]
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "objective": values})
+
+    return packed.mapInPandas(each, "chunk_id long, objective double")
+
+
 def fit(
     packed: DataFrame, mode: str, tree: Tree, avail: np.ndarray, k: int, iterations: int = 50, epsilon: float = 1e-4, most: int = 10,
     epsilon_e: float = 1e-3, pseudocount: float = 1e-6, seed: int = 0, separate_theta: bool = False, start: dict | None = None, on_step=None,

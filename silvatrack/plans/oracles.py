@@ -91,8 +91,18 @@ STEPS = {
   FROM vit f JOIN em2 e ON e.chunk_id = f.chunk_id AND e.i = f.i AND e.t = f.t + 1)"""),
     "back": ("vit", """SELECT chunk_id, i, t, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS state FROM vit WHERE t = n - 1
   UNION ALL SELECT b.chunk_id, b.i, b.t - 1, CASE WHEN b.state = 0 THEN p0 ELSE p1 END FROM back b JOIN vit v ON v.chunk_id = b.chunk_id AND v.i = b.i AND v.t = b.t WHERE b.t > 0"""),
+    # Two species, two states: the scaled forward pass over their four joint states (first species' state, second's).
+    "pair": ("em2", "SELECT a.chunk_id, a.t, a.n, a.e0 * b.e0 AS e00, a.e0 * b.e1 AS e01, a.e1 * b.e0 AS e10, a.e1 * b.e1 AS e11 FROM em2 a JOIN em2 b ON a.chunk_id = b.chunk_id AND a.t = b.t WHERE a.i = 0 AND b.i = 1"),
+    "joint": ("pair", """SELECT chunk_id, t, n, x00 / s AS a00, x01 / s AS a01, x10 / s AS a10, x11 / s AS a11, ln(s) AS lg FROM (SELECT *, x00 + x01 + x10 + x11 AS s FROM
+  (SELECT chunk_id, t, n, e00 * CAST(1 AS DOUBLE) / 3 * 5 / 8 AS x00, e01 * CAST(1 AS DOUBLE) / 3 * 3 / 8 AS x01, e10 * CAST(2 AS DOUBLE) / 3 * 2 / 7 AS x10, e11 * CAST(2 AS DOUBLE) / 3 * 5 / 7 AS x11 FROM pair WHERE t = 0))
+  UNION ALL SELECT chunk_id, t, n, x00 / s, x01 / s, x10 / s, x11 / s, lg + ln(s) FROM (SELECT *, x00 + x01 + x10 + x11 AS s FROM (SELECT e.chunk_id, e.t, e.n, lg,
+  e00 * ((a00 * CAST(7 AS DOUBLE) / 9 + a10 * CAST(3 AS DOUBLE) / 10) * 9 / 11 + (a01 * CAST(7 AS DOUBLE) / 9 + a11 * CAST(3 AS DOUBLE) / 10) * 5 / 11) AS x00,
+  e01 * ((a00 * CAST(7 AS DOUBLE) / 9 + a10 * CAST(3 AS DOUBLE) / 10) * 2 / 11 + (a01 * CAST(7 AS DOUBLE) / 9 + a11 * CAST(3 AS DOUBLE) / 10) * 6 / 11) AS x01,
+  e10 * ((a00 * CAST(2 AS DOUBLE) / 9 + a10 * CAST(7 AS DOUBLE) / 10) * 7 / 11 + (a01 * CAST(2 AS DOUBLE) / 9 + a11 * CAST(7 AS DOUBLE) / 10) * 1 / 11) AS x10,
+  e11 * ((a00 * CAST(2 AS DOUBLE) / 9 + a10 * CAST(7 AS DOUBLE) / 10) * 4 / 11 + (a01 * CAST(2 AS DOUBLE) / 9 + a11 * CAST(7 AS DOUBLE) / 10) * 10 / 11) AS x11
+  FROM joint j JOIN pair e ON e.chunk_id = j.chunk_id AND e.t = j.t + 1))"""),
 }
-RECURSIVE = {"fwd", "bwd", "vit", "back"}
+RECURSIVE = {"fwd", "bwd", "vit", "back", "joint"}
 
 
 def query(select: str, *steps: str) -> str:
@@ -160,10 +170,13 @@ JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 GROUP BY u.k
     "f5_convergence": query(f"SELECT {R('max(abs(q.q - jac.q))')} AS change, max(abs(q.q - jac.q)) < CAST(1e-3 AS DOUBLE) AS converged FROM q JOIN jac USING (chunk_id, i, t, k)", "q", "jac"),
     "f11_independent": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),
     "f6_forward_likelihood": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(lg)')} AS loglik FROM fwd WHERE t = n - 1 GROUP BY chunk_id", "fwd"),
+    "f12_clique_pair": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('lg')} AS loglik FROM joint WHERE t = n - 1", "joint"),
     "f17_gaussian_m": query(f"""SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, {R('sum(w * v) / sum(w)')} AS mean, {R("greatest(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) * (sum(w * v) / sum(w)), 0) + CAST(1e-6 AS DOUBLE)")} AS variance
 FROM (SELECT id, unnest([0, 1, 2]) AS l, unnest(x) AS v FROM vec) JOIN (SELECT id, k, w / sum(w) OVER (PARTITION BY id) AS w FROM (SELECT id, k, CAST(1 + (id * 3 + k * 7) % 11 AS DOUBLE) AS w FROM vec, st)) USING (id) GROUP BY k, l""", "vec", "st"),
     "f18_viterbi_chain": query("SELECT CAST(chunk_id AS BIGINT) AS chunk_id, i, t, CAST(state AS INT) AS state FROM back", "back"),
     "g1_map": query("SELECT chrom, bin, i, k AS state FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) WHERE o = 1", "q"),
+    "g2_bed": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state
+FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) x JOIN species_dim s ON s.i = x.i WHERE o = 1""", "q", "species_dim"),
     "g3_bed_probabilities": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state FROM q JOIN species_dim s ON s.i = q.i""", "q", "species_dim"),
     "g4_stitch": query(f"SELECT chrom, bin, i, k, {R('q')} AS q FROM q", "q"),
     "g5_mark_load": query(f"SELECT n.chrom, n.bin, n.i, {R('count(c.l) / CAST(6 AS DOUBLE)')} AS load FROM nodes n LEFT JOIN cells c ON c.chrom = n.chrom AND c.bin = n.bin AND c.i = n.i GROUP BY n.chrom, n.bin, n.i", "nodes", "cells"),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.model import row_normalize
+from ..functions.model import Tree, row_normalize
 from ..operators import convert, decode, emission, features, gaussian_init, relational, segment
 from ..sources import tables
 from . import em
@@ -258,16 +258,15 @@ def f11_independent(d):
 @register
 def f6_forward_likelihood(d):
     """The log-likelihood of each chunk, all species as chains of their own."""
-    from ..functions import kernels
+    return _six(em.objectives(_packed(d), "indep", fx.params(2), fx.tree(), d.availability_matrix()), "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
 
-    avail, tree, params = d.availability_matrix(), fx.tree(), fx.params(2)
 
-    def each(batches):
-        for pdf in batches:
-            pdf["loglik"] = [-kernels.independent(em._chunk(r, avail.shape), avail, params, tree)[2] for r in pdf.itertuples()]
-            yield pdf[["chunk_id", "loglik"]]
-
-    return _six(_packed(d).mapInPandas(each, "chunk_id long, loglik double"), "loglik")
+@register
+def f12_clique_pair(d):
+    """The exact log-likelihood of each chunk, of the first two species."""
+    names = sorted(fx.PARENTS)[:2]
+    tree = Tree(names, {n: fx.PARENTS[n] for n in names})
+    return _six(em.objectives(_packed(d), "clique", fx.params(2), tree, d.availability_matrix()[:2]), "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
 
 
 @register
@@ -280,19 +279,8 @@ def f17_gaussian_m(d):
 
 @register
 def f18_viterbi_chain(d):
-    from ..functions import kernels
-    import numpy as np
-
-    avail, tree, params = d.availability_matrix(), fx.tree(), fx.params(2)
-
-    def each(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                z = kernels.viterbi(em._chunk(r, avail.shape), avail, params, tree, joint=False)
-                i, t = np.indices(z.shape)
-                yield type(pdf)({"chunk_id": r.chunk_id, "i": i.ravel(), "t": t.ravel(), "state": z.ravel()})
-
-    return _packed(d).mapInPandas(each, "chunk_id long, i int, t long, state int")
+    q = em.posteriors(_packed(d), "viterbi_chain", fx.params(2), fx.tree(), d.availability_matrix())
+    return q.select("chunk_id", "i", "t", decode.likeliest().alias("state"))
 
 
 @register
@@ -300,6 +288,11 @@ def g1_map(d):
     return d.posterior.select("chrom", "bin", "i", decode.likeliest().alias("state"))
 
 
+@register
+def g2_bed(d):
+    return _six(decode.bed(d.posterior, d.species_dim, fx.WINDOW), "score")
+
+
 @register
 def g3_bed_probabilities(d):
     return _six(decode.bed_probabilities(d.posterior, d.species_dim, fx.WINDOW), "score")
