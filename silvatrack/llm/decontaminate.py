@@ -14,7 +14,7 @@ from .common import NOT_WORD, free_name, words
 #: Words in a window.
 WINDOW = 10
 #: A benchmark with more windows is not broadcast: its windows are joined by a shuffle, with the same result.
-MAX_BROADCAST_WINDOWS = 200_000
+MAX_BROADCAST_WINDOWS = 100_000
 #: Words of a window that are hashed first; the whole window only where these are in the set.
 HEAD = 3
 
