@@ -63,8 +63,9 @@ def call(counts: DataFrame, least: DataFrame, sizes: DataFrame) -> DataFrame:
     """(species, mark, chrom, bin) where a sample is present. A sample whose threshold is 0 is present in every bin, those
     without reads too. least has a row for each sample."""
     some = counts.join(F.broadcast(least.select("species", "mark", "least")), ["species", "mark"]).filter((F.col("n") >= F.col("least")) & (F.col("least") > 0))
-    every = least.filter("least = 0").select("species", "mark").join(F.broadcast(sizes.select("chrom", "bins")))
-    every = every.select("species", "mark", "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
+    chroms = sizes.groupBy().agg(F.collect_list(F.struct("chrom", "bins")).alias("chroms"))  # one row, as long as the header
+    every = least.filter("least = 0").select("species", "mark", F.explode(chroms.scalar()).alias("c"))
+    every = every.select("species", "mark", "c.chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.bins") - 1)).alias("bin"))
     return some.select("species", "mark", "chrom", "bin").unionByName(every)
 
 

@@ -15,8 +15,11 @@ def bernoulli(nodes: DataFrame, calls: DataFrame, emit: DataFrame, avail: DataFr
 
 
 def gaussian(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, k, ll): rows are (id, x array), centres (k, mean array, variance array): diagonal; not finite, or 0, is -100."""
-    pairs = rows.join(F.broadcast(centres))  # each row against the states, whose number is a parameter
+    """(id, k, ll): rows are (id, x array), centres (k, mean array, variance array), a row for each state: diagonal; not finite,
+    or 0, is -100."""
+    doubles = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    states = [F.struct(F.lit(c["k"]).alias("k"), doubles(c["mean"]).alias("mean"), doubles(c["variance"]).alias("variance")) for c in centres.orderBy("k").collect()]
+    pairs = rows.select("id", "x", F.explode(F.array(*states)).alias("s")).select("id", "x", "s.*")
     terms = F.transform(F.arrays_zip("x", "mean", "variance"), lambda z: F.log(2 * F.pi() * z["variance"]) + F.pow(z["x"] - z["mean"], 2) / z["variance"])
     ll = -0.5 * F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
     return pairs.select("id", "k", F.when(F.isnan(ll) | ll.isNull() | (F.abs(ll) == float("inf")) | (ll == 0), -100.0).otherwise(ll).alias("ll"))

@@ -86,18 +86,21 @@ def cut(calls: DataFrame, found: DataFrame, span: int = 4096) -> DataFrame:
 
 def coverage(found: DataFrame, kept: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row: regions, total_bins, covered_bins, ratio, and kept_bins before short runs were dropped."""
-    bins = sizes.agg(F.sum("bins").alias("total_bins"))
-    a = found.agg(F.count(F.lit(1)).alias("regions"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("covered_bins"))
-    b = kept.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("kept_bins"))
-    return a.join(bins).join(b).withColumn("ratio", F.col("covered_bins") / F.col("total_bins"))
+    zero, length = F.lit(0).cast("long"), (F.col("end") - F.col("start")).cast("long")
+    parts = (
+        found.select(F.lit(1).cast("long").alias("regions"), length.alias("covered_bins"), zero.alias("kept_bins"), zero.alias("total_bins"))
+        .unionAll(kept.select(zero, zero, length, zero)).unionAll(sizes.select(zero, zero, zero, "bins"))
+    )
+    sums = parts.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in parts.columns])
+    return sums.withColumn("ratio", F.col("covered_bins") / F.col("total_bins"))
 
 
 def size_histogram(found: DataFrame, bars: int = 100) -> DataFrame:
     """(bar, n): chunks by size, in bars of equal width from the smallest to the largest."""
     size = found.select((F.col("end") - F.col("start")).alias("size"))
-    ends = size.agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    bar = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.floor((F.col("size") - F.col("low")) / (F.col("high") - F.col("low")) * bars), F.lit(bars - 1)))
-    return size.join(F.broadcast(ends)).select(bar.cast("int").alias("bar")).groupBy("bar").agg(F.count(F.lit(1)).alias("n"))
+    low, high = size.agg(F.min("size"), F.max("size")).first()
+    bar = F.lit(0) if high == low else F.least(F.floor((F.col("size") - low) / float(high - low) * bars), F.lit(bars - 1))
+    return size.select(bar.cast("int").alias("bar")).groupBy("bar").agg(F.count(F.lit(1)).alias("n"))
 
 
 def trim(sizes: DataFrame, calls: DataFrame) -> DataFrame:
