@@ -40,10 +40,11 @@ LEFT_OUT = frozenset("nav aside footer form button menu dialog head input label
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 LEFT_OUT_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|"
+    r"(?:^|[-_\s])(?<!no[-_])(?<!has[-_])(?<!with[-_])(?<!out[-_])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|site[-_]header|page[-_]header|"
     r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|rail|widget|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|"
     r"comment|comments|commentlist|disqus|respond|replies|reply|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|copyright|skip)(?:[-_\s\d]|$)"
 )
+COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comment|comments|reply|replies)(?:[-_\s\d]|$)")
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
@@ -63,20 +64,22 @@ class Token:
         self.feature, self.text, self.n, self.label, self.out, self.block = feature, text, n, label, out, block
 
 
-def _bad_names(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes say that an element is no part of an article; whether they mark it as the article."""
-    bad = mark = False
+def _bad_names(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether attributes say that an element is no part of an article; whether they mark it as the article. A reader's comment
+    never is, also where it stands in an article element of its own."""
+    bad = mark = comment = False
     for name, *values in _ATTR.findall(attrs):
         value, name = (values[0] or values[1] or values[2]).lower(), name.lower()
         if name in ("class", "id"):
-            bad = bad or bool(LEFT_OUT_NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", values[0] or values[1] or values[2]).lower()))
+            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", values[0] or values[1] or values[2]).lower()
+            bad, comment = bad or bool(LEFT_OUT_NAMES.search(value)), comment or bool(COMMENT_NAMES.search(value))
         elif name == "role":
             bad, mark = bad or value in LEFT_OUT_ROLES, mark or value in ("main", "article")
         elif name == "itemprop":
             mark = mark or value == "articlebody"
         elif name == "hidden" or value == "true":
             bad = True
-    return bad, mark
+    return bad, mark, comment
 
 
 def tokens(page: str) -> tuple[list[Token], bool]:
@@ -118,8 +121,8 @@ def tokens(page: str) -> tuple[list[Token], bool]:
                 if at is not None and (stack[at][0] in CLOSED_BY_BLOCK or stack[at][0] == tag == "li"):
                     del stack[at:]
             above = stack[-1] if stack else ("", False, False)
-            bad, mark = _bad_names(m["attrs"]) if m["attrs"] else (False, False)
-            mark = mark or tag in ("article", "main")
+            bad, mark, comment = _bad_names(m["attrs"]) if m["attrs"] else (False, False, False)
+            mark = (mark or tag in ("article", "main")) and not comment
             inside = above[2] or mark
             header = tag == "header" and not inside
             left_out = above[1] or (bad and not mark and tag not in ("body", "html")) or tag in LEFT_OUT or header
