@@ -138,7 +138,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[str,
     model = Model(langs, emb @ out, bias, 1.0, 0.0)
     check = [r for r in held if r[0] in number]
     if check:
-        z = np.concatenate([np.stack([dense([r])[0] @ model.table + bias for r in check])]).astype(np.float64)
+        z = np.stack([r[2] @ model.table[r[1]] / r[2].sum() + bias for r in check]).astype(np.float64)
         y = np.array([number[r[0]] for r in check])
         grid = np.geomspace(0.25, 8, 81)
         model.temperature = float(min(grid, key=lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()))
@@ -179,8 +179,11 @@ def fit(documents: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1) -> Model
 
     sample = labelled.withColumn("pick", unit_hash("doc_id", F.lit(seed))).filter(F.col("pick") < share)
     sample = sample.select("pick", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(features, "pick double, lang string, at array<int>, n array<float>")
-    table = sample.orderBy("pick").limit(2 * max_rows).toArrow().to_pylist()
-    rows = [(r["lang"], np.array(r["at"], dtype=np.int64), np.array(r["n"], dtype=np.float32)) for r in table if r["at"]]
+    rows = []
+    for batch in sample.orderBy("pick").limit(2 * max_rows).toArrow().to_batches():  # as arrays: a number costs four bytes
+        lang, bounds = batch.column("lang").to_pylist(), batch.column("at").offsets.to_numpy()
+        at, n = (batch.column(c).values.to_numpy() for c in ("at", "n"))
+        rows += [(lang[i], at[s:e].copy(), n[s:e].copy()) for i, (s, e) in enumerate(zip(bounds, bounds[1:])) if e > s]
     keep = max(1, int(len(rows) * (1 - HELD)))
     order = np.random.default_rng(seed).permutation(len(rows))
     return train([rows[i] for i in order[:keep]], [rows[i] for i in order[keep:]], seed=seed)
