@@ -245,13 +245,13 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, node: int = NODE) ->
 
 
 # Near duplicates by similarity. Three differing bits of a whole text's fingerprint are a similarity of shingles of about
-# 0.97; to find those of 0.8, windows of a text get fingerprints too, and what these bring together is verified.
+# 0.97; to find those of 0.8, windows of a text are hashed too, and what two windows in common bring together is verified.
 
 #: Words in a shingle, and the least share of common shingles (Jaccard), for removal.
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-#: Windows of a text with fingerprints, each around the shingle whose hash comes first in an order of its own.
-WINDOWS = 10
+#: Windows of a text, each around the shingle whose hash comes first in an order of its own.
+WINDOWS = 12
 #: Words before the shingle, and in all, that a window has.
 WINDOW_BEFORE, WINDOW_WORDS = 4, 13
 #: Places of a sketch: the least shingle of each of so many ranges of hashes.
@@ -259,17 +259,19 @@ PLACES = 256
 #: Links whose sketches are this much less alike than asked for are not looked at more closely: over five standard
 #: deviations of what a sketch can miss.
 SKETCH_MARGIN = 0.15
-#: Texts in a group that a task compares; a larger group is split by the texts' other windows, up to DEPTH of them.
+#: Texts in a group that a task compares; a larger group is split by the texts' further windows, up to DEPTH times.
 GROUP = 4000
-DEPTH = 4
+DEPTH = 3
+#: Keys of rows to take out that are broadcast (8 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 2_000_000
 #: Texts of groups that a task compares, about; a group is never divided among tasks.
 CELL = 4000
 _ORDERS = (2 * np.random.default_rng(64).integers(1, 2**62, WINDOWS, dtype=np.uint64) + 1).astype(np.uint64)
 
 
 def describe(text: bytes | None, k: int = WIDE_SHINGLE) -> tuple[int, int, list[int], bytes]:
-    """Of a text: a hash of all its words, its fingerprint, its windows' fingerprints, and its distinct shingles as sorted
-    32-bit hashes. Hash and fingerprints are zero and there are no shingles where there are no words."""
+    """Of a text: a hash of all its words, its fingerprint, its windows' hashes, and its distinct shingles as sorted 32-bit
+    hashes. Where there are no words, all hashes are zero and there are no shingles."""
     from xxhash import xxh64_intdigest as digest
 
     words = (text or b"").lower().split()
@@ -281,7 +283,7 @@ def describe(text: bytes | None, k: int = WIDE_SHINGLE) -> tuple[int, int, list[
     windows = []
     for order in _ORDERS:
         at = max(0, int((h * order).argmin()) - WINDOW_BEFORE)
-        windows.append(fingerprint(b" ".join(words[at : at + WINDOW_WORDS])))
+        windows.append(digest(b" ".join(words[at : at + WINDOW_WORDS]), seed=SEED) - 2**63)
     return digest(b" ".join(words), seed=1) - 2**63, whole, windows, np.unique(h >> np.uint64(32)).astype("<u4").tobytes()
 
 
@@ -339,14 +341,22 @@ def _split_groups(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return small, members.join(sizes.filter(F.col("n") > GROUP).select("group"), "group") if most > GROUP else None
 
 
+def _shared_windows(described: DataFrame) -> DataFrame:
+    """(text_key, shared): each text's windows (v, w) that another text has too; texts with at least two of them."""
+    one = described.select("text_key", F.posexplode("windows").alias("v", "w"))
+    shared = one.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v", "w")
+    return one.join(shared, ["v", "w"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("shared")).filter(F.size("shared") > 1)
+
+
 def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """described: (text_key, fp, windows), one row for each text_key; shingles: (text_key, shingles). Returns (node, root):
-    for each text_key with a similar one, the smallest in its class. Candidates are texts with a window's fingerprint in
-    common, or whole fingerprints that the trie's self-join links; each link holds by all shingles of its texts."""
-    members = written(
-        described.select("text_key", F.posexplode("windows").alias("last", "w"))
-        .select(F.xxhash64("last", "w").alias("group"), "last", "text_key").distinct()
-    )
+    for each text_key with a similar one, the smallest in its class. Candidates are texts with two windows in common, or
+    whole fingerprints that the trie's self-join links; each link holds by all shingles of its texts."""
+    shared = written(_shared_windows(described))
+    pairs = F.flatten(F.transform("shared", lambda x, i: F.transform(
+        F.slice("shared", i + 2, F.size("shared")), lambda y: F.struct(F.xxhash64(x["v"], y["v"], x["w"], y["w"]).alias("group"), y["v"].alias("last"))
+    )))
+    members = written(shared.select("text_key", F.explode(pairs).alias("p")).select("p.group", "p.last", "text_key"))
     found = []
     for depth in range(DEPTH):
         small, large = _split_groups(members)
@@ -356,8 +366,8 @@ def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float =
         if depth == DEPTH - 1:
             found.append(large.select("group", "text_key"))
             break
-        more = large.join(described.select("text_key", "windows"), "text_key").select("text_key", "group", F.col("last").alias("before"), F.posexplode("windows").alias("last", "w"))
-        members = written(more.filter("last > before").select(F.xxhash64("group", "last", "w").alias("group"), "last", "text_key"))
+        more = large.join(shared, "text_key").select("text_key", "group", F.col("last").alias("before"), F.explode("shared").alias("s"))
+        members = written(more.filter("s.v > before").select(F.xxhash64("group", "s.v", "s.w").alias("group"), F.col("s.v").alias("last"), "text_key"))
     trie = components(trie_self_join(described.filter("fp <> 0").select("fp").distinct()))
     rooted = described.select("text_key", "fp").join(trie, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("trie"), F.coalesce("root", "fp")).alias("group"), F.lit(0).alias("last"), "text_key")
     small, large = _split_groups(written(rooted))
@@ -365,6 +375,9 @@ def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float =
     groups = found[0]
     for more in found[1:]:
         groups = groups.unionByName(more)
+    # Groups of the same texts, as near duplicates have many, are compared once.
+    texts = groups.groupBy("group").agg(F.sort_array(F.collect_set("text_key")).alias("texts"))
+    groups = written(texts.groupBy(F.xxhash64("texts").alias("group")).agg(F.first("texts").alias("texts")).select("group", F.explode("texts").alias("text_key")))
     cells = max(1, math.ceil(groups.count() / CELL))
     groups = groups.join(shingles, "text_key").withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)))
     return components(groups.repartition(partitions(groups.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_group(similarity), "a long, b long"))
@@ -375,7 +388,7 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     links of at least this share of common shingles of k words. The row with the smallest doc_id stays (null ids last).
 
     Texts without words are one class. Every link holds by the texts' whole sets of shingles; a pair at just the least
-    similarity is brought together with a probability of about 0.99999.
+    similarity is brought together with a probability of about 0.9999, in texts of under 20 words about 0.99.
     """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -399,7 +412,16 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     classes = similar_texts(texts, shingles.select("text_key", "shingles"), similarity)
     rooted = rows.select("doc_id", "row_key", "text_key").join(classes, F.col("text_key") == F.col("node"), "left")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
-    stay = rooted.groupBy(F.coalesce("root", "text_key").alias("class")).agg(best.alias("stay")).select("stay")
-    nth = free_name(keyed, "nth")
-    kept = keyed.join(stay, F.col(key) == F.col("stay"), "left_semi")
-    return kept.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).filter(F.col(nth) == 1).select(*documents.columns)
+    stay = rooted.groupBy(F.coalesce("root", "text_key").alias("class")).agg(best.alias("row_key")).select("row_key")
+    times = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("n"))
+    fate = written(times.join(stay.withColumn("stays", F.lit(True)), "row_key", "left").filter("stays IS NULL OR n > 1").select(F.col("row_key").alias("mine"), "stays"))
+    few = fate.count() <= MAX_BROADCAST_KEYS
+    some = lambda df: F.broadcast(df) if few else df
+    kept = keyed.join(some(fate.select("mine")), F.col(key) == F.col("mine"), "left_anti").select(*documents.columns)
+    again = fate.filter("stays")
+    if again.isEmpty():
+        return kept
+    nth = free_name(keyed, "nth")  # rows that stay, but repeat: the first of each
+    once = keyed.join(some(again.select("mine")), F.col(key) == F.col("mine"), "left_semi")
+    once = once.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
+    return kept.unionByName(once.select(*documents.columns))
