@@ -207,8 +207,8 @@ def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 1) -> di
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         for b in batches:
-            for page in b.column(0).to_pylist():
-                found, marked = tokens(page)
+            for page in b.column(0):
+                found, marked = tokens(page.as_py())
                 if marked:
                     for t in found:
                         if t.feature:
@@ -229,7 +229,7 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 
     @F.arrow_udf("struct<text:string,score:double>")
     def run(pages_: pa.Array) -> pa.Array:
-        found = [main_text(p, weights) for p in pages_.to_pylist()]
+        found = [main_text(p.as_py(), weights) for p in pages_]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["text", "score"])
 
     out = pages.select("page_id", "url", run(F.col("html")).alias("found"))

@@ -170,10 +170,13 @@ def fit(documents: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1) -> Model
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [count_subwords(t) for t in b.column(2).to_pylist()]
-            at = [np.flatnonzero(c) for c in found]
+            at, n = [], []
+            for t in b.column(2):
+                counts = count_subwords(t.as_py())
+                at.append(np.flatnonzero(counts).astype(np.int32))
+                n.append(counts[at[-1]].astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a].astype(np.float32) for c, a in zip(found, at)], pa.list_(pa.float32()))],
+                [b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))],
                 ["pick", "lang", "at", "n"],
             )
 
@@ -200,7 +203,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [(UNKNOWN, 0.0) if shared.value is None else shared.value.predict(t) for t in texts.to_pylist()]
+        found = [(UNKNOWN, 0.0) if shared.value is None else shared.value.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     names = [free_name(documents, n) for n in ("held_out", "lang_pred", "score", "rejected")]

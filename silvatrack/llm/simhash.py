@@ -71,7 +71,7 @@ def fingerprints(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, k) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), k) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
     return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
 
@@ -394,7 +394,7 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                found = [describe(t, k) for t in part.column(2).to_pylist()]
+                found = [describe(t.as_py(), k) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.binary())],
                     ["doc_id", "row_key", "text_key", "fp", "windows", "shingles"],

@@ -12,6 +12,7 @@ A file is, in this order (numbers are little-endian):
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -29,9 +30,9 @@ END_ID = 2
 #: Bytes of ids after which a frame ends; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 18
 #: Bytes of text that are encoded at a time; a longer text is taken alone.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 #: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each).
-CACHE = 800_000
+CACHE = 300_000
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u4")])
 SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
@@ -50,6 +51,7 @@ class PieceEncoder:
     token are encoded whole."""
 
     def __init__(self, path: str, limit: int = CACHE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,8 +88,8 @@ class PieceEncoder:
         if len(self.known) + len(distinct) > self.limit:
             self.known.clear()
         new = [p for p in distinct if p not in self.known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 4000):
+            part = new[i : i + 4000]
             self.known.update(zip(part, self._whole([p.decode() for p in part])))
         coded = [self.known[p] for p in distinct]
         if len(self.known) > self.limit:
@@ -192,7 +194,7 @@ class TokenReader:
             yield (int(e["doc_id"]) if e["has_id"] else None), ids[e["first"] : e["first"] + e["count"]]
 
 
-def _steps(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+def _steps(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
     step, held = [], 0
     for t in texts:
         if step and held + len(t or b"") > STEP_BYTES:
@@ -227,7 +229,7 @@ def write_tokens(documents: DataFrame, to: str | None = None, tokenizer: str | N
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
-            for step in _steps(batch.column(1).to_pylist()):
+            for step in _steps(x.as_py() for x in batch.column(1)):
                 if writer is None:
                     system.create_dir(folder, recursive=True)
                     path = f"{folder}/part-{no:06d}-{uuid.uuid4().hex}.tok"
