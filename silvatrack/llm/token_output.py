@@ -32,7 +32,7 @@ FRAME_BYTES = 1 << 18
 #: Bytes of text that are encoded at a time; a longer text is taken alone.
 STEP_BYTES = 2 << 20
 #: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each).
-CACHE = 200_000
+CACHE = 300_000
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u4")])
 SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
