@@ -259,12 +259,13 @@ PLACES = 256
 #: Links whose sketches are this much less alike than asked for are not looked at more closely: over five standard
 #: deviations of what a sketch can miss.
 SKETCH_MARGIN = 0.15
-#: Texts in a group that a task compares; a larger group is split by the texts' further windows, up to DEPTH times.
+#: Texts of a group that are compared at a time, and their shingles, about; a larger group is cut into blocks of half as
+#: many, and these are compared two by two, in tasks of their own.
 GROUP = 4000
-DEPTH = 3
+GROUP_SHINGLES = 4_000_000
 #: Keys of rows to take out that are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 2_000_000
-#: Texts of groups that a task compares, about; a group is never divided among tasks.
+#: Texts that a task compares, about, in whole groups or pairs of blocks.
 CELL = 4000
 _ORDERS = (2 * np.random.default_rng(64).integers(1, 2**62, WINDOWS, dtype=np.uint64) + 1).astype(np.uint64)
 
@@ -304,15 +305,20 @@ def sketch_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def _compare_group(similarity: float):
     """Links of texts in the groups that a task has, as spanning forests: each text is compared with all of its group that
-    are not yet connected to it, by their sketches, and by all their shingles where these come near."""
+    are not of its class, nor connected to it yet, by their sketches, and by all their shingles where these come near. Of a
+    group with both halves, only texts of different halves are compared."""
 
     def group(pdf: pd.DataFrame, links: list[tuple[int, int]]) -> None:
         pdf = pdf.drop_duplicates("text_key").sort_values("text_key", kind="stable")
         keys, sets = pdf["text_key"].to_numpy(), [np.frombuffer(x, dtype="<u4") for x in pdf["shingles"]]
-        sketches = np.stack([sketch(s) for s in sets])
-        part = np.arange(len(keys))
+        sketches, sizes = np.stack([sketch(s) for s in sets]), np.array([len(s) for s in sets])
+        part, half = np.unique(pdf["class"].to_numpy(), return_inverse=True)[1], pdf["half"].to_numpy()
+        both_halves = half.min() != half.max()
         for i in range(len(keys) - 1):
-            others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+            near = (part[i + 1 :] != part[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]))
+            if both_halves:
+                near &= half[i + 1 :] != half[i]
+            others = np.flatnonzero(near) + i + 1
             for j in range(0, len(others), 2048):
                 some = others[j : j + 2048]
                 for m in some[sketch_similarity(sketches[i], sketches[some]) >= similarity - SKETCH_MARGIN].tolist():
@@ -332,13 +338,52 @@ def _compare_group(similarity: float):
     return compare
 
 
-def _split_groups(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """members: (group, last, text_key), last being the number of the group's last window. Returns the groups of 2 to GROUP
-    texts, and larger ones (None if there are none)."""
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    small = members.join(sizes.filter(F.col("n") <= GROUP).select("group"), "group")
-    return small, members.join(sizes.filter(F.col("n") > GROUP).select("group"), "group") if most > GROUP else None
+def _compared(units: DataFrame, rows: int, m: int, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of units: (group, text_key, half, class), so many rows with so many shingles in all."""
+    cells = max(1, math.ceil(rows / CELL), math.ceil(m / GROUP_SHINGLES))
+    units = units.join(shingles, "text_key").withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)))
+    return units.repartition(partitions(units.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_group(similarity), "a long, b long")
+
+
+def _blocks(n: str, m: str) -> Column:
+    """Blocks that n texts with m shingles are cut into: one where they can be compared at a time."""
+    cut = F.greatest(F.ceil(F.col(n) * 2 / GROUP), F.ceil(F.col(m) * 2 / GROUP_SHINGLES))
+    return F.when((F.col(n) <= GROUP) & (F.col(m) <= GROUP_SHINGLES), 1).otherwise(F.greatest(F.lit(1), cut)).cast("long")
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """members: (group, text_key, m). Of each group of at least two texts: group, n, m, hub (its least text) and blocks. Of
+    groups of the same texts (as many, with the same sums of hashes), as near duplicates have many, there is one."""
+    sums = [F.bit_xor(F.xxhash64("text_key", F.lit(i))).alias(f"sum{i}") for i in range(2)]
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), F.min("text_key").alias("hub"), *sums).filter("n > 1")
+    return sizes.groupBy("n", "m", "hub", "sum0", "sum1").agg(F.min("group").alias("group")).select("group", "n", "m", "hub", _blocks("n", "m").alias("blocks"))
+
+
+def _inside(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(group, text_key, half, class): whole groups, and of larger ones each block with the group's hub."""
+    block = lambda i: F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", i)).alias("group")
+    own = members.select("group", "text_key").join(sizes, "group").select(block(F.pmod(F.xxhash64("text_key"), F.col("blocks"))), "text_key")
+    hubs = sizes.filter("blocks > 1").select("group", "blocks", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    units = own.unionByName(hubs.select(block(F.col("i")), F.col("hub").alias("text_key")))
+    return units.select("group", "text_key", F.lit(0).alias("half"), F.col("text_key").alias("class"))
+
+
+def _across(members: DataFrame, sizes: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(group, text_key, m, half, class): of the groups with blocks, the pairs of blocks that can hold similar texts not yet
+    connected by classes (node, root). Texts of a group's largest class are not compared with each other again; sizes must be
+    near enough for the similarity."""
+    width = max(-math.log(similarity), 1e-6) + 1e-9
+    large = members.join(sizes.filter("blocks > 1").select("group"), "group").join(classes, F.col("text_key") == F.col("node"), "left")
+    large = written(large.select("group", "text_key", "m", F.coalesce("root", "text_key").alias("class"), F.floor(F.log(F.greatest("m", F.lit(1))) / width).alias("band")))
+    most = large.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "class"))["class"].alias("most"))
+    sided = large.join(most, "group").withColumn("rest", F.col("class") != F.col("most")).drop("most")
+    counts = written(sided.groupBy("group", "rest", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m")).select("group", "rest", "band", F.greatest(F.ceil(F.col("n") * 2 / GROUP), F.ceil(F.col("m") * 2 / GROUP_SHINGLES)).cast("long").alias("blocks")))
+    blocks = counts.select("group", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1), lambda i: F.struct("rest", "band", i.alias("i")))).alias("x"))
+    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "group").filter("x <= y AND (x.rest OR y.rest) AND abs(x.band - y.band) <= 1")
+    pairs = pairs.withColumn("unit", F.xxhash64("group", "x", "y"))
+    halves = pairs.select("group", "x.*", "unit", F.lit(0).alias("half")).unionByName(pairs.filter("x < y").select("group", "y.*", "unit", F.lit(1).alias("half")))
+    placed = sided.join(counts, ["group", "rest", "band"]).withColumn("i", F.pmod(F.xxhash64("text_key"), F.greatest("blocks", F.lit(1))))
+    return placed.join(halves, ["group", "rest", "band", "i"]).select(F.col("unit").alias("group"), "text_key", "m", "half", "class")
 
 
 def _shared_windows(described: DataFrame) -> DataFrame:
@@ -349,38 +394,27 @@ def _shared_windows(described: DataFrame) -> DataFrame:
 
 
 def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """described: (text_key, fp, windows), one row for each text_key; shingles: (text_key, shingles). Returns (node, root):
-    for each text_key with a similar one, the smallest in its class. Candidates are texts with two windows in common, or
-    whole fingerprints that the trie's self-join links; each link holds by all shingles of its texts."""
-    shared = written(_shared_windows(described))
+    """described: (text_key, fp, windows, m), m being the number of shingles, one row for each text_key; shingles:
+    (text_key, shingles). Returns (node, root): for each text_key with a similar one, the smallest in its class. Candidates
+    are texts with two windows in common, or whole fingerprints that the trie's self-join connects; each link holds by all
+    shingles of its texts. Groups of candidates of any size are compared in full."""
     pairs = F.flatten(F.transform("shared", lambda x, i: F.transform(
-        F.slice("shared", i + 2, F.size("shared")), lambda y: F.struct(F.xxhash64(x["v"], y["v"], x["w"], y["w"]).alias("group"), y["v"].alias("last"))
+        F.slice("shared", i + 2, F.size("shared")), lambda y: F.xxhash64(x["v"], y["v"], x["w"], y["w"])
     )))
-    members = written(shared.select("text_key", F.explode(pairs).alias("p")).select("p.group", "p.last", "text_key"))
-    found = []
-    for depth in range(DEPTH):
-        small, large = _split_groups(members)
-        found.append(small.select("group", "text_key"))
-        if large is None:
-            break
-        if depth == DEPTH - 1:
-            found.append(large.select("group", "text_key"))
-            break
-        more = large.join(shared, "text_key").select("text_key", "group", F.col("last").alias("before"), F.explode("shared").alias("s"))
-        members = written(more.filter("s.v > before").select(F.xxhash64("group", "s.v", "s.w").alias("group"), F.col("s.v").alias("last"), "text_key"))
+    found = _shared_windows(described).select("text_key", F.explode(pairs).alias("group"))
     trie = components(trie_self_join(described.filter("fp <> 0").select("fp").distinct()))
-    rooted = described.select("text_key", "fp").join(trie, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("trie"), F.coalesce("root", "fp")).alias("group"), F.lit(0).alias("last"), "text_key")
-    small, large = _split_groups(written(rooted))
-    found += [small.select("group", "text_key")] + ([large.select("group", "text_key")] if large is not None else [])
-    groups = found[0]
-    for more in found[1:]:
-        groups = groups.unionByName(more)
-    # Groups of the same texts, as near duplicates have many, are compared once.
-    texts = groups.groupBy("group").agg(F.sort_array(F.collect_set("text_key")).alias("texts"))
-    groups = written(texts.groupBy(F.xxhash64("texts").alias("group")).agg(F.first("texts").alias("texts")).select("group", F.explode("texts").alias("text_key")))
-    cells = max(1, math.ceil(groups.count() / CELL))
-    groups = groups.join(shingles, "text_key").withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)))
-    return components(groups.repartition(partitions(groups.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_group(similarity), "a long, b long"))
+    rooted = described.select("text_key", "fp").join(trie, F.col("fp") == F.col("node"), "left")
+    found = found.unionByName(rooted.select("text_key", F.xxhash64(F.lit("trie"), F.coalesce("root", "fp")).alias("group")))
+    members = written(found.join(described.select("text_key", "m"), "text_key").select("group", "text_key", "m"))
+    sizes = written(_sizes(members))
+    rows, m, most = sizes.agg(F.sum(F.col("n") + F.col("blocks")), F.sum("m"), F.max("blocks")).first()
+    links = _compared(_inside(members, sizes), rows or 0, m or 0, shingles, similarity)
+    if (most or 0) > 1:
+        links = written(links)
+        across = written(_across(members, sizes, components(links), similarity))
+        rows, m = across.agg(F.count(F.lit(1)), F.sum("m")).first()
+        links = links.unionByName(_compared(across.drop("m"), rows, m or 0, shingles, similarity))
+    return components(links)
 
 
 def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_SHINGLE) -> DataFrame:
@@ -396,8 +430,8 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
                 part = b.slice(i, 1000)
                 found = [describe(t.as_py(), k) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.binary())],
-                    ["doc_id", "row_key", "text_key", "fp", "windows", "shingles"],
+                    [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.binary()), pa.array([len(f[3]) // 4 for f in found], pa.int64())],
+                    ["doc_id", "row_key", "text_key", "fp", "windows", "shingles", "m"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -405,9 +439,9 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     keyed = documents.withColumn(key, F.xxhash64(*documents.columns))
     rows = written(
         keyed.select("doc_id", F.col(key).alias("row_key"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(each, f"doc_id {kind}, row_key long, text_key long, fp long, windows array<long>, shingles binary")
+        .mapInArrow(each, f"doc_id {kind}, row_key long, text_key long, fp long, windows array<long>, shingles binary, m long")
     )
-    texts = written(rows.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("windows").alias("windows"), F.min("row_key").alias("row_key")))
+    texts = written(rows.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("windows").alias("windows"), F.first("m").alias("m"), F.min("row_key").alias("row_key")))
     shingles = rows.select("text_key", "row_key", "shingles").join(texts.select("text_key", "row_key"), ["text_key", "row_key"], "left_semi")
     classes = similar_texts(texts, shingles.select("text_key", "shingles"), similarity)
     rooted = rows.select("doc_id", "row_key", "text_key").join(classes, F.col("text_key") == F.col("node"), "left")

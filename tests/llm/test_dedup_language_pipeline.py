@@ -58,6 +58,28 @@ def test_one_document_of_each_class_stays(spark, documents, rows, monkeypatch, g
     assert got == {min(v) for v in want.values()}
 
 
+def described_texts(spark, same_fp=False):
+    """40 texts with two windows in common and no third, of which 2i and 2i + 1 are similar, as similar_texts takes them."""
+    rng = np.random.default_rng(6)
+    texts, sets = [], []
+    for i in range(40):
+        own = rng.integers(0, 2**32, 100, dtype=np.uint64)
+        own = np.unique(own if i % 2 == 0 else np.concatenate([last[:95], own[:5]])).astype("<u4")
+        last = own
+        fp = 77 if same_fp else int(rng.integers(1, 2**62))
+        windows = rng.integers(0, 2**62, 12).tolist() if same_fp else [1, 2] + rng.integers(3, 2**62, 10).tolist()
+        texts.append((i, fp, windows, len(own)))
+        sets.append((i, own.tobytes()))
+    described = spark.createDataFrame(texts, "text_key long, fp long, windows array<long>, m long")
+    return described, spark.createDataFrame(sets, "text_key long, shingles binary")
+
+
+def test_pairs_of_two_windows_in_a_large_group_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 10)
+    got = {(r.node, r.root) for r in simhash.similar_texts(*described_texts(spark)).collect()}
+    assert {(i + 1, i) for i in range(0, 40, 2)} <= got and all(n // 2 == r // 2 for n, r in got)
+
+
 def test_odd_rows(documents, rows, nothing):
     kept = simhash.deduplicate(documents)
     assert kept.columns == documents.columns
