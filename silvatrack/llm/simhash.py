@@ -267,6 +267,8 @@ GROUP_SHINGLES = 4_000_000
 MAX_BROADCAST_KEYS = 2_000_000
 #: Texts that a task compares, about, in whole groups or pairs of blocks.
 CELL = 4000
+#: Up to so many shingles, texts are found by their rarest shingles: exactly, where windows would miss.
+SHORT = 32
 _ORDERS = (2 * np.random.default_rng(64).integers(1, 2**62, WINDOWS, dtype=np.uint64) + 1).astype(np.uint64)
 
 
@@ -393,11 +395,27 @@ def _shared_windows(described: DataFrame) -> DataFrame:
     return one.join(shared, ["v", "w"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("shared")).filter(F.size("shared") > 1)
 
 
+def _rare_shingles(shingles: DataFrame, similarity: float) -> DataFrame:
+    """(text_key, group): keys of short texts, of which any two similar texts have one in common if one of them has at most
+    SHORT shingles. Of n shingles in one order for all texts (rarest first), similar texts share one of the first
+    n - ceil(similarity n) + 1."""
+    least, most = F.lit(4), F.lit(4 * math.floor(SHORT / similarity + 1e-9))
+    each = F.transform(F.sequence(F.lit(1), F.octet_length("shingles") - 3, F.lit(4)), lambda i: F.substring(F.col("shingles"), i, F.lit(4)))
+    one = shingles.filter(F.octet_length("shingles").between(least, most))
+    one = written(one.select("text_key", (F.octet_length("shingles") / 4).cast("int").alias("m"), F.explode(each).alias("s")))
+    often = one.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = one.join(often, "s").groupBy("text_key", "m").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    # Shingles of no other text come first.
+    first = F.col("m") - F.ceil(F.col("m") * similarity - 1e-9) + 1 - (F.col("m") - F.size("shared"))
+    keys = shared.select("text_key", F.explode(F.slice("shared", 1, F.greatest(F.lit(0), first).cast("int"))).alias("x"))
+    return keys.select("text_key", F.xxhash64(F.lit("short"), "x.s").alias("group"))
+
+
 def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """described: (text_key, fp, windows, m), m being the number of shingles, one row for each text_key; shingles:
     (text_key, shingles). Returns (node, root): for each text_key with a similar one, the smallest in its class. Candidates
-    are texts with two windows in common, or whole fingerprints that the trie's self-join connects; each link holds by all
-    shingles of its texts. Groups of candidates of any size are compared in full."""
+    are texts with two windows in common, or whole fingerprints that the trie's self-join connects, or rare shingles where
+    they are short; each link holds by all shingles of its texts. Groups of candidates of any size are compared in full."""
     pairs = F.flatten(F.transform("shared", lambda x, i: F.transform(
         F.slice("shared", i + 2, F.size("shared")), lambda y: F.xxhash64(x["v"], y["v"], x["w"], y["w"])
     )))
@@ -405,6 +423,7 @@ def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float =
     trie = components(trie_self_join(described.filter("fp <> 0").select("fp").distinct()))
     rooted = described.select("text_key", "fp").join(trie, F.col("fp") == F.col("node"), "left")
     found = found.unionByName(rooted.select("text_key", F.xxhash64(F.lit("trie"), F.coalesce("root", "fp")).alias("group")))
+    found = found.unionByName(_rare_shingles(shingles, similarity))
     members = written(found.join(described.select("text_key", "m"), "text_key").select("group", "text_key", "m"))
     sizes = written(_sizes(members))
     rows, m, most = sizes.agg(F.sum(F.col("n") + F.col("blocks")), F.sum("m"), F.max("blocks")).first()
@@ -421,8 +440,9 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     """documents, all their columns, with one row of each class of near duplicates: texts of the same words, or connected by
     links of at least this share of common shingles of k words. The row with the smallest doc_id stays (null ids last).
 
-    Texts without words are one class. Every link holds by the texts' whole sets of shingles; a pair at just the least
-    similarity is brought together with a probability of about 0.9999, in texts of under 20 words about 0.99.
+    Texts without words are one class. Every link holds by the texts' whole sets of shingles; a pair with a text of
+    up to SHORT shingles is always brought together, a longer one at just the least similarity with a probability of about
+    0.9999.
     """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -58,6 +58,25 @@ def test_one_document_of_each_class_stays(spark, documents, rows, monkeypatch, g
     assert got == {min(v) for v in want.values()}
 
 
+def test_short_near_copies_are_all_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    pairs = []
+    for n in list(range(8, 37)) * 4:
+        base = [word() for _ in range(n)]
+        copies = [base + [word()], base[:-1] + [word()], [word()] + base, base + [word(), word()], base[: n // 2] + [word()] + base[n // 2 :]]
+        pairs += [(" ".join(base), " ".join(c)) for c in copies]
+    near = [(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)), a, b) for a, b in pairs]
+    # Each pair by itself: other copies would connect it.
+    tail = lambda i: " ".join(w + str(i) for w in a.split())
+    docs, want = [], set()
+    for i, (ok, a, b) in enumerate(near):
+        docs += [(2 * i, tail(i)), (2 * i + 1, " ".join(w + str(i) for w in b.split()))]
+        want |= {2 * i} if ok else {2 * i, 2 * i + 1}
+    assert sum(ok for ok, _, _ in near) > 100
+    assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
 def described_texts(spark, same_fp=False):
     """40 texts with two windows in common and no third, of which 2i and 2i + 1 are similar, as similar_texts takes them."""
     rng = np.random.default_rng(6)
