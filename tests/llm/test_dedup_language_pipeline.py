@@ -99,6 +99,28 @@ def test_pairs_of_two_windows_in_a_large_group_are_compared(spark, monkeypatch):
     assert {(i + 1, i) for i in range(0, 40, 2)} <= got and all(n // 2 == r // 2 for n, r in got)
 
 
+def test_no_task_gets_a_large_group_whole(spark, monkeypatch):
+    """Also where all texts have one fingerprint and no window in common, as a component of the trie's links has."""
+    monkeypatch.setattr(simhash, "GROUP", 10)
+    got = {(r.node, r.root) for r in simhash.similar_texts(*described_texts(spark, same_fp=True)).collect()}
+    assert {(i + 1, i) for i in range(0, 40, 2)} <= got and all(n // 2 == r // 2 for n, r in got)
+    members = spark.createDataFrame([(1, i, 100) for i in range(200)] + [(2, i, 100) for i in range(200)] + [(3, i, 100) for i in range(5)], "group long, text_key long, m long")
+    sizes = simhash._sizes(members).cache()
+    assert sorted((r.n, r.blocks) for r in sizes.collect()) == [(5, 1), (200, 40)]
+    classes = spark.createDataFrame([(i, 0) for i in range(1, 150)], "node long, root long")
+    inside, across = simhash._inside(members, sizes), simhash._across(members, sizes, classes, 0.8)
+    for units in (inside, across):
+        assert units.groupBy("group").count().agg({"count": "max"}).first()[0] <= 20
+    together = defaultdict(set)
+    for r in across.collect():
+        together[r.group].add(r.text_key)
+    met = {(a, b) for g in together.values() for a in g for b in g if a < b}
+    assert met >= {(a, b) for a in range(200) for b in range(max(a + 1, 150), 200)}
+    monkeypatch.setattr(simhash, "GROUP", 1000)
+    monkeypatch.setattr(simhash, "GROUP_SHINGLES", 5000)
+    assert sorted((r.n, r.blocks) for r in simhash._sizes(members).collect()) == [(5, 1), (200, 8)]
+
+
 def test_odd_rows(documents, rows, nothing):
     kept = simhash.deduplicate(documents)
     assert kept.columns == documents.columns
