@@ -7,6 +7,8 @@ the forest learns from findings that documented rules label for sure, and judges
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,29 +35,41 @@ KEY_WORDS = r"(?i)(?:^|[^a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|acce
 PLAIN_WORDS = r"(?i)(?:commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|example|sample|placeholder|dummy|https?://|www\.|@|id)[\s:=\"'./-]*$"
 KNOWN_FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})$"
 FILLER = r"^(?:(.)\1+|(?:x|X|\*|0|-|_)+|(?i:(?:your|my|the|some)[-_]?.*|.*(?:example|placeholder|changeme|dummy).*))$"
-_RUN = r"[^A-Za-z0-9+/=_-]+"
+_KEY = r"[A-Za-z0-9+/=_-]"
 
 FEATURES = ["length", "digits", "uppers", "others", "changes", "distinct", "hex_only", "covered", "keyed", "plain", "quoted", "path_code", "path_rate"]
 
 
+def _places(rows: DataFrame, text: str, cut: str, keep: str, context: int, near: int) -> DataFrame:
+    """rows, without text, for each piece of text that begins with keep, text being cut where cut matches nothing wide: c is
+    its value, pos (from 1), and what stands before and after it, taken from near pieces on either side (enough to hold context)."""
+    others = [c for c in rows.columns if c != text]
+    # explode keeps what is cut out from being worked out again for each piece.
+    cuts = rows.select(*others, F.explode(F.array(F.split(text, cut))).alias("pieces"))
+    cuts = cuts.select("*", F.explode(F.array(F.transform("pieces", F.char_length))).alias("sizes"))
+    add = lambda sizes: F.aggregate(sizes, F.lit(0), lambda x, y: x + y)
+    steps = F.transform(F.sequence(F.lit(0), (F.size("sizes") / 64).cast("int")), lambda i: add(F.slice("sizes", i * 64 + 1, F.lit(64))))
+    cuts = cuts.select("*", F.explode(F.array(steps)).alias("steps"))
+
+    def piece(x: Column, i: Column) -> Column:
+        whole = (i / 64).cast("int")
+        pos = add(F.slice("steps", F.lit(1), whole)) + add(F.slice("sizes", whole * 64 + 1, i - whole * 64)) + 1
+        first = F.greatest(F.lit(0), i - near)
+        before = F.right(F.array_join(F.slice("pieces", first + 1, i - first), ""), F.lit(context))
+        after = F.left(F.array_join(F.slice("pieces", i + 2, F.lit(near)), ""), F.lit(context))
+        return F.struct(x.alias("value"), pos.alias("pos"), before.alias("before"), after.alias("after"))
+
+    found = F.filter(F.transform("pieces", piece), lambda c: (F.octet_length(c["value"]) >= LEAST) & c["value"].rlike("^" + keep))
+    return cuts.select(*others, F.explode(found).alias("c"))
+
+
 def candidates(documents: DataFrame, context: int = 32) -> DataFrame:
-    """(doc_id, text_key, path, pos, value, before, after): the runs of key characters of LEAST to MOST length in each text, with
-    their place (from 1) among its occurrences and up to context characters on either side. Rows that share doc_id and text
-    have the same candidates, and get them once."""
-    runs = F.array_distinct(F.filter(F.split("text", _RUN), lambda r: (F.octet_length(r) >= LEAST) & (F.octet_length(r) <= MOST)))
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), "text")
-    with_runs = rows.withColumn("runs", runs).filter(F.size("runs") > 0)
-    # What stands around is cut out here, so that no text goes along with its candidates.
-    around = F.transform("runs", lambda r: F.struct(r.alias("value"), F.call_function("instr", F.col("text"), r).alias("pos")))
-    cut = F.transform(
-        around,
-        lambda c: F.struct(
-            c["value"].alias("value"), c["pos"].alias("pos"),
-            F.substring(F.col("text"), F.greatest(F.lit(1), c["pos"] - context), c["pos"] - F.greatest(F.lit(1), c["pos"] - context)).alias("before"),
-            F.substring(F.col("text"), c["pos"] + F.char_length(c["value"]), F.lit(context)).alias("after"),
-        ),
-    )
-    return with_runs.select("doc_id", "text_key", "path", F.explode(cut).alias("c")).select("doc_id", "text_key", "path", "c.*").distinct()
+    """(doc_id, text_key, path, pos, value, before, after): the runs of at least LEAST key characters in each text, at each of
+    their places (from 1), with up to context characters on either side. Rows that share doc_id and text have the same
+    candidates, and get them once."""
+    rows = documents.filter(F.col("text").rlike(f"{_KEY}{{{LEAST}}}")).select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), "text")
+    ends = f"(?<!{_KEY})(?={_KEY}{{{LEAST}}})|(?!{_KEY})(?<={_KEY}{{{LEAST}}})"
+    return _places(rows, "text", ends, _KEY, context, 4 * math.ceil(context / 32)).select("doc_id", "text_key", "path", "c.*").filter(F.octet_length("value") <= MOST).distinct()
 
 
 def letter_runs(text: Column) -> Column:
@@ -121,13 +135,16 @@ def fit(found: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 4) -> Ra
 
 
 def judge(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text_key, pos, value, label, probability, secret): every candidate. labelled, if given, has value and label
+    """(doc_id, text_key, pos, value, label, probability, secret): every candidate at each of its places. labelled, if given, has value and label
     (1.0 or 0.0) and takes the place of the rules. Without findings of both classes the probability is the label's, 0.5
     where there is none."""
     documents = documents.filter(F.col("text").isNotNull())
     found = featurise(written(candidates(documents)), dictionary(documents))
     if labelled is None:
+        # A place by which a value would be none does not count where another place shows that it is a secret.
         found = found.withColumn("label", rule_labels(found))
+        sure = found.filter("label = 1.0").select(F.col("value").alias("sure")).distinct()
+        found = found.join(sure, F.col("value") == F.col("sure"), "left").withColumn("label", F.when(F.col("label") == 1.0, 1.0).when(F.col("sure").isNull(), F.col("label"))).drop("sure")
     else:
         found = found.join(labelled.groupBy("value").agg(F.max(F.col("label").cast("double")).alias("label")), "value", "left")
     found = written(found)
@@ -140,7 +157,7 @@ def judge(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def scan(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """Of each row: doc_id, n_candidates, n_secrets (distinct values), first_secret (the place of the first, null if none),
+    """Of each row: doc_id, n_candidates, n_secrets (distinct values, secret at any of their places), first_secret (the first such place, null if none),
     secrets_sha256 (of the secrets, sorted and newline-joined; of nothing if none) and score (the largest probability, 0 if
     there are no candidates).
 
@@ -149,7 +166,7 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """
     documents = documents.select("doc_id", "text", "source")
     by = judge(documents, labelled).groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.sum(F.col("secret").cast("long")).alias("n_secrets"), F.min(F.when(F.col("secret"), F.col("pos"))).cast("long").alias("first_secret"),
+        F.size(F.collect_set("value")).cast("long").alias("n_candidates"), F.size(F.collect_set(F.when(F.col("secret"), F.col("value")))).cast("long").alias("n_secrets"), F.min(F.when(F.col("secret"), F.col("pos"))).cast("long").alias("first_secret"),
         F.array_sort(F.collect_set(F.when(F.col("secret"), F.col("value")))).alias("values"), F.max("probability").alias("score"),
     )
     base = documents.select("doc_id", F.xxhash64("text").alias("text_key"))

@@ -107,3 +107,15 @@ def test_secrets_and_look_alikes(spark):
     assert all(given[i] == (1 if i % 4 == 0 else 0) for i in range(0, 120) if i % 4 != 3)
     assert S.scan(df.limit(0)).collect() == []
     assert {r.n_secrets for r in S.scan(df.filter("doc_id = 0")).collect()} == {1}
+
+
+def test_every_place_of_a_value_counts(spark):
+    key, other = secret(1), secret(2)
+    text = f"é sha256: {key} then xx{other}yy and\n{'w ' * 90} api_key = \"{key}\" or {other}"
+    docs = [(1, text, "s"), (1, text, "s")] + [(10 + i, f"see commit {secret(50 + i)} or token = '{secret(90 + i)}'", "s") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = sorted((r.pos, r.value, r.before, r.after) for r in S.candidates(df).filter("doc_id = 1").collect())
+    want = [(m.start() + 1, m[0], text[max(0, m.start() - 32) : m.start()], text[m.end() : m.end() + 32]) for m in re.finditer("[A-Za-z0-9+/=_-]{16,}", text)]
+    assert got == want and [v for _, v, _, _ in got].count(key) == 2
+    row = S.scan(df).filter("doc_id = 1").first()
+    assert row.n_candidates == 3 and row.n_secrets >= 1 and row.first_secret is not None
