@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import unit_hash, written
 
-#: Characters of a candidate: at least, and at most (longer runs are texts in another encoding; they are reported as
-#: n_long, not judged).
+#: Characters of a candidate at least; and from which on a run's parts between = and / are candidates too.
 LEAST, MOST = 16, 512
 #: About how many labelled findings the forest learns from.
 MAX_LABELLED = 20_000
@@ -34,8 +33,9 @@ LEAST_PROBABILITY = 0.5
 KEY_WORDS = r"(?i)(?:^|[^a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$"
 PLAIN_WORDS = r"(?i)(?:commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|example|sample|placeholder|dummy|https?://|www\.|@|id)[\s:=\"'./-]*$"
 KNOWN_FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})$"
-FILLER = r"^(?:(.)\1+|(?:x|X|\*|0|-|_)+|(?i:(?:your|my|the|some)[-_]?.*|.*(?:example|placeholder|changeme|dummy).*))$"
+FILLER = r"^(?:(.)\1+|[xX*0_-]+|(?i:(?:your|my|the|some)[-_]?.*|.*(?:example|placeholder|changeme|dummy).*))$"
 _KEY = r"[A-Za-z0-9+/=_-]"
+_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 
 FEATURES = ["length", "digits", "uppers", "others", "changes", "distinct", "hex_only", "covered", "keyed", "plain", "quoted", "path_code", "path_rate"]
 
@@ -65,11 +65,21 @@ def _places(rows: DataFrame, text: str, cut: str, keep: str, context: int, near:
 
 def candidates(documents: DataFrame, context: int = 32) -> DataFrame:
     """(doc_id, text_key, path, pos, value, before, after): the runs of at least LEAST key characters in each text, at each of
-    their places (from 1), with up to context characters on either side. Rows that share doc_id and text have the same
+    their places (from 1), with up to context characters on either side. Of runs over MOST, the parts between = and / are
+    candidates too, and one character all through is none. Rows that share doc_id and text have the same
     candidates, and get them once."""
     rows = documents.filter(F.col("text").rlike(f"{_KEY}{{{LEAST}}}")).select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), "text")
     ends = f"(?<!{_KEY})(?={_KEY}{{{LEAST}}})|(?!{_KEY})(?<={_KEY}{{{LEAST}}})"
-    return _places(rows, "text", ends, _KEY, context, 4 * math.ceil(context / 32)).select("doc_id", "text_key", "path", "c.*").filter(F.octet_length("value") <= MOST).distinct()
+    found = _places(rows, "text", ends, _KEY, context, 4 * math.ceil(context / 32)).select("doc_id", "text_key", "path", "c.*")
+    found = found.filter((F.octet_length("value") <= MOST) | ~F.col("value").rlike(r"^(.)\1+$")).distinct()
+    outer = ["doc_id", "text_key", "path", F.col("pos").alias("at"), F.col("before").alias("left"), F.col("after").alias("right")]
+    long = found.filter(F.octet_length("value") > MOST).select(*outer, "value")
+    parts = _places(long, "value", "(?<=[=/])(?=[^=/])|(?<=[^=/])(?=[=/])", "[^=/]", context, context)
+    parts = parts.select(
+        "doc_id", "text_key", "path", "c.value", (F.col("at") + F.col("c.pos") - 1).alias("pos"),
+        F.right(F.concat("left", "c.before"), F.lit(context)).alias("before"), F.left(F.concat("c.after", "right"), F.lit(context)).alias("after"),
+    )
+    return found.unionByName(parts).distinct()
 
 
 def letter_runs(text: Column) -> Column:
@@ -89,6 +99,8 @@ def featurise(found: DataFrame, words: DataFrame) -> DataFrame:
     count = lambda c, pattern: F.char_length(F.regexp_replace(c, pattern, ""))
     v, n = F.col("value"), F.char_length("value").cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "b"), "[0-9]+", "c"), r"[^abc]+", "d")
+    # The characters of a long run are not made an array.
+    distinct = F.when(n <= MOST, F.size(F.array_distinct(F.split(v, "")))).otherwise(sum(F.contains(v, F.lit(c)).cast("int") for c in _CHARACTERS))
     values = found.select("value").distinct()
     parts = values.select("value", F.explode(F.array_distinct(letter_runs(v))).alias("word"))
     known = parts.join(words, "word").groupBy("value").agg(F.sum(F.char_length("word")).alias("in_words"))
@@ -97,7 +109,7 @@ def featurise(found: DataFrame, words: DataFrame) -> DataFrame:
         found.join(known, "value", "left").join(rates, "path", "left")
         .withColumn("length", n).withColumn("digits", count(v, "[^0-9]") / n).withColumn("uppers", count(v, "[^A-Z]") / n)
         .withColumn("others", count(v, "[A-Za-z0-9]") / n).withColumn("changes", F.char_length(kinds) / n)
-        .withColumn("distinct", F.size(F.array_distinct(F.split(v, ""))) / n).withColumn("hex_only", v.rlike("^[0-9a-fA-F]+$").cast("double"))
+        .withColumn("distinct", distinct / n).withColumn("hex_only", v.rlike("^[0-9a-fA-F]+$").cast("double"))
         .withColumn("covered", F.least(F.lit(1.0), F.coalesce("in_words", F.lit(0)) / n))
         .withColumn("keyed", F.col("before").rlike(KEY_WORDS).cast("double")).withColumn("plain", F.col("before").rlike(PLAIN_WORDS).cast("double"))
         .withColumn("quoted", (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double"))

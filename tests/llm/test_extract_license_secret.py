@@ -119,3 +119,17 @@ def test_every_place_of_a_value_counts(spark):
     assert got == want and [v for _, v, _, _ in got].count(key) == 2
     row = S.scan(df).filter("doc_id = 1").first()
     assert row.n_candidates == 3 and row.n_secrets >= 1 and row.first_secret is not None
+
+
+def test_long_runs_and_their_parts_are_judged(spark):
+    import hashlib
+
+    block = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(20))
+    path = "/".join(["longpathsegment"] * 60) + "/token=" + secret(7)
+    docs = [(1, f'private_key = "{block}"', "s"), (2, f"go to {path} now", "s"), (3, "-_" * 20_000, "s")]
+    docs += [(10 + i, f"see commit {secret(50 + i)} or token = '{secret(90 + i)}'", "s") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.value): r.pos for r in S.candidates(df).filter("doc_id < 10").collect()}
+    assert got == {(1, block): 16, (2, path): 7, (2, secret(7)): docs[1][1].index(secret(7)) + 1, (3, "-_" * 20_000): 1}
+    by = {r.doc_id: r for r in S.scan(df).collect()}
+    assert by[1].n_candidates == 1 and by[1].n_secrets == 1 and by[2].n_candidates == 2 and by[3].n_secrets == 0
