@@ -101,12 +101,13 @@ def featurise(found: DataFrame, words: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "b"), "[0-9]+", "c"), r"[^abc]+", "d")
     # The characters of a long run are not made an array.
     distinct = F.when(n <= MOST, F.size(F.array_distinct(F.split(v, "")))).otherwise(sum(F.contains(v, F.lit(c)).cast("int") for c in _CHARACTERS))
-    values = found.select("value").distinct()
-    parts = values.select("value", F.explode(F.array_distinct(letter_runs(v))).alias("word"))
-    known = parts.join(words, "word").groupBy("value").agg(F.sum(F.char_length("word")).alias("in_words"))
+    # Hashes go along with the words, not the values, which may be long.
+    values = found.select(F.xxhash64("value").alias("value_key"), F.array_distinct(letter_runs(v)).alias("parts"))
+    parts = values.select("value_key", F.explode("parts").alias("word")).distinct()
+    known = parts.join(words, "word").groupBy("value_key").agg(F.sum(F.char_length("word")).alias("in_words"))
     rates = found.groupBy("path").agg((F.count(F.lit(1)) / F.count_distinct("doc_id", "text_key")).alias("path_rate"))
     return (
-        found.join(known, "value", "left").join(rates, "path", "left")
+        found.withColumn("value_key", F.xxhash64("value")).join(known, "value_key", "left").join(rates, "path", "left")
         .withColumn("length", n).withColumn("digits", count(v, "[^0-9]") / n).withColumn("uppers", count(v, "[^A-Z]") / n)
         .withColumn("others", count(v, "[A-Za-z0-9]") / n).withColumn("changes", F.char_length(kinds) / n)
         .withColumn("distinct", distinct / n).withColumn("hex_only", v.rlike("^[0-9a-fA-F]+$").cast("double"))
@@ -114,7 +115,7 @@ def featurise(found: DataFrame, words: DataFrame) -> DataFrame:
         .withColumn("keyed", F.col("before").rlike(KEY_WORDS).cast("double")).withColumn("plain", F.col("before").rlike(PLAIN_WORDS).cast("double"))
         .withColumn("quoted", (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double"))
         .withColumn("path_code", F.pmod(F.xxhash64("path"), F.lit(32)).cast("double")).withColumn("path_rate", F.coalesce("path_rate", F.lit(0.0)).cast("double"))
-        .drop("in_words")
+        .drop("in_words", "value_key")
     )
 
 
@@ -154,9 +155,9 @@ def judge(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     found = featurise(written(candidates(documents)), dictionary(documents))
     if labelled is None:
         # A place by which a value would be none does not count where another place shows that it is a secret.
-        found = found.withColumn("label", rule_labels(found))
-        sure = found.filter("label = 1.0").select(F.col("value").alias("sure")).distinct()
-        found = found.join(sure, F.col("value") == F.col("sure"), "left").withColumn("label", F.when(F.col("label") == 1.0, 1.0).when(F.col("sure").isNull(), F.col("label"))).drop("sure")
+        found = written(found.withColumn("label", rule_labels(found)))
+        sure = found.filter("label = 1.0").select(F.xxhash64("value").alias("sure")).distinct()
+        found = found.join(sure, F.xxhash64("value") == F.col("sure"), "left").withColumn("label", F.when(F.col("label") == 1.0, 1.0).when(F.col("sure").isNull(), F.col("label"))).drop("sure")
     else:
         found = found.join(labelled.groupBy("value").agg(F.max(F.col("label").cast("double")).alias("label")), "value", "left")
     found = written(found)
