@@ -3,8 +3,12 @@ stand (mostly positive), tags negative, and one linear scan finds the contiguous
 
 The weights come from labelled pages: pages that mark their own article (an article or main element, or the articleBody
 property) tell which of their words and tags are content. The marks themselves are not features, so that the weights
-serve pages without them. Inside the region, elements that are no part of an article (menus, adverts, forms, comments)
-are left out.
+serve pages without them. Elements and names that speak of menus, adverts, forms, comments and the like are features too,
+with how much running text they hold, and where labelled pages say nothing, prior weights. Such an element whose own
+words and tags come to no positive sum is left out of the region; only scripts, styles and the like, and HTML's comments,
+are never text.
+
+Pages are read in one pass whose time grows with their length alone, however malformed.
 """
 
 from __future__ import annotations
@@ -12,8 +16,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,133 +30,309 @@ from .common import unit_hash
 MAX_LABELLED = 4000
 #: Words and tags that each prior weight counts as.
 PRIOR = 50.0
-#: What stands in elements that are no part of an article is left out of the region in any case, so it parts regions with
-#: this share of its weight alone: an advert between two paragraphs should not.
+#: What stands in elements that are left out parts regions with this share of its weight alone: an advert between two
+#: paragraphs should not.
 OUT_SHARE = 0.25
-
-# Elements of HTML by their part in a page.
-RAW = "script|style|template|noscript|svg|math|iframe|object|canvas|textarea|select|audio|video|title"
+#: Words of running text from which an element is large; and the share of the page's with which it holds most of it.
+LARGE, MOST = 100, 0.5
+#: Share of words in links from which an element is one of links.
+LINKS = 0.5
+
+# Elements of HTML by their part in a page, and names that pages give to parts.
+SWALLOW = frozenset("script style textarea title".split())  # unclosed, they end with the page
+RAW = SWALLOW | frozenset("template noscript svg math iframe object canvas select audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-LEFT_OUT = frozenset("nav aside footer form button menu dialog head input label fieldset legend datalist search".split())
+FRAME = frozenset("html head body meta link base article main".split())  # tell nothing, or mark the article
+PLAIN = frozenset("article main body html section center hgroup dir".split())  # blocks that say no more than div
+INLINE = frozenset("a b br i em strong code span small sub sup u s q cite abbr mark time img kbd var samp del ins font wbr".split())
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-LEFT_OUT_NAMES = re.compile(
-    r"(?:^|[-_\s])(?<!no[-_])(?<!has[-_])(?<!with[-_])(?<!out[-_])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|site[-_]header|page[-_]header|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|rail|widget|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|"
-    r"comment|comments|commentlist|disqus|respond|replies|reply|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|copyright|skip)(?:[-_\s\d]|$)"
-)
-COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comment|comments|reply|replies)(?:[-_\s\d]|$)")
-
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
+ELEMENTS = {"nav": "nav", "menu": "nav", "aside": "side", "footer": "footer", "header": "header", "form": "form", "search": "form", "fieldset": "control", "button": "control", "label": "control", "legend": "control", "datalist": "control", "dialog": "notice"}
+ROLES = {"navigation": "nav", "menu": "nav", "menubar": "nav", "toolbar": "nav", "banner": "header", "contentinfo": "footer", "complementary": "side", "search": "form", "form": "form", "dialog": "notice", "alertdialog": "notice", "alert": "notice"}
+NAMES = {
+    "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion",
+    "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay banner",
+    "nav": "nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar pagination pager skip",
+    "side": "sidebar side rail widget widgets",
+    "footer": "footer copyright",
+    "header": "masthead header",
+    "share": "share sharing social related recommended recommendations tags",
+    "comment": "comment comments commentlist disqus respond replies reply",
+    "form": "newsletter subscribe subscription signup login search",
+}
+NAMES = {name: kind for kind, names in NAMES.items() for name in names.split()}
+GENERIC = frozenset(
+    "area bar block bottom box btn button buttons col column container content footer form global group header holder icon icons inner item items left link links list main "
+    "outer page panel post posts primary region right row secondary section site slot text title top unit wrap wrapper zone article articles".split()
 )
+NOT = frozenset("no not has with without".split())
+OWN_HEADER = frozenset("article entry post section content story".split())
+#: Prior share of content of words in elements of a kind: small, large, holding most of the page.
+KINDS = {
+    "ad": (0.02, 0.05, 0.3), "notice": (0.02, 0.1, 0.5), "nav": (0.02, 0.05, 0.3), "side": (0.02, 0.05, 0.3), "footer": (0.02, 0.03, 0.2), "share": (0.02, 0.1, 0.5),
+    "comment": (0.01, 0.01, 0.03), "form": (0.02, 0.15, 0.7), "header": (0.15, 0.3, 0.6), "control": (0.02, 0.1, 0.5), "hidden": (0.02, 0.05, 0.5), "partly": (0.55, 0.65, 0.75),
+}
+#: The same of words in blocks that are of no kind, and of their links; of tags.
+BLOCKS = {"p": (0.9, 0.6), "blockquote": (0.9, 0.6), "pre": (0.9, 0.6), "dd": (0.7, 0.4), "dt": (0.7, 0.4), "td": (0.65, 0.25), "li": (0.6, 0.25)} | {f"h{i}": (0.95, 0.6) for i in range(1, 7)}
+OTHER_BLOCK = (0.6, 0.3)
+TAGS = {t: 0.97 for t in INLINE | {"p", "blockquote", "pre"} | CLOSED_BY_BLOCK} | {t: 0.97 for t in "table tbody thead tr td th caption".split()} | {t: 0.9 for t in "ul ol li dl dt dd figure figcaption".split()}
+OTHER_TAG = 0.8
+
+_SCAN = re.compile("[<>\"']")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 
 class Token:
-    """A tag, or the text between two tags. feature: what its weight goes by; label: whether the page marks it as content;
-    out: it is inside an element that is no part of an article; block: text with the same number is of one block."""
+    """A tag, or the text between two tags (n words). where: the element of a kind that it is in (-1: none); level: how the
+    page marks it (2: an article, 1: main, 0: not); block: text with the same number is of one block."""
+
+    __slots__ = ("tag", "text", "n", "link", "where", "level", "block", "feature")
+
+    def __init__(self, tag: str, text: str | None, n: int, link: bool, where: int, level: int, block: int):
+        self.tag, self.text, self.n, self.link, self.where, self.level, self.block, self.feature = tag, text, n, link, where, level, block, ""
+
+
+class Element:
+    """An element of a kind. up: the one that it is in; level: how the page marks what it stands in."""
 
-    __slots__ = ("feature", "text", "n", "label", "out", "block")
+    __slots__ = ("kind", "up", "level", "words", "links")
 
-    def __init__(self, feature: str, text: str | None, n: int, label: bool, out: bool, block: int):
-        self.feature, self.text, self.n, self.label, self.out, self.block = feature, text, n, label, out, block
+    def __init__(self, kind: str, up: int, level: int):
+        self.kind, self.up, self.level, self.words, self.links = kind, up, level, 0, 0
 
 
-def _bad_names(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether attributes say that an element is no part of an article; whether they mark it as the article. A reader's comment
-    never is, also where it stands in an article element of its own."""
-    bad = mark = comment = False
-    for name, *values in _ATTR.findall(attrs):
-        value, name = (values[0] or values[1] or values[2]).lower(), name.lower()
+@lru_cache(maxsize=4096)
+def name_kind(value: str) -> str:
+    """The kind that one class or id speaks of: a kind where all its parts do or say nothing more, "partly" where one part
+    does beside others ("social-history"), else ""."""
+    parts = [p.lower() for p in _PARTS.findall(value)]
+    if NOT & set(parts):
+        return ""
+    kinds = [NAMES[p] for p in parts if p in NAMES and not (p == "header" and OWN_HEADER & set(parts))]
+    if not kinds:
+        return ""
+    if any(p not in NAMES and p not in GENERIC for p in parts):
+        return "partly"
+    return "comment" if "comment" in kinds else kinds[0]
+
+
+def _kind(tag: str, attrs: str) -> tuple[str, int]:
+    """The kind of an element ("": none), and how it marks an article. A reader's comment never does, also where it stands in
+    an article element of its own."""
+    kinds, level = [ELEMENTS[tag]] if tag in ELEMENTS else [], 2 if tag == "article" else int(tag == "main")
+    for name, *values in _ATTR.findall(attrs) if attrs else ():
+        value, name = values[0] or values[1] or values[2], name.lower()
         if name in ("class", "id"):
-            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", values[0] or values[1] or values[2]).lower()
-            bad, comment = bad or bool(LEFT_OUT_NAMES.search(value)), comment or bool(COMMENT_NAMES.search(value))
+            kinds += [k for k in map(name_kind, value.split()[:50]) if k]
         elif name == "role":
-            bad, mark = bad or value in LEFT_OUT_ROLES, mark or value in ("main", "article")
+            kinds += [ROLES[r] for r in value.lower().split()[:5] if r in ROLES]
+            level = max(level, {"main": 1, "article": 2}.get(value.lower(), 0))
         elif name == "itemprop":
-            mark = mark or value == "articlebody"
-        elif name == "hidden" or value == "true":
-            bad = True
-    return bad, mark, comment
+            level = max(level, 2 * (value.lower() == "articlebody"))
+        elif name == "hidden" or value.lower() == "true":
+            kinds.append("hidden")
+    if tag in ("body", "html"):
+        return "", level
+    whole = [k for k in kinds if k != "partly"]
+    if "comment" in whole:
+        return "comment", 0
+    return (whole or kinds or [""])[0] if not level else "", level
+
+
+def unescape(text: str) -> str:
+    """html.unescape, also where a number has more digits than Python takes."""
+    if "&#" in text:
+        text = re.sub(r"&#[1-9][0-9]{7,};?", "�", re.sub(r"&#0+(?=[0-9])", "&#", text))
+    return html.unescape(text)
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """What a page is made of, in order: ("text", text, ""), ("open", tag, attributes) and ("close", tag, ""). Scripts, styles
+    and the like, HTML's comments and declarations give nothing. A tag ends at > outside quotes, or before another <; an
+    unclosed quote is none. What no > follows is text."""
+    at, n, last = 0, len(page), page.rfind(">")
+    unclosed: set[str] = set()
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + 2)
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        close = after == "/"
+        name = _NAME.match(page, lt + 1 + close) if lt < last else None
+        if name is None:
+            if close and lt < last:
+                end = page.find(">", lt)
+                at = n if end < 0 else end + 1
+            else:
+                yield "text", "<", ""
+                at = lt + 1
+            continue
+        tag = name[0].partition("<")[0].lower()
+        start = at = name.start() + len(tag)
+        end = -1
+        while end < 0:
+            m = _SCAN.search(page, at)
+            if m is None:
+                end = n
+            elif m[0] in "<>":
+                end = m.start()
+            else:
+                quote = page.find(m[0], m.end()) if m[0] not in unclosed else -1
+                if quote < 0:
+                    unclosed.add(m[0])  # there is no other one further on
+                    m = re.compile("[<>]").search(page, m.end())
+                    end = n if m is None else m.start()
+                else:
+                    at = quote + 1
+        at = end + (page[end : end + 1] == ">")
+        if close:
+            yield "close", tag, ""
+            continue
+        attrs = page[start:end]
+        if tag in RAW:
+            if attrs.endswith("/"):
+                continue
+            found = _ENDS[tag].search(page, at) if tag not in unclosed else None
+            if found:
+                at = found.end()
+            elif tag in SWALLOW:
+                return
+            else:
+                unclosed.add(tag)
+            continue
+        yield "open", tag, attrs
 
 
-def tokens(page: str) -> tuple[list[Token], bool]:
-    """The page's tokens, and whether it marks an article. Scripts, styles and HTML's comments give none."""
+def tokens(page: str) -> tuple[list[Token], list[Element], int]:
+    """The page's tokens, its elements of a kind, and how it marks its article at best (0: not)."""
     out: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, marked
-    block, marked = 0, False
-    for m in _TOKEN.finditer(page):
-        if m["text"] is not None:
-            text = html.unescape(m["text"])
+    elements: list[Element] = []
+    # Tag, element of a kind, level of marks, nearest block's tag and place in the stack, whether in a link.
+    stack: list[tuple[str, int, int, str, int, bool]] = [("", -1, 0, "", 0, False)]
+    open_: Counter[str] = Counter()
+    block = best = 0
+
+    def drop(size: int) -> None:
+        while len(stack) > size:
+            open_[stack.pop()[0]] -= 1
+
+    for what, tag, attrs in pieces(page):
+        top = stack[-1]
+        if what == "text":
+            text = unescape(tag)
             n = len(text.split())
-            if not n:
-                if text and out and out[-1].text is not None and out[-1].block == block:
-                    out[-1].text += " "
-                elif text:
-                    out.append(Token("", " ", 0, False, bool(stack) and stack[-1][1], block))
-                continue
-            left_out = bool(stack) and stack[-1][1]
-            parent = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-            link = "a" if any(t == "a" for t, _, _ in stack[-3:]) else ""
-            feature = f"w {'out' if left_out else parent if parent not in ('article', 'main', 'body', 'html') else 'div'} {link}"
-            out.append(Token(feature, text, n, bool(stack) and stack[-1][2], left_out, block))
-            continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
+            if n:
+                out.append(Token(top[3], text, n, top[5], top[1], top[2], block))
+            elif out and out[-1].text is not None and out[-1].block == block:
+                out[-1].text += " "
+            else:
+                out.append(Token("", " ", 0, False, top[1], top[2], block))
             continue
         if tag in BLOCK:
             block += 1
         if tag == "br":
-            out.append(Token("", " ", 0, False, bool(stack) and stack[-1][1], block))
-        label, left_out = bool(stack) and stack[-1][2], bool(stack) and stack[-1][1]
-        if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            out.append(Token("", " ", 0, False, top[1], top[2], block))
+        if what == "close":
+            if open_[tag] > 0:
+                size = len(stack)
+                while stack[size - 1][0] != tag:
+                    size -= 1
+                drop(size - 1)
         else:
-            if tag in BLOCK:  # a paragraph or heading that was not closed ends here
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-                if at is not None and (stack[at][0] in CLOSED_BY_BLOCK or stack[at][0] == tag == "li"):
-                    del stack[at:]
-            above = stack[-1] if stack else ("", False, False)
-            bad, mark, comment = _bad_names(m["attrs"]) if m["attrs"] else (False, False, False)
-            mark = (mark or tag in ("article", "main")) and not comment
-            inside = above[2] or mark
-            header = tag == "header" and not inside
-            left_out = above[1] or (bad and not mark and tag not in ("body", "html")) or tag in LEFT_OUT or header
-            label = inside and not left_out
-            marked = marked or mark
-            if tag not in VOID and not m["attrs"].endswith("/"):
-                stack.append((tag, left_out, inside))
-        if tag not in ("article", "main"):
-            out.append(Token(f"t {'out' if left_out else tag}", None, 1, label and not left_out, left_out, block))
+            if tag in BLOCK and (top[3] in CLOSED_BY_BLOCK or top[3] in CLOSES.get(tag, ())):
+                drop(top[4])  # a paragraph, heading or item that was not closed ends here
+                top = stack[-1]
+            kind, level = _kind(tag, attrs)
+            level, where = max(level, top[2]), top[1]
+            if kind == "comment":
+                level = 0
+            best = max(best, level)
+            if kind:
+                elements.append(Element(kind, where, level))
+                where = len(elements) - 1
+            top = (tag, where, level, tag if tag in BLOCK else top[3], len(stack) if tag in BLOCK else top[4], tag == "a" or (top[5] and tag not in BLOCK))
+            if tag not in VOID and not attrs.endswith("/"):
+                stack.append(top)
+                open_[tag] += 1
+        if tag not in FRAME:
+            out.append(Token(tag, None, 1, False, top[1], top[2], block))
     for t in out:
-        t.label = t.label and not t.out
-    return out, marked
-
-
-#: Weights that hold where labelled pages say nothing.
-PRIOR_CONTENT = {"w p ": 0.9, "w div ": 0.6, "w li ": 0.5, "w li a": 0.1, "w p a": 0.6, "w  ": 0.55, "w td ": 0.5, "w blockquote ": 0.9, "w pre ": 0.9}
-PRIOR_CONTENT |= {f"w h{i} ": 0.95 for i in range(1, 7)} | {f"t {t}": 0.97 for t in "p h1 h2 h3 h4 h5 h6 br b i em strong code blockquote pre".split()}
+        if t.text is not None and t.where >= 0:
+            elements[t.where].words += t.n
+            elements[t.where].links += t.n if t.link else 0
+    for e in reversed(elements):
+        if e.up >= 0:
+            elements[e.up].words += e.words
+            elements[e.up].links += e.links
+    running = sum(t.n for t in out if t.text is not None and not t.link)
+    places = [""] * len(elements)
+    for i, e in enumerate(elements):
+        size = 2 if e.words - e.links >= MOST * max(1, running) else int(e.words - e.links >= LARGE)
+        places[i] = f"{e.kind} {size}{' links' if e.links >= LINKS * max(1, e.words) else ''}"
+    for t in out:
+        if t.text is None:
+            t.feature = f"t|{places[t.where] if t.where >= 0 else ''}|{t.tag if t.tag in BLOCK or t.tag in INLINE else 'other'}"
+        elif t.n:
+            t.feature = f"w|{places[t.where] if t.where >= 0 else ''}|{'div' if t.tag in PLAIN or not t.tag else t.tag}|{'a' if t.link else ''}"
+    return out, elements, best
+
+
+@lru_cache(maxsize=65536)
+def prior(feature: str) -> float:
+    """The share of content that a feature is taken to have where labelled pages say nothing."""
+    what, place, tag, *link = feature.split("|")
+    share = 1.0
+    if place:
+        kind, size, *links = place.split()
+        share = KINDS[kind][int(size)]
+        if kind == "header" and not links and tag in CLOSED_BY_BLOCK - {"p"}:
+            share = 0.6
+        if links:
+            share = min(share, 0.05)
+    if what == "t":
+        return 0.2 if share < 0.5 else TAGS.get(tag, OTHER_TAG)
+    own = BLOCKS.get(tag, OTHER_BLOCK)[link[0] == "a"]
+    return share if share < 0.5 else own
+
+
+def _weight(feature: str, share: float) -> float:
+    return 2 * share - 1 if feature[0] == "w" else -0.1 - 2.9 * (1 - share)
 
 
 def learn(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     """Weights from (content, other) counts of each feature: a word's is between -1 and 1 by its odds of being content, a
     tag's between -3 and -0.1, lower the more it stands outside content."""
-    out = {}
-    for feature in set(counts) | set(PRIOR_CONTENT):
-        inside, outside = counts.get(feature, (0.0, 0.0))
-        prior = PRIOR_CONTENT.get(feature, 0.02 if " out" in feature else 0.5)
-        share = (inside + PRIOR * prior) / (inside + outside + PRIOR)
-        out[feature] = 2 * share - 1 if feature[0] == "w" else -0.1 - 2.9 * (1 - share)
-    return out
+    return {f: _weight(f, (inside + PRIOR * prior(f)) / (inside + outside + PRIOR)) for f, (inside, outside) in counts.items()}
+
+
+def labelled_counts(page: str) -> dict[str, tuple[float, float]]:
+    """(content, other) counts of each feature on a page that marks its article; nothing on others. What stands inside the
+    article in an element of a kind of its own is not counted: the mark does not tell whether it is content."""
+    found, elements, best = tokens(page)
+    counts: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    if best:
+        for t in found:
+            inside = t.level >= best
+            own = t.where >= 0 and elements[t.where].level >= best and elements[t.where].kind != "partly"
+            if t.feature and not own:
+                counts[t.feature][not inside] += t.n
+    return {f: (a, b) for f, (a, b) in counts.items()}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -166,18 +347,34 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
+def scored(found: list[Token], elements: list[Element], weights: dict[str, float]) -> tuple[list[float], list[bool]]:
+    """The score of each token, and whether it is left out: it stands in an element of a kind whose own words and tags, but
+    for those of elements left out in it, come to no positive sum."""
+    scores = []
+    for t in found:
+        w = weights.get(t.feature)
+        scores.append(0.0 if not t.feature else (_weight(t.feature, prior(t.feature)) if w is None else w) * t.n)
+    sums = [0.0] * len(elements)
+    for t, s in zip(found, scores):
+        if t.where >= 0:
+            sums[t.where] += s
+    out = [False] * len(elements)
+    for i in range(len(elements) - 1, -1, -1):
+        out[i] = sums[i] <= 0
+        if not out[i] and elements[i].up >= 0:
+            sums[elements[i].up] += sums[i]
+    for i, e in enumerate(elements):
+        out[i] = out[i] or (e.up >= 0 and out[e.up])
+    left = [t.where >= 0 and out[t.where] for t in found]
+    return [s * OUT_SHARE if o else s for s, o in zip(scores, left)], left
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
     """The text of the best region, and its score. Blocks are joined by newlines, white space within one is one space."""
     if not page:
         return "", 0.0
-    found, _ = tokens(page)
-    scores = []
-    for t in found:
-        w = weights.get(t.feature)
-        if w is None:
-            w = 0.0 if not t.feature else (-0.9 if t.out else 0.2) if t.text is not None else (-3.0 if t.out else -0.5)
-        w *= OUT_SHARE if t.out else 1.0
-        scores.append(w * t.n if t.text is not None else w)
+    found, elements, _ = tokens(page)
+    scores, left = scored(found, elements, weights)
     start, end = best_region(scores)
     if end > start:  # a block that the region cuts is taken whole
         first, last = found[start].block, found[end - 1].block
@@ -186,19 +383,20 @@ def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
         while end < len(found) and found[end].block == last:
             end += 1
     blocks: list[tuple[int, list[str]]] = []
-    for t in found[start:end]:
-        if t.text is None or t.out:
+    for i in range(start, end):
+        t = found[i]
+        if t.text is None or left[i]:
             continue
         if not blocks or blocks[-1][0] != t.block:
             blocks.append((t.block, []))
         blocks[-1][1].append(t.text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for _, parts in blocks)
-    return "\n".join(x for x in lines if x), sum(scores[start:end])
+    return "\n".join(x for x in lines if x), math.fsum(scores[start:end])
 
 
 def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 1) -> dict[str, float]:
     """Weights from pages that mark their article, about max_labelled of them chosen by hashes of page_id and html. Only
-    counts by feature reach the driver."""
+    counts by feature reach the driver, of which there are as many as kinds of elements and HTML's tags make."""
     labelled = pages.select("page_id", F.col("html").alias("html")).filter(F.col("html").rlike(r"(?i)<article|<main|articlebody"))
     n = labelled.count()
     if not n:
@@ -208,23 +406,21 @@ def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 1) -> di
         sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         for b in batches:
             for page in b.column(0):
-                found, marked = tokens(page.as_py())
-                if marked:
-                    for t in found:
-                        if t.feature:
-                            sums[t.feature][not t.label] += t.n
+                for f, (inside, outside) in labelled_counts(page.as_py()).items():
+                    sums[f][0] += inside
+                    sums[f][1] += outside
         yield pa.RecordBatch.from_pydict({"feature": list(sums), "inside": [s[0] for s in sums.values()], "outside": [s[1] for s in sums.values()]}, schema=kind)
 
     kind = pa.schema([("feature", pa.string()), ("inside", pa.float64()), ("outside", pa.float64())])
     chosen = labelled.filter(unit_hash("page_id", "html", F.lit(seed)) < min(1.0, max_labelled / n))
     sums = chosen.select("html").mapInArrow(count, "feature string, inside double, outside double").groupBy("feature").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    return learn({r["feature"]: (r["i"], r["o"]) for r in sums.orderBy(F.desc(F.col("i") + F.col("o"))).limit(2000).collect()})
+    return learn({r["feature"]: (r["i"], r["o"]) for r in sums.collect()})
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Of each row: page_id, url, text (empty where html is null, empty or holds no region of positive score), n_chars (code
-    points) and region_score (0 for those). Whole pages are read; rows that repeat give a row each; further columns are
-    not looked at."""
+    points) and region_score (0 for those). Whole pages are read, malformed and very long ones too; rows that repeat give
+    a row each; further columns are not looked at."""
     weights = fit(pages) if weights is None else weights
 
     @F.arrow_udf("struct<text:string,score:double>")

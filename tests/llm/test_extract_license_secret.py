@@ -19,7 +19,7 @@ WANT = "Big news\nFirst para of bold text & more words to come here now.\nSecond
 
 @pytest.mark.parametrize("marks", [("<article>", "</article>"), ("", ""), ("<div itemprop='articleBody'>", "</div>")])
 def test_pages_with_and_without_marks(marks):
-    for weights in (H.learn({}), H.learn({"w p ": (5000, 10), "w out ": (0, 3000), "t p": (400, 20), "t out": (0, 900)})):
+    for weights in (H.learn({}), H.learn({"w||p|": (5000, 10), "w|nav 0 links|li|a": (0, 3000), "t||p": (400, 20), "t|ad 0|div": (0, 900)})):
         assert H.main_text(PAGE % marks, weights)[0] == WANT
 
 
@@ -34,6 +34,81 @@ def test_best_region_against_brute_force():
         assert sum(scores[a:b]) == max(0, best)
 
 
+def page_of(rng, depth=0):
+    tags = ["div", "p", "ul", "li", "a", "b", "nav", "form", "h2", "section", "td", "aside"]
+    attrs = ["", " class=ad", " id='comments'", " class=\"social-history\"", " hidden", " role=main", " title='a > b'"]
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        out.append(" ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(0, 9))))
+        if depth < 4 and rng.random() < 0.7:
+            tag = rng.choice(tags)
+            out.append(f"<{tag}{rng.choice(attrs)}>{page_of(rng, depth + 1)}" + f"</{tag}>" * (rng.random() < 0.8))
+    return "".join(out)
+
+
+def test_region_of_whole_pages_against_brute_force():
+    import random
+
+    rng = random.Random(4)
+    found_some = 0
+    for _ in range(150):
+        page = page_of(rng)
+        found, elements, _ = H.tokens(page)
+        scores, left = H.scored(found, elements, {})
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0.0)
+        start, end = H.best_region(scores)
+        assert sum(scores[start:end]) == pytest.approx(max(0.0, best), abs=1e-9)
+        # Whole blocks of the region, word by word.
+        blocks = {found[i].block for i in (start, end - 1)} if end > start else set()
+        inside = [t for i, t in enumerate(found) if t.text and not left[i] and (start <= i < end or t.block in blocks)]
+        assert "".join(H.main_text(page, {})[0].split()) == "".join("".join(t.text for t in inside).split())
+        # An element is left out exactly where what is not left out in it comes to no positive sum.
+        plain = [s / H.OUT_SHARE if o else s for s, o in zip(scores, left)]
+        within = lambda w, i: w == i or (w >= 0 and within(elements[w].up, i))
+        out = {}
+        for i in range(len(elements) - 1, -1, -1):
+            gone = lambda w: w != i and (out.get(w) or gone(elements[w].up))  # noqa: E731, B023
+            out[i] = sum(s for t, s in zip(found, plain) if within(t.where, i) and not gone(t.where)) <= 1e-12
+        assert all(left[k] == (t.where >= 0 and any(out[i] for i in out if within(t.where, i))) for k, t in enumerate(found))
+        found_some += end > start
+    assert found_some > 75
+
+
+ARTICLE = "<h1>A title of some words</h1><p>" + "some words of running text in here " * 4 + "</p><p>and a second one ends it</p>"
+TEXT = "A title of some words\n" + " ".join(["some words of running text in here"] * 4) + "\nand a second one ends it"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm>{ARTICLE}</form></body>", f"<section class='tags-guide'>{ARTICLE}</section>", f"<div id=promo-code-review>{ARTICLE}</div>",
+    f"<div class=search><form><input>Find a page <button>Go</button></form></div><dialog>Stay with us for more news</dialog><div>{ARTICLE}</div><aside>See this too</aside>",
+])
+def test_names_and_elements_are_no_veto(page):
+    assert H.main_text(page, {})[0] == TEXT
+
+
+def test_names_learn_from_pages():
+    page = f"<div class=widget>{ARTICLE}</div>"
+    assert H.labelled_counts(f"<article>{page}</article>") == {}  # inside the mark the name proves nothing
+    counts = {f: (50 * a, 50 * b) for f, (a, b) in H.labelled_counts(f"<div class=widget><article>{ARTICLE}</article></div><p>not this</p>").items()}
+    assert H.learn(counts)["w|side 2|p|"] > 0 and H.main_text(page, H.learn(counts))[0] == TEXT
+    assert [H.name_kind(n) for n in ("ad-slot", "noAds", "social-history", "siteHeader", "entry-header", "comment-list", "load", "tags")] == ["ad", "", "partly", "header", "", "comment", "", "share"]
+
+
+def test_time_grows_with_the_length_alone():
+    import time
+
+    units = ['<a "', "<script ", "<b>x ", "</b>x ", '<a ">"', "<", "<div>", "<!--", "<p><b>x", "<object>", "&#9999", "<td>x", "<div class=ad><p>x", '<a \'"', "<x y='"]
+    for unit in units:
+        took = []
+        for n in (50_000, 100_000, 200_000):
+            page = unit * (n // len(unit))
+            start = time.process_time()
+            H.main_text(page, {})
+            took.append(time.process_time() - start)
+        assert took[2] < 2 and took[2] < 3.2 * took[1] + 0.1, (unit, took)
+    assert H.main_text("<p>x &#" + "9" * 6000 + "; and &#" + "0" * 6000 + "65; y", {})[0] == "x � and A y"
+
+
 def test_extract_odd_rows(spark):
     long = "<article>" + "".join(f"<p>word{i} and more words</p>" for i in range(20_000)) + "</article>"
     rows = [(1, "u", PAGE % ("<article>", "</article>"), 0), (1, "u", PAGE % ("<article>", "</article>"), 0), (2, None, None, 1), (3, "v", "", 2), (None, "w", "<p>", 3), (4, "x", "no tags at all & <3 <b", 4), (5, "y", "<nav>menu</nav><script>never closed", 5), (6, "z", long, 6)]
