@@ -1,17 +1,18 @@
 """Merkle trees of documents: lines are paragraphs, runs of paragraphs are sections, and the root stands for the text.
 
 Equal roots mean equal texts. Where roots differ, a comparison goes down only into sections and paragraphs whose
-digests differ, and there into phrases (short runs of words that end where the text itself says so, so that an edit
-moves no other phrase's bounds); this locates the edits and gives a likeness.
+digests differ, and there into phrases (runs of some bytes that end where a hash of the last few says so, so that an edit
+moves no bounds further on); this locates the edits and gives a likeness. Phrases are hashed only where they are asked
+for, since most paragraphs are equal or not compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,12 @@ from .common import partitions, written
 
 #: A section ends at an empty paragraph, or at one whose digest's first byte is divisible by this.
 SECTION = 8
-#: A phrase ends at white space after one of these bytes.
-_PHRASE_END = re.compile(rb"(?<=[.,;:!?dnsxyADNSXY])\s+")
+#: A phrase ends where the hash of its last LAST bytes (a power of two) is divisible by PHRASE (another), and after LONGEST bytes.
+PHRASE, LONGEST, LAST = 16, 16, 8
+#: Characters of a text that part rows of one id among tasks.
+PREFIX = 64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.array([pow(0x100000001B3, i, 2**64) for i in range(LONGEST)], dtype=np.uint64)
 
 
 def _digest(data: bytes) -> bytes:
@@ -31,10 +36,10 @@ def _digest(data: bytes) -> bytes:
 class Tree:
     """The tree of one text: paragraphs and their digests, sections (first paragraph, past the last, digest), root."""
 
-    __slots__ = ("paragraphs", "leaves", "sections", "root", "size")
+    __slots__ = ("paragraphs", "leaves", "sections", "root", "size", "_all")
 
     def __init__(self, text: bytes):
-        self.size = len(text)
+        self.size, self._all = len(text), None
         self.paragraphs = text.split(b"\n")
         self.leaves = [_digest(p) for p in self.paragraphs]
         self.sections, start = [], 0
@@ -44,6 +49,13 @@ class Tree:
                 start = i + 1
         self.root = _digest(b"".join(s[2] for s in self.sections))
 
+    def phrases(self, paragraphs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if len(paragraphs) < len(self.paragraphs):
+            return phrases([self.paragraphs[i] for i in paragraphs])
+        if self._all is None:
+            self._all = phrases(self.paragraphs)
+        return self._all
+
     def hex(self) -> str:
         return self.root.hex()
 
@@ -78,6 +90,32 @@ def differing(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
     return [pa_[i] for i in left], [pb[j] for j in right]
 
 
+def phrases(paragraphs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the phrases of some paragraphs, each once, and how many bytes they hold in all."""
+    data = np.frombuffer(b"".join(paragraphs), dtype=np.uint8)
+    if not len(data):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    h, n = data.astype(np.uint32), 1
+    while n < min(LAST, len(data)):  # sums over twice as many bytes each time
+        h[n:] = h[n:] + h[:-n] * np.uint32(_POWERS[n] & np.uint64(0xFFFFFFFF))
+        n *= 2
+    ends = (h * np.uint32(0x9E3779B1)) >> np.uint32(20) & np.uint32(PHRASE - 1) == 0
+    lengths = np.array([len(p) for p in paragraphs if p])
+    past = np.cumsum(lengths)
+    ends &= np.arange(len(data)) - np.repeat(past - lengths, lengths) >= LAST - 1  # bytes of one paragraph alone
+    ends[past - 1] = True
+    at = np.flatnonzero(ends) + 1
+    starts = np.append(0, at[:-1])
+    cuts = -(-(at - starts) // LONGEST)  # a long stretch is cut from its beginning
+    first = np.repeat(starts, cuts) + LONGEST * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    sizes = np.diff(np.append(first, len(data)))
+    place = np.arange(len(data)) - np.repeat(first, sizes)
+    hashes = np.add.reduceat((data + np.uint64(1)) * _POWERS[place], first)  # bytes as numbers of 64 bits, times powers
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * _ODD
+    found, which = np.unique(hashes, return_inverse=True)
+    return found, np.bincount(which, weights=sizes).astype(np.int64)
+
+
 def likeness(a: Tree, b: Tree) -> float:
     """1 if the roots are equal; else twice the bytes that matched sections, paragraphs and phrases share, by the bytes of
     both: 0 if nothing matches."""
@@ -88,10 +126,9 @@ def likeness(a: Tree, b: Tree) -> float:
     left, right = differing(a, b)
     weigh = lambda t, skip: sum(map(len, t.paragraphs)) - sum(len(t.paragraphs[i]) for i in skip)
     shared = weigh(a, left)
-    phrases = Counter(x for i in left for x in _PHRASE_END.split(a.paragraphs[i]))
-    for x, n in Counter(x for j in right for x in _PHRASE_END.split(b.paragraphs[j])).items():
-        if x in phrases:
-            shared += min(n, phrases[x]) * len(x)
+    (one, n), (two, m) = a.phrases(left), b.phrases(right)
+    _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    shared += int(np.minimum(n[i], m[j]).sum())
     total = sum(map(len, a.paragraphs)) + sum(map(len, b.paragraphs))
     return min(1.0, 2.0 * shared / total) if total else 0.0
 
@@ -101,14 +138,14 @@ def fingerprint_edits(documents: DataFrame, files: int | None = None) -> DataFra
     near_edited and near_next. The edited text is the text with its last floor(n_chars / 3) code points replaced by the
     first as many (or all) of the next document's, in descending order of doc_id; after the last comes the first.
 
-    Null texts are empty. Null ids come last, rows with one id are ordered by text (null as empty); a row that repeats
-    is its own next. A lone row's next is itself. Texts are sorted once, by ranges of ids; each task hands the row at
+    Null texts are empty. Null ids come last, rows with one id are ordered by text (null as empty) and parted among tasks
+    by its first characters; a row that repeats is its own next. A lone row's next is itself. Texts are sorted once, by ranges of ids; each task hands the row at
     either end of its range to a second, small join.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    rows = rows.repartitionByRange(files or partitions(documents.sparkSession), F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(files or partitions(documents.sparkSession), order[0], F.left("text", F.lit(PREFIX))).sortWithinPartitions(*order)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, task int, place string, end_text string"
     types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]

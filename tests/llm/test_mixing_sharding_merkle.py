@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -118,3 +118,42 @@ def test_merkle_trees_locate_edits():
     assert merkle.differing(a, a) == ([], []) and merkle.likeness(a, a) == 1.0
     assert 0.9 < merkle.likeness(a, b) < 1 and merkle.likeness(a, merkle.Tree(b"")) == 0.0
     assert merkle.Tree(b"").hex() == merkle.Tree(b"").hex() != merkle.Tree(b"\n").hex()
+
+
+def brute_phrases(paragraph):
+    out, start = [], 0
+    for i in range(len(paragraph)):
+        h = sum(paragraph[i - j] * pow(0x100000001B3, j, 2**32) for j in range(8)) % 2**32 if i >= 7 else None
+        ends = h is not None and (h * 0x9E3779B1 % 2**32 >> 20) % 16 == 0
+        if ends or i - start + 1 == 16 or i == len(paragraph) - 1:
+            out.append(paragraph[start : i + 1])
+            start = i + 1
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    one, two = Counter(a.split(b"\n")), Counter(b.split(b"\n"))
+    weigh = lambda c: sum(len(x) * n for x, n in c.items())
+    shared = weigh(one & two)
+    phrases = [Counter(y for x in c.elements() for y in brute_phrases(x)) for c in (one - two, two - one)]
+    total = weigh(one) + weigh(two)
+    return 2 * (shared + weigh(phrases[0] & phrases[1])) / total if total else 0.0
+
+
+def test_likeness_against_brute_force(rows):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé#%☃") for _ in range(rng.randrange(1, 9)))
+    texts = [r[1] or "" for r in rows]
+    texts += ["eux### de%%% les&&& " * 40, "x" * 500, " ".join(word() for _ in range(300)), "\n".join(word() for _ in range(200)), "", "\n", "ab"]
+    for t in texts:
+        for after in (rng.choice(texts), texts[-5]):
+            k = len(t) // 3
+            edited = t[: len(t) - k] + after[:k]
+            for other in (edited, after):
+                a, b = t.encode(), other.encode()
+                assert merkle.likeness(merkle.Tree(a), merkle.Tree(b)) == pytest.approx(brute_likeness(a, b), abs=1e-12)
+            if len(t) >= 200 and t != after:
+                near = merkle.likeness(merkle.Tree(t.encode()), merkle.Tree(edited.encode()))
+                assert near > 0.5 and (near > merkle.likeness(merkle.Tree(t.encode()), merkle.Tree(after.encode())) or t in after or after in t)
