@@ -245,237 +245,254 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, node: int = NODE) ->
 
 
 # Near duplicates by similarity. Three differing bits of a whole text's fingerprint are a similarity of shingles of about
-# 0.97; to find those of 0.8, windows of a text are hashed too, and what two windows in common bring together is verified.
+# 0.97; those down to 0.8 are brought together by bands of least hashes too, and what comes together is verified.
 
 #: Words in a shingle, and the least share of common shingles (Jaccard), for removal.
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-#: Windows of a text, each around the shingle whose hash comes first in an order of its own.
-WINDOWS = 12
-#: Words before the shingle, and in all, that a window has.
-WINDOW_BEFORE, WINDOW_WORDS = 4, 13
-#: Places of a sketch: the least shingle of each of so many ranges of hashes.
+#: Bands of a text, and in each the least of its shingles' hashes in so many orders. Of texts with a share s of common
+#: shingles, 1 - (1 - s ** ORDERS) ** BANDS have a band in common: at 0.8 all but 3 in 100,000.
+BANDS, ORDERS = 20, 4
+#: Places of a sketch: a byte of the least shingle of each of so many ranges of hashes.
 PLACES = 256
-#: Links whose sketches are this much less alike than asked for are not looked at more closely: over five standard
+#: Texts whose sketches are this much less alike than asked for are not looked at more closely: over five standard
 #: deviations of what a sketch can miss.
 SKETCH_MARGIN = 0.15
-#: Texts of a group that are compared at a time, and their shingles, about; a larger group is cut into blocks of half as
-#: many, and these are compared two by two, in tasks of their own.
+#: Texts that are compared at a time; a larger group is cut into blocks of half as many, and these are compared two by two.
 GROUP = 4000
-GROUP_SHINGLES = 4_000_000
-#: Keys of rows to take out that are broadcast (8 bytes each); more are joined by a shuffle.
-MAX_BROADCAST_KEYS = 2_000_000
+#: Keys of rows that are broadcast (24 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
 #: Texts that a task compares, about, in whole groups or pairs of blocks.
-CELL = 4000
-#: Up to so many shingles, texts are found by their rarest shingles: exactly, where windows would miss.
-SHORT = 32
-_ORDERS = (2 * np.random.default_rng(64).integers(1, 2**62, WINDOWS, dtype=np.uint64) + 1).astype(np.uint64)
+CELL = 20_000
+_ORDERS = (2 * np.random.default_rng(64).integers(1, 2**31, BANDS * ORDERS, dtype=np.uint64) + 1).astype(np.uint32)
 
 
-def describe(text: bytes | None, k: int = WIDE_SHINGLE) -> tuple[int, int, list[int], bytes]:
-    """Of a text: a hash of all its words, its fingerprint, its windows' hashes, and its distinct shingles as sorted 32-bit
-    hashes. Where there are no words, all hashes are zero and there are no shingles."""
+def shingle_set(text: bytes | None, k: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted 32-bit hashes."""
+    h = list(shingle_hashes(text, k))
+    return np.unique(np.concatenate(h) >> np.uint64(32)).astype(np.uint32) if h else np.empty(0, dtype=np.uint32)
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A hash of each band; none where there are no shingles."""
     from xxhash import xxh64_intdigest as digest
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0, 0, [0] * WINDOWS, b""
-    h = np.concatenate(list(shingle_hashes(b" ".join(words), k)))
-    bits = sum(np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), STEP))
-    whole = int(np.packbits(2 * bits > len(h), bitorder="little").view("<i8")[0])
-    windows = []
-    for order in _ORDERS:
-        at = max(0, int((h * order).argmin()) - WINDOW_BEFORE)
-        windows.append(digest(b" ".join(words[at : at + WINDOW_WORDS]), seed=SEED) - 2**63)
-    return digest(b" ".join(words), seed=1) - 2**63, whole, windows, np.unique(h >> np.uint64(32)).astype("<u4").tobytes()
+    if not len(shingles):
+        return []
+    least = np.full(len(_ORDERS), 2**32 - 1, dtype=np.uint32)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[i : i + 1024, None] * _ORDERS).min(axis=0), out=least)
+    return [digest(least[i * ORDERS : (i + 1) * ORDERS].tobytes(), seed=i) - 2**63 for i in range(BANDS)]
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The least shingle of each range of hashes, 0 where there is none."""
-    out = np.zeros(PLACES, dtype=np.uint32)
+    """A byte (1 to 255) of the least shingle of each range of hashes, 0 where there is none."""
+    out = np.zeros(PLACES, dtype=np.uint8)
     place, first = np.unique(shingles >> np.uint32(24), return_index=True)
-    out[place] = shingles[first] | np.uint32(1)
+    out[place] = shingles[first] % np.uint32(255) + np.uint32(1)
     return out
 
 
 def sketch_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """About the share of common shingles of one sketch with each of many."""
+    """About the share of common shingles of one sketch with each of many, or of each with its own."""
     same = ((many == one) & (one != 0)).sum(axis=1)
     either = ((many != 0) | (one != 0)).sum(axis=1)
     return np.where(either > 0, same / np.maximum(either, 1), 1.0)
 
 
-def _compare_group(similarity: float):
-    """Links of texts in the groups that a task has, as spanning forests: each text is compared with all of its group that
-    are not of its class, nor connected to it yet, by their sketches, and by all their shingles where these come near. Of a
-    group with both halves, only texts of different halves are compared."""
+def describe(text: bytes | None, k: int = WIDE_SHINGLE) -> tuple[int, int, int, list[int], bytes, int]:
+    """Of a text: two hashes of all its words, its fingerprint, its bands, its sketch and how many shingles it has; all zero or
+    empty where there are no words."""
+    from xxhash import xxh64_intdigest as digest
 
-    def group(pdf: pd.DataFrame, links: list[tuple[int, int]]) -> None:
-        pdf = pdf.drop_duplicates("text_key").sort_values("text_key", kind="stable")
-        keys, sets = pdf["text_key"].to_numpy(), [np.frombuffer(x, dtype="<u4") for x in pdf["shingles"]]
-        sketches, sizes = np.stack([sketch(s) for s in sets]), np.array([len(s) for s in sets])
-        part, half = np.unique(pdf["class"].to_numpy(), return_inverse=True)[1], pdf["half"].to_numpy()
-        both_halves = half.min() != half.max()
-        for i in range(len(keys) - 1):
-            near = (part[i + 1 :] != part[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]))
-            if both_halves:
-                near &= half[i + 1 :] != half[i]
-            others = np.flatnonzero(near) + i + 1
-            for j in range(0, len(others), 2048):
-                some = others[j : j + 2048]
-                for m in some[sketch_similarity(sketches[i], sketches[some]) >= similarity - SKETCH_MARGIN].tolist():
-                    if part[m] == part[i]:
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[m], assume_unique=True))
-                    if both >= similarity * (len(sets[i]) + len(sets[m]) - both):
-                        part[part == part[m]] = part[i]
-                        links.append((keys[i], keys[m]))
+    words = (text or b"").lower().split()
+    if not words:
+        return 0, 0, 0, [], bytes(PLACES), 0
+    joined = b" ".join(words)
+    h = np.concatenate(list(shingle_hashes(joined, k)))
+    bits = sum(np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), STEP))
+    whole = int(np.packbits(2 * bits > len(h), bitorder="little").view("<i8")[0])
+    s = np.unique(h >> np.uint64(32)).astype(np.uint32)
+    return digest(joined, seed=1) - 2**63, digest(joined, seed=2) - 2**63, whole, bands(s), sketch(s).tobytes(), len(s)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        links: list[tuple[int, int]] = []
-        for _, rows in pdf.groupby("group"):
-            group(rows, links)
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
-    return compare
+def _near(similarity: float):
+    """Whether sketches are near enough to look at the texts' shingles."""
+
+    @F.arrow_udf("boolean")
+    def near(a: pa.Array, b: pa.Array, m: pa.Array, n: pa.Array) -> pa.Array:
+        one, two = (np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint8).reshape(-1, PLACES) for x in (a, b))
+        m, n = (x.to_numpy(zero_copy_only=False) for x in (m, n))
+        sizes = np.minimum(m, n) >= similarity * np.maximum(m, n)
+        return pa.array(sizes & (sketch_similarity(one, two) >= similarity - SKETCH_MARGIN))
+
+    return near
 
 
-def _compared(units: DataFrame, rows: int, m: int, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of units: (group, text_key, half, class), so many rows with so many shingles in all."""
-    cells = max(1, math.ceil(rows / CELL), math.ceil(m / GROUP_SHINGLES))
-    units = units.join(shingles, "text_key").withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)))
-    return units.repartition(partitions(units.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_group(similarity), "a long, b long")
+def _similar(similarity: float):
+    """Whether two sets of shingles have at least this share in common."""
 
+    @F.arrow_udf("boolean")
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = (np.frombuffer(z.as_buffer(), dtype="<u4") for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both))
+        return pa.array(out)
 
-def _blocks(n: str, m: str) -> Column:
-    """Blocks that n texts with m shingles are cut into: one where they can be compared at a time."""
-    cut = F.greatest(F.ceil(F.col(n) * 2 / GROUP), F.ceil(F.col(m) * 2 / GROUP_SHINGLES))
-    return F.when((F.col(n) <= GROUP) & (F.col(m) <= GROUP_SHINGLES), 1).otherwise(F.greatest(F.lit(1), cut)).cast("long")
+    return similar
 
 
-def _sizes(members: DataFrame) -> DataFrame:
-    """members: (group, text_key, m). Of each group of at least two texts: group, n, m, hub (its least text) and blocks. Of
-    groups of the same texts (as many, with the same sums of hashes), as near duplicates have many, there is one."""
-    sums = [F.bit_xor(F.xxhash64("text_key", F.lit(i))).alias(f"sum{i}") for i in range(2)]
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), F.min("text_key").alias("hub"), *sums).filter("n > 1")
-    return sizes.groupBy("n", "m", "hub", "sum0", "sum1").agg(F.min("group").alias("group")).select("group", "n", "m", "hub", _blocks("n", "m").alias("blocks"))
+def _compare_cell(similarity: float):
+    """Pairs of texts with near sketches in the groups that a task has, of different classes; of a group with both halves, of
+    different halves."""
+
+    def group(pdf: pd.DataFrame, pairs: list[np.ndarray]) -> None:
+        pdf = pdf.sort_values("node", kind="stable")
+        node, size, part, half = (pdf[c].to_numpy() for c in ("node", "m", "class", "half"))
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, PLACES)
+        both_halves = half.min() != half.max()
+        for i in range(len(node) - 1):
+            near = (part[i + 1 :] != part[i]) & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]))
+            if both_halves:
+                near &= half[i + 1 :] != half[i]
+            others = np.flatnonzero(near) + i + 1
+            for j in range(0, len(others), 2048):
+                some = others[j : j + 2048]
+                some = some[sketch_similarity(sketches[i], sketches[some]) >= similarity - SKETCH_MARGIN]
+                if len(some):
+                    pairs.append(np.stack([np.full(len(some), node[i]), node[some]], axis=1))
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs: list[np.ndarray] = []
+        for _, rows in pdf.groupby("unit"):
+            group(rows, pairs)
+        return pd.DataFrame(np.concatenate(pairs) if pairs else np.empty((0, 2)), columns=["a", "b"]).astype(np.int64)
 
-def _inside(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(group, text_key, half, class): whole groups, and of larger ones each block with the group's hub."""
-    block = lambda i: F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", i)).alias("group")
-    own = members.select("group", "text_key").join(sizes, "group").select(block(F.pmod(F.xxhash64("text_key"), F.col("blocks"))), "text_key")
-    hubs = sizes.filter("blocks > 1").select("group", "blocks", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
-    units = own.unionByName(hubs.select(block(F.col("i")), F.col("hub").alias("text_key")))
-    return units.select("group", "text_key", F.lit(0).alias("half"), F.col("text_key").alias("class"))
+    return compare
 
 
-def _across(members: DataFrame, sizes: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(group, text_key, m, half, class): of the groups with blocks, the pairs of blocks that can hold similar texts not yet
-    connected by classes (node, root). Texts of a group's largest class are not compared with each other again; sizes must be
-    near enough for the similarity."""
-    width = max(-math.log(similarity), 1e-6) + 1e-9
-    large = members.join(sizes.filter("blocks > 1").select("group"), "group").join(classes, F.col("text_key") == F.col("node"), "left")
-    large = written(large.select("group", "text_key", "m", F.coalesce("root", "text_key").alias("class"), F.floor(F.log(F.greatest("m", F.lit(1))) / width).alias("band")))
-    most = large.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "class"))["class"].alias("most"))
-    sided = large.join(most, "group").withColumn("rest", F.col("class") != F.col("most")).drop("most")
-    counts = written(sided.groupBy("group", "rest", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m")).select("group", "rest", "band", F.greatest(F.ceil(F.col("n") * 2 / GROUP), F.ceil(F.col("m") * 2 / GROUP_SHINGLES)).cast("long").alias("blocks")))
-    blocks = counts.select("group", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1), lambda i: F.struct("rest", "band", i.alias("i")))).alias("x"))
+def _units(members: DataFrame) -> DataFrame:
+    """members: (group, node, m, class), of groups with several classes. Returns (unit, half, node, m, class) such that any two
+    texts of one group and different classes meet in a unit, of at most about GROUP texts: whole groups, or pairs of
+    blocks of larger ones. Texts of a group's largest class do not meet again; blocks hold texts of like sizes, and only
+    such with like enough ones meet."""
+    sizes = members.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class"))["class"].alias("most"))
+    sizes = written(sizes)
+    small = members.join(sizes.filter(F.col("n") <= GROUP).select("group"), "group").select(F.xxhash64("group").alias("unit"), F.lit(0).alias("half"), "node", "m", "class")
+    large = sizes.filter(F.col("n") > GROUP)
+    if large.isEmpty():
+        return small
+    width = -math.log(SIMILARITY) + 1e-9
+    sided = members.join(large.select("group", "most"), "group").withColumn("rest", F.col("class") != F.col("most")).drop("most")
+    sided = written(sided.withColumn("band", F.floor(F.log(F.greatest("m", F.lit(1))) / width)))
+    counts = written(sided.groupBy("group", "rest", "band").agg(F.ceil(F.count(F.lit(1)) * 2 / GROUP).alias("blocks")))
+    blocks = counts.select("group", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct("rest", "band", i.alias("i")))).alias("x"))
     pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "group").filter("x <= y AND (x.rest OR y.rest) AND abs(x.band - y.band) <= 1")
     pairs = pairs.withColumn("unit", F.xxhash64("group", "x", "y"))
     halves = pairs.select("group", "x.*", "unit", F.lit(0).alias("half")).unionByName(pairs.filter("x < y").select("group", "y.*", "unit", F.lit(1).alias("half")))
-    placed = sided.join(counts, ["group", "rest", "band"]).withColumn("i", F.pmod(F.xxhash64("text_key"), F.greatest("blocks", F.lit(1))))
-    return placed.join(halves, ["group", "rest", "band", "i"]).select(F.col("unit").alias("group"), "text_key", "m", "half", "class")
-
-
-def _shared_windows(described: DataFrame) -> DataFrame:
-    """(text_key, shared): each text's windows (v, w) that another text has too; texts with at least two of them."""
-    one = described.select("text_key", F.posexplode("windows").alias("v", "w"))
-    shared = one.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v", "w")
-    return one.join(shared, ["v", "w"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("shared")).filter(F.size("shared") > 1)
-
-
-def _rare_shingles(shingles: DataFrame, similarity: float) -> DataFrame:
-    """(text_key, group): keys of short texts, of which any two similar texts have one in common if one of them has at most
-    SHORT shingles. Of n shingles in one order for all texts (rarest first), similar texts share one of the first
-    n - ceil(similarity n) + 1."""
-    least, most = F.lit(4), F.lit(4 * math.floor(SHORT / similarity + 1e-9))
-    each = F.transform(F.sequence(F.lit(1), F.octet_length("shingles") - 3, F.lit(4)), lambda i: F.substring(F.col("shingles"), i, F.lit(4)))
-    one = shingles.filter(F.octet_length("shingles").between(least, most))
-    one = written(one.select("text_key", (F.octet_length("shingles") / 4).cast("int").alias("m"), F.explode(each).alias("s")))
-    often = one.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = one.join(often, "s").groupBy("text_key", "m").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
-    # Shingles of no other text come first.
-    first = F.col("m") - F.ceil(F.col("m") * similarity - 1e-9) + 1 - (F.col("m") - F.size("shared"))
-    keys = shared.select("text_key", F.explode(F.slice("shared", 1, F.greatest(F.lit(0), first).cast("int"))).alias("x"))
-    return keys.select("text_key", F.xxhash64(F.lit("short"), "x.s").alias("group"))
-
-
-def similar_texts(described: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """described: (text_key, fp, windows, m), m being the number of shingles, one row for each text_key; shingles:
-    (text_key, shingles). Returns (node, root): for each text_key with a similar one, the smallest in its class. Candidates
-    are texts with two windows in common, or whole fingerprints that the trie's self-join connects, or rare shingles where
-    they are short; each link holds by all shingles of its texts. Groups of candidates of any size are compared in full."""
-    pairs = F.flatten(F.transform("shared", lambda x, i: F.transform(
-        F.slice("shared", i + 2, F.size("shared")), lambda y: F.xxhash64(x["v"], y["v"], x["w"], y["w"])
-    )))
-    found = _shared_windows(described).select("text_key", F.explode(pairs).alias("group"))
-    trie = components(trie_self_join(described.filter("fp <> 0").select("fp").distinct()))
-    rooted = described.select("text_key", "fp").join(trie, F.col("fp") == F.col("node"), "left")
-    found = found.unionByName(rooted.select("text_key", F.xxhash64(F.lit("trie"), F.coalesce("root", "fp")).alias("group")))
-    found = found.unionByName(_rare_shingles(shingles, similarity))
-    members = written(found.join(described.select("text_key", "m"), "text_key").select("group", "text_key", "m"))
-    sizes = written(_sizes(members))
-    rows, m, most = sizes.agg(F.sum(F.col("n") + F.col("blocks")), F.sum("m"), F.max("blocks")).first()
-    links = _compared(_inside(members, sizes), rows or 0, m or 0, shingles, similarity)
-    if (most or 0) > 1:
-        links = written(links)
-        across = written(_across(members, sizes, components(links), similarity))
-        rows, m = across.agg(F.count(F.lit(1)), F.sum("m")).first()
-        links = links.unionByName(_compared(across.drop("m"), rows, m or 0, shingles, similarity))
-    return components(links)
+    placed = sided.join(counts, ["group", "rest", "band"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return small.unionByName(placed.join(halves, ["group", "rest", "band", "i"]).select("unit", "half", "node", "m", "class"))
+
+
+def similar_texts(texts: DataFrame, sets, similarity: float = SIMILARITY) -> DataFrame:
+    """texts: (node, fp, bands, sketch, m), a row for each distinct text; sets, a function that gives (node, shingles) of a table
+    of nodes. Returns (node, root): for each node with a similar one, the smallest in its class.
+
+    Candidates share a band, or the self-join of the fingerprints' trie connects them. Each is compared with the least of
+    its group first; then, in groups that this leaves in several classes, all texts of different classes are compared,
+    whatever the group's size. Each link holds by all shingles of its texts."""
+    trie = components(trie_self_join(texts.filter("m > 0").select("fp").distinct())).withColumnRenamed("node", "of")
+    rooted = texts.filter("m > 0").select("node", "fp").join(trie, F.col("fp") == F.col("of"), "left")
+    groups = texts.select("node", F.explode("bands").alias("group")).unionByName(
+        rooted.select("node", F.xxhash64(F.lit("trie"), F.coalesce("root", "fp")).alias("group"))
+    )
+    shared = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n")
+    members = written(groups.join(shared, "group"))
+    known = texts.select("node", "sketch", "m")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links (a, b) of pairs that hold."""
+        pairs = written(pairs)
+        of = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        both = pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(of.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        return both.filter(_similar(similarity)(F.col("of_a"), F.col("of_b"))).select("a", "b")
+
+    pairs = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(known.toDF("a", "sketch_a", "m_a"), "a").join(known.toDF("b", "sketch_b", "m_b"), "b")
+    links = written(verified(pairs.filter(_near(similarity)(F.col("sketch_a"), F.col("sketch_b"), F.col("m_a"), F.col("m_b"))).select("a", "b")))
+    classes = components(links).withColumnRenamed("node", "mine")
+    sorted_out = written(members.select("group", "node").join(classes, F.col("node") == F.col("mine"), "left").select("group", "node", F.coalesce("root", "node").alias("class")))
+    several = sorted_out.groupBy("group").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("group")
+    units = written(_units(written(sorted_out.join(several, "group").join(known.select("node", "m"), "node"))))
+    cells = max(1, math.ceil(units.count() / CELL))
+    units = units.join(known.select("node", "sketch"), "node").withColumn("cell", F.pmod(F.xxhash64("unit"), F.lit(cells)))
+    pairs = units.repartition(partitions(units.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_cell(similarity), "a long, b long").distinct()
+    return components(links.unionByName(verified(pairs)))
 
 
 def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_SHINGLE) -> DataFrame:
     """documents, all their columns, with one row of each class of near duplicates: texts of the same words, or connected by
-    links of at least this share of common shingles of k words. The row with the smallest doc_id stays (null ids last).
+    links of at least this share of common shingles of k words. The row with the smallest doc_id stays (null ids last,
+    then by a hash of the row).
 
-    Texts without words are one class. Every link holds by the texts' whole sets of shingles; a pair with a text of
-    up to SHORT shingles is always brought together, a longer one at just the least similarity with a probability of about
-    0.9999.
+    Texts without words are one class. Every link holds by the texts' whole sets of shingles; a pair at just the least
+    similarity is brought together with a probability of about 0.99997. Groups of any size are compared in full.
     """
+    key, key2 = free_name(documents, "row_key"), free_name(documents, "row_key2")
+    keyed = documents.withColumn(key, F.xxhash64(*documents.columns)).withColumn(key2, F.xxhash64(F.lit(2), *documents.columns))
+    names = ["doc_id", "k1", "k2", "t1", "t2", "fp", "bands", "sketch", "m", "node"]
+    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33  # a number for each row, kept with it
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                columns = list(zip(*[describe(t.as_py(), k) for t in part.column(3)]))
+                columns = [*part.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types[3:])], pa.array(range(at, at + part.num_rows), pa.int64())]
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                found = [describe(t.as_py(), k) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.binary()), pa.array([len(f[3]) // 4 for f in found], pa.int64())],
-                    ["doc_id", "row_key", "text_key", "fp", "windows", "shingles", "m"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), k).astype("<u4").tobytes() for t in part.column(1)], pa.binary())], ["node", "shingles"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    key = free_name(documents, "row_key")
-    keyed = documents.withColumn(key, F.xxhash64(*documents.columns))
     rows = written(
-        keyed.select("doc_id", F.col(key).alias("row_key"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(each, f"doc_id {kind}, row_key long, text_key long, fp long, windows array<long>, shingles binary, m long")
+        keyed.select("doc_id", F.col(key).alias("k1"), F.col(key2).alias("k2"), F.col("text").cast("binary").alias("text"))
+        .mapInArrow(each, f"doc_id {kind}, k1 long, k2 long, t1 long, t2 long, fp long, bands array<long>, sketch binary, m long, node long")
     )
-    texts = written(rows.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("windows").alias("windows"), F.first("m").alias("m"), F.min("row_key").alias("row_key")))
-    shingles = rows.select("text_key", "row_key", "shingles").join(texts.select("text_key", "row_key"), ["text_key", "row_key"], "left_semi")
-    classes = similar_texts(texts, shingles.select("text_key", "shingles"), similarity)
-    rooted = rows.select("doc_id", "row_key", "text_key").join(classes, F.col("text_key") == F.col("node"), "left")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
-    stay = rooted.groupBy(F.coalesce("root", "text_key").alias("class")).agg(best.alias("row_key")).select("row_key")
-    times = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("n"))
-    fate = written(times.join(stay.withColumn("stays", F.lit(True)), "row_key", "left").filter("stays IS NULL OR n > 1").select(F.col("row_key").alias("mine"), "stays"))
-    few = fate.count() <= MAX_BROADCAST_KEYS
-    some = lambda df: F.broadcast(df) if few else df
-    kept = keyed.join(some(fate.select("mine")), F.col(key) == F.col("mine"), "left_anti").select(*documents.columns)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best")
+    texts = written(rows.groupBy("t1", "t2").agg(F.min("node").alias("node"), best, *[F.first(c).alias(c) for c in ("fp", "bands", "sketch", "m")]))
+
+    def some(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        """(node, shingles), from the texts themselves: of few, so that no shingles need to be kept of all."""
+        need = written(nodes.join(texts.select("node", F.col("best.k1").alias("need1"), F.col("best.k2").alias("need2")), "node").withColumnRenamed("node", "need_node"))
+        found = keyed.select(F.col(key).alias("k1"), F.col(key2).alias("k2"), F.col("text").cast("binary").alias("text"))
+        found = found.join(some(need), (F.col("k1") == F.col("need1")) & (F.col("k2") == F.col("need2"))).select(F.col("need_node").alias("node"), "text")
+        return written(found.mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]))
+
+    classes = similar_texts(texts.select("node", "fp", "bands", "sketch", "m"), sets, similarity).withColumnRenamed("node", "mine")
+    rooted = texts.select("node", "best").join(classes, F.col("node") == F.col("mine"), "left")
+    stay = rooted.groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("best").alias("best")).select("best.k1", "best.k2", F.lit(True).alias("stays"))
+    times = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    fate = times.join(stay, ["k1", "k2"], "left").filter("stays IS NULL OR n > 1")
+    fate = written(fate.select(F.col("k1").alias("mine1"), F.col("k2").alias("mine2"), "stays"))
+    match = (F.col(key) == F.col("mine1")) & (F.col(key2) == F.col("mine2"))
+    kept = keyed.join(some(fate.drop("stays")), match, "left_anti").select(*documents.columns)
     again = fate.filter("stays")
     if again.isEmpty():
         return kept
     nth = free_name(keyed, "nth")  # rows that stay, but repeat: the first of each
-    once = keyed.join(some(again.select("mine")), F.col(key) == F.col("mine"), "left_semi")
-    once = once.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
+    once = keyed.join(some(again.drop("stays")), match, "left_semi")
+    once = once.withColumn(nth, F.row_number().over(Window.partitionBy(key, key2).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
     return kept.unionByName(once.select(*documents.columns))

@@ -77,48 +77,63 @@ def test_short_near_copies_are_all_found(spark):
     assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
 
 
-def described_texts(spark, same_fp=False):
-    """40 texts with two windows in common and no third, of which 2i and 2i + 1 are similar, as similar_texts takes them."""
+def test_recall_by_similarity(spark, monkeypatch):
+    """Of pairs in each band of similarity, as many are brought together as the bands of least hashes promise."""
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    docs, near = [], {}
+    for i in range(900):
+        base = [word() for _ in range(int(rng.integers(8, 260)))]
+        copy = list(base)
+        for _ in range(int(rng.integers(0, max(2, len(base) // 25)))):
+            copy[int(rng.integers(len(copy)))] = word()
+        copy += [word() for _ in range(int(rng.integers(0, 3)))]
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        near[i] = len(a & b) / len(a | b)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all({2 * i, 2 * i + 1} <= kept for i, s in near.items() if s < 0.8)
+    for low, high, least in ((0.8, 0.85, 0.99), (0.85, 0.9, 1.0), (0.9, 1.01, 1.0)):
+        some = [i for i, s in near.items() if low <= s < high]
+        assert len(some) >= 40
+        assert np.mean([2 * i in kept and 2 * i + 1 not in kept for i in some]) >= least
+
+
+@pytest.mark.parametrize("same_fp", [False, True])
+@pytest.mark.parametrize("group", [4000, 10])
+def test_groups_of_any_size_are_compared_in_full(spark, monkeypatch, same_fp, group):
+    """40 texts that share one band, or one fingerprint and no band, of which 2i and 2i + 1 alone are similar."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(6)
     texts, sets = [], []
     for i in range(40):
         own = rng.integers(0, 2**32, 100, dtype=np.uint64)
-        own = np.unique(own if i % 2 == 0 else np.concatenate([last[:95], own[:5]])).astype("<u4")
-        last = own
+        own = np.unique(own if i % 2 == 0 else np.concatenate([last[:95], own[:5]])).astype("<u4")  # noqa: F821
+        last = own  # noqa: F841
         fp = 77 if same_fp else int(rng.integers(1, 2**62))
-        windows = rng.integers(0, 2**62, 12).tolist() if same_fp else [1, 2] + rng.integers(3, 2**62, 10).tolist()
-        texts.append((i, fp, windows, len(own)))
-        sets.append((i, own.tobytes()))
-    described = spark.createDataFrame(texts, "text_key long, fp long, windows array<long>, m long")
-    return described, spark.createDataFrame(sets, "text_key long, shingles binary")
-
-
-def test_pairs_of_two_windows_in_a_large_group_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP", 10)
-    got = {(r.node, r.root) for r in simhash.similar_texts(*described_texts(spark)).collect()}
-    assert {(i + 1, i) for i in range(0, 40, 2)} <= got and all(n // 2 == r // 2 for n, r in got)
+        held = ([] if same_fp else [1]) + rng.integers(3, 2**62, 19).tolist()
+        texts.append((i, fp, held, bytearray(simhash.sketch(own.astype(np.uint32)).tobytes()), len(own)))
+        sets.append((i, bytearray(own.tobytes())))
+    table = spark.createDataFrame(sets, "node long, shingles binary")
+    found = simhash.similar_texts(spark.createDataFrame(texts, "node long, fp long, bands array<long>, sketch binary, m long"), lambda nodes: table.join(nodes, "node"))
+    assert {(r.node, r.root) for r in found.collect() if r.node != r.root} == {(i + 1, i) for i in range(0, 40, 2)}
 
 
 def test_no_task_gets_a_large_group_whole(spark, monkeypatch):
-    """Also where all texts have one fingerprint and no window in common, as a component of the trie's links has."""
     monkeypatch.setattr(simhash, "GROUP", 10)
-    got = {(r.node, r.root) for r in simhash.similar_texts(*described_texts(spark, same_fp=True)).collect()}
-    assert {(i + 1, i) for i in range(0, 40, 2)} <= got and all(n // 2 == r // 2 for n, r in got)
-    members = spark.createDataFrame([(1, i, 100) for i in range(200)] + [(2, i, 100) for i in range(200)] + [(3, i, 100) for i in range(5)], "group long, text_key long, m long")
-    sizes = simhash._sizes(members).cache()
-    assert sorted((r.n, r.blocks) for r in sizes.collect()) == [(5, 1), (200, 40)]
-    classes = spark.createDataFrame([(i, 0) for i in range(1, 150)], "node long, root long")
-    inside, across = simhash._inside(members, sizes), simhash._across(members, sizes, classes, 0.8)
-    for units in (inside, across):
-        assert units.groupBy("group").count().agg({"count": "max"}).first()[0] <= 20
-    together = defaultdict(set)
-    for r in across.collect():
-        together[r.group].add(r.text_key)
-    met = {(a, b) for g in together.values() for a in g for b in g if a < b}
+    rows = [(1, i, 100, 0 if i < 150 else i) for i in range(200)] + [(2, i, 100 + 40 * (i % 3), i) for i in range(60)] + [(3, i, 100, i) for i in range(5)]
+    units = simhash._units(spark.createDataFrame(rows, "group long, node long, m long, class long")).collect()
+    together = defaultdict(list)
+    for r in units:
+        together[r.unit].append(r)
+    assert max(map(len, together.values())) <= 20
+    met = set()
+    for g in together.values():
+        halves = {r.half for r in g}
+        met |= {(a.node, b.node) for a in g for b in g if a.node < b.node and (len(halves) == 1 or a.half != b.half)}
     assert met >= {(a, b) for a in range(200) for b in range(max(a + 1, 150), 200)}
-    monkeypatch.setattr(simhash, "GROUP", 1000)
-    monkeypatch.setattr(simhash, "GROUP_SHINGLES", 5000)
-    assert sorted((r.n, r.blocks) for r in simhash._sizes(members).collect()) == [(5, 1), (200, 8)]
+    assert met >= {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3}
 
 
 def test_odd_rows(documents, rows, nothing):
