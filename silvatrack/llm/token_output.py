@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +31,15 @@ END_ID = 2
 #: Bytes of ids after which a frame ends; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 18
 #: Bytes of text that are encoded at a time; a longer text is taken alone.
-STEP_BYTES = 2 << 20
-#: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each).
-CACHE = 300_000
+STEP_BYTES = 4 << 20
+#: Distinct pieces of text whose ids a Python worker remembers (about 60 bytes each), and half of which it keeps when they are more.
+CACHE = 400_000
+#: Bytes of ids, and documents, after which a task begins a new file; a file's index is held until it ends.
+FILE_BYTES, FILE_DOCS = 1 << 29, 4_000_000
+#: Characters of a text that part rows of one id among tasks.
+PREFIX = 64
+#: Words that the tokenizer gets as one text.
+JOINED = 1000
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u4")])
 SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
@@ -42,31 +49,67 @@ _CLASS = np.full(256, 3, dtype=np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[list(range(65, 91)) + list(range(97, 123))] = 1
 _CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = 2
+# Letters, ASCII's and Latin-1's: in any order they are one word.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
 class PieceEncoder:
     """Encodes texts with a tokenizer that splits its input at white space and between letters and punctuation before
     it merges: each distinct piece between such places is encoded once and remembered. Pieces keep apostrophes,
     digits and all that is not ASCII with their neighbours, since those can join across. Texts that hold a special
-    token are encoded whole."""
+    token are encoded whole.
+
+    Pieces of Latin letters alone are one word to the tokenizer, whose last id says that a word ends: many of these go to
+    it as one text. What is remembered is kept as arrays, and met by Arrow's dictionary encoding; of over limit pieces,
+    those that were met least lately go first, and those met once before others."""
 
     def __init__(self, path: str, limit: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit, self.known = limit, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._keep(pa.array([], pa.large_binary()), np.empty(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
+        self.step = 0
+
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray, met: np.ndarray, again: np.ndarray) -> None:
+        """Remembers pieces: their ids one after the other, how many each has, when it was met, and whether more than once."""
+        self.pieces, self.ids, self.sizes, self.met, self.again = pieces, ids, sizes, met, again
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has."""
+        plain = pc.match_substring_regex(pieces.cast(pa.large_string()), _PLAIN)
+        at, ids, sizes = plain.to_numpy(zero_copy_only=False), [], []
+        words = pieces.filter(plain).to_pylist()
+        for i in range(0, len(words), JOINED):
+            found = np.array(self._whole([b" ".join(words[i : i + JOINED]).decode()])[0], dtype="<u4")
+            ids.append(found)
+            sizes.append(np.diff(np.flatnonzero(self.ends[found]), prepend=-1))
+            if len(sizes[-1]) != len(words[i : i + JOINED]):
+                raise ValueError("the tokenizer does not end each word of letters with an id of its own")
+        others = pieces.filter(pc.invert(plain)).to_pylist()
+        for i in range(0, len(others), JOINED):
+            found = self._whole([p.decode() for p in others[i : i + JOINED]])
+            ids.append(np.array([x for f in found for x in f], dtype="<u4"))
+            sizes.append(np.array([len(f) for f in found], dtype=np.int64))
+        if not sizes:
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+        flat, held = np.concatenate(ids), np.concatenate(sizes)
+        order = np.argsort(np.concatenate([np.flatnonzero(at), np.flatnonzero(~at)]), kind="stable")
+        return _gather(flat, held, order), held[order]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         joined = b"".join(texts)
         if any(s in joined for s in self.special):
-            out = [self._whole([t.decode()])[0] if any(s in t for s in self.special) else self.encode([t])[0].tobytes() for t in texts]
-            return np.frombuffer(b"".join(out), dtype="<u4"), np.array([len(o) // 4 for o in out], dtype=np.int64)
+            out = [np.array(self._whole([t.decode()])[0], dtype="<u4") if any(s in t for s in self.special) else self.encode([t])[0] for t in texts]
+            return np.concatenate(out), np.array([len(o) for o in out], dtype=np.int64)
         data = np.frombuffer(joined, dtype=np.uint8)
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         if not len(data):
@@ -82,26 +125,35 @@ class PieceEncoder:
         begins &= solid
         at = np.flatnonzero(begins)
         bounds = np.append(np.flatnonzero(begins[solid]), np.count_nonzero(solid)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(data[solid])]).dictionary_encode()
-        which = pieces.indices.to_numpy(zero_copy_only=False)
-        distinct = pieces.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > self.limit:
-            self.known.clear()
-        new = [p for p in distinct if p not in self.known]
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            self.known.update(zip(part, self._whole([p.decode() for p in part])))
-        coded = [self.known[p] for p in distinct]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        flat = np.frombuffer(b"".join(coded), dtype="<u4")
-        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
-        first = np.cumsum(size) - size
-        sizes = size[which]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(first[which] - total[:-1], sizes) + np.arange(total[-1])]
-        bound = total[np.searchsorted(at, np.concatenate([[0], ends]))]
-        return ids, np.diff(bound)
+        here = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(data[solid])])
+        known = len(self.pieces)
+        found = pa.concat_arrays([self.pieces, here]).dictionary_encode()  # known pieces, being distinct, come first
+        which = found.indices.to_numpy(zero_copy_only=False)[known:]
+        new_ids, new_sizes = self._encode_pieces(found.dictionary.slice(known))
+        ids, sizes = np.concatenate([self.ids, new_ids]), np.concatenate([self.sizes, new_sizes])
+        out, each = _gather(ids, sizes, which), sizes[which]
+        self._remember(found.dictionary, ids, sizes, np.flatnonzero(np.bincount(which, minlength=len(sizes))))
+        total = np.concatenate([[0], np.cumsum(each)])
+        return out, np.diff(total[np.searchsorted(at, np.concatenate([[0], ends]))])
+
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> None:
+        known, self.step = len(self.pieces), self.step + 1
+        again = np.concatenate([self.again, np.zeros(len(pieces) - known, dtype=bool)])
+        again[used[used < known]] = True
+        met = np.concatenate([self.met, np.zeros(len(pieces) - known, dtype=np.int64)])
+        met[used] = self.step
+        if len(pieces) > self.limit:
+            stay = np.sort(np.lexsort((met, again))[len(pieces) - self.limit // 2 :])
+            ids = _gather(ids, sizes, stay)
+            pieces, sizes, met, again = pieces.take(pa.array(stay)), sizes[stay], met[stay], again[stay]
+        self._keep(pieces, ids, sizes, met, again)
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """flat has sizes[i] numbers for each i, in order: those of each of which, one after the other."""
+    first, held = np.cumsum(sizes) - sizes, sizes[which]
+    total = np.cumsum(held)
+    return flat[np.repeat(first[which] - (total - held), held) + np.arange(total[-1] if len(total) else 0)]
 
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
@@ -127,7 +179,9 @@ class TokenWriter:
         self.out, self.pack = out, zstandard.ZstdCompressor(level=level).compress
         self.open: list[bytes] = []
         self.open_bytes, self.tokens = 0, 0
-        self.entries: list[tuple] = []
+        self.entries: list[tuple] = []  # of the open frame
+        self.index: list[bytes] = []
+        self.docs = 0
         self.frames: list[tuple[int, int, int]] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -137,6 +191,7 @@ class TokenWriter:
         self.open.append(ids)
         self.open_bytes += len(ids)
         self.tokens += len(ids) // 4
+        self.docs += 1
 
     def _end_frame(self) -> None:
         import xxhash
@@ -145,12 +200,13 @@ class TokenWriter:
         packed = self.pack(data)
         self.frames.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
         self.out.write(packed)
-        self.open, self.open_bytes = [], 0
+        self.index.append(np.array(self.entries, dtype=ENTRY).tobytes())
+        self.open, self.open_bytes, self.entries = [], 0, []
 
     def close(self) -> None:
         if self.open:
             self._end_frame()
-        index = np.array(self.entries, dtype=ENTRY).tobytes()
+        index = b"".join(self.index)
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         table = np.array(self.frames, dtype=SEEK).tobytes() + struct.pack("<IBI", len(self.frames), 0x80, SEEK_END)
         self.out.write(struct.pack("<II", SEEK_MAGIC, len(table)) + table)
@@ -211,12 +267,13 @@ def write_tokens(documents: DataFrame, to: str | None = None, tokenizer: str | N
     in the shared folder): file_no (in order of doc_id), path, docs, tokens.
 
     A document's ids end with end_id; a null or empty text has that alone. Null ids come first; rows with the same id
-    are ordered by their text. A task that runs twice writes two files, of which the table names one.
+    are ordered by their text, and parted among tasks by its first characters. A task begins a new file when one has
+    grown to FILE_BYTES or FILE_DOCS. A task that runs twice writes its files twice, and the table names one of each.
     """
     spark = documents.sparkSession
     to = to or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ordered = ordered.repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.left("text", F.lit(PREFIX)).cast("binary").alias("begin"))
+    ordered = ordered.repartitionByRange(files or partitions(spark), "doc_id", "begin").drop("begin").sortWithinPartitions("doc_id", "text")
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,25 +282,35 @@ def write_tokens(documents: DataFrame, to: str | None = None, tokenizer: str | N
 
         no = TaskContext.get().partitionId()
         system, folder = fs.FileSystem.from_uri(to)
-        writer = None
+        writer, done = None, 0
+
+        def begin() -> tuple:
+            system.create_dir(folder, recursive=True)
+            path = f"{folder}/part-{no:06d}-{done:04d}-{uuid.uuid4().hex}.tok"
+            out = system.open_output_stream(path)
+            return TokenWriter(out), out, path
+
+        def end() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"file_no": [(no << 32) + done], "path": [path], "docs": [writer.docs], "tokens": [writer.tokens]})
+
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
             for step in _steps(x.as_py() for x in batch.column(1)):
                 if writer is None:
-                    system.create_dir(folder, recursive=True)
-                    path = f"{folder}/part-{no:06d}-{uuid.uuid4().hex}.tok"
-                    out = system.open_output_stream(path)
-                    writer = TokenWriter(out)
+                    writer, out, path = begin()
                 flat, sizes = encoder(tokenizer).encode(step)
-                raw, end = flat.tobytes(), np.cumsum(sizes) * 4
-                for i, e, n in zip(ids[at : at + len(step)], end.tolist(), (sizes * 4).tolist()):
+                raw, ends = flat.tobytes(), np.cumsum(sizes) * 4
+                for i, e, n in zip(ids[at : at + len(step)], ends.tolist(), (sizes * 4).tolist()):
                     writer.add(i, raw[e - n : e] + tail)
                 at += len(step)
+                if writer.tokens * 4 >= FILE_BYTES or writer.docs >= FILE_DOCS:
+                    yield end()
+                    writer, done = None, done + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file_no": [no], "path": [path], "docs": [len(writer.entries)], "tokens": [writer.tokens]})
+            yield end()
 
     return written(ordered.mapInArrow(put, "file_no long, path string, docs long, tokens long"))
 

@@ -66,3 +66,23 @@ def test_digest_matches_brute_force(documents, rows, tokenizer):
 
 def test_empty_table(nothing):
     assert out.token_digest(nothing).collect() == []
+
+
+def test_random_pieces_encode_as_the_tokenizer_does(tokenizer):
+    rng = np.random.default_rng(3)
+    letters = list("abcXYZßÀéöøÿ×÷'’.,!0189٣ \n-İıſẞΣ́あ") + ["the", "ing", "’s", "'LL"]
+    encode = out.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), 500).encode
+    for _ in range(30):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(100)]
+        flat, sizes = encode([t.encode() for t in texts])
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w]
+
+
+def test_files_are_ended_at_a_size(documents, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(out, "FILE_DOCS", 2)
+    monkeypatch.setattr(out, "STEP_BYTES", 100)
+    whole = out.read_tokens(out.write_tokens(documents, f"{tmp_path}/one", files=2), f"{tmp_path}/one").collect()
+    table = out.write_tokens(documents, f"{tmp_path}/two", files=1)
+    assert table.agg({"docs": "sum"}).first()[0] == len(rows)
+    assert sorted(map(str, whole)) == sorted(map(str, out.read_tokens(table, f"{tmp_path}/two").collect()))
