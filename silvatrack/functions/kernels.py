@@ -9,14 +9,15 @@ import numpy as np
 from .model import FLOOR, Tree, log
 
 MAX_JOINT = 4096
+#: Transitions whose tables are held at a time: longer chunks take no more of these.
+BLOCK = 1024
 
 
 def emission(x: np.ndarray, avail: np.ndarray, params: dict) -> np.ndarray:
     """Log-likelihood (species, bins, states) of what is available."""
     if "means" in params:
         m, v = params["means"], np.maximum(params["variances"], FLOOR)
-        each = -0.5 * (np.log(2 * np.pi * v) + (x[:, :, None, :] - m) ** 2 / v)
-        total = (each * avail[:, None, None, :]).sum(axis=3)
+        total = np.stack([-0.5 * ((np.log(2 * np.pi * v[k]) + (x - m[k]) ** 2 / v[k]) * avail[:, None, :]).sum(axis=2) for k in range(len(m))], axis=2)
         return np.where(np.isfinite(total) & (total != 0), total, -100.0)
     on, off = log(params["emit"]), log(1 - params["emit"])
     base = np.einsum("il,kl->ik", avail, off)
@@ -28,42 +29,80 @@ def theta_of(params: dict, tree: Tree, i: int) -> np.ndarray:
     return theta if theta.ndim == 3 else theta[tree.branch()[i]]
 
 
-def chain(start: np.ndarray, steps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sum-product along a chain with log potentials: start (K), steps (T - 1, K, K) and nodes (T, K). Returns marginals,
-    pair marginals and the log of the sum over all paths."""
-    n = nodes.shape[0]
-    shift = nodes.max(axis=1, keepdims=True)
-    node = np.exp(nodes - shift)
-    top = steps.max(axis=(1, 2), keepdims=True) if n > 1 else np.zeros((0, 1, 1))
-    step = np.exp(steps - top)
-    forward, backward, scale = np.empty_like(node), np.ones_like(node), np.empty(n)
-    first = start.max()
-    forward[0] = np.exp(start - first) * node[0]
-    scale[0] = forward[0].sum()
-    forward[0] /= scale[0]
-    for t in range(1, n):
-        f = (forward[t - 1] @ step[t - 1]) * node[t]
-        scale[t] = f.sum()
-        forward[t] = f / scale[t]
-    for t in range(n - 2, -1, -1):
-        backward[t] = step[t] @ (node[t + 1] * backward[t + 1]) / scale[t + 1]
-    q = forward * backward
-    q /= q.sum(axis=1, keepdims=True)
-    pairs = forward[:-1, :, None] * step * (node[1:] * backward[1:])[:, None, :]
-    pairs /= np.maximum(pairs.sum(axis=(1, 2), keepdims=True), FLOOR)
-    return q, pairs, float(np.log(scale).sum() + shift.sum() + top.sum() + first)
-
-
-def best_path(start: np.ndarray, steps: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Max-product along a chain: the likeliest states, the lowest among equals."""
-    score, back = start + nodes[0], []
+class Chain:
+    """Sum-product along a chain with log potentials: start (K), steps and nodes (T, K). steps is one table (K, K) for all
+    transitions, or a function of lo and hi that gives those of transitions lo to hi - 1, (hi - lo, K, K), and always the
+    same. q has the marginals, value the log of the sum over all paths; pair marginals are made when asked for, so that
+    what is held grows with T * K alone."""
+
+    def __init__(self, start: np.ndarray, steps, nodes: np.ndarray):
+        self.n, shift = len(nodes), nodes.max(axis=1, keepdims=True)
+        node = np.exp(nodes - shift)
+        self.steps = steps
+        if not callable(steps):
+            self.top = float(steps.max())
+            self.step = np.exp(steps - self.top)[None]
+        self.forward, weighted, scale = np.empty_like(node), np.zeros_like(node), np.empty(self.n)
+        first, tops = start.max(), 0.0
+        f = np.exp(start - first) * node[0]
+        scale[0] = f.sum()
+        self.forward[0] = f / scale[0]
+        for lo, hi in self.blocks():
+            step, top = self._tables(lo, hi)
+            tops += top
+            for t in range(lo, hi):
+                f = (self.forward[t] @ step[(t - lo) % len(step)]) * node[t + 1]
+                scale[t + 1] = f.sum()
+                self.forward[t + 1] = f / scale[t + 1]
+        backward = np.ones_like(node)
+        for lo, hi in reversed(self.blocks()):
+            step, _ = self._tables(lo, hi)
+            for t in range(hi - 1, lo - 1, -1):
+                weighted[t + 1] = node[t + 1] * backward[t + 1] / scale[t + 1]
+                backward[t] = step[(t - lo) % len(step)] @ weighted[t + 1]
+        self.weighted = weighted
+        self.q = self.forward * backward
+        self.q /= self.q.sum(axis=1, keepdims=True)
+        self.value = float(np.log(scale).sum() + shift.sum() + tops + first)
+
+    def blocks(self) -> list[tuple[int, int]]:
+        return blocks(self.n)
+
+    def _tables(self, lo: int, hi: int) -> tuple[np.ndarray, float]:
+        """Potentials of transitions lo to hi - 1 (one table if all are the same), and the sum of the logs they were divided by."""
+        if not callable(self.steps):
+            return self.step, self.top * (hi - lo)
+        steps = self.steps(lo, hi)
+        top = steps.max(axis=(1, 2), keepdims=True)
+        return np.exp(steps - top), float(top.sum())
+
+    def pairs(self, lo: int, hi: int) -> np.ndarray:
+        """Pair marginals of transitions lo to hi - 1."""
+        out = self.forward[lo:hi, :, None] * self._tables(lo, hi)[0] * self.weighted[lo + 1 : hi + 1, None, :]
+        return out / np.maximum(out.sum(axis=(1, 2), keepdims=True), FLOOR)
+
+    def pair_sum(self) -> np.ndarray:
+        """The sum of all pair marginals; with one table, from sums over bins alone."""
+        if not callable(self.steps):
+            return self.step[0] * (self.forward[:-1].T @ self.weighted[1:])
+        return sum((self.pairs(lo, hi).sum(axis=0) for lo, hi in self.blocks()), np.zeros((self.q.shape[1],) * 2))
+
+
+def blocks(n: int) -> list[tuple[int, int]]:
+    """The transitions of n bins, in blocks."""
+    return [(lo, min(lo + BLOCK, n - 1)) for lo in range(0, n - 1, BLOCK)]
+
+
+def best_path(start: np.ndarray, step: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Max-product along a chain with one table (K, K) for all transitions: the likeliest states, the lowest among equals."""
+    score, back = start + nodes[0], np.empty(nodes.shape, dtype=np.int16 if len(start) < 2**15 else np.int32)
     for t in range(1, len(nodes)):
-        both = score[:, None] + steps[t - 1]
-        back.append(both.argmax(axis=0))
+        both = score[:, None] + step
+        back[t] = both.argmax(axis=0)
         score = both.max(axis=0) + nodes[t]
     path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
+    for t in range(len(nodes) - 1, 0, -1):
+        path.append(int(back[t][path[-1]]))
     return np.array(path[::-1])
 
 
@@ -74,26 +113,31 @@ def empty_stats(params: dict) -> dict[str, np.ndarray]:
     return out | {"emit_x2": np.zeros_like(marks)} if "means" in params else out
 
 
-def emission_stats(stats: dict, q: np.ndarray, x: np.ndarray, avail: np.ndarray) -> None:
-    stats["emit"] += np.einsum("itk,itl,il->kl", q, x.astype(float), avail)
+def emission_stats(stats: dict, q: np.ndarray, x: np.ndarray, avail: np.ndarray, params: dict) -> None:
+    """Adds the emissions; of Gaussians, moments around the present means, which keep their digits wherever the signal lies."""
     stats["emit_sum"] += np.einsum("itk,il->kl", q, avail)
-    if "emit_x2" in stats:
-        stats["emit_x2"] += np.einsum("itk,itl,il->kl", q, x.astype(float) ** 2, avail)
+    if "emit_x2" not in stats:
+        stats["emit"] += np.einsum("itk,itl,il->kl", q, x.astype(float), avail)
+        return
+    for k, m in enumerate(params["means"]):
+        away = (x - m) * avail[:, None, :]
+        stats["emit"][k] += np.einsum("it,itl->l", q[:, :, k], away)
+        stats["emit_x2"][k] += np.einsum("it,itl->l", q[:, :, k], away * away)
 
 
-def tree_stats(stats: dict, q: np.ndarray, pairs: list[np.ndarray], tree: Tree) -> None:
-    """Adds the transitions; pairs[i] (bins - 1, h, k) are the joint posteriors of neighbouring bins."""
+def tree_stats(stats: dict, q: np.ndarray, pairs: list, tree: Tree) -> None:
+    """Adds the transitions; pairs[i](lo, hi), (hi - lo, h, k), are the joint posteriors of neighbouring bins."""
     for i, p in enumerate(tree.parent):
         if p is None:
             stats["gamma"] += q[i, 0]
-            stats["alpha"] += pairs[i].sum(axis=0)
         else:
             stats["beta"] += np.outer(q[p, 0], q[i, 0])
-            t = np.einsum("tv,thk->vhk", q[p, 1:], pairs[i])
-            if stats["theta"].ndim == 3:
-                stats["theta"] += t
+        for lo, hi in blocks(q.shape[1]):
+            if p is None:
+                stats["alpha"] += pairs[i](lo, hi).sum(axis=0)
             else:
-                stats["theta"][tree.branch()[i]] += t
+                theta = stats["theta"] if stats["theta"].ndim == 3 else stats["theta"][tree.branch()[i]]
+                theta += np.einsum("tv,thk->vhk", q[p, lo + 1 : hi + 1], pairs[i](lo, hi))
 
 
 def random_q(shape: tuple[int, int, int], seed: int) -> np.ndarray:
@@ -101,19 +145,21 @@ def random_q(shape: tuple[int, int, int], seed: int) -> np.ndarray:
     return q / q.sum(axis=2, keepdims=True)
 
 
-def _expected(params: dict, tree: Tree, q: np.ndarray, pairs: list[np.ndarray]) -> float:
+def _expected(params: dict, tree: Tree, q: np.ndarray, pairs: list) -> float:
     """Expected log of all transitions."""
     total = 0.0
     for i, p in enumerate(tree.parent):
-        if p is None:
-            total += q[i, 0] @ log(params["gamma"]) + (pairs[i].sum(axis=0) * log(params["alpha"])).sum()
-        else:
-            total += q[p, 0] @ log(params["beta"]) @ q[i, 0] + np.einsum("tv,thk,vhk->", q[p, 1:], pairs[i], log(theta_of(params, tree, i)))
+        total += q[i, 0] @ log(params["gamma"]) if p is None else q[p, 0] @ log(params["beta"]) @ q[i, 0]
+        for lo, hi in blocks(q.shape[1]):
+            if p is None:
+                total += (pairs[i](lo, hi).sum(axis=0) * log(params["alpha"])).sum()
+            else:
+                total += np.einsum("tv,thk,vhk->", q[p, lo + 1 : hi + 1], pairs[i](lo, hi), log(theta_of(params, tree, i)), optimize=True)
     return float(total)
 
 
-def _product(q: np.ndarray) -> list[np.ndarray]:
-    return [a[:-1, :, None] * a[1:, None, :] for a in q]
+def _product(q: np.ndarray) -> list:
+    return [lambda lo, hi, a=a: a[lo:hi, :, None] * a[lo + 1 : hi + 1, None, :] for a in q]
 
 
 def _iterate(update, energy, most: int, epsilon: float) -> tuple[float, list[float]]:
@@ -127,29 +173,34 @@ def _iterate(update, energy, most: int, epsilon: float) -> tuple[float, list[flo
 
 
 def mean_field(x, avail, params, tree: Tree, most: int = 10, epsilon: float = 1e-3, seed: int = 0):
-    """Every bin of every species on its own, updated in place by species and then bin."""
+    """Every bin of every species on its own, updated in place by species: all even bins at once, which do not depend on each
+    other, then all odd ones."""
     o = emission(x, avail, params)
     q = random_q(o.shape, seed)
     alpha, beta, gamma = (log(params[n]) for n in ("alpha", "beta", "gamma"))
     n = o.shape[1]
+    thetas = [None if p is None else log(theta_of(params, tree, i)) for i, p in enumerate(tree.parent)]
 
     def update() -> None:
         for i, p in enumerate(tree.parent):
-            th = None if p is None else log(theta_of(params, tree, i))
-            for t in range(n):
-                z = o[i, t].copy()
+            for parity in range(min(2, n)):
+                ts = np.arange(parity, n, 2)
+                later, sooner = ts > 0, ts + 1 < n
+                t, s = ts[later], ts[sooner] + 1
+                z = o[i, ts].copy()
                 if p is None:
-                    z += gamma if t == 0 else q[i, t - 1] @ alpha
-                    if t + 1 < n:
-                        z += alpha @ q[i, t + 1]
+                    z[~later] += gamma
+                    z[later] += q[i, t - 1] @ alpha
+                    z[sooner] += q[i, s] @ alpha.T
                 else:
-                    z += q[p, t] @ beta if t == 0 else np.einsum("v,h,vhk->k", q[p, t], q[i, t - 1], th)
-                    if t + 1 < n:
-                        z += np.einsum("v,c,vkc->k", q[p, t + 1], q[i, t + 1], th)
+                    z[~later] += q[p, 0] @ beta
+                    z[later] += np.einsum("tv,th,vhk->tk", q[p, t], q[i, t - 1], thetas[i], optimize=True)
+                    z[sooner] += np.einsum("tv,tc,vkc->tk", q[p, s], q[i, s], thetas[i], optimize=True)
                 for c in tree.children[i]:
-                    z += beta @ q[c, 0] if t == 0 else np.einsum("h,v,khv->k", q[c, t - 1], q[c, t], log(theta_of(params, tree, c)))
-                e = np.exp(z - z.max())
-                q[i, t] = e / e.sum()
+                    z[~later] += beta @ q[c, 0]
+                    z[later] += np.einsum("th,tv,khv->tk", q[c, t - 1], q[c, t], thetas[c], optimize=True)
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                q[i, ts] = e / e.sum(axis=1, keepdims=True)
 
     def energy() -> float:
         return float((q * log(q)).sum() - (q * o).sum() - _expected(params, tree, q, _product(q)))
@@ -157,7 +208,7 @@ def mean_field(x, avail, params, tree: Tree, most: int = 10, epsilon: float = 1e
     value, path = _iterate(update, energy, most, epsilon)
     stats = empty_stats(params)
     tree_stats(stats, q, _product(q), tree)
-    emission_stats(stats, q, x, avail)
+    emission_stats(stats, q, x, avail, params)
     return q, stats, value, path
 
 
@@ -165,34 +216,44 @@ def product_of_chains(x, avail, params, tree: Tree, most: int = 10, epsilon: flo
     """Each species' chain exact, given its parent's and children's posteriors."""
     o = emission(x, avail, params)
     species, n, k = o.shape
-    q, pairs, ent = np.empty_like(o), [np.empty(0)] * species, np.zeros(species)
+    q, chains = np.empty_like(o), [None] * species
+    thetas = [None if p is None else log(theta_of(params, tree, i)) for i, p in enumerate(tree.parent)]
+
+    def put(i: int, start: np.ndarray, steps, nodes: np.ndarray) -> None:
+        chains[i] = Chain(start, steps, nodes)
+        q[i] = chains[i].q
+
     for i, p in enumerate(tree.parent):  # start without neighbours: theta averaged over the parent's states
         step = params["alpha"] if p is None else theta_of(params, tree, i).mean(axis=0)
-        first = params["gamma"] if p is None else params["beta"].mean(axis=0)
-        q[i], pairs[i], _ = chain(log(first), np.repeat(log(step)[None], n - 1, axis=0), o[i])
+        put(i, log(params["gamma"] if p is None else params["beta"].mean(axis=0)), log(step), o[i])
 
     def update() -> None:
         for i, p in enumerate(tree.parent):
             nodes = o[i].copy()
             for c in tree.children[i]:
                 nodes[0] += log(params["beta"]) @ q[c, 0]
-                nodes[1:] += np.einsum("thv,khv->tk", pairs[c], log(theta_of(params, tree, c)))
+                for lo, hi in blocks(n):
+                    nodes[lo + 1 : hi + 1] += np.einsum("thv,khv->tk", chains[c].pairs(lo, hi), thetas[c], optimize=True)
             if p is None:
-                start, steps = log(params["gamma"]), np.repeat(log(params["alpha"])[None], n - 1, axis=0)
+                put(i, log(params["gamma"]), log(params["alpha"]), nodes)
             else:
-                start, steps = q[p, 0] @ log(params["beta"]), np.einsum("tv,vhk->thk", q[p, 1:], log(theta_of(params, tree, i)))
-            q[i], pairs[i], _ = chain(start, steps, nodes)
+                above = q[p].copy()  # a chain's tables stay as they were when it was made
+                steps = lambda lo, hi, above=above, th=thetas[i]: np.einsum("tv,vhk->thk", above[lo + 1 : hi + 1], th, optimize=True)
+                put(i, q[p, 0] @ log(params["beta"]), steps, nodes)
 
     def energy() -> float:
-        for i in range(species):
-            cond = pairs[i] / np.maximum(q[i, :-1, :, None], FLOOR)
-            ent[i] = (q[i, 0] * log(q[i, 0])).sum() + (pairs[i] * log(cond)).sum()
-        return float(ent.sum() - (q * o).sum() - _expected(params, tree, q, pairs))
+        ent = 0.0
+        for a, c in zip(q, chains):
+            ent += (a[0] * log(a[0])).sum()
+            for lo, hi in blocks(n):
+                pair = c.pairs(lo, hi)
+                ent += (pair * log(pair / np.maximum(a[lo:hi, :, None], FLOOR))).sum()
+        return float(ent - (q * o).sum() - _expected(params, tree, q, [c.pairs for c in chains]))
 
     value, path = _iterate(update, energy, most, epsilon)
     stats = empty_stats(params)
-    tree_stats(stats, q, pairs, tree)
-    emission_stats(stats, q, x, avail)
+    tree_stats(stats, q, [c.pairs for c in chains], tree)
+    emission_stats(stats, q, x, avail, params)
     return q, stats, value, path
 
 
@@ -200,13 +261,13 @@ def independent(x, avail, params, tree: Tree, **_):
     """Every species a chain of its own, with gamma and alpha alone."""
     o = emission(x, avail, params)
     q, stats, total = np.empty_like(o), empty_stats(params), 0.0
-    steps = np.repeat(log(params["alpha"])[None], o.shape[1] - 1, axis=0)
     for i in range(len(o)):
-        q[i], pairs, value = chain(log(params["gamma"]), steps, o[i])
+        c = Chain(log(params["gamma"]), log(params["alpha"]), o[i])
+        q[i] = c.q
         stats["gamma"] += q[i, 0]
-        stats["alpha"] += pairs.sum(axis=0)
-        total += value
-    emission_stats(stats, q, x, avail)
+        stats["alpha"] += c.pair_sum()
+        total += c.value
+    emission_stats(stats, q, x, avail, params)
     return q, stats, -total, [-total]
 
 
@@ -236,10 +297,11 @@ def clique(x, avail, params, tree: Tree, **_):
     o = emission(x, avail, params)
     species, n, k = o.shape
     start, steps, z = joint_tables(params, tree, species)
-    joint, pairs, value = chain(start, np.repeat(steps[None], n - 1, axis=0), _joint_nodes(o, z))
+    c = Chain(start, steps, _joint_nodes(o, z))
+    joint, value = c.q, c.value
     cells = joint.reshape((n,) + (k,) * species)
     q = np.stack([cells.sum(axis=tuple(a + 1 for a in range(species) if a != i)) for i in range(species)])
-    stats, both = empty_stats(params), pairs.sum(axis=0)
+    stats, both = empty_stats(params), c.pair_sum()
     for i, p in enumerate(tree.parent):
         if p is None:
             stats["gamma"] += q[i, 0]
@@ -248,19 +310,17 @@ def clique(x, avail, params, tree: Tree, **_):
             np.add.at(stats["beta"], (z[:, p], z[:, i]), joint[0])
             theta = stats["theta"] if stats["theta"].ndim == 3 else stats["theta"][tree.branch()[i]]
             np.add.at(theta, (np.broadcast_to(z[:, p][None, :], both.shape), np.broadcast_to(z[:, i][:, None], both.shape), np.broadcast_to(z[:, i][None, :], both.shape)), both)
-    emission_stats(stats, q, x, avail)
+    emission_stats(stats, q, x, avail, params)
     return q, stats, -value, [-value]
 
 
 def viterbi(x, avail, params, tree: Tree, joint: bool = True) -> np.ndarray:
     """The likeliest states (species, bins): of all species together, or of each one's own chain."""
     o = emission(x, avail, params)
-    n = o.shape[1]
     if not joint:
-        steps = np.repeat(log(params["alpha"])[None], n - 1, axis=0)
-        return np.stack([best_path(log(params["gamma"]), steps, a) for a in o])
+        return np.stack([best_path(log(params["gamma"]), log(params["alpha"]), a) for a in o])
     start, steps, z = joint_tables(params, tree, len(o))
-    return z[best_path(start, np.repeat(steps[None], n - 1, axis=0), _joint_nodes(o, z))].T
+    return z[best_path(start, steps, _joint_nodes(o, z))].T
 
 
 def loopy(x, avail, params, tree: Tree, most: int = 60, tolerance: float = 1e-2, **_):
@@ -317,7 +377,7 @@ def loopy(x, avail, params, tree: Tree, most: int = 60, tolerance: float = 1e-2,
         if change < tolerance:
             break
     q = np.stack([incoming(i) for i in range(species)])
-    stats, value, pairs = empty_stats(params), -float((q * o).sum()), []
+    stats, value = empty_stats(params), -float((q * o).sum())
     for i, p in enumerate(tree.parent):
         degree = 1 + len(tree.children[i]) + (np.arange(n) < n - 1)  # tables that a node is in
         value -= float(((degree - 1)[:, None] * q[i] * log(q[i])).sum())
@@ -330,9 +390,7 @@ def loopy(x, avail, params, tree: Tree, most: int = 60, tolerance: float = 1e-2,
                 name, part = ("beta", belief.sum(axis=(0, 2))) if table is tables[i][0] else ("theta", belief.sum(axis=0))
             target = stats[name] if name != "theta" or stats[name].ndim == 3 else stats[name][tree.branch()[i]]
             target += part
-            if table is not tables[i][0]:
-                pairs.append(belief.sum(axis=1))
-    emission_stats(stats, q, x, avail)
+    emission_stats(stats, q, x, avail, params)
     return q, stats, value, [value, mean_field_energy(o, q, params, tree)]
 
 

@@ -41,7 +41,9 @@ class Tree:
 
 
 def row_normalize(a: np.ndarray) -> np.ndarray:
-    return a / a.sum(axis=-1, keepdims=True)
+    """Rows, along the last index, that sum to 1; a row of zeros becomes uniform."""
+    total = a.sum(axis=-1, keepdims=True)
+    return np.where(total > 0, a, 1.0) / np.where(total > 0, total, a.shape[-1])
 
 
 def random_params(k: int, marks: int, seed: int, branches: int | None = None, means: bool = False) -> dict[str, np.ndarray]:
@@ -54,11 +56,12 @@ def random_params(k: int, marks: int, seed: int, branches: int | None = None, me
     return out | {"emit": 0.1 + 0.8 * rng.random((k, marks))}
 
 
-def normalize_stats(stats: dict[str, np.ndarray], pseudocount: float = 1e-6) -> dict[str, np.ndarray]:
-    """The M-step: tables from summed statistics, the pseudocount added once."""
+def normalize_stats(stats: dict[str, np.ndarray], pseudocount: float = 1e-6, params: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """The M-step: tables from summed statistics, the pseudocount added once. Of Gaussians, params has the means that the
+    statistics are taken around."""
     out = {n: row_normalize(stats[n] + pseudocount) for n in ("gamma", "alpha", "beta", "theta")}
     if "emit_x2" in stats:
-        weight = stats["emit_sum"] + pseudocount
-        means = stats["emit"] / weight
-        return out | {"means": means, "variances": np.maximum((stats["emit_x2"] / weight) - means**2, 0) + pseudocount + 1e-3}
+        weight = np.maximum(stats["emit_sum"] + pseudocount, FLOOR)
+        away = stats["emit"] / weight
+        return out | {"means": params["means"] + away, "variances": np.maximum(stats["emit_x2"] / weight - away**2, 0) + pseudocount + 1e-3}
     return out | {"emit": np.clip((stats["emit"] + pseudocount) / (stats["emit_sum"] + 2 * pseudocount), 1e-9, 1 - 1e-9)}

@@ -3,6 +3,7 @@ task adds up its chunks' statistics, and one small sum."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,27 +15,40 @@ from ..functions import kernels
 from ..functions.model import Tree, normalize_stats, random_params
 
 
-def pack(cut_calls: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(chunk_id, chrom, start, n, cells array of (t, i, l)): a row for each chunk, also those without calls."""
-    cells = cut_calls.groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), F.col("i").cast("int").alias("i"), F.col("l").cast("int").alias("l"))).alias("cells"))
-    return chunks.select("chunk_id", "chrom", "start", (F.col("end") - F.col("start")).cast("int").alias("n")).join(cells, "chunk_id", "left")
+#: Bins that a task handles, about, where there are partitions enough.
+TASK_BINS = 20_000
+
 
+def pack(cut_calls: DataFrame, chunks: DataFrame, value: str | None = None) -> DataFrame:
+    """(chunk_id, chrom, start, n, t, i, l), the last three arrays with an entry for each call: a row for each chunk, also those
+    without calls. With value, the name of a column, there is an array value too; what has no row has 0."""
+    names = ["t", "i", "l"] + (["value"] if value else [])
+    fields = [F.col(value if n == "value" else n).cast("double" if n == "value" else "int").alias(n) for n in names]
+    cells = cut_calls.groupBy("chunk_id").agg(F.collect_list(F.struct(*fields)).alias("c")).select("chunk_id", *[F.col(f"c.{n}").alias(n) for n in names])
+    return chunks.select("chunk_id", "chrom", "start", (F.col("end") - F.col("start")).cast("int").alias("n")).join(cells, "chunk_id", "left")
 
-def balanced(packed: DataFrame, tasks: int) -> DataFrame:
-    """packed, dealt to tasks of near equal bins: chunks in order of size go back and forth over the tasks."""
-    from pyspark.sql.window import Window
 
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "chunk_id")) - 1  # of chunks' numbers and sizes alone
-    turn, place = F.floor(rank / tasks), rank % tasks
-    deal = packed.select("chunk_id", "n").select("chunk_id", F.when(turn % 2 == 0, place).otherwise(tasks - 1 - place).cast("int").alias("task"))
-    return packed.join(deal, "chunk_id").repartitionById(tasks, "task").drop("task")
+def balanced(packed: DataFrame, tasks: int | None = None) -> DataFrame:
+    """packed, dealt to tasks: chunks of each class of size (by powers of two) by a hash, so that tasks get about as many of each.
+    Without a number, there is a task for each TASK_BINS bins, at least as many as the session's parallelism where there are
+    chunks enough, and at most as many as its shuffle partitions."""
+    if tasks is None:
+        spark = packed.sparkSession
+        chunks, bins = packed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        least = min(chunks, spark.sparkContext.defaultParallelism)
+        tasks = max(1, least, min(chunks, math.ceil(bins / TASK_BINS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = F.floor(F.log2(F.greatest("n", F.lit(1))))
+    return packed.repartitionById(tasks, F.pmod(F.xxhash64("chunk_id") + size, F.lit(tasks)).cast("int"))
 
 
 def _chunk(row, shape: tuple[int, int]) -> np.ndarray:
-    x = np.zeros((shape[0], int(row.n), shape[1]), dtype=np.int8)
-    for c in row.cells if row.cells is not None else ():
-        if c["i"] < shape[0] and c["l"] < shape[1]:
-            x[c["i"], c["t"], c["l"]] = 1
+    """Observations (species, bins, marks): presence, or values."""
+    values = getattr(row, "value", None)
+    x = np.zeros((shape[0], int(row.n), shape[1]), dtype=float if hasattr(row, "value") else np.int8)
+    if row.t is not None:
+        t, i, l = (np.asarray(c, dtype=np.int64) for c in (row.t, row.i, row.l))
+        inside = (i < shape[0]) & (l < shape[1])
+        x[i[inside], t[inside], l[inside]] = 1 if values is None else np.asarray(values)[inside]
     return x
 
 
@@ -98,11 +112,12 @@ def objectives(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np
 
 def fit(
     packed: DataFrame, mode: str, tree: Tree, avail: np.ndarray, k: int, iterations: int = 50, epsilon: float = 1e-4, most: int = 10,
-    epsilon_e: float = 1e-3, pseudocount: float = 1e-6, seed: int = 0, separate_theta: bool = False, start: dict | None = None, on_step=None,
+    epsilon_e: float = 1e-3, pseudocount: float = 1e-6, seed: int = 0, separate_theta: bool = False, start: dict | None = None, on_step=None, gaussian: bool = False,
 ) -> tuple[dict[str, np.ndarray], list[float]]:
     """Parameters and the objective of each iteration. packed should be persisted. It stops when the objective's relative change
-    is under epsilon. start takes up parameters of an earlier run; on_step(iteration, parameters, objective) is called for each."""
-    params = start or random_params(k, avail.shape[1], seed, len(tree.branch()) if separate_theta else None)
+    is under epsilon. start takes up parameters of an earlier run; on_step(iteration, parameters, objective) is called for each.
+    gaussian: packed has values, and states have means and variances in place of presence."""
+    params = start or random_params(k, avail.shape[1], seed, len(tree.branch()) if separate_theta else None, gaussian)
     how = {"most": most} | ({} if mode == "loopy" else {"epsilon": epsilon_e})
     path: list[float] = []
     for n in range(iterations):
@@ -110,7 +125,7 @@ def fit(
         path.append(value)
         if on_step:
             on_step(n, params, value)
-        params = normalize_stats(stats, pseudocount)
+        params = normalize_stats(stats, pseudocount, params)
         if n and abs(path[-2] - path[-1]) <= epsilon * abs(path[-2]):
             break
     return params, path

@@ -1,4 +1,5 @@
-"""Reads, dimensions, parameters and posteriors derived from the given tables, on which the queries run.
+"""Reads, dimensions, parameters and posteriors derived from the given tables, on which the queries run. What several steps
+need (pooled counts, thresholds, calls, chunks) is worked out once and kept as a table in the session's shared folder.
 
 Line items stand for reads: the supplier's region is the species, return flag and line status the mark, the ship date the
 place. Expressions are the same in the SQL that the queries are held against.
@@ -6,6 +7,7 @@ place. Expressions are the same in the SQL that the queries are held against.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.model import Tree, row_normalize
-from ..operators import convert, segment
+from ..operators import convert, features, segment
 
 WINDOW, LEVEL, KERNEL, MIN_READS, MIN_SIZE, K, SPECIES, MARKS = 2000, 0.1, 5, 4.5, 5, 3, 5, 6
 SIZES = [("chr1", 500000), ("chr2", 499000), ("chr3", 497500), ("chrX", 500000)]
@@ -41,6 +43,24 @@ def params(k: int = K, marks: int = MARKS) -> dict[str, np.ndarray]:
     }
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the session keeps shared files: spark.checkpoint.dir. Where it is unset, the warehouse of a session on
+    one machine serves; on a cluster it must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read from a table from then on."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Data:
     """The steps from the tables of a folder, each built when asked for."""
@@ -80,21 +100,29 @@ class Data:
     def counts(self) -> DataFrame:
         return convert.pool(self.binned)
 
+    @cached_property
+    def kept_counts(self) -> DataFrame:
+        return kept(self.counts, "counts")
+
     @cached_property
     def rates(self) -> DataFrame:
-        return convert.rates(self.counts, self.sizes)
+        return convert.rates(self.kept_counts, self.sizes)
 
     @cached_property
     def least(self) -> DataFrame:
-        return convert.thresholds(self.rates, LEVEL)
+        return kept(convert.thresholds(self.rates, LEVEL), "thresholds")
 
     @cached_property
     def calls(self) -> DataFrame:
-        return convert.call(self.counts, self.least, self.sizes)
+        return convert.call(self.kept_counts, self.least, self.sizes)
+
+    @cached_property
+    def kept_calls(self) -> DataFrame:
+        return kept(self.calls, "calls")
 
     def _dim(self, name: str, number: str) -> DataFrame:
         order = Window.orderBy(name)  # a row for each name
-        return self.reads.select(name).distinct().select(name, (F.row_number().over(order) - 1).cast("int").alias(number))
+        return self.least.select(name).distinct().select(name, (F.row_number().over(order) - 1).cast("int").alias(number))
 
     @cached_property
     def species_dim(self) -> DataFrame:
@@ -106,15 +134,15 @@ class Data:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return convert.index_calls(self.calls, self.species_dim, self.mark_dim)
+        return convert.index_calls(self.kept_calls, self.species_dim, self.mark_dim)
 
     @cached_property
     def avail(self) -> DataFrame:
-        return convert.availability(self.counts, self.species_dim, self.mark_dim)
+        return convert.availability(self.least, self.species_dim, self.mark_dim)
 
     @cached_property
     def density(self) -> DataFrame:
-        return segment.density(self.calls)
+        return segment.density(self.kept_calls)
 
     @cached_property
     def smooth(self) -> DataFrame:
@@ -125,13 +153,23 @@ class Data:
         return segment.runs(self.smooth, MIN_READS)
 
     @cached_property
-    def chunks(self) -> DataFrame:
+    def found(self) -> DataFrame:
         return segment.chunks(self.runs, MIN_SIZE)
 
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return kept(self.found, "chunks")
+
     @cached_property
     def cut(self) -> DataFrame:
         return segment.cut(self.cells, self.chunks)
 
+    @cached_property
+    def signal(self) -> DataFrame:
+        """(i, l, chrom, bin, value): scaled counts."""
+        scaled = features.scaled(self.kept_counts)
+        return scaled.join(F.broadcast(self.species_dim), "species").join(F.broadcast(self.mark_dim), "mark").select("i", "l", "chrom", "bin", "value")
+
     @cached_property
     def nodes(self) -> DataFrame:
         """(chunk_id, chrom, bin, t, i): every bin of every chunk and species."""

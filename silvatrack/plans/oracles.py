@@ -69,11 +69,13 @@ STEPS = {
     "jac": ("q own nxt kids ll", """SELECT chunk_id, i, t, k, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY chunk_id, i, t) AS q FROM (SELECT *, max(z) OVER (PARTITION BY chunk_id, i, t) AS m FROM
   (SELECT n.chunk_id, n.i, n.t, n.k, own + coalesce(nxt, 0) + coalesce(kid, 0) + ll AS z FROM q n JOIN own USING (chunk_id, i, t, k) JOIN ll USING (chunk_id, i, t, k)
   LEFT JOIN nxt USING (chunk_id, i, t, k) LEFT JOIN kids USING (chunk_id, i, t, k)))"""),
+    "emission": ("q avail cells", """SELECT k, l, (coalesce(present, 0) + CAST(1e-6 AS DOUBLE)) / (total + CAST(2e-6 AS DOUBLE)) AS e FROM (SELECT k, l, sum(q) AS total FROM q JOIN avail USING (i) GROUP BY ALL) a
+  LEFT JOIN (SELECT k, c.l, sum(q) AS present FROM q JOIN cells c ON c.chrom = q.chrom AND c.bin = q.bin AND c.i = q.i GROUP BY ALL) b USING (k, l)"""),
     "signal": ("counts rates", "SELECT c.species, c.mark, chrom, bin, asinh(n / (total / CAST(1e6 AS DOUBLE))) AS value FROM counts c JOIN rates r ON c.species = r.species AND c.mark = r.mark"),
     "dense": ("signal sizes", """SELECT g.species, g.mark, g.chrom, g.bin, coalesce(value, CAST(0 AS DOUBLE)) AS value FROM (SELECT s.species, s.mark, s.chrom, unnest(range(0, bins)) AS bin
   FROM (SELECT DISTINCT species, mark, chrom FROM signal) s JOIN sizes ON s.chrom = sizes.chrom) g LEFT JOIN signal v ON v.species = g.species AND v.mark = g.mark AND v.chrom = g.chrom AND v.bin = g.bin"""),
-    "vec": ("", "SELECT vec_id AS id, list_transform(embedding[1:3], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"),
-    "near": ("vec", """SELECT id, k, d, row_number() OVER (PARTITION BY id ORDER BY d, k) AS o FROM (SELECT a.id, c.id AS k, abs(a.x[1] - c.x[1]) + abs(a.x[2] - c.x[2]) + abs(a.x[3] - c.x[3]) AS d
+    "vec": ("", "SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"),
+    "near": ("vec", """SELECT id, k, d, row_number() OVER (PARTITION BY id ORDER BY d, k) AS o FROM (SELECT a.id, c.id AS k, list_sum(list_transform(range(1, len(a.x) + 1), lambda j: abs(a.x[j] - c.x[j]))) AS d
   FROM vec a, vec c WHERE c.id IN (0, 1, 2))"""),
     # Two states, each species a chain of its own: scaled forward and backward passes, a row for each node.
     "em2": ("ll chunks", """SELECT chunk_id, i, t, "end" - "start" AS n, max(CASE WHEN k = 0 THEN exp(ll) END) AS e0, max(CASE WHEN k = 1 THEN exp(ll) END) AS e1 FROM ll JOIN chunks USING (chunk_id) GROUP BY ALL"""),
@@ -91,6 +93,15 @@ STEPS = {
   FROM vit f JOIN em2 e ON e.chunk_id = f.chunk_id AND e.i = f.i AND e.t = f.t + 1)"""),
     "back": ("vit", """SELECT chunk_id, i, t, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS state FROM vit WHERE t = n - 1
   UNION ALL SELECT b.chunk_id, b.i, b.t - 1, CASE WHEN b.state = 0 THEN p0 ELSE p1 END FROM back b JOIN vit v ON v.chunk_id = b.chunk_id AND v.i = b.i AND v.t = b.t WHERE b.t > 0"""),
+    # The same forward pass over the continuous signal: means 2 and 5, variances of 4.
+    "em2g": ("nodes avail signal species_dim mark_dim chunks", """SELECT chunk_id, i, t, n, exp(CASE WHEN l0 = 0 THEN -100 ELSE l0 END) AS e0, exp(CASE WHEN l1 = 0 THEN -100 ELSE l1 END) AS e1 FROM (SELECT n.chunk_id, n.i, n.t, k."end" - k."start" AS n,
+  sum(-CAST(0.5 AS DOUBLE) * (ln(2 * pi() * 4) + (coalesce(v.value, 0) - 2) * (coalesce(v.value, 0) - 2) / 4)) AS l0, sum(-CAST(0.5 AS DOUBLE) * (ln(2 * pi() * 4) + (coalesce(v.value, 0) - 5) * (coalesce(v.value, 0) - 5) / 4)) AS l1
+  FROM nodes n JOIN chunks k ON k.chunk_id = n.chunk_id JOIN avail a ON a.i = n.i LEFT JOIN (SELECT i, l, chrom, bin, value FROM signal JOIN species_dim USING (species) JOIN mark_dim USING (mark)) v
+  ON v.i = n.i AND v.l = a.l AND v.chrom = n.chrom AND v.bin = n.bin GROUP BY ALL)"""),
+    "fwdg": ("em2g", """SELECT chunk_id, i, t, n, e0 / 3 / (e0 / 3 + e1 * 2 / 3) AS a0, e1 * 2 / 3 / (e0 / 3 + e1 * 2 / 3) AS a1, ln(e0 / 3 + e1 * 2 / 3) AS lg FROM em2g WHERE t = 0
+  UNION ALL SELECT chunk_id, i, t, n, x0 / (x0 + x1), x1 / (x0 + x1), lg + ln(x0 + x1) FROM (SELECT e.chunk_id, e.i, e.t, e.n, f.lg,
+  e0 * (a0 * CAST(7 AS DOUBLE) / 9 + a1 * CAST(3 AS DOUBLE) / 10) AS x0, e1 * (a0 * CAST(2 AS DOUBLE) / 9 + a1 * CAST(7 AS DOUBLE) / 10) AS x1
+  FROM fwdg f JOIN em2g e ON e.chunk_id = f.chunk_id AND e.i = f.i AND e.t = f.t + 1)"""),
     # Two species, two states: the scaled forward pass over their four joint states (first species' state, second's).
     "pair": ("em2", "SELECT a.chunk_id, a.t, a.n, a.e0 * b.e0 AS e00, a.e0 * b.e1 AS e01, a.e1 * b.e0 AS e10, a.e1 * b.e1 AS e11 FROM em2 a JOIN em2 b ON a.chunk_id = b.chunk_id AND a.t = b.t WHERE a.i = 0 AND b.i = 1"),
     "joint": ("pair", """SELECT chunk_id, t, n, x00 / s AS a00, x01 / s AS a01, x10 / s AS a10, x11 / s AS a11, ln(s) AS lg FROM (SELECT *, x00 + x01 + x10 + x11 AS s FROM
@@ -102,7 +113,7 @@ STEPS = {
   e11 * ((a00 * CAST(2 AS DOUBLE) / 9 + a10 * CAST(7 AS DOUBLE) / 10) * 4 / 11 + (a01 * CAST(2 AS DOUBLE) / 9 + a11 * CAST(7 AS DOUBLE) / 10) * 10 / 11) AS x11
   FROM joint j JOIN pair e ON e.chunk_id = j.chunk_id AND e.t = j.t + 1))"""),
 }
-RECURSIVE = {"fwd", "bwd", "vit", "back", "joint"}
+RECURSIVE = {"fwd", "fwdg", "bwd", "vit", "back", "joint"}
 
 
 def query(select: str, *steps: str) -> str:
@@ -124,6 +135,9 @@ def query(select: str, *steps: str) -> str:
 R = "round({}, 6)".format
 ORACLES = {
     "a1_reads": query("SELECT * FROM reads", "reads"),
+    "a2_samples": query("""SELECT s.species, m.mark, CAST(count(DISTINCT r.rep) AS BIGINT) AS reps, count(r.rep) AS n FROM species_dim s CROSS JOIN mark_dim m
+LEFT JOIN reads r ON r.species = s.species AND r.mark = m.mark GROUP BY s.species, m.mark""", "reads", "species_dim", "mark_dim"),
+    "a5_params_round_trip": query(f"SELECT 'emit' AS name, k, l, {R('e')} AS value FROM emission", "emission"),
     "a3_observations_round_trip": query("SELECT i, l, chrom, bin FROM cells", "cells"),
     "a7_bed_round_trip": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state
 FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) x JOIN species_dim s ON s.i = x.i WHERE o = 1""", "q", "species_dim"),
@@ -152,14 +166,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC
 CAST((SELECT sum(bins) FROM sizes) AS BIGINT) AS total_bins, {R('(SELECT sum("end" - "start") FROM chunks) / CAST((SELECT sum(bins) FROM sizes) AS DOUBLE)')} AS ratio""", "chunks", "runs", "sizes"),
     "d9_size_hist": query("""SELECT CAST(CASE WHEN high = low THEN 0 ELSE least(floor((size - low) / CAST(high - low AS DOUBLE) * 100), 99) END AS INT) AS bar, count(*) AS n
 FROM (SELECT "end" - "start" AS size, min("end" - "start") OVER () AS low, max("end" - "start") OVER () AS high FROM chunks) GROUP BY ALL""", "chunks"),
+    "e1_tree": query("""SELECT s.i, s.species, CASE WHEN p.i <> s.i THEN p.i END AS parent, p.i IS NULL OR p.i = s.i AS is_root FROM species_dim s
+LEFT JOIN (VALUES ('AFRICA', 'AFRICA'), ('AMERICA', 'AFRICA'), ('ASIA', 'AFRICA'), ('EUROPE', 'ASIA'), ('MIDDLE EAST', 'ASIA')) v(species, parent) ON v.species = s.species
+LEFT JOIN species_dim p ON p.species = v.parent""", "species_dim"),
     "e2_normalize": query(f"""SELECT 'alpha' AS name, h, k, {R('n / CAST(sum(n) OVER (PARTITION BY h) AS DOUBLE)')} AS value FROM (SELECT h, k, count(*) AS n FROM
 (SELECT m AS k, lag(m) OVER (PARTITION BY chunk_id, i ORDER BY t) AS h FROM (SELECT chunk_id, i, t, k AS m FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) WHERE o = 1)) WHERE h IS NOT NULL GROUP BY ALL)""", "q"),
     "e3_min_distance": query(f"SELECT id, {R('d')} AS distance, CAST(k AS INT) AS nearest FROM near WHERE o = 1", "near"),
-    "e4_cluster_variance": query(f"""SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, {R("greatest(var_pop(v) + CAST(1e-6 AS DOUBLE), CAST(0.1 AS DOUBLE))")} AS variance FROM (SELECT n.k, unnest([0, 1, 2]) AS l, unnest(v.x) AS v FROM near n JOIN vec v ON v.id = n.id WHERE o = 1) GROUP BY k, l""", "near", "vec"),
+    "e4_cluster_variance": query(f"""SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, {R("greatest(var_pop(v) + CAST(1e-6 AS DOUBLE), CAST(0.1 AS DOUBLE))")} AS variance FROM (SELECT n.k, unnest(range(0, len(v.x))) AS l, unnest(v.x) AS v FROM near n JOIN vec v ON v.id = n.id WHERE o = 1) GROUP BY k, l""", "near", "vec"),
     "e5_bernoulli_ll": query(f"SELECT chrom, bin, i, k, {R('ll')} AS ll FROM ll", "ll"),
-    "e6_gaussian_ll": query(f"""SELECT a.id, CAST(c.id AS INT) AS k, {R("-CAST(0.5 AS DOUBLE) * " + "(" + " + ".join(f"ln(2 * pi() * ({j + 1} * CAST(0.25 AS DOUBLE))) + (a.x[{j + 1}] - c.x[{j + 1}]) * (a.x[{j + 1}] - c.x[{j + 1}]) / ({j + 1} * CAST(0.25 AS DOUBLE))" for j in range(3)) + ")")} AS ll FROM vec a, vec c WHERE c.id IN (0, 1, 2)""", "vec"),
-    "e7_emission_normalize": query(f"""SELECT k, l, {R("(coalesce(present, 0) + CAST(1e-6 AS DOUBLE)) / (total + CAST(2e-6 AS DOUBLE))")} AS e FROM (SELECT k, l, sum(q) AS total FROM q JOIN avail USING (i) GROUP BY ALL) a
-LEFT JOIN (SELECT k, c.l, sum(q) AS present FROM q JOIN cells c ON c.chrom = q.chrom AND c.bin = q.bin AND c.i = q.i GROUP BY ALL) b USING (k, l)""", "q", "avail", "cells"),
+    "e6_gaussian_ll": query(f"""SELECT a.id, CAST(c.id AS INT) AS k, {R("-CAST(0.5 AS DOUBLE) * list_sum(list_transform(range(1, len(a.x) + 1), lambda j: ln(2 * pi() * (j * CAST(0.25 AS DOUBLE))) + (a.x[j] - c.x[j]) * (a.x[j] - c.x[j]) / (j * CAST(0.25 AS DOUBLE))))")} AS ll FROM vec a, vec c WHERE c.id IN (0, 1, 2)""", "vec"),
+    "e7_emission_normalize": query(f"SELECT k, l, {R('e')} AS e FROM emission", "emission"),
     "f2_jacobi": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, i, t, k, {R('q')} AS q FROM jac", "jac"),
     "f3_mean_field_stats": query(f"""SELECT 'gamma' AS name, CAST(k AS VARCHAR) AS idx, {R('sum(q)')} AS value FROM q JOIN tree USING (i) WHERE parent IS NULL AND t = 0 GROUP BY k
 UNION ALL SELECT 'alpha', b.k || ',' || n.k, {R('sum(b.q * n.q)')} FROM q n JOIN tree USING (i) JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 WHERE parent IS NULL GROUP BY b.k, n.k
@@ -170,9 +186,10 @@ JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 GROUP BY u.k
     "f5_convergence": query(f"SELECT {R('max(abs(q.q - jac.q))')} AS change, max(abs(q.q - jac.q)) < CAST(1e-3 AS DOUBLE) AS converged FROM q JOIN jac USING (chunk_id, i, t, k)", "q", "jac"),
     "f11_independent": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),
     "f6_forward_likelihood": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(lg)')} AS loglik FROM fwd WHERE t = n - 1 GROUP BY chunk_id", "fwd"),
+    "f11_independent_gaussian": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(lg)')} AS loglik FROM fwdg WHERE t = n - 1 GROUP BY chunk_id", "fwdg"),
     "f12_clique_pair": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('lg')} AS loglik FROM joint WHERE t = n - 1", "joint"),
     "f17_gaussian_m": query(f"""SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, {R('sum(w * v) / sum(w)')} AS mean, {R("greatest(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) * (sum(w * v) / sum(w)), 0) + CAST(1e-6 AS DOUBLE)")} AS variance
-FROM (SELECT id, unnest([0, 1, 2]) AS l, unnest(x) AS v FROM vec) JOIN (SELECT id, k, w / sum(w) OVER (PARTITION BY id) AS w FROM (SELECT id, k, CAST(1 + (id * 3 + k * 7) % 11 AS DOUBLE) AS w FROM vec, st)) USING (id) GROUP BY k, l""", "vec", "st"),
+FROM (SELECT id, unnest(range(0, len(x))) AS l, unnest(x) AS v FROM vec) JOIN (SELECT id, k, w / sum(w) OVER (PARTITION BY id) AS w FROM (SELECT id, k, CAST(1 + (id * 3 + k * 7) % 11 AS DOUBLE) AS w FROM vec, st)) USING (id) GROUP BY k, l""", "vec", "st"),
     "f18_viterbi_chain": query("SELECT CAST(chunk_id AS BIGINT) AS chunk_id, i, t, CAST(state AS INT) AS state FROM back", "back"),
     "g1_map": query("SELECT chrom, bin, i, k AS state FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) WHERE o = 1", "q"),
     "g2_bed": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state
@@ -180,6 +197,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC
     "g3_bed_probabilities": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state FROM q JOIN species_dim s ON s.i = q.i""", "q", "species_dim"),
     "g4_stitch": query(f"SELECT chrom, bin, i, k, {R('q')} AS q FROM q", "q"),
     "g5_mark_load": query(f"SELECT n.chrom, n.bin, n.i, {R('count(c.l) / CAST(6 AS DOUBLE)')} AS load FROM nodes n LEFT JOIN cells c ON c.chrom = n.chrom AND c.bin = n.bin AND c.i = n.i GROUP BY n.chrom, n.bin, n.i", "nodes", "cells"),
+    "g6_parameter_report": query("SELECT k, " + ", ".join(f"CAST(round(max(CASE WHEN l = {l} THEN e END) * 100) AS BIGINT) AS mark{l}" for l in range(6)) + " FROM emission GROUP BY k", "emission"),
+    "g6_theta_slice": query('SELECT h AS "from", ' + ", ".join(R(f"max(CASE WHEN k = {k} THEN p END)") + f" AS state{k}" for k in range(3)) + """ FROM (SELECT h, k, w / sum(w) OVER (PARTITION BY h) AS p FROM
+(SELECT b.k AS h, n.k, sum(u.q * b.q * n.q) AS w FROM q n JOIN tree USING (i) JOIN q u ON u.chunk_id = n.chunk_id AND u.i = parent AND u.t = n.t
+JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 WHERE u.k = 0 GROUP BY b.k, n.k)) GROUP BY h""", "q", "tree"),
     "h1_trim": query("""SELECT chrom, min(bin) AS "start", max(bin) + 1 AS "end" FROM calls GROUP BY chrom""", "calls"),
     "h2_asinh": query(f"SELECT species, mark, chrom, bin, {R('value')} AS value FROM signal", "signal"),
     "h3_smooth_signal": query(f"SELECT v.species, v.mark, v.chrom, v.bin + x AS bin, {R('round(sum(value * k), 9)')} AS s FROM signal v, kern3 JOIN sizes z ON z.chrom = v.chrom WHERE v.bin + x >= 0 AND v.bin + x < bins GROUP BY v.species, v.mark, v.chrom, v.bin + x", "signal", "kern3", "sizes"),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.model import Tree, row_normalize
 from ..operators import convert, decode, emission, features, gaussian_init, relational, segment
+from ..sources import reads as sources
 from ..sources import tables
 from . import em
 from . import fixtures as fx
@@ -31,12 +32,6 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the session keeps shared files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _states(df: DataFrame, value: str = "q") -> DataFrame:
     return df.select(*[c for c in df.columns if c != "q"], F.posexplode("q").alias("k", value))
 
@@ -46,16 +41,34 @@ def a1_reads(d):
     return d.reads
 
 
+@register
+def a2_samples(d):
+    """Replicates and reads of every pair of species and mark; it fails where one has none."""
+    sources.require_samples(d.kept_counts, d.species_dim, d.mark_dim)
+    return sources.sample_table(d.reads, d.species_dim, d.mark_dim)
+
+
+@register
+def a5_params_round_trip(d):
+    """Emissions estimated from the posteriors, saved as parameters of a run and loaded again."""
+    e = {(r["k"], r["l"]): r["e"] for r in emission.normalize(_states(d.posterior.select("chrom", "bin", "i", "q")), d.cells, d.avail, 1e-6).collect()}
+    path = fx.folder(d.spark, "params")
+    for n, scale in ((0, 0.5), (1, 1.0)):
+        tables.save_params(d.spark, {"emit": scale * np.array([[e[k, l] for l in range(fx.MARKS)] for k in range(fx.K)])}, path, "run", n)
+    back = tables.params_frame(d.spark, tables.load_params(d.spark, path, "run"), "run", 1)
+    return _six(back.select("name", F.get("idx", F.lit(0)).alias("k"), F.get("idx", F.lit(1)).alias("l"), "value"), "value")
+
+
 @register
 def a3_observations_round_trip(d):
-    path = _folder(d.spark, "observations")
+    path = fx.folder(d.spark, "observations")
     tables.write_observations(d.cells, d.spark.createDataFrame([(fx.WINDOW, sorted(fx.PARENTS))], "window int, species array<string>"), path)
     return tables.read_observations(d.spark, path).select("i", "l", "chrom", "bin")
 
 
 @register
 def a7_bed_round_trip(d):
-    path = _folder(d.spark, "bed")
+    path = fx.folder(d.spark, "bed")
     tables.write_bed(decode.bed(d.posterior, d.species_dim, fx.WINDOW), path)
     return _six(tables.read_bed(d.spark, path), "score")
 
@@ -118,7 +131,7 @@ def c4_calls(d):
 
 @register
 def c5_diagnostics(d):
-    return convert.diagnostics(d.counts, d.least)
+    return convert.diagnostics(d.kept_counts, d.least)
 
 
 @register
@@ -158,7 +171,7 @@ def d5_min_size(d):
 
 @register
 def d6_chunks(d):
-    return d.chunks
+    return d.found
 
 
 @register
@@ -176,6 +189,16 @@ def d9_size_hist(d):
     return segment.size_histogram(d.chunks)
 
 
+@register
+def e1_tree(d):
+    """The species of the reads with their parents' numbers."""
+    parents = d.spark.createDataFrame(list(fx.PARENTS.items()), "species string, parent_name string")
+    named = d.species_dim.join(F.broadcast(parents), "species", "left")
+    above = d.species_dim.select(F.col("species").alias("parent_name"), F.col("i").alias("parent"))
+    root = F.col("parent").isNull() | (F.col("parent") == F.col("i"))
+    return named.join(F.broadcast(above), "parent_name", "left").select("i", "species", F.when(~root, F.col("parent")).alias("parent"), root.alias("is_root"))
+
+
 @register
 def e2_normalize(d):
     """Transitions between neighbouring bins' likeliest states, as rows that sum to 1."""
@@ -186,7 +209,7 @@ def e2_normalize(d):
 
 
 def _vectors(d: fx.Data) -> DataFrame:
-    return d.table("embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("x"))
+    return d.table("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 def _centres(d: fx.Data) -> list[list[float]]:
@@ -210,7 +233,7 @@ def e5_bernoulli_ll(d):
 
 @register
 def e6_gaussian_ll(d):
-    centres = _vectors(d).filter("id IN (0, 1, 2)").select(F.col("id").cast("int").alias("k"), F.col("x").alias("mean"), F.array(*[F.lit(0.25 * (j + 1)) for j in range(3)]).alias("variance"))
+    centres = _vectors(d).filter("id IN (0, 1, 2)").select(F.col("id").cast("int").alias("k"), F.col("x").alias("mean"), F.transform("x", lambda _, j: 0.25 * (j + 1)).alias("variance"))
     return _six(emission.gaussian(_vectors(d), centres), "ll")
 
 
@@ -315,22 +338,22 @@ def h1_trim(d):
 
 @register
 def h2_asinh(d):
-    return _six(features.scaled(d.counts), "value")
+    return _six(features.scaled(d.kept_counts), "value")
 
 
 @register
 def h3_smooth_signal(d):
-    return _six(features.smooth_signal(features.scaled(d.counts), d.sizes), "s")
+    return _six(features.smooth_signal(features.scaled(d.kept_counts), d.sizes), "s")
 
 
 @register
 def h4_gradient(d):
-    return _six(features.gradient(features.scaled(d.counts), d.sizes), "g", "gg").drop("value")
+    return _six(features.gradient(features.scaled(d.kept_counts), d.sizes), "g", "gg").drop("value")
 
 
 @register
 def h5_raw_regions(d):
-    return segment.regions_of_signal(features.scaled(d.counts), 200.0, fx.MIN_SIZE).select("chrom", "start", "end")
+    return segment.regions_of_signal(features.scaled(d.kept_counts), 200.0, fx.MIN_SIZE).select("chrom", "start", "end")
 
 
 def _model_rows(d: fx.Data, mode: str, species: int | None = None, **how) -> DataFrame:
@@ -338,7 +361,7 @@ def _model_rows(d: fx.Data, mode: str, species: int | None = None, **how) -> Dat
     params = fx.params()
     if how.pop("separate", False):
         params["theta"] = row_normalize(params["theta"][None] + [[[[0.1 * b]]] for b in range(len(tree.branch()))])
-    return em.posteriors(em.balanced(_packed(d), 8), mode, params, tree, avail, **how)
+    return em.posteriors(em.balanced(_packed(d)), mode, params, tree, avail, **how)
 
 
 @register
@@ -374,15 +397,44 @@ def f18_viterbi_joint(d):
 @register
 def f19_em(d):
     """Parameters after EM with product of chains, by iteration's objective."""
-    packed = em.balanced(_packed(d), 8).persist()
+    packed = em.balanced(_packed(d)).persist()
     params, path = em.fit(packed, "poc", fx.tree(), d.availability_matrix(), fx.K, iterations=3)
     packed.unpersist()
     return tables.params_frame(d.spark, params, "fit", len(path))
 
 
+def _signal_packed(d: fx.Data) -> DataFrame:
+    return fx.kept(em.pack(segment.cut(d.signal, d.chunks), d.chunks, "value"), "packed")
+
+
+@register
+def f19_em_gaussian(d):
+    """Means and variances after EM on the continuous signal, with product of chains."""
+    packed = em.balanced(_signal_packed(d)).persist()
+    params, path = em.fit(packed, "poc", fx.tree(), d.availability_matrix(), fx.K, iterations=3, gaussian=True)
+    packed.unpersist()
+    return tables.params_frame(d.spark, params, "fit", len(path))
+
+
+@register
+def f2_mean_field_gaussian(d):
+    """Posteriors of the continuous signal under means 0, 3 and 6 and variances of 4."""
+    params = {n: v for n, v in fx.params().items() if n != "emit"} | {"means": np.repeat(3.0 * np.arange(fx.K)[:, None], fx.MARKS, axis=1), "variances": np.full((fx.K, fx.MARKS), 4.0)}
+    return em.posteriors(em.balanced(_signal_packed(d)), "mf", params, fx.tree(), d.availability_matrix())
+
+
+@register
+def f11_independent_gaussian(d):
+    """The log-likelihood of each chunk of the continuous signal, all species as chains of their own, of two states with means 2
+    and 5 and variances of 4."""
+    params = {n: v for n, v in fx.params(2).items() if n != "emit"} | {"means": np.repeat(np.array([[2.0], [5.0]]), fx.MARKS, axis=1), "variances": np.full((2, fx.MARKS), 4.0)}
+    found = em.objectives(em.balanced(_signal_packed(d)), "indep", params, fx.tree(), d.availability_matrix())
+    return _six(found, "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
+
+
 @register
 def f21_range_k(d):
-    packed = em.balanced(_packed(d), 8).persist()
+    packed = em.balanced(_packed(d)).persist()
     rows = em.sweep(packed, "indep", fx.tree(), d.availability_matrix(), [2, 3], iterations=3)
     packed.unpersist()
     return d.spark.createDataFrame(rows, "k int, iter int, objective double")
@@ -390,7 +442,7 @@ def f21_range_k(d):
 
 @register
 def f22_compare(d):
-    packed = em.balanced(_packed(d), 8).persist()
+    packed = em.balanced(_packed(d)).persist()
     rows = em.compare(packed, fx.tree(), d.availability_matrix(), fx.params(), ["mf", "poc", "indep", "clique", "loopy"])
     packed.unpersist()
     return d.spark.createDataFrame(rows, "mode string, kind string, objective double")
@@ -402,10 +454,16 @@ def g6_parameter_report(d):
     return decode.emission_report(emission.normalize(_states(d.posterior.select("chrom", "bin", "i", "q")), d.cells, d.avail, 1e-6), fx.MARKS)
 
 
+@register
+def g6_theta_slice(d):
+    """The transitions of the first species' children from the parent's state 0, from the mean field's sums."""
+    return _six(decode.slice_report(relational.normalize_table(relational.statistics(_q(d), d.tree_frame)), "theta", 0, 0, fx.K), *[f"state{s}" for s in range(fx.K)])
+
+
 @register
 def g7_trajectory(d):
     """Objectives of two runs, the second taking up the first one's parameters."""
-    packed, avail = em.balanced(_packed(d), 8).persist(), d.availability_matrix()
+    packed, avail = em.balanced(_packed(d)).persist(), d.availability_matrix()
     first, path = em.fit(packed, "indep", fx.tree(), avail, 2, iterations=2)
     _, more = em.fit(packed, "indep", fx.tree(), avail, 2, iterations=2, start=first)
     packed.unpersist()
@@ -417,11 +475,10 @@ def segment_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: convert, split, fit by product of chains (three iterations), decode to BED rows."""
     d = fx.Data(spark, sf_dir)
     avail, tree = d.availability_matrix(), fx.tree()
-    chunks = segment.split_long(d.chunks, 512)
-    packed = em.balanced(em.pack(segment.cut(d.cells, chunks), chunks), 8).persist()
-    params, _ = em.fit(packed, "poc", tree, avail, fx.K, iterations=3)
-    q = em.posteriors(packed, "poc", params, tree, avail)
-    return decode.bed(decode.stitch(q, chunks), d.species_dim, fx.WINDOW)
+    packed = fx.kept(em.balanced(_packed(d)), "packed")
+    params, _ = em.fit(em.balanced(packed), "poc", tree, avail, fx.K, iterations=3)
+    q = em.posteriors(em.balanced(packed), "poc", params, tree, avail)
+    return decode.bed(decode.stitch(q, d.chunks), d.species_dim, fx.WINDOW)
 
 
 QUERIES["w_segment_tracks"] = segment_tracks

@@ -16,8 +16,8 @@ def read_reads(spark: SparkSession, path: str | list[str], format: str = "parque
 
 
 def read_sam(spark: SparkSession, path: str | list[str], species: str, mark: str, rep: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(reads, chrom_sizes) of SAM text of one sample. Places count from 0; a mate on the same chromosome ("=") has its place,
-    else 0; a read without an alignment has chrom "*"."""
+    """(reads, chrom_sizes) of SAM text of one sample. Places count from 0; a mate on the same chromosome ("=", or by its
+    name) has its place, any other 0; a read without an alignment has chrom "*"."""
     lines = spark.read.text(path)
     f = F.split("value", "\t")
     header = lines.filter(F.col("value").startswith("@SQ"))
@@ -25,7 +25,7 @@ def read_sam(spark: SparkSession, path: str | list[str], species: str, mark: str
     body = lines.filter(~F.col("value").startswith("@") & (F.length("value") > 0))
     reads = body.select(
         F.lit(species).alias("species"), F.lit(mark).alias("mark"), F.lit(rep).alias("rep"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("pos"),
-        F.when(f[7] == "0", 0).otherwise(f[7].cast("long") - 1).cast("long").alias("mpos"), F.length(f[9]).alias("rlen"), f[1].cast("int").alias("flag"), f[4].cast("int").alias("mapq"),
+        F.when((f[7] != "0") & ((f[6] == "=") | (f[6] == f[2])), f[7].cast("long") - 1).otherwise(0).cast("long").alias("mpos"), F.length(f[9]).alias("rlen"), f[1].cast("int").alias("flag"), f[4].cast("int").alias("mapq"),
     )
     return reads, sizes.distinct()
 
@@ -51,3 +51,20 @@ def missing_samples(samples: DataFrame, species: DataFrame, marks: DataFrame) ->
     """(species, mark) pairs without a sample; the dimension tables are a few rows each."""
     pairs = species.select("species").withColumn("mark", F.explode(F.array(*[F.lit(r["mark"]) for r in marks.select("mark").collect()])))
     return pairs.join(samples.select("species", "mark").distinct(), ["species", "mark"], "left_anti")
+
+
+def sample_table(reads: DataFrame, species: DataFrame, marks: DataFrame) -> DataFrame:
+    """(species, mark, reps, n): replicates and reads of every pair of the dimension tables, 0 where there are none."""
+    held = reads.groupBy("species", "mark", "rep").agg(F.count(F.lit(1)).alias("n")).groupBy("species", "mark").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("n"))
+    pairs = species.select("species").withColumn("mark", F.explode(F.array(*[F.lit(r["mark"]) for r in marks.select("mark").collect()])))
+    zero = F.lit(0).cast("long")
+    return pairs.join(held, ["species", "mark"], "left").select("species", "mark", F.coalesce("reps", zero).alias("reps"), F.coalesce("n", zero).alias("n"))
+
+
+def require_samples(samples: DataFrame, species: DataFrame, marks: DataFrame) -> DataFrame:
+    """samples, if every pair has one; else an error that names pairs without."""
+    missing = missing_samples(samples, species, marks)
+    some = [f"{r['species']}/{r['mark']}" for r in missing.orderBy("species", "mark").limit(20).collect()]
+    if some:
+        raise ValueError(f"{missing.count()} pairs of species and mark have no sample: {', '.join(some)}")
+    return samples

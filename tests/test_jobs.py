@@ -8,7 +8,8 @@ from silvatrack.functions.model import Tree, normalize_stats, random_params, row
 from silvatrack.functions.poisson import smallest_present
 from silvatrack.functions.signal import gauss_kernel
 from silvatrack.operators import convert, decode, emission, features, gaussian_init, relational, segment
-from silvatrack.plans import em
+from silvatrack.functions import kernels
+from silvatrack.plans import em, jobs
 from silvatrack.sources import reads as sources
 from silvatrack.sources import tables
 from silvatrack.streaming import histogram as streaming
@@ -100,6 +101,9 @@ def test_sources(spark, tmp_path):
     assert rows(samples, "species", "mark", "rep", "pos") == [("A", "k4", 1, 5), ("A", "k9", 1, 5), ("B", "k4", 2, 5)]
     species, marks = (spark.createDataFrame([(x,) for x in v], f"{n} string") for n, v in (("species", "AB"), ("mark", ["k4", "k9"])))
     assert rows(sources.missing_samples(samples, species, marks), "species", "mark") == [("B", "k9")]
+    with pytest.raises(ValueError, match="B/k9"):
+        sources.require_samples(samples, species, marks)
+    assert sources.require_samples(samples, species.filter("species = 'A'"), marks) is samples
     spark.createDataFrame([("s", "m", 1, "c", 1, 2, 3, 4, 5)], sources.READS).write.parquet(str(tmp_path / "r"))
     assert sources.read_reads(spark, str(tmp_path / "r")).count() == 1
 
@@ -184,6 +188,51 @@ def test_em_recovers_and_does_not_depend_on_tasks(tracks, mode):
         assert all(b <= a + 1e-6 for a, b in zip(path, path[1:]))
 
 
+def test_gaussian_em_recovers_the_means(spark):
+    tree = Tree(["a", "b"], {"b": "a"})
+    rng = np.random.default_rng(11)
+    means, rows, chunks = np.array([[1000.0, -2.0], [1006.0, 3.0]]), [], []  # far from 0: variances must keep their digits
+    for c in range(8):
+        n = int(rng.integers(30, 80))
+        chunks.append((c, "c1", c * 100, c * 100 + n))
+        z = np.cumsum(rng.random(n) < 0.1) % 2
+        rows += [(c, t, i, l, float(means[z[t], l] + rng.normal(0, 0.5))) for t in range(n) for i in range(2) for l in range(2)]
+    packed = em.pack(spark.createDataFrame(rows, "chunk_id long, t long, i int, l int, value double"), spark.createDataFrame(chunks, "chunk_id long, chrom string, start long, end long"), "value").persist()
+    start = {**random_params(2, 2, 3, means=True), "means": means + [[1.0, 1.0], [-1.0, -1.0]], "variances": np.full((2, 2), 4.0)}
+    for mode in ("mf", "poc", "indep", "clique"):
+        fitted, path = em.fit(em.balanced(packed), mode, tree, np.ones((2, 2)), 2, iterations=12, start=start, gaussian=True)
+        assert path[-1] < path[0] and np.abs(fitted["means"] - means).max() < 0.2
+        assert np.abs(fitted["variances"] - 0.25).max() < 0.06
+    with_random, path = em.fit(packed, "indep", tree, np.ones((2, 2)), 2, iterations=2, gaussian=True)
+    assert set(with_random) == {"gamma", "alpha", "beta", "theta", "means", "variances"} and np.isfinite(path).all()
+
+
+def test_infer_keeps_and_resumes(spark, tracks, tmp_path):
+    packed, tree, _ = tracks
+    chunks, out = packed.select("chunk_id", "chrom", "start"), str(tmp_path / "fit")
+    first, stitched = jobs.infer(packed, chunks, "indep", tree, np.ones((3, 3)), 2, out, "one", iterations=2, epsilon=0.0)
+    assert stitched is None and all(np.array_equal(tables.load_params(spark, f"{out}/params", "one")[n], v) for n, v in first.items())
+    more, stitched = jobs.infer(packed, chunks, "indep", tree, np.ones((3, 3)), 2, out, "two", resume="one", save_q=3, iterations=2, epsilon=0.0)
+    whole, _ = em.fit(packed, "indep", tree, np.ones((3, 3)), 2, iterations=4, epsilon=0.0)
+    assert all(np.allclose(more[n], whole[n]) for n in more)
+    assert stitched.count() == 3 * packed.agg(F.sum("n")).first()[0]
+    gains = [r.gain for r in jobs.progress(spark, out).orderBy("step").collect()]
+    assert len(gains) == 4 and all(b >= a for a, b in zip(gains, gains[1:]))
+
+
+def test_long_chunks_in_blocks(monkeypatch):
+    """Blocks of transitions change nothing."""
+    rng = np.random.default_rng(0)
+    tree, params = Tree(["a", "b", "c"], {"a": "b", "c": "b"}), random_params(3, 2, 1)
+    x = rng.integers(0, 2, (3, 41, 2)).astype(np.int8)
+    for mode in ("mf", "poc", "indep", "clique"):
+        one = kernels.MODES[mode](x, np.ones((3, 2)), params, tree)
+        monkeypatch.setattr(kernels, "BLOCK", 7)
+        two = kernels.MODES[mode](x, np.ones((3, 2)), params, tree)
+        monkeypatch.undo()
+        assert np.allclose(one[0], two[0]) and one[2] == pytest.approx(two[2]) and all(np.allclose(one[1][n], two[1][n]) for n in one[1])
+
+
 def test_modes_side_by_side(tracks):
     packed, tree, true = tracks
     got = {m: v for m, _, v in em.compare(packed, tree, np.ones((3, 3)), true, ["clique", "poc", "mf", "indep"], most=20)}

@@ -95,7 +95,7 @@ def test_gaussian_emission_and_limits():
     x = rng.normal(0, 1, (1, 50, 2))
     params = random_params(2, 2, 0, means=True)
     q, stats, _, _ = K.independent(x, np.ones((1, 2)), params, tree)
-    new = normalize_stats(stats, 0.0)
+    new = normalize_stats(stats, 0.0, params)
     w = q[0] / q[0].sum(axis=0)
     assert np.allclose(new["means"], w.T @ x[0])
     assert np.allclose(new["variances"] - 1e-3, w.T @ x[0] ** 2 - new["means"] ** 2)
