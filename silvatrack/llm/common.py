@@ -17,12 +17,14 @@ HASH_RANGE = 2.0**64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where it is unset (tests on one
-    machine) is a temporary folder made and set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder is made
+    and set for a session on one machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="silvatrack-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -13,17 +13,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import free_name, unit_hash
 
 BITS = 15
 BUCKETS = 1 << BITS
 DIM = 16
-#: About how many labelled rows train and calibrate the model, shared evenly among the languages (and never over twice
-#: as many).
+#: About how many labelled rows train and calibrate the model, shared evenly among the languages; of more languages than
+#: that, each has a row.
 MAX_ROWS = 2400
-#: Labels beyond this many, by count of rows, are not learned.
-MAX_LANGS = 200
+#: Up to so many labels their table is broadcast; more are joined by a shuffle.
+MAX_BROADCAST_LANGS = 10_000
 #: Share of the sampled rows kept for calibration.
 HELD = 0.2
 #: Share of rightly predicted calibration rows that the rejection may cost.
@@ -77,17 +78,17 @@ def count_subwords(text: bytes) -> np.ndarray:
 
 @dataclass
 class Model:
-    """langs in order; table: each bucket's score for each language (embedding times linear layer); bias; temperature;
-    threshold: scores below it are rejected."""
+    """langs in order; emb: each bucket's row; out: the linear layer; bias; temperature; threshold: scores below it are rejected."""
 
     langs: list[str]
-    table: np.ndarray
+    emb: np.ndarray
+    out: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        return counts.astype(np.float32) @ self.table / max(1, int(counts.sum())) + self.bias
+        return counts.astype(np.float32) @ self.emb / max(1, int(counts.sum())) @ self.out + self.bias
 
     def predict(self, text: bytes) -> tuple[str, float]:
         z = self.logits(count_subwords(text)).astype(np.float64) / self.temperature
@@ -135,10 +136,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[str,
             emb -= lr * 100 * (x.T @ (p @ out.T))
             out -= lr * grad
             bias -= lr * 0.1 * p.sum(axis=0)
-    model = Model(langs, emb @ out, bias, 1.0, 0.0)
+    model = Model(langs, emb, out, bias, 1.0, 0.0)
     check = [r for r in held if r[0] in number]
     if check:
-        z = np.stack([r[2] @ model.table[r[1]] / r[2].sum() + bias for r in check]).astype(np.float64)
+        z = np.stack([r[2] @ emb[r[1]] / r[2].sum() @ out + bias for r in check]).astype(np.float64)
         y = np.array([number[r[0]] for r in check])
         grid = np.geomspace(0.25, 8, 81)
         model.temperature = float(min(grid, key=lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()))
@@ -155,18 +156,19 @@ def held_out() -> Column:
 
 
 def fit(documents: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1) -> Model | None:
-    """Learns from text and lang of rows that are not held_out() and have both and an id. The sample is chosen by hashes
-    of the ids; of it, only bucket counts reach the driver (at most 2 ** 15 a row)."""
+    """Learns from text and lang of rows that are not held_out() and have both and an id: every label that any has. The sample
+    is chosen by hashes of the ids; of it, only bucket counts reach the driver (at most 2 ** 15 a row)."""
     labelled = documents.select("doc_id", F.col("text").alias("text"), F.col("lang").alias("lang"), held_out().alias("out")).filter(
         "NOT out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"
     )
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    quota = max(1, max_rows // len(counts))
-    share = F.lit(None)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, quota / r["n"])).otherwise(share)
+    quota = max(1, max_rows // n_langs)
+    # A few more than asked for pass the hash, so that every label has its share; of these the first are taken.
+    shares = counts.select(F.col("lang").alias("of"), ((quota + 4 * quota**0.5 + 10) / F.col("n")).alias("share"))
+    shares = F.broadcast(shares) if n_langs <= MAX_BROADCAST_LANGS else shares
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,10 +182,12 @@ def fit(documents: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1) -> Model
                 ["pick", "lang", "at", "n"],
             )
 
-    sample = labelled.withColumn("pick", unit_hash("doc_id", F.lit(seed))).filter(F.col("pick") < share)
-    sample = sample.select("pick", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(features, "pick double, lang string, at array<int>, n array<float>")
+    sample = labelled.withColumn("pick", unit_hash("doc_id", F.lit(seed))).join(shares, F.col("lang") == F.col("of")).filter(F.col("pick") < F.col("share"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))
+    sample = sample.select("pick", "lang", F.col("text").cast("binary").alias("text")).withColumn("nth", first).filter(F.col("nth") <= quota)
+    sample = sample.select("pick", "lang", "text").mapInArrow(features, "pick double, lang string, at array<int>, n array<float>")
     rows = []
-    for batch in sample.orderBy("pick").limit(2 * max_rows).toArrow().to_batches():  # as arrays: a number costs four bytes
+    for batch in sample.orderBy("pick").toArrow().to_batches():  # as arrays: a number costs four bytes
         lang, bounds = batch.column("lang").to_pylist(), batch.column("at").offsets.to_numpy()
         at, n = (batch.column(c).values.to_numpy() for c in ("at", "n"))
         rows += [(lang[i], at[s:e].copy(), n[s:e].copy()) for i, (s, e) in enumerate(zip(bounds, bounds[1:])) if e > s]

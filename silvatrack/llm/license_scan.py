@@ -17,6 +17,8 @@ from .decontaminate import _candidates
 K = 4
 #: Diagonals at most this far apart are of one span.
 GAP = 3
+#: More rolling hashes than this are not broadcast: they are joined by a shuffle, with the same result.
+MAX_BROADCAST_GRAMS = 100_000
 #: A span is verified if it covers this share of its template's words, or this many of them.
 LEAST_SHARE, LEAST_WORDS = 0.6, 40
 
@@ -42,7 +44,7 @@ TEMPLATES = [
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]], k: int = K) -> DataFrame:
-    """(template, label, n_template, at, window): the k words at each place of each template. A few thousand rows at most."""
+    """(template, label, n_template, at, window): the k words at each place of each template."""
     t = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     t = t.select("template", "label", words(F.col("text")).alias("w")).filter(F.size("w") >= k)
     at = F.explode(F.sequence(F.lit(0), F.size("w") - k))
@@ -56,13 +58,16 @@ def spans(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k:
     before past. text_key is a hash of the text; rows that share it and doc_id have the same spans, and get them once."""
     grams = template_grams(documents.sparkSession, templates, k)
     hashed = grams.select(F.split("window", " ").alias("w")).select(F.xxhash64("w").alias("whole"), F.xxhash64(*[F.get("w", F.lit(j)) for j in range(min(k, 3))]).alias("head"))
-    sets = hashed.agg(F.collect_set("whole").alias("whole"), F.collect_set("head").alias("head")).first()
-    if not sets["whole"]:
-        sets = {"whole": [0], "head": [0]}
+    few = grams.count() <= MAX_BROADCAST_GRAMS
+    sets = {"whole": None, "head": None}
+    if few:
+        sets = hashed.agg(F.collect_set("whole").alias("whole"), F.collect_set("head").alias("head")).first()
+        if not sets["whole"]:
+            sets = {"whole": [0], "head": [0]}
     spread = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     hits = spread.select("doc_id", "text_key", F.explode(_candidates("w", k, sets["head"], sets["whole"])).alias("c")).select("doc_id", "text_key", "c.pos", "c.window")
     key = ["doc_id", "text_key", "template", "label", "n_template"]
-    votes = hits.join(F.broadcast(grams), "window").groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    votes = hits.join(F.broadcast(grams) if few else grams, "window").groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("places"), F.min("pos").alias("first"), (F.max("pos") + k).alias("past")
     )
     order = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")

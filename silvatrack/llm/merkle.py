@@ -24,7 +24,7 @@ SECTION = 8
 #: A phrase ends where the hash of its last LAST bytes (a power of two) is divisible by PHRASE (another), and after LONGEST bytes.
 PHRASE, LONGEST, LAST = 16, 16, 8
 #: Characters of a text that part rows of one id among tasks.
-PREFIX = 64
+PREFIX = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0x100000001B3, i, 2**64) for i in range(LONGEST)], dtype=np.uint64)
 

@@ -17,16 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TOKEN, free_name, unit_hash, written
+from .common import TOKEN, free_name, partitions, unit_hash, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Of all words, how many the mix takes.
 SHARE = 1.5
 #: Copies of a document at most.
 CAP = 2
+#: Copies of a row that repeats which one task writes.
+RUN = 10_000
 #: Fractions that one task rounds.
 BLOCK = 4096
-#: The table of sources is handled on the driver (32 bytes each) up to this many.
+#: The table of sources is handled on the driver, and broadcast (32 bytes each), up to this many; more stay in Spark.
 MAX_SOURCES = 1_000_000
 
 
@@ -49,6 +51,30 @@ def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ..
     return out
 
 
+def spread_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """source_targets without the driver: sizes (of, n, docs) with target. Sources are numbered by ranges of their names; a source
+    is full if its limit is at most its weight times a level, which rises with each pass until no more are."""
+    spark = sizes.sparkSession
+    order = [F.col("of").isNull(), F.col("of")]
+    parts = written(sizes.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    counts = counts.select("part", before.alias("before"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
+    numbered = parts.join(F.broadcast(counts), "part").withColumn("number", number)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights)).cast("int"))
+    held = written(numbered.select("of", "n", "docs", weight.alias("weight"), (F.lit(float(cap)) * F.col("n")).alias("limit")))
+    total = share * (held.agg(F.sum("n")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("limit") <= F.col("weight") * level
+        n, used, rest = held.agg(F.count_if(is_full), F.coalesce(F.sum(F.when(is_full, F.col("limit"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0))).first()
+        if n == full or not rest:
+            break
+        full, level = n, max(0.0, total - used) / rest
+    return held.select("of", "n", "docs", F.when(F.lit(not rest), F.col("limit")).otherwise(F.least("limit", F.col("weight") * level)).alias("target"))
+
+
 def pivotal(parts: list[float], sizes: list[float], draws: list[float], last: bool) -> list[float]:
     """Rounds fractions of a copy, in order, to 0 or 1 such that sum(part * size) stays; at most one fraction is left,
     which is rounded by its draw's lower bits if this is the last block of its source."""
@@ -89,32 +115,37 @@ def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """Of each row: doc_id, size (white-space separated words of the text, null: 0), source_size, target (its source's),
-    taken (words that the mix takes, repeats counted), copies (whole, 0 to cap) and row_key (a hash of the row).
+    taken (words that the mix takes, repeats counted), copies (whole, 0 to cap), row_key and row_key2 (two hashes of the row).
 
     The draws are hashes of the rows, so reruns agree. Rows without words are not taken. A null source is a source,
-    the last. Rows that repeat get a row each. Further columns only enter row_key.
+    the last. Rows that repeat get a row each. Further columns only enter the hashes.
     """
     rows = written(
         documents.select(
-            "doc_id", F.col("source").alias("source"), F.xxhash64(*documents.columns).alias("row_key"),
+            "doc_id", F.col("source").alias("source"), F.xxhash64(*documents.columns).alias("row_key"), F.xxhash64(F.lit(2), *documents.columns).alias("row_key2"),
             F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"),
         )
     )
-    totals = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them, or raise MAX_SOURCES with the driver's memory")
-    targets = source_targets([(r["source"], r["n"]) for r in totals], weights, share, cap)
-    table = [(r["source"], r["n"], targets[r["source"]], targets[r["source"]] / r["n"] if r["n"] else 0.0, math.ceil(r["docs"] / block)) for r in totals]
-    sources = rows.sparkSession.createDataFrame(table, "of string, source_size long, target double, ratio double, blocks long")
+    found = written(rows.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")))
+    few = found.count() <= MAX_SOURCES
+    if few:
+        totals = found.collect()
+        targets = source_targets([(r["of"], r["n"]) for r in totals], weights, share, cap)
+        found = rows.sparkSession.createDataFrame([(r["of"], r["n"], r["docs"], targets[r["of"]]) for r in totals], "of string, n long, docs long, target double")
+    else:
+        found = spread_targets(found, weights, share, cap)
+    sources = found.select("of", F.col("n").alias("source_size"), "target", F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0).alias("ratio"), F.ceil(F.col("docs") / block).cast("long").alias("blocks"))
+    most = math.ceil((found.agg(F.max("docs")).first()[0] or 0) / block)
+    sources = F.broadcast(sources) if few else sources
     whole = F.floor(F.col("ratio")).cast("int")
-    start = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "row_key", "source", "size", "source_size", "target", whole.alias("whole"),
+    start = rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
+        "doc_id", "row_key", "row_key2", "source", "size", "source_size", "target", whole.alias("whole"),
         F.when(F.col("size") > 0, F.col("ratio") - whole).otherwise(0.0).alias("part"), unit_hash("doc_id", "row_key", F.lit(seed)).alias("draw"), "blocks",
         F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed + 1)), F.col("blocks")).alias("block"),
     )
-    schema = "doc_id {}, row_key long, source string, size long, source_size long, target double, whole int, part double, draw double, blocks long, block long"
+    schema = "doc_id {}, row_key long, row_key2 long, source string, size long, source_size long, target double, whole int, part double, draw double, blocks long, block long"
     schema = schema.format(rows.schema["doc_id"].dataType.simpleString())
-    most, level, done = max([t[4] for t in table], default=0), start, []
+    level, done = start, []
     while True:
         level = written(level.groupBy("source", "block").applyInPandas(_round_block, schema))
         open_ = (F.col("part") > 0) & (F.col("part") < 1)
@@ -131,16 +162,23 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.least(F.lit(cap), F.col("whole") + F.col("part").cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "row_key")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "row_key", "row_key2")
 
 
 def take(documents: DataFrame, **how) -> DataFrame:
-    """The mix itself: documents, all their columns, each row as often as the mix takes it."""
-    key, mine, n, which = (free_name(documents, x) for x in ("row_key", "mixed_key", "copies", "nth"))
-    chosen = mix(documents, **how).groupBy(F.col("row_key").alias(mine)).agg(F.sort_array(F.collect_list("copies")).alias(n))
-    rows = documents.withColumn(key, F.xxhash64(*documents.columns)).join(chosen, F.col(key) == F.col(mine))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
-    return (
-        rows.withColumn(which, nth).withColumn(n, F.get(F.col(n), F.col(which) - 1)).filter(F.col(n) > 0)
-        .withColumn(which, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*documents.columns)
-    )
+    """The mix itself: documents, all their columns, each row as often as the mix takes it. Of rows that repeat there is one
+    with all their copies, which are dealt out in runs of bounded length."""
+    key, key2, mine, mine2, n, held, run = (free_name(documents, x) for x in ("row_key", "row_key2", "mixed_key", "mixed_key2", "copies", "rows", "run"))
+    chosen = mix(documents, **how).groupBy(F.col("row_key").alias(mine), F.col("row_key2").alias(mine2)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(held)).filter(F.col(n) > 0)
+    chosen = written(chosen)
+    keyed = documents.withColumn(key, F.xxhash64(*documents.columns)).withColumn(key2, F.xxhash64(F.lit(2), *documents.columns))
+    match = (F.col(key) == F.col(mine)) & (F.col(key2) == F.col(mine2))
+    times = lambda x: F.explode(F.sequence(F.lit(1).cast("long"), x.cast("long")))
+    once = keyed.join(chosen.filter(F.col(held) == 1), match).withColumn(run, times(F.col(n))).select(*documents.columns)
+    many = chosen.filter(F.col(held) > 1)
+    if many.isEmpty():
+        return once
+    whole = keyed.join(many, match).groupBy(key, key2, n).agg(F.first(F.struct(*[F.col(c) for c in documents.columns])).alias(held))
+    runs = whole.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN)))).repartition(partitions(documents.sparkSession), key, run)
+    again = runs.withColumn(run, times(F.least(F.lit(RUN), F.col(n) - F.col(run) * RUN))).select(f"{held}.*")
+    return once.unionByName(again)

@@ -31,7 +31,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("row_key")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("row_key", "row_key2")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ SHARDS = 16
 BLOCK = 4096
 #: Rows that one task numbers.
 CELL = 20_000
+#: Rows from which a group of equal texts is met by a broadcast: at most HOT_GROUPS groups have as many.
+HOT_ROWS, HOT_GROUPS = 10_000, 100_000
 
 
 def differencing(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +105,17 @@ def assign_groups(groups: DataFrame, shards: int = SHARDS, block: int = BLOCK) -
 
 
 def number_rows(df: DataFrame, by: str, order: list[str], cell: int = CELL, out: str = "slot") -> DataFrame:
-    """df with gapless numbers from 0 among the rows that share by: cells of near equal, bounded counts are numbered in
-    tasks of their own, and start where the cells before them end."""
-    counts, sub, start, n = (free_name(df, x) for x in ("counts", "cell", "cell_start", "cell_n"))
+    """df, a table that is kept, with gapless numbers from 0 among the rows that share by: cells of near equal, bounded counts
+    are numbered in tasks of their own, and start where the cells before them end. Rows are dealt to cells by their place
+    in the table, so that equal rows are too."""
+    counts, sub, start, n, place = (free_name(df, x) for x in ("counts", "cell", "cell_start", "cell_n", "place"))
     rows = df.count()
     cells = max(1, math.ceil(rows / cell))
-    held = df.withColumn(sub, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    held = df.withColumn(place, F.monotonically_increasing_id()).withColumn(sub, F.pmod(F.xxhash64(place), F.lit(cells)).cast("int"))
     sizes = held.groupBy(by, sub).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(by).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(by).alias(counts), F.col(sub).alias(f"{sub}_at"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
-    inside = F.row_number().over(Window.partitionBy(by, sub).orderBy(*order)) - 1
+    inside = F.row_number().over(Window.partitionBy(by, sub).orderBy(*order, place)) - 1
     numbered = held.withColumn(out, inside.cast("long"))
     return (
         numbered.join(starts, (F.col(by) == F.col(counts)) & (F.col(sub) == F.col(f"{sub}_at")))
@@ -133,8 +136,14 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, block: int = BLO
     rows = written(
         documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("group"))
     )
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    placed = rows.join(assign_groups(groups, shards, block), "group").select("doc_id", "size", "text_crc32", "shard")
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+    placed_groups = written(groups.join(assign_groups(groups.select("group", "bytes"), shards, block), "group").select("group", "shard", "rows"))
+    # A text that very many rows have, as null and empty ones may, would be one key of a shuffle.
+    hot = F.col("rows") >= max(HOT_ROWS, math.ceil((groups.agg(F.sum("rows")).first()[0] or 0) / HOT_GROUPS))
+    few = F.broadcast(placed_groups.filter(hot).select("group", F.col("shard").alias("hot_shard")))
+    met = rows.join(few, "group", "left")
+    cold = met.filter("hot_shard IS NULL").join(placed_groups.filter(~hot).select("group", "shard"), "group")
+    placed = cold.select("doc_id", "size", "text_crc32", "shard").unionByName(met.filter("hot_shard IS NOT NULL").select("doc_id", "size", "text_crc32", F.col("hot_shard").alias("shard")))
     numbered = number_rows(written(placed), "shard", ["doc_id", "text_crc32", "size"], cell)
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -37,7 +37,7 @@ CACHE = 400_000
 #: Bytes of ids, and documents, after which a task begins a new file; a file's index is held until it ends.
 FILE_BYTES, FILE_DOCS = 1 << 29, 4_000_000
 #: Characters of a text that part rows of one id among tasks.
-PREFIX = 64
+PREFIX = 16
 #: Words that the tokenizer gets as one text.
 JOINED = 1000
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1

@@ -189,6 +189,15 @@ def test_language_on_held_out_rows(spark, spoken, documents):
     assert sum(r.rejected for r in got.values()) <= 3 + 0.02 * len(got)
 
 
+def test_every_label_is_learned(spark, documents, monkeypatch):
+    monkeypatch.setattr(lang_id, "MAX_BROADCAST_LANGS", 100)
+    sounds = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join((sounds[i % 26] + sounds[i // 26 % 26]) * 3 for _ in range(8)), f"l{i % 676:03d}", "s", 0, 1, "") for i in range(676 * 4)]
+    model = lang_id.fit(spark.createDataFrame(rows, documents.schema), max_rows=300)
+    learnable = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert set(model.langs) <= learnable and len(model.langs) >= 0.75 * len(learnable)  # the others' rows are for calibration
+
+
 def test_no_labels(nothing, documents):
     from pyspark.sql import functions as F
 

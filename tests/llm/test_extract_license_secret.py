@@ -149,6 +149,9 @@ def test_diagonals(spark):
     found = [(r.doc_id, r["first"], r.past) for r in L.spans(df).filter("label = 'mit'").collect()]
     n = len(words(mit))
     assert (1, 50, 50 + n + 2) in found and len([f for f in found if f[0] == 5]) == 2
+    few, L.MAX_BROADCAST_GRAMS = L.MAX_BROADCAST_GRAMS, 10
+    assert {r.doc_id: (r.labels, r.score) for r in L.scan(df).collect()} == got
+    L.MAX_BROADCAST_GRAMS = few
     assert L.scan(df.limit(0)).collect() == [] and L.scan(df, templates=[]).filter("labels <> ''").count() == 0
 
 

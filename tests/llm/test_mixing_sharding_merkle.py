@@ -52,6 +52,27 @@ def test_mix_by_source(documents, rows, block):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_targets_without_the_driver(spark, documents, monkeypatch):
+    for weights in ((5.0, 2.0, 1.0), (1.0,)):
+        for sizes in ([("b", 10), ("a", 1000), (None, 500), ("é", 300), ("z", 7)], [(f"s{i}", i * i % 97) for i in range(200)], [("a", 0)], [("a", 5)]):
+            want = mixing.source_targets(sizes, weights)
+            table = spark.createDataFrame([(s, n, 1) for s, n in sizes], "of string, n long, docs long")
+            assert {r.of: r.target for r in mixing.spread_targets(table, weights).collect()} == pytest.approx(want)
+    assert mixing.spread_targets(spark.createDataFrame([], "of string, n long, docs long")).collect() == []
+    want = sorted((str(r.doc_id), r.taken, round(r.target, 6)) for r in mixing.mix(documents).collect())
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    assert sorted((str(r.doc_id), r.taken, round(r.target, 6)) for r in mixing.mix(documents).collect()) == want
+
+
+def test_rows_that_repeat_are_taken_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    docs = spark.createDataFrame([(1, "the same words", "a", 5)] * 40 + [(i, f"word {i}", "a", 5) for i in range(2, 30)] + [(50, "", "b", 5)] * 9, "doc_id long, text string, source string, rows int")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixing.take(docs).collect()) == +want and want[1] > 40
+
+
 def test_take_repeats_rows(documents, nothing):
     decided = mixing.mix(documents)
     want = sorted(str(r.doc_id) for r in decided.collect() for _ in range(r.copies))
@@ -89,6 +110,18 @@ def test_shards(documents, rows, nothing, block):
     assert sharding.shard_documents(nothing).collect() == []
 
 
+def test_hot_texts_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    rows = [(1, None)] * 60 + [(2, "")] * 30 + [(3, "hot text")] * 50 + [(i, f"text {i % 30}") for i in range(10, 110)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell=10).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+    assert all(len({r.shard for r in got if r.text_crc32 == c}) == 1 for c in {r.text_crc32 for r in got})
+
+
 def test_shards_come_out_near_equal(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', cast(50 + pmod(xxhash64(id), 3000) as int)) || id AS text")
     loads = [r[0] for r in sharding.shard_documents(docs, block=512).groupBy("shard").agg({"size": "sum"}).select("sum(size)").collect()]
