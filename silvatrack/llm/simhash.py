@@ -260,6 +260,8 @@ PLACES = 256
 SKETCH_MARGIN = 0.15
 #: Texts that are compared at a time; a larger group is cut into blocks of half as many, and these are compared two by two.
 GROUP = 4000
+#: Pairs for each text of a unit above which they are not sent out, but compared where they are, with all shingles.
+DENSE = 4
 #: Keys of rows that are broadcast (24 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 #: Texts that a task compares, about, in whole groups or pairs of blocks.
@@ -344,31 +346,52 @@ def _similar(similarity: float):
     return similar
 
 
-def _compare_cell(similarity: float):
-    """Pairs of texts with near sketches in the groups that a task has, of different classes; of a group with both halves, of
-    different halves."""
+def _compare_cell(similarity: float, exact: bool):
+    """Pairs (unit, a, b) of texts of different classes in the units that a task has; of a unit with both halves, of different
+    halves. Not exact: pairs with near sketches; of a unit with very many, one row without a pair. Exact: links that hold
+    by all shingles and connect whatever all such links in the unit do, at most one for each text."""
 
-    def group(pdf: pd.DataFrame, pairs: list[np.ndarray]) -> None:
+    def unit(pdf: pd.DataFrame) -> list[np.ndarray] | None:
         pdf = pdf.sort_values("node", kind="stable")
         node, size, part, half = (pdf[c].to_numpy() for c in ("node", "m", "class", "half"))
+        part = np.unique(part, return_inverse=True)[1]
         sketches = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, PLACES)
-        both_halves = half.min() != half.max()
+        if exact:
+            flat = np.frombuffer(b"".join(pdf["shingles"]), dtype="<u4")
+            past = np.cumsum(size)
+        both_halves, pairs, n = half.min() != half.max(), [], 0
         for i in range(len(node) - 1):
             near = (part[i + 1 :] != part[i]) & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]))
             if both_halves:
                 near &= half[i + 1 :] != half[i]
             others = np.flatnonzero(near) + i + 1
-            for j in range(0, len(others), 2048):
-                some = others[j : j + 2048]
+            for j in range(0, len(others), 512):
+                some = others[j : j + 512]
                 some = some[sketch_similarity(sketches[i], sketches[some]) >= similarity - SKETCH_MARGIN]
+                if exact:
+                    some = some[part[some] != part[i]]
+                    if len(some):
+                        own = flat[past[i] - size[i] : past[i]]
+                        row, at = _spread(past[some] - size[some], past[some])
+                        both = np.bincount(row, weights=own[np.minimum(np.searchsorted(own, flat[at]), len(own) - 1)] == flat[at], minlength=len(some))
+                        some = some[both >= similarity * (size[i] + size[some] - both)]
+                    if len(some):  # one link to each class
+                        some = some[np.unique(part[some], return_index=True)[1]]
+                        part[np.isin(part, part[some])] = part[i]
                 if len(some):
                     pairs.append(np.stack([np.full(len(some), node[i]), node[some]], axis=1))
+                    n += len(some)
+                    if not exact and n > DENSE * len(node):
+                        return None
+        return pairs
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs: list[np.ndarray] = []
-        for _, rows in pdf.groupby("unit"):
-            group(rows, pairs)
-        return pd.DataFrame(np.concatenate(pairs) if pairs else np.empty((0, 2)), columns=["a", "b"]).astype(np.int64)
+        out = []
+        for name, rows in pdf.groupby("unit"):
+            pairs = unit(rows)
+            a, b = ([None], [None]) if pairs is None else np.concatenate([np.empty((0, 2), dtype=np.int64), *pairs]).T
+            out.append(pd.DataFrame({"unit": name, "a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64")}))
+        return pd.concat(out)
 
     return compare
 
@@ -426,10 +449,20 @@ def similar_texts(texts: DataFrame, sets, similarity: float = SIMILARITY) -> Dat
     sorted_out = written(members.select("group", "node").join(classes, F.col("node") == F.col("mine"), "left").select("group", "node", F.coalesce("root", "node").alias("class")))
     several = sorted_out.groupBy("group").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("group")
     units = written(_units(written(sorted_out.join(several, "group").join(known.select("node", "m"), "node"))))
-    cells = max(1, math.ceil(units.count() / CELL))
-    units = units.join(known.select("node", "sketch"), "node").withColumn("cell", F.pmod(F.xxhash64("unit"), F.lit(cells)))
-    pairs = units.repartition(partitions(units.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_cell(similarity), "a long, b long").distinct()
-    return components(links.unionByName(verified(pairs)))
+
+    def compared(units: DataFrame, texts_in_cell: int, exact: bool) -> DataFrame:
+        cells = max(1, math.ceil(units.count() / texts_in_cell))
+        rows = units.join(known.select("node", "sketch"), "node").withColumn("cell", F.pmod(F.xxhash64("unit"), F.lit(cells)))
+        if exact:
+            rows = rows.join(sets(units.select("node").distinct()), "node")
+        return written(rows.repartition(partitions(units.sparkSession), "cell").groupBy("cell").applyInPandas(_compare_cell(similarity, exact), "unit long, a long, b long"))
+
+    pairs = compared(units, CELL, False)
+    links = links.unionByName(verified(pairs.filter("a IS NOT NULL").select("a", "b").distinct()))
+    dense = pairs.filter("a IS NULL").select("unit").distinct()
+    if not dense.isEmpty():
+        links = links.unionByName(compared(written(units.join(dense, "unit")), GROUP, True).select("a", "b"))
+    return components(links)
 
 
 def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_SHINGLE) -> DataFrame:

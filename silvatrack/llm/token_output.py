@@ -31,9 +31,9 @@ END_ID = 2
 #: Bytes of ids after which a frame ends; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 18
 #: Bytes of text that are encoded at a time; a longer text is taken alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 3 << 20
 #: Distinct pieces of text whose ids a Python worker remembers (about 60 bytes each), and half of which it keeps when they are more.
-CACHE = 400_000
+CACHE = 300_000
 #: Bytes of ids, and documents, after which a task begins a new file; a file's index is held until it ends.
 FILE_BYTES, FILE_DOCS = 1 << 29, 4_000_000
 #: Characters of a text that part rows of one id among tasks.

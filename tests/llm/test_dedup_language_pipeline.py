@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from silvatrack.llm import lang_id, simhash
@@ -120,6 +121,47 @@ def test_groups_of_any_size_are_compared_in_full(spark, monkeypatch, same_fp, gr
     assert {(r.node, r.root) for r in found.collect() if r.node != r.root} == {(i + 1, i) for i in range(0, 40, 2)}
 
 
+@pytest.mark.parametrize("group", [4000, 30])
+def test_units_with_very_many_near_pairs(spark, monkeypatch, group):
+    """Variants of one text, most of them less alike than 0.8: pairs are compared where they are, and no link is lost."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "DENSE", 1)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    docs = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.choice([1, 4, 5, 6])):
+            copy[rng.randrange(200)] = word()
+        docs.append((i, " ".join(copy)))
+    sets, up = [shingles(t) for _, t in docs], list(range(120))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = [(i, j) for i in range(120) for j in range(i)]
+    for i, j in pairs:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    assert sum(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i, j in pairs) > 3000
+    got = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {root(i) for i in range(120)}
+    # The units' own comparison, on texts that no star has connected.
+    table = pd.DataFrame({"unit": 1, "node": range(120), "class": range(120), "half": 0, "shingles": [simhash.shingle_set(t.encode()).astype("<u4").tobytes() for _, t in docs]})
+    table["m"] = table["shingles"].map(len) // 4
+    table["sketch"] = [simhash.sketch(simhash.shingle_set(t.encode())).tobytes() for _, t in docs]
+    assert simhash._compare_cell(0.8, False)(table)["a"].isna().all()
+    links = simhash._compare_cell(0.8, True)(table)
+    seen = list(range(120))
+    for a, b in zip(links["a"], links["b"]):
+        assert len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        seen = [seen[a] if x == seen[b] else x for x in seen]
+    assert len(links) == 120 - len({root(i) for i in range(120)}) and len(set(seen)) == len({root(i) for i in range(120)})
+
+
 def test_no_task_gets_a_large_group_whole(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 10)
     rows = [(1, i, 100, 0 if i < 150 else i) for i in range(200)] + [(2, i, 100 + 40 * (i % 3), i) for i in range(60)] + [(3, i, 100, i) for i in range(5)]
