@@ -87,8 +87,15 @@ class Model:
     temperature: float
     threshold: float
 
+    def __post_init__(self):
+        # Of few languages, each bucket's score for each is fewer numbers than its row.
+        self.table = self.emb @ self.out if len(self.langs) < DIM else None
+
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        return counts.astype(np.float32) @ self.emb / max(1, int(counts.sum())) @ self.out + self.bias
+        n = max(1, int(counts.sum()))
+        if self.table is not None:
+            return counts.astype(np.float32) @ self.table / n + self.bias
+        return counts.astype(np.float32) @ self.emb / n @ self.out + self.bias
 
     def predict(self, text: bytes) -> tuple[str, float]:
         z = self.logits(count_subwords(text)).astype(np.float64) / self.temperature

@@ -173,7 +173,8 @@ def test_secrets_and_look_alikes(spark):
         }[kind]
         docs.append((i, f"the words of document stand here {body} and the words go on", f"src{i % 3}"))
     docs += [(200, None, "s"), (201, "", None), (None, f'api_key: "{secret(1000)}"', "s"), (3, docs[3][1], "src0"), (202, "password = 'xxxxxxxxxxxxxxxxxxxxxxxx'", "s"), (203, "A" * 5000 + " key", "s")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumnRenamed("value", "value")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    df = df.selectExpr("*", "1 AS value", "'a' AS label", "2 AS pos", "3 AS c", "4 AS before", "5 AS features", "6 AS near")
     got = S.scan(df).collect()
     assert len(got) == len(docs)
     by = {r.doc_id: r for r in got}
@@ -211,3 +212,47 @@ def test_long_runs_and_their_parts_are_judged(spark):
     assert got == {(1, block): 16, (2, path): 7, (2, secret(7)): docs[1][1].index(secret(7)) + 1, (3, "-_" * 20_000): 1}
     by = {r.doc_id: r for r in S.scan(df).collect()}
     assert by[1].n_candidates == 1 and by[1].n_secrets == 1 and by[2].n_candidates == 2 and by[3].n_secrets == 0
+
+
+def test_short_values_behind_key_words(spark):
+    docs = [(1, 'set password = "hunter2pw!x", or pwd: s3cr3t.Va1ue. Then\n{"api_key": "zz91"} token=ab12cd34ef', "s"), (2, "the secret is out; password: nothing", "s")]
+    docs += [(10 + i, f"see commit {secret(50 + i)} or token = '{secret(90 + i)}' and password = 'Qx{i}7!kd'", "s") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = {(r.doc_id, r.value): (r.pos, r.before[-4:], r.after[:1]) for r in S.candidates(df).filter("doc_id < 10").collect()}
+    text = docs[0][1]
+    want = {(1, v): (text.index(v) + 1, text[: text.index(v)][-4:], text[text.index(v) + len(v)] if text.index(v) + len(v) < len(text) else "") for v in ("hunter2pw!x", "s3cr3t.Va1ue", "ab12cd34ef")}
+    want[1, "token=ab12cd34ef"] = (text.index("token=") + 1, '1"} ', "")  # a run of key characters itself
+    assert found == want | {(2, "nothing"): (docs[1][1].index("nothing") + 1, "rd: ", "")}
+    assert S.scan(df).filter("doc_id = 1").first().n_secrets >= 1
+
+
+def test_forest_judges_what_no_rule_is_sure_of(spark):
+    """Findings of a known kind, most of them without a label; the forest is held against the truth."""
+    import random
+
+    rng = random.Random(7)
+    base = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda: rng.choice(["window", "garden", "station", "morning", "letter", "number", "river", "yellow"])
+    made = lambda: "".join(rng.choice(["win", "gar", "sta", "mor", "let", "num", "riv", "yel", "den", "ter", "ing"]) for _ in range(3))
+    docs, truth = [], {}
+    for i in range(500):
+        key = "".join(rng.choice(base) for _ in range(rng.randrange(20, 44)))
+        kind = i % 5
+        body = {
+            0: f'token = "{key}"', 1: f"use {key} for it", 2: f"at {word()}_{word()}_{word()}{rng.randrange(10)} of it",
+            3: f"{word()}{made().title()}{made().title()}{rng.randrange(9)}", 4: f"commit {secret(i)}",
+        }[kind]
+        value = re.findall("[A-Za-z0-9_]{16,}", body)
+        truth[i] = bool(value) and kind < 2
+        docs.append((i, f"{word()} {word()} and {word()} stand here {body} and {word()} goes on with {word()}", f"src/{word()}{i % 3}.txt"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = S.labelled_findings(df).cache()
+    free = found.filter("label IS NULL")
+    assert free.filter("doc_id % 5 IN (1, 3)").count() > 150
+    judged = [(r.doc_id, r.secret) for r in S.judge(df).filter("label IS NULL").collect()]
+    hit = sum(s and truth[i] for i, s in judged)
+    precision, recall = hit / max(1, sum(s for _, s in judged)), hit / max(1, sum(truth[i] for i, _ in judged))
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
+    seen = S.quality(found)
+    assert seen["n"] >= 20 and seen["precision"] >= 0.95 and seen["recall"] >= 0.95
+    assert S.quality(found, mask=True)["recall"] >= 0.8
