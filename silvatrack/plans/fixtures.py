@@ -1,8 +1,8 @@
 """Reads, dimensions, parameters and posteriors derived from the given tables, on which the queries run. What several steps
 need (pooled counts, thresholds, calls, chunks) is worked out once and kept as a table in the session's shared folder.
 
-Line items stand for reads: the supplier's region is the species, return flag and line status the mark, the ship date the
-place. Expressions are the same in the SQL that the queries are held against.
+Line items stand for reads: the supplier's region is the species, return flag and line status the mark, a range of orders
+the chromosome, the ship date the place. Expressions are the same in the SQL that the queries are held against.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from ..functions.model import Tree, row_normalize
 from ..operators import convert, features, segment
 
 WINDOW, LEVEL, KERNEL, MIN_READS, MIN_SIZE, K, SPECIES, MARKS = 2000, 0.1, 5, 4.5, 5, 3, 5, 6
-SIZES = [("chr1", 500000), ("chr2", 499000), ("chr3", 497500), ("chrX", 500000)]
+#: Orders of a chromosome: the genome grows with the tables, and stays as densely read.
+ORDERS = 3750
+#: The name of the chromosome with number c, and its length, which is not always whole windows.
+CHROM, LENGTH = "CASE WHEN c = 3 THEN 'chrX' ELSE concat('chr', c) END", "500000 - c % 3 * 1250"
 PARENTS = {"AFRICA": "AFRICA", "AMERICA": "AFRICA", "ASIA": "AFRICA", "EUROPE": "ASIA", "MIDDLE EAST": "ASIA"}
 
 
@@ -78,19 +81,21 @@ class Data:
         places = t("supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(region), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
         b = t("lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
             F.col("r_name").alias("species"), F.concat("l_returnflag", "l_linestatus").alias("mark"), (1 + F.col("l_partkey") % 2).cast("int").alias("rep"),
-            F.expr("CASE l_orderkey % 4 WHEN 0 THEN 'chrX' WHEN 1 THEN 'chr1' WHEN 2 THEN 'chr2' ELSE 'chr3' END").alias("chrom"),
+            F.expr(f"l_orderkey div {ORDERS}").alias("c"),
             F.expr("CAST(datediff(l_shipdate, date'1995-01-01') * 200 + (l_partkey * 37 + l_linenumber * 11) % 200 AS bigint)").alias("pos"),
             (F.col("l_linenumber") % 2 == 0).alias("paired"), (F.col("l_partkey") % 5 != 0).alias("proper"), "l_orderkey", "l_quantity",
         )
         return b.select(
-            "species", "mark", "rep", "chrom", "pos", F.expr("CASE WHEN paired THEN pos + 150 ELSE 0 END").cast("long").alias("mpos"), F.lit(36).alias("rlen"),
+            "species", "mark", "rep", F.expr(CHROM).alias("chrom"), "pos", F.expr("CASE WHEN paired THEN pos + 150 ELSE 0 END").cast("long").alias("mpos"), F.lit(36).alias("rlen"),
             F.expr("CAST((CASE WHEN paired THEN 1 ELSE 0 END) + (CASE WHEN paired AND proper THEN 2 ELSE 0 END) + (CASE WHEN l_orderkey % 32 = 5 THEN 1024 ELSE 0 END) AS int)").alias("flag"),
             F.expr("CAST(CASE WHEN l_quantity = 1 THEN 0 ELSE 37 END AS int)").alias("mapq"),
         )
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return convert.select_chroms(self.spark.createDataFrame(SIZES, "chrom string, length bigint"), WINDOW)
+        last = self.table("lineitem").agg(F.max("l_orderkey")).first()[0]
+        genome = self.spark.range(0 if last is None else last // ORDERS + 1).toDF("c")
+        return convert.select_chroms(genome.select(F.expr(CHROM).alias("chrom"), F.expr(LENGTH).cast("long").alias("length")), WINDOW)
 
     @cached_property
     def binned(self) -> DataFrame:

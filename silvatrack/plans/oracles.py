@@ -6,15 +6,15 @@ _SF = "1 - list_sum(list_transform(range(0, CAST({n} AS BIGINT) + 1), lambda j:
 
 STEPS = {
     "b": ("", """SELECT r.r_name AS species, concat(l_returnflag, l_linestatus) AS mark, CAST(1 + l_partkey % 2 AS INT) AS rep,
-  CASE l_orderkey % 4 WHEN 0 THEN 'chrX' WHEN 1 THEN 'chr1' WHEN 2 THEN 'chr2' ELSE 'chr3' END AS chrom,
+  CASE WHEN l_orderkey // 3750 = 3 THEN 'chrX' ELSE concat('chr', l_orderkey // 3750) END AS chrom,
   CAST(date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) * 200 + (l_partkey * 37 + l_linenumber * 11) % 200 AS BIGINT) AS pos,
   l_linenumber % 2 = 0 AS paired, l_partkey % 5 <> 0 AS proper, l_orderkey, l_quantity
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region r ON n_regionkey = r_regionkey"""),
     "reads": ("b", """SELECT species, mark, rep, chrom, pos, CAST(CASE WHEN paired THEN pos + 150 ELSE 0 END AS BIGINT) AS mpos, CAST(36 AS INT) AS rlen,
   CAST((CASE WHEN paired THEN 1 ELSE 0 END) + (CASE WHEN paired AND proper THEN 2 ELSE 0 END) + (CASE WHEN l_orderkey % 32 = 5 THEN 1024 ELSE 0 END) AS INT) AS flag,
   CAST(CASE WHEN l_quantity = 1 THEN 0 ELSE 37 END AS INT) AS mapq FROM b"""),
-    "sizes": ("", """SELECT chrom, length, length // 2000 AS bins FROM (VALUES ('chr1', CAST(500000 AS BIGINT)), ('chr2', 499000), ('chr3', 497500), ('chrX', 500000)) v(chrom, length)
-  WHERE chrom NOT IN ('chrM', 'chrY', 'chrX')"""),
+    "sizes": ("", """SELECT chrom, length, length // 2000 AS bins FROM (SELECT CASE WHEN c = 3 THEN 'chrX' ELSE concat('chr', c) END AS chrom, CAST(500000 - c % 3 * 1250 AS BIGINT) AS length
+  FROM (SELECT unnest(range(0, max(l_orderkey) // 3750 + 1)) AS c FROM lineitem)) WHERE chrom NOT IN ('chrM', 'chrY', 'chrX')"""),
     "good": ("reads", "SELECT * FROM reads WHERE flag & 1796 = 0 AND mapq > 0"),
     "kept": ("good sizes", """SELECT species, mark, rep, good.chrom, pos, flag,
   least(bins - 1, (CASE WHEN flag & 1 <> 0 THEN (pos + mpos + rlen) // 2 ELSE pos + 100 END) // 2000) AS bin
