@@ -13,7 +13,8 @@ from .common import NOT_WORD, free_name, words
 
 #: Words in a window.
 WINDOW = 10
-#: A benchmark with more windows is not broadcast: its windows are joined by a shuffle, with the same result.
+#: A benchmark with more windows is not broadcast: hashes of windows are joined by a shuffle, and what they find is verified,
+#: with the same result.
 MAX_BROADCAST_WINDOWS = 100_000
 #: Words of a window that are hashed first; the whole window only where these are in the set.
 HEAD = 3
@@ -76,11 +77,30 @@ def find_hits(
         for r in hashed.groupBy("n_window").agg(F.collect_set("whole").alias("whole"), F.collect_set("head").alias("head")).collect():
             sets[r["n_window"]] = (r["head"], r["whole"])
     spread = documents.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    if not small:
+        return _large_hits(spread, table, sorted(counts))
     none = F.array().cast("array<struct<pos:int,len:int,window:string>>")
     found = [_candidates("w", k, *sets.get(k, (None, None))) for k in sorted(counts)]
     rows = spread.select("doc_id", "text_key", F.explode(F.concat(none, *found)).alias("c")).select("doc_id", "text_key", "c.*")
     table = table.select("window", "item_id")
-    return rows.join(F.broadcast(table) if small else table, "window").drop("window")
+    return rows.join(F.broadcast(table), "window").drop("window")
+
+
+def _large_hits(spread: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
+    """find_hits of a benchmark whose windows are not broadcast: of each window of a document only its place and hash go to the
+    shuffle; words go there of windows whose hash an item has."""
+    none = F.array().cast("array<struct<pos:int,len:int,hash:bigint>>")
+
+    def places(k: int) -> Column:
+        every = F.expr(f"CASE WHEN size(w) >= {k} THEN sequence(0, size(w) - {k}) ELSE cast(array() AS array<int>) END")
+        return F.transform(every, lambda i: F.struct(i.alias("pos"), F.lit(k).alias("len"), F.xxhash64(F.slice("w", i + 1, k)).alias("hash")))
+
+    hashed = spread.select("doc_id", "text_key", F.explode(F.concat(none, *map(places, lengths))).alias("c")).select("doc_id", "text_key", "c.*")
+    known = table.select(F.col("n_window").alias("len"), F.xxhash64(F.split("window", " ")).alias("hash")).distinct()
+    found = hashed.join(known, ["len", "hash"]).groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.collect_set(F.struct("pos", "len")).alias("spans"))
+    back = spread.dropDuplicates(["doc_id", "text_key"]).join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")))
+    rows = back.select("doc_id", "text_key", "w", F.explode("spans").alias("s")).select("doc_id", "text_key", "s.pos", "s.len", F.array_join(F.slice("w", F.col("s.pos") + 1, F.col("s.len")), " ").alias("window"))
+    return rows.join(table.select("window", "item_id"), "window").drop("window")
 
 
 def _covered(spans: Column) -> Column:
