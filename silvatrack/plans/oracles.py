@@ -137,7 +137,7 @@ ORACLES = {
     "a1_reads": query("SELECT * FROM reads", "reads"),
     "a2_samples": query("""SELECT s.species, m.mark, CAST(count(DISTINCT r.rep) AS BIGINT) AS reps, count(r.rep) AS n FROM species_dim s CROSS JOIN mark_dim m
 LEFT JOIN reads r ON r.species = s.species AND r.mark = m.mark GROUP BY s.species, m.mark""", "reads", "species_dim", "mark_dim"),
-    "a5_params_round_trip": query(f"SELECT 'emit' AS name, k, l, {R('e')} AS value FROM emission", "emission"),
+    "a5_params_roundtrip": query(f"SELECT 'emit' AS name, k, l, {R('e')} AS value FROM emission", "emission"),
     "a3_observations_round_trip": query("SELECT i, l, chrom, bin FROM cells", "cells"),
     "a7_bed_round_trip": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state
 FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) x JOIN species_dim s ON s.i = x.i WHERE o = 1""", "q", "species_dim"),

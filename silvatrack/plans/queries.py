@@ -49,7 +49,7 @@ def a2_samples(d):
 
 
 @register
-def a5_params_round_trip(d):
+def a5_params_roundtrip(d):
     """Emissions estimated from the posteriors, saved as parameters of a run and loaded again."""
     e = {(r["k"], r["l"]): r["e"] for r in emission.normalize(_states(d.posterior.select("chrom", "bin", "i", "q")), d.cells, d.avail, 1e-6).collect()}
     path = fx.folder(d.spark, "params")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silvatrack.functions.model import Tree, normalize_stats, random_params, row_normalize
+from silvatrack.functions.model import Tree, random_params, row_normalize
 from silvatrack.functions.poisson import smallest_present
 from silvatrack.functions.signal import gauss_kernel
 from silvatrack.operators import convert, decode, emission, features, gaussian_init, relational, segment
