@@ -266,3 +266,16 @@ def test_pipeline(spark, documents, tmp_path):
     assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in at.collect()) and before > 0
     assert 7 not in {r.doc_id for r in last}
     assert [r.start for r in sorted(last, key=lambda r: r.start)] == np.cumsum([0] + [r.n_tokens for r in sorted(last, key=lambda r: r.start)])[:-1].tolist()
+
+
+def test_pipeline_on_no_rows_and_on_clashing_names(spark, documents, nothing, tmp_path):
+    import corpus_pipeline
+
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    bench = spark.createDataFrame([(1, "ten words that no document has stand here in a row")], "item_id long, text string")
+    clashing = documents.selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 AS row_key", "2 AS Row_Key2", "3 AS node", "4 AS copies", "5 AS run", "6 AS held_out", "7 AS text_key", "8 AS nth")
+    for name, docs in (("none", nothing), ("names", clashing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (found == []) == (name == "none")
