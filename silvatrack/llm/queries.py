@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, secret_scan, sharding, simhash, token_output
+from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, secret_scan, sharding, simhash, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,16 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_language, op3_licenses, op4_secrets, op5_mix_sources, op6_near_duplicates, op7_merkle_fingerprints, op8_decontaminate, op9_token_files, op10_shard)}
+    found = (
+        op1_main_text, op2_language, op3_licenses, op4_secrets, op5_mix_sources, op6_near_duplicates, op7_merkle_fingerprints, op8_decontaminate,
+        op9_token_files, op10_shard, op11_token_counts,
+    )
+    return {f.__name__: f for f in found}
 
 
 _OP8 = r"""
