@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, secret_scan, sharding, simhash, token_counts, token_output
+from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, prefix_trie, secret_scan, sharding, simhash, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_main_text, op2_language, op3_licenses, op4_secrets, op5_mix_sources, op6_near_duplicates, op7_merkle_fingerprints, op8_decontaminate,
-        op9_token_files, op10_shard, op11_token_counts,
+        op9_token_files, op10_shard, op11_token_counts, op12_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -98,5 +102,47 @@ FROM doc d LEFT JOIN cov ON cov.r = d.r LEFT JOIN its ON its.r = d.r
 """
 
 
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, CAST(i AS INT), 1)) AS BIGINT)), "
+    "lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295))"
+)
+
+_OP12 = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS pos, g, bytes FROM (
+    SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+           sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+    FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (
+  SELECT c, c - c % 5 AS b, {_CRC32.format("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM t)
+), heads AS (
+  SELECT o.c, o.h, least(o.h, coalesce(max(t.pos), 0)) AS k FROM own o LEFT JOIN t ON t.c = o.b GROUP BY o.c, o.h
+), turns AS (
+  SELECT o.c, t.pos AS d, g, bytes FROM own o JOIN t ON t.c = o.b AND t.pos <= o.h
+  UNION ALL SELECT h.c, t.pos - h.h + h.k, g, bytes FROM heads h JOIN t ON t.c = h.c AND t.pos > h.h
+), whole AS (
+  SELECT h.c, coalesce(list(g ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS w, coalesce(list(bytes ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS sizes, count(d) AS n
+  FROM heads h LEFT JOIN turns t ON t.c = h.c GROUP BY h.c
+), prefix AS (
+  SELECT c, d, n, sha256(array_to_string(w[1:d], ',')) AS f, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS bytes FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM whole)
+), node AS (
+  SELECT d, f, min(c) AS c, count(*) AS n_convs, max(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefix GROUP BY d, f
+), parents AS (
+  SELECT a.*, p.c AS parent FROM node a LEFT JOIN prefix x ON x.c = a.c AND x.d = a.d - 1 LEFT JOIN node p ON p.d = x.d AND p.f = x.f
+), kids AS (
+  SELECT a.c, a.d, a.n_convs, a.bytes, a.parent, a.ends_sha256, count(b.c) AS n_children FROM parents a LEFT JOIN parents b ON b.parent = a.c AND b.d = a.d + 1 GROUP BY ALL
+), sums AS (
+  SELECT u.c, u.d, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved
+  FROM kids v JOIN prefix x ON x.c = v.c AND x.d <= v.d JOIN node u ON u.d = x.d AND u.f = x.f GROUP BY u.c, u.d
+)
+SELECT k.c AS conv_id, CAST(k.d AS BIGINT) AS depth, k.parent AS parent_conv_id, CAST(k.n_convs AS BIGINT) AS n_convs, CAST(k.n_children AS BIGINT) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM kids k JOIN sums s ON s.c = k.c AND s.d = k.d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": _OP8}
+    return {"op8_decontaminate": _OP8, "op12_prefix_trie": _OP12}
