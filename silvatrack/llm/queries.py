@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, prefix_trie, secret_scan, sharding, simhash, token_counts, token_output
+from . import decontaminate, html_extract, lang_id, license_scan, merkle, mixing, prefix_trie, secret_scan, sharding, simhash, token_counts, token_output, turn_repair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +62,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_main_text, op2_language, op3_licenses, op4_secrets, op5_mix_sources, op6_near_duplicates, op7_merkle_fingerprints, op8_decontaminate,
-        op9_token_files, op10_shard, op11_token_counts, op12_prefix_trie,
+        op9_token_files, op10_shard, op11_token_counts, op12_prefix_trie, op13_repair_turns,
     )
     return {f.__name__: f for f in found}
 
@@ -143,6 +147,51 @@ SELECT k.c AS conv_id, CAST(k.d AS BIGINT) AS depth, k.parent AS parent_conv_id,
 FROM kids k JOIN sums s ON s.c = k.c AND s.d = k.d
 """
 
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: For each state (start, system, user, assistant), from the last row to the first: the cheapest edits from there on, with the repaired lines.
+_BEST = """list_min([struct_pack(c := v.{s}.c + 4, a := 'D' || v.{s}.a, t := v.{s}.t),
+      struct_pack(c := v.{k}.c + CASE WHEN NOT gone AND {keeps} THEN more ELSE 1000000000 END, a := 'K' || v.{k}.a, t := list_prepend(role || ':' || text, v.{k}.t)),
+      struct_pack(c := v.{r}.c + CASE WHEN gone THEN 1000000000 ELSE 3 + more END, a := 'R' || v.{r}.a, t := list_prepend('{word}:' || text, v.{r}.t))])"""
+_USER, _ASSISTANT = {"r": "u", "word": "user"}, {"r": "a", "word": "assistant"}
+_OP13 = f"""
+WITH RECURSIVE held AS (
+  SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') AS id, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), kinds AS (SELECT *, {_CRC32.format("name")} % 20 AS kind FROM held
+), hurt AS (
+  SELECT conv_id, id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS i, rtrim(text, {_SPACE}) AS bare FROM hurt
+), seen AS (SELECT *, row_number() OVER (PARTITION BY id, role, text ORDER BY i) AS o, lag(role) OVER (PARTITION BY id ORDER BY i) AS before FROM ordered
+), rows AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND o > 1 AS again, bare <> '' AND o = 1 AND substr(bare, length(bare), 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS x,
+         i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS odd FROM seen
+), marked AS (SELECT id, i, role, text, x, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM rows
+), counts AS (
+  SELECT id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+         count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE odd) AS illegal FROM rows GROUP BY id
+), v AS (
+  SELECT id, n + 1 AS i, struct_pack(c := CAST(0 AS BIGINT), a := '', t := CAST([] AS VARCHAR[])) AS "0", struct_pack(c := CAST(6 AS BIGINT), a := 'II', t := ['user:', 'assistant:']) AS s,
+         struct_pack(c := CAST(3 AS BIGINT), a := 'I', t := ['assistant:']) AS u, struct_pack(c := CAST(0 AS BIGINT), a := '', t := CAST([] AS VARCHAR[])) AS a FROM counts
+  UNION ALL
+  SELECT id, i, list_min([b0, struct_pack(c := bu.c + 3, a := 'I' || bu.a, t := list_prepend('user:', bu.t)), struct_pack(c := ba.c + 6, a := 'II' || ba.a, t := list_concat(['user:', 'assistant:'], ba.t))]),
+         list_min([bs, struct_pack(c := bu.c + 3, a := 'I' || bu.a, t := list_prepend('user:', bu.t)), struct_pack(c := ba.c + 6, a := 'II' || ba.a, t := list_concat(['user:', 'assistant:'], ba.t))]),
+         list_min([bu, struct_pack(c := ba.c + 3, a := 'I' || ba.a, t := list_prepend('assistant:', ba.t))]), list_min([ba, struct_pack(c := bu.c + 3, a := 'I' || bu.a, t := list_prepend('user:', bu.t))])
+  FROM (SELECT v.id, m.i,
+      {_BEST.format(s='"0"', k="s", keeps="x = 's'", **_USER).replace("list_min([", "list_min([struct_pack(c := v.u.c + CASE WHEN NOT gone AND x = 'u' THEN more ELSE 1000000000 END, a := 'K' || v.u.a, t := list_prepend(role || ':' || text, v.u.t)), ")} AS b0,
+      {_BEST.format(s="s", k="u", keeps="x = 'u'", **_USER)} AS bs,
+      {_BEST.format(s="u", k="a", keeps="x = 'a'", **_ASSISTANT)} AS bu,
+      {_BEST.format(s="a", k="u", keeps="x = 'u'", **_USER)} AS ba
+    FROM v JOIN marked m ON m.id = v.id AND m.i = v.i - 1)
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v."0".c, 0) AS BIGINT) AS cost, coalesce(v."0".a, '') AS audit,
+       sha256(coalesce(array_to_string(v."0".t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, id FROM held) o LEFT JOIN counts c ON c.id = o.id LEFT JOIN v ON v.id = o.id AND v.i = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": _OP8, "op12_prefix_trie": _OP12}
+    return {"op8_decontaminate": _OP8, "op12_prefix_trie": _OP12, "op13_repair_turns": _OP13}
