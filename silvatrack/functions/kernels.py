@@ -4,13 +4,19 @@ free energy, or minus the log-likelihood). Spark runs them on chunks that are in
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
+from . import exact
 from .model import FLOOR, Tree, log
 
-MAX_JOINT = 4096
+#: Joint states of exact inference, by default: what is held is about twice the square root of the bins times as many numbers.
+MAX_JOINT = 1 << 18
 #: Transitions whose tables are held at a time: longer chunks take no more of these.
 BLOCK = 1024
+#: Bins whose messages are made at a time.
+MESSAGE_BLOCK = 256
 
 
 def emission(x: np.ndarray, avail: np.ndarray, params: dict) -> np.ndarray:
@@ -94,16 +100,27 @@ def blocks(n: int) -> list[tuple[int, int]]:
 
 
 def best_path(start: np.ndarray, step: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Max-product along a chain with one table (K, K) for all transitions: the likeliest states, the lowest among equals."""
-    score, back = start + nodes[0], np.empty(nodes.shape, dtype=np.int16 if len(start) < 2**15 else np.int32)
-    for t in range(1, len(nodes)):
-        both = score[:, None] + step
-        back[t] = both.argmax(axis=0)
-        score = both.max(axis=0) + nodes[t]
-    path = [int(score.argmax())]
-    for t in range(len(nodes) - 1, 0, -1):
-        path.append(int(back[t][path[-1]]))
-    return np.array(path[::-1])
+    """Max-product along a chain with one table (K, K) for all transitions: the likeliest states, the lowest among equals. Scores are
+    held for every square root of the bins, and pointers for as many at a time."""
+    n = len(nodes)
+    size = max(1, math.isqrt(n - 1) + 1)
+    score, kept = start + nodes[0], []
+    for t in range(n):
+        score = score if t == 0 else (score[:, None] + step).max(axis=0) + nodes[t]
+        if t % size == 0:
+            kept.append(score)
+    path = np.empty(n, dtype=np.int64)
+    path[-1] = score.argmax()
+    back = np.empty((size, len(start)), dtype=np.int16 if len(start) < 2**15 else np.int32)
+    for lo in range((n - 1) // size * size, -1, -size):
+        score, hi = kept.pop(), min(lo + size, n - 1)
+        for t in range(lo, hi):
+            both = score[:, None] + step
+            back[t - lo] = both.argmax(axis=0)
+            score = both.max(axis=0) + nodes[t + 1]
+        for t in range(hi - 1, lo - 1, -1):
+            path[t] = back[t - lo][path[t + 1]]
+    return path
 
 
 def empty_stats(params: dict) -> dict[str, np.ndarray]:
@@ -271,125 +288,148 @@ def independent(x, avail, params, tree: Tree, **_):
     return q, stats, -total, [-total]
 
 
-def joint_tables(params: dict, tree: Tree, species: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log start (S), log steps (S, S) of the joint states and each state's species (S, species), species 0 most significant."""
-    k = len(params["gamma"])
-    if k**species > MAX_JOINT:
-        raise ValueError(f"{k} states of {species} species are {k**species} joint states; at most {MAX_JOINT} are handled")
-    z = np.array(np.unravel_index(np.arange(k**species), (k,) * species)).T
-    start, steps = np.zeros(len(z)), np.zeros((len(z), len(z)))
-    for i, p in enumerate(tree.parent):
-        if p is None:
-            start += log(params["gamma"])[z[:, i]]
-            steps += log(params["alpha"])[z[:, i][:, None], z[:, i][None, :]]
-        else:
-            start += log(params["beta"])[z[:, p], z[:, i]]
-            steps += log(theta_of(params, tree, i))[z[:, p][None, :], z[:, i][:, None], z[:, i][None, :]]
-    return start, steps, z
-
-
-def _joint_nodes(o: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return sum(o[i][:, z[:, i]] for i in range(len(o)))
-
-
-def clique(x, avail, params, tree: Tree, **_):
-    """Exact: sum-product over the joint states of all species."""
-    o = emission(x, avail, params)
-    species, n, k = o.shape
-    start, steps, z = joint_tables(params, tree, species)
-    c = Chain(start, steps, _joint_nodes(o, z))
-    joint, value = c.q, c.value
-    cells = joint.reshape((n,) + (k,) * species)
-    q = np.stack([cells.sum(axis=tuple(a + 1 for a in range(species) if a != i)) for i in range(species)])
-    stats, both = empty_stats(params), c.pair_sum()
+def clique(x, avail, params, tree: Tree, max_joint: int = MAX_JOINT, **_):
+    """Exact: sum-product over the joint states of all species, a species at a time."""
+    q, pairs, first, value = exact.sum_product(emission(x, avail, params), params, tree, max_joint)
+    stats = empty_stats(params)
     for i, p in enumerate(tree.parent):
         if p is None:
-            stats["gamma"] += q[i, 0]
-            np.add.at(stats["alpha"], (z[:, i][:, None], z[:, i][None, :]), both)
+            stats["gamma"] += first[i][0]
+            stats["alpha"] += pairs[i][0]
         else:
-            np.add.at(stats["beta"], (z[:, p], z[:, i]), joint[0])
+            stats["beta"] += first[i]
             theta = stats["theta"] if stats["theta"].ndim == 3 else stats["theta"][tree.branch()[i]]
-            np.add.at(theta, (np.broadcast_to(z[:, p][None, :], both.shape), np.broadcast_to(z[:, i][:, None], both.shape), np.broadcast_to(z[:, i][None, :], both.shape)), both)
+            theta += pairs[i]
     emission_stats(stats, q, x, avail, params)
     return q, stats, -value, [-value]
 
 
-def viterbi(x, avail, params, tree: Tree, joint: bool = True) -> np.ndarray:
+def viterbi(x, avail, params, tree: Tree, joint: bool = True, max_joint: int = MAX_JOINT, **_) -> np.ndarray:
     """The likeliest states (species, bins): of all species together, or of each one's own chain."""
     o = emission(x, avail, params)
     if not joint:
         return np.stack([best_path(log(params["gamma"]), log(params["alpha"]), a) for a in o])
-    start, steps, z = joint_tables(params, tree, len(o))
-    return z[best_path(start, steps, _joint_nodes(o, z))].T
+    return exact.max_product(o, params, tree, max_joint)
 
 
-def loopy(x, avail, params, tree: Tree, most: int = 60, tolerance: float = 1e-2, **_):
-    """Loopy belief propagation: each node's table ties it to its parent and to the bin before; all messages of a round are
-    sent at once, normalised, until none changes by as much as the tolerance. The objective is Bethe's free energy."""
-    o = emission(x, avail, params)
-    species, n, k = o.shape
-    local = np.exp(o - o.max(axis=2, keepdims=True))
-    unit = lambda a: a / np.maximum(a.sum(axis=-1, keepdims=True), FLOOR)
-    down, left, up = (np.full((species, n, k), 1.0 / k) for _ in range(3))  # to the node, the bin before, the parent
-    tables = []
-    for i, p in enumerate(tree.parent):
-        first = params["gamma"][None, None, None, :] if p is None else params["beta"][None, :, None, :]
-        rest = params["alpha"][None, None] if p is None else theta_of(params, tree, i)[None]
-        tables.append((first, rest))
+def _unit(a: np.ndarray) -> np.ndarray:
+    return a / np.maximum(a.sum(axis=-1, keepdims=True), FLOOR)
+
+
+class _Messages:
+    """Messages of loopy belief propagation: down (to a node from its table), left (to the bin before) and up (to the parent), each
+    (species, bins, states). Nothing larger is held but for MESSAGE_BLOCK bins at a time, and no table of three states for a bin."""
 
-    def incoming(i: int, but: str = "", child: int = -1) -> np.ndarray:
-        b = local[i].copy()
+    def __init__(self, o: np.ndarray, params: dict, tree: Tree):
+        self.tree, (species, self.n, self.k) = tree, o.shape
+        self.local = np.exp(o - o.max(axis=2, keepdims=True))
+        self.down, self.left, self.up = (np.full(o.shape, 1.0 / self.k) for _ in range(3))
+        self.first = [params["gamma"] if p is None else params["beta"] for p in tree.parent]
+        self.rest = [params["alpha"] if p is None else theta_of(params, tree, i) for i, p in enumerate(tree.parent)]
+
+    def spans(self):
+        return [(lo, min(lo + MESSAGE_BLOCK, self.n)) for lo in range(0, self.n, MESSAGE_BLOCK)]
+
+    def window(self, lo: int, hi: int) -> tuple[int, dict[str, np.ndarray]]:
+        """Copies of the messages of bins lo - 1 to hi, as far as there are such; and the first of them."""
+        a = max(lo - 1, 0)
+        return a, {m: getattr(self, m)[:, a : hi + 1].copy() for m in ("down", "left", "up")}
+
+    def incoming(self, old: dict, a: int, lo: int, hi: int, i: int, but: str = "", child: int = -1) -> np.ndarray:
+        """What comes in at bins lo to hi - 1 of species i but for one message; old begins at bin a."""
+        b, at = self.local[i, lo:hi].copy(), slice(lo - a, hi - a)
         if but != "down":
-            b *= down[i]
+            b *= old["down"][i, at]
         if but != "left":
-            b[:-1] *= left[i, 1:]
-        for c in tree.children[i]:
+            after = old["left"][i, lo + 1 - a : hi + 1 - a]
+            b[: len(after)] *= after
+        for c in self.tree.children[i]:
             if c != child:
-                b *= up[c]
-        return unit(b)
-
-    def factor(i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tables times what comes in, for bin 0 (1, v, 1, k) and the others (bins - 1, v, h, k)."""
-        p = tree.parent[i]
-        own = incoming(i, "down")
-        above = np.ones((n, 1)) if p is None else incoming(p, child=i)
-        before = incoming(i, "left")[:-1]
-        first = tables[i][0] * above[:1, :, None, None] * own[:1, None, None, :]
-        return first, tables[i][1] * above[1:, :, None, None] * before[:, None, :, None] * own[1:, None, None, :]
+                b *= old["up"][c, at]
+        return _unit(b)
+
+    def parts(self, old: dict, a: int, lo: int, hi: int, i: int):
+        """What enters species i's tables at bins lo to hi - 1: from the node, from its parent (None for a root), and from the bin before
+        at all bins but bin 0."""
+        p = self.tree.parent[i]
+        own = self.incoming(old, a, lo, hi, i, "down")
+        above = None if p is None else self.incoming(old, a, lo, hi, p, child=i)
+        before = self.incoming(old, a, max(lo - 1, 0), hi - 1, i, "left") if hi - 1 > max(lo - 1, 0) else np.empty((0, self.k))
+        return own, above, before
+
+    def through(self, i: int, own, above, before, skip: int):
+        """Sums of the tables times what enters, for each of the node's, the bin before's and the parent's states; the first skip bins
+        (bin 0) have no bin before."""
+        k = self.k
+        to_node, to_before, to_parent = np.empty_like(own), np.ones_like(own), np.ones_like(own)
+        if above is None:
+            to_node[:skip] = self.first[i]
+            to_node[skip:] = before @ self.rest[i]
+            to_before[skip:] = own[skip:] @ self.rest[i].T
+            return to_node, to_before, to_parent
+        to_node[:skip] = above[:skip] @ self.first[i]
+        to_parent[:skip] = own[:skip] @ self.first[i].T
+        given = (above[skip:] @ self.rest[i].reshape(k, k * k)).reshape(-1, k, k)  # (bin, before, node)
+        to_node[skip:] = np.matmul(before[:, None, :], given)[:, 0]
+        to_before[skip:] = np.matmul(given, own[skip:, :, None])[:, :, 0]
+        given = (own[skip:] @ self.rest[i].reshape(k * k, k).T).reshape(-1, k, k)  # (bin, parent, before)
+        to_parent[skip:] = np.matmul(given, before[:, :, None])[:, :, 0]
+        return to_node, to_before, to_parent
+
+    def round(self) -> float:
+        """All messages at once, from those of the round before; the largest change."""
+        change, last = 0.0, None
+        for lo, hi in self.spans():
+            a, old = self.window(lo, hi)
+            if last is not None:
+                for m in old:
+                    old[m][:, 0] = last[m]  # bin lo - 1, as it was before this round
+            last = {m: old[m][:, hi - 1 - a].copy() for m in old}
+            for i in range(len(self.tree.parent)):
+                parts = self.parts(old, a, lo, hi, i)
+                for m, new in zip(("down", "left", "up"), self.through(i, *parts, skip=int(lo == 0))):
+                    new = _unit(new)
+                    change = max(change, float(np.abs(new - old[m][i, lo - a : hi - a]).max()))
+                    getattr(self, m)[i, lo:hi] = new
+        return change
+
 
+def loopy(x, avail, params, tree: Tree, most: int = 60, tolerance: float = 1e-2, **_):
+    """Loopy belief propagation: each node's table ties it to its parent and to the bin before; all messages of a round are
+    sent at once, normalised, until none changes by as much as the tolerance. The objective is Bethe's free energy."""
+    msg = _Messages(emission(x, avail, params), params, tree)
     for _ in range(most):
-        new = [np.empty_like(a) for a in (down, left, up)]
-        for i, p in enumerate(tree.parent):
-            first, rest = factor(i)
-            own, before = incoming(i, "down"), incoming(i, "left")[:-1]
-            new[0][i, 0] = first.sum(axis=(0, 1, 2)) / np.maximum(own[0], FLOOR)
-            new[0][i, 1:] = rest.sum(axis=(1, 2)) / np.maximum(own[1:], FLOOR)
-            new[1][i, 0] = 1.0
-            new[1][i, 1:] = rest.sum(axis=(1, 3)) / np.maximum(before, FLOOR)
-            new[2][i] = 1.0
-            if p is not None:
-                above = incoming(p, child=i)
-                new[2][i, 0] = first.sum(axis=(0, 2, 3)) / np.maximum(above[0], FLOOR)
-                new[2][i, 1:] = rest.sum(axis=(2, 3)) / np.maximum(above[1:], FLOOR)
-        new = [unit(a) for a in new]
-        change = max(np.abs(a - b).max() for a, b in zip(new, (down, left, up)))
-        down, left, up = new
-        if change < tolerance:
+        if msg.round() < tolerance:
             break
-    q = np.stack([incoming(i) for i in range(species)])
-    stats, value = empty_stats(params), -float((q * o).sum())
-    for i, p in enumerate(tree.parent):
-        degree = 1 + len(tree.children[i]) + (np.arange(n) < n - 1)  # tables that a node is in
-        value -= float(((degree - 1)[:, None] * q[i] * log(q[i])).sum())
-        for table, belief in zip(tables[i], factor(i)):
-            belief = belief / np.maximum(belief.sum(axis=(1, 2, 3), keepdims=True), FLOOR)
-            value += float((belief * (log(belief) - log(np.broadcast_to(table, belief.shape)))).sum())
+    stats, value, k, q = empty_stats(params), 0.0, msg.k, np.empty_like(msg.local)
+    for lo, hi in msg.spans():
+        a, old = msg.window(lo, hi)
+        skip, last = int(lo == 0), int(hi == msg.n)
+        for i, p in enumerate(tree.parent):
+            q[i, lo:hi] = msg.incoming(old, a, lo, hi, i)
+            tables = np.full(hi - lo, 1 + len(tree.children[i]) + 1)  # that a node is in
+            tables[len(tables) - last :] -= 1
+            value -= float(((tables - 1)[:, None] * q[i, lo:hi] * log(q[i, lo:hi])).sum())
+            own, above, before = msg.parts(old, a, lo, hi, i)
+            to_node, to_before, to_parent = msg.through(i, own, above, before, skip)
+            whole = np.maximum((to_node * own).sum(axis=1), FLOOR)
+            share = 1 / whole
+            # The log of a belief over that of its table is the sum of the logs of what enters, less that of the whole.
+            value += float((to_node * own * share[:, None] * log(own)).sum() - np.log(whole).sum())
+            value += float((to_before[skip:] * before * share[skip:, None] * log(before)).sum())
+            if above is not None:
+                value += float((to_parent * above * share[:, None] * log(above)).sum())
+            pair = (before[:, :, None] * (own[skip:] * share[skip:, None])[:, None, :]).reshape(-1, k * k)
             if p is None:
-                name, part = ("gamma", belief.sum(axis=(0, 1, 2))) if table is tables[i][0] else ("alpha", belief.sum(axis=(0, 1)))
+                stats["gamma"] += (to_node * own * share[:, None])[:skip].sum(axis=0)
+                stats["alpha"] += pair.sum(axis=0).reshape(k, k) * params["alpha"]
             else:
-                name, part = ("beta", belief.sum(axis=(0, 2))) if table is tables[i][0] else ("theta", belief.sum(axis=0))
-            target = stats[name] if name != "theta" or stats[name].ndim == 3 else stats[name][tree.branch()[i]]
-            target += part
+                stats["beta"] += (above[:skip].T @ (own[:skip] * share[:skip, None])) * params["beta"]
+                theta = stats["theta"] if stats["theta"].ndim == 3 else stats["theta"][tree.branch()[i]]
+                theta += (above[skip:].T @ pair).reshape(k, k, k) * theta_of(params, tree, i)
+    del msg
+    o = emission(x, avail, params)
+    value -= float((q * o).sum())
     emission_stats(stats, q, x, avail, params)
     return q, stats, value, [value, mean_field_energy(o, q, params, tree)]
 

@@ -1,5 +1,6 @@
 """Kernels against enumeration of all states."""
 
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -100,8 +101,108 @@ def test_gaussian_emission_and_limits():
     assert np.allclose(new["means"], w.T @ x[0])
     assert np.allclose(new["variances"] - 1e-3, w.T @ x[0] ** 2 - new["means"] ** 2)
     with pytest.raises(ValueError):
-        K.joint_tables(random_params(9, 1, 0), Tree(list("abcd"), {}), 4)
+        K.clique(np.zeros((4, 2, 1)), np.ones((4, 1)), random_params(9, 1, 0), Tree(list("abcd"), {}), max_joint=6560)
     with pytest.raises(ValueError):
         Tree(["a", "b"], {"a": "b", "b": "a"})
     with pytest.raises(ValueError):
         Tree(["a"], {"a": "x"})
+
+
+def loops(n=7, k=3, marks=2, seed=4):
+    tree = Tree(list("abcde"), {"b": "a", "c": "a", "d": "c", "e": "c"})
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 2, (5, n, marks)).astype(np.int8), np.ones((5, marks)), random_params(k, marks, seed), tree
+
+
+def peak(f):
+    tracemalloc.start()
+    f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def joint_by_squares(x, avail, params, tree):
+    """The same chain with a table of joint states squared: posteriors, sums of theta, the likelihood and the best path's score."""
+    o, k, species = K.emission(x, avail, params), len(params["gamma"]), len(x)
+    z = np.array(list(product(range(k), repeat=species)))
+    start, step = np.zeros(len(z)), np.zeros((len(z), len(z)))
+    for i, p in enumerate(tree.parent):
+        start += log(params["gamma"])[z[:, i]] if p is None else log(params["beta"])[z[:, p], z[:, i]]
+        own = z[:, i]
+        step += log(params["alpha"])[own[:, None], own[None]] if p is None else log(K.theta_of(params, tree, i))[z[:, p][None], own[:, None], own[None]]
+    nodes = sum(o[i][:, z[:, i]] for i in range(species))
+    c = K.Chain(start, step, nodes)
+    q = np.stack([np.stack([c.q[:, z[:, i] == s].sum(axis=1) for s in range(k)], axis=1) for i in range(species)])
+    theta, both = np.zeros((k, k, k)), c.pair_sum()
+    for i, p in enumerate(tree.parent):
+        if p is not None:
+            np.add.at(theta, (z[:, p][None] + 0 * z[:, i][:, None], z[:, i][:, None] + 0 * z[:, i][None], z[:, i][None] + 0 * z[:, i][:, None]), both)
+    path = K.best_path(start, step, nodes)
+    return q, theta, c.value, z[path].T
+
+
+def test_elimination_equals_the_table_of_joint_states_squared():
+    for n in (1, 2, 5, 10):
+        x, avail, params, tree = loops(n)
+        q, theta, value, path = joint_by_squares(x, avail, params, tree)
+        got, stats, minus, _ = K.clique(x, avail, params, tree)
+        assert np.allclose(got, q, atol=1e-10) and np.allclose(stats["theta"], theta, atol=1e-10) and -minus == pytest.approx(value, abs=1e-9)
+        assert (K.viterbi(x, avail, params, tree) == path).all()
+
+
+def test_exact_memory_grows_with_the_square_root_of_the_bins():
+    tree = Tree(list("abc"), {"b": "a", "c": "b"})
+    rng, params, avail = np.random.default_rng(0), random_params(16, 2, 1), np.ones((3, 2))
+    of = lambda n: peak(lambda: K.clique(rng.integers(0, 2, (3, n, 2)).astype(np.int8), avail, params, tree))
+    short, long = of(25), of(225)
+    assert long < 3.5 * short and long < 5e6  # 4,096 joint states; a table of these squared has 134 MB
+    assert peak(lambda: K.viterbi(rng.integers(0, 2, (3, 64, 2)).astype(np.int8), avail, params, tree)) < 5e6
+
+
+def test_best_path_by_checkpoints():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 9, 10, 40):
+        start, step, nodes = rng.normal(size=4), rng.normal(size=(4, 4)), rng.normal(size=(n, 4))
+        score, back = start + nodes[0], []
+        for t in range(1, n):
+            both = score[:, None] + step
+            back.append(both.argmax(axis=0))
+            score = both.max(axis=0) + nodes[t]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert K.best_path(start, step, nodes).tolist() == path[::-1]
+    many = rng.normal(size=(40_000, 4))
+    assert peak(lambda: K.best_path(start, step, many)) < 0.1 * many.size * 8 + 8 * len(many) + 50_000  # and the path itself
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_loopy_messages_do_not_depend_on_blocks(monkeypatch, block):
+    x, avail, params, tree = loops(8)
+    for how in ({"most": 2}, {"most": 200, "tolerance": 1e-12}):
+        want = K.loopy(x, avail, params, tree, **how)
+        with monkeypatch.context() as m:
+            m.setattr(K, "MESSAGE_BLOCK", block)
+            got = K.loopy(x, avail, params, tree, **how)
+        assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[3], want[3], atol=1e-9)
+        assert all(np.allclose(got[1][s], want[1][s], atol=1e-10) for s in want[1])
+
+
+def test_loopy_statistics_are_those_of_its_beliefs():
+    """Each bin of each species adds 1 to the tables, and to emissions; on a chain of one species theirs are exact."""
+    x, avail, params, tree = loops(6)
+    _, stats, _, _ = K.loopy(x, avail, params, tree, most=300, tolerance=1e-13)
+    assert stats["gamma"].sum() == pytest.approx(1) and stats["beta"].sum() == pytest.approx(4)
+    assert stats["alpha"].sum() == pytest.approx(5) and stats["theta"].sum() == pytest.approx(20)
+    one = Tree(["a"], {})
+    _, stats, value, _ = K.loopy(x[:1], avail[:1], params, one, most=300, tolerance=1e-13)
+    _, exact, minus, _ = K.clique(x[:1], avail[:1], params, one)
+    assert value == pytest.approx(minus, abs=1e-8) and all(np.allclose(stats[s], exact[s], atol=1e-8) for s in exact)
+
+
+def test_loopy_memory_of_a_bin():
+    tree = Tree(list("abc"), {"b": "a", "c": "b"})
+    rng, params, avail = np.random.default_rng(0), random_params(15, 2, 1), np.ones((3, 2))
+    of = lambda n: peak(lambda: K.loopy(rng.integers(0, 2, (3, n, 2)).astype(np.int8), avail, params, tree, most=3, tolerance=0))
+    assert (of(3000) - of(1000)) / 2000 < 2000  # bytes; the tables of one bin have 81,000
