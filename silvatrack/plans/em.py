@@ -8,15 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.model import Tree, normalize_stats, random_params
+from ..operators import gaussian_init
 
 
 #: Bins that a task handles, about, where there are partitions enough.
 TASK_BINS = 20_000
+#: Bins whose observations become rows at a time.
+OBSERVED = 4096
 
 
 def pack(cut_calls: DataFrame, chunks: DataFrame, value: str | None = None) -> DataFrame:
@@ -52,6 +56,32 @@ def _chunk(row, shape: tuple[int, int]) -> np.ndarray:
     return x
 
 
+def observations(packed: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """(id, x array of marks): what each species shows in each bin of the packed chunks, cells without a row being 0. Rows are made
+    while a pass reads the chunks, and never kept."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                whole = _chunk(row, shape)
+                for lo in range(0, int(row.n), OBSERVED):
+                    x = whole[:, lo : lo + OBSERVED].astype(float)
+                    i, t = np.indices(x.shape[:2])
+                    ids = [f"{row.chunk_id}:{a}:{b}" for a, b in zip(i.ravel().tolist(), (t.ravel() + lo).tolist())]
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * shape[1]), pa.array(x.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), cells], ["id", "x"])
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return each(b.to_pandas() for b in batches)
+
+    return packed.mapInArrow(arrow, "id string, x array<double>")
+
+
+def gaussian_start(packed: DataFrame, avail: np.ndarray, k: int, seed: int = 0, pseudocount: float = 1e-6) -> dict[str, np.ndarray]:
+    """Means and variances that a fit of packed values starts from: spread-out rows, and the variances around them."""
+    return gaussian_init.gaussian_start(observations(packed, avail.shape), k, seed, pseudocount)
+
+
 def _flat(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([stats[n].ravel() for n in sorted(stats)])
 
@@ -91,7 +121,7 @@ def posteriors(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np
         for pdf in batches:
             for row in pdf.itertuples():
                 x = _chunk(row, shape)
-                q = np.eye(k)[kernels.viterbi(x, avail, params, tree, mode == "viterbi")] if mode.startswith("viterbi") else kernels.MODES[mode](x, avail, params, tree, seed=int(row.chunk_id) % 2**32, **how)[0]
+                q = np.eye(k)[kernels.viterbi(x, avail, params, tree, mode == "viterbi", **how)] if mode.startswith("viterbi") else kernels.MODES[mode](x, avail, params, tree, seed=int(row.chunk_id) % 2**32, **how)[0]
                 i, t = np.indices(q.shape[:2])
                 yield pd.DataFrame({"chunk_id": row.chunk_id, "i": i.ravel().astype(np.int32), "t": t.ravel(), "q": list(q.reshape(-1, k))})
 
@@ -116,8 +146,11 @@ def fit(
 ) -> tuple[dict[str, np.ndarray], list[float]]:
     """Parameters and the objective of each iteration. packed should be persisted. It stops when the objective's relative change
     is under epsilon. start takes up parameters of an earlier run; on_step(iteration, parameters, objective) is called for each.
-    gaussian: packed has values, and states have means and variances in place of presence."""
+    gaussian: packed has values, and states have means and variances in place of presence; without a start, these come from
+    the data (gaussian_start)."""
     params = start or random_params(k, avail.shape[1], seed, len(tree.branch()) if separate_theta else None, gaussian)
+    if gaussian and not start:
+        params |= gaussian_start(packed, avail, k, seed, pseudocount)
     how = {"most": most} | ({} if mode == "loopy" else {"epsilon": epsilon_e})
     path: list[float] = []
     for n in range(iterations):

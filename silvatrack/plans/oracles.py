@@ -4,6 +4,15 @@ from __future__ import annotations
 
 _SF = "1 - list_sum(list_transform(range(0, CAST({n} AS BIGINT) + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1))))"
 
+_L1 = "list_sum(list_transform(range(1, len(v.x) + 1), lambda j: abs(v.x[j] - c.x[j])))"
+_FAR = f"SELECT v.id, v.x, min({_L1}) AS d FROM vec v, {{}} c GROUP BY v.id, v.x"
+
+
+def _draw(number: int, id_: str = "id") -> str:
+    """A number between 0 and 1 from 52 bits of a hash of the id and the draw's number."""
+    return f"((CAST('0x' || substr(md5({id_} || ':{number}:0'), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
+
+
 STEPS = {
     "b": ("", """SELECT r.r_name AS species, concat(l_returnflag, l_linestatus) AS mark, CAST(1 + l_partkey % 2 AS INT) AS rep,
   CASE WHEN l_orderkey // 3750 = 3 THEN 'chrX' ELSE concat('chr', l_orderkey // 3750) END AS chrom,
@@ -77,6 +86,16 @@ STEPS = {
     "vec": ("", "SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"),
     "near": ("vec", """SELECT id, k, d, row_number() OVER (PARTITION BY id ORDER BY d, k) AS o FROM (SELECT a.id, c.id AS k, list_sum(list_transform(range(1, len(a.x) + 1), lambda j: abs(a.x[j] - c.x[j]))) AS d
   FROM vec a, vec c WHERE c.id IN (0, 1, 2))"""),
+    # Spread-out centres: the row with the least draw, two passes of six candidates each, their weights, and three picks by weight and distance.
+    "cand0": ("vec", f"SELECT id, x FROM vec ORDER BY {_draw(0)}, id LIMIT 1"),
+    "cand1": ("vec cand0", f"SELECT * FROM cand0 UNION ALL (SELECT id, x FROM ({_FAR.format('cand0')}) WHERE d > 0 ORDER BY -ln({_draw(1)}) / (d * d), id LIMIT 6)"),
+    "cand2": ("vec cand1", f"SELECT * FROM cand1 UNION ALL (SELECT id, x FROM ({_FAR.format('cand1')}) WHERE d > 0 ORDER BY -ln({_draw(2)}) / (d * d), id LIMIT 6)"),
+    "weighed": ("vec cand2", f"""SELECT c.id, c.x, n FROM cand2 c JOIN (SELECT cid, count(*) AS n FROM (SELECT v.id, c.id AS cid, row_number() OVER (PARTITION BY v.id ORDER BY {_L1}, c.id) AS o
+  FROM vec v, cand2 c) WHERE o = 1 GROUP BY cid) w ON w.cid = c.id"""),
+    "pick0": ("weighed", f"SELECT id, x, n FROM weighed ORDER BY -ln({_draw(1000)}) / n, id LIMIT 1"),
+    "pick1": ("weighed pick0", f"SELECT v.id, v.x, v.n FROM weighed v, pick0 c WHERE {_L1} > 0 ORDER BY -ln({_draw(1001, 'v.id')}) / (v.n * pow({_L1}, 2)), v.id LIMIT 1"),
+    "pick2": ("weighed pick0 pick1", f"""SELECT id, x, n FROM (SELECT v.id, v.x, v.n, min({_L1}) AS d FROM weighed v, (FROM pick0 UNION ALL FROM pick1) c GROUP BY v.id, v.x, v.n) WHERE d > 0
+  ORDER BY -ln({_draw(1002)}) / (n * d * d), id LIMIT 1"""),
     # Two states, each species a chain of its own: scaled forward and backward passes, a row for each node.
     "em2": ("ll chunks", """SELECT chunk_id, i, t, "end" - "start" AS n, max(CASE WHEN k = 0 THEN exp(ll) END) AS e0, max(CASE WHEN k = 1 THEN exp(ll) END) AS e1 FROM ll JOIN chunks USING (chunk_id) GROUP BY ALL"""),
     "fwd": ("em2", """SELECT chunk_id, i, t, n, e0 / 3 / (e0 / 3 + e1 * 2 / 3) AS a0, e1 * 2 / 3 / (e0 / 3 + e1 * 2 / 3) AS a1, ln(e0 / 3 + e1 * 2 / 3) AS lg FROM em2 WHERE t = 0
@@ -172,6 +191,10 @@ LEFT JOIN species_dim p ON p.species = v.parent""", "species_dim"),
     "e2_normalize": query(f"""SELECT 'alpha' AS name, h, k, {R('n / CAST(sum(n) OVER (PARTITION BY h) AS DOUBLE)')} AS value FROM (SELECT h, k, count(*) AS n FROM
 (SELECT m AS k, lag(m) OVER (PARTITION BY chunk_id, i ORDER BY t) AS h FROM (SELECT chunk_id, i, t, k AS m FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) WHERE o = 1)) WHERE h IS NOT NULL GROUP BY ALL)""", "q"),
     "e3_min_distance": query(f"SELECT id, {R('d')} AS distance, CAST(k AS INT) AS nearest FROM near WHERE o = 1", "near"),
+    "e3_spread_centres": query(f"""SELECT CAST(k AS INT) AS k, id, n AS weight, CAST(unnest(range(0, len(x))) AS INT) AS l, {R('unnest(x)')} AS value
+FROM (SELECT 0 AS k, * FROM pick0 UNION ALL SELECT 1, * FROM pick1 UNION ALL SELECT 2, * FROM pick2)""", "pick0", "pick1", "pick2"),
+    "e4_start_variance": query(f"""SELECT k, CAST(l AS INT) AS l, {R("greatest(var_pop(value) + CAST(1e-6 AS DOUBLE), CAST(0.1 AS DOUBLE))")} AS variance FROM (SELECT k, unnest(range(0, len(x))) AS l, unnest(x) AS value FROM
+(SELECT v.id, v.x, CAST(c.k AS INT) AS k, row_number() OVER (PARTITION BY v.id ORDER BY {_L1}, c.k) AS o FROM vec v, (SELECT 0 AS k, x FROM pick0 UNION ALL SELECT 1, x FROM pick1 UNION ALL SELECT 2, x FROM pick2) c) WHERE o = 1) GROUP BY k, l""", "vec", "pick0", "pick1", "pick2"),
     "e4_cluster_variance": query(f"""SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, {R("greatest(var_pop(v) + CAST(1e-6 AS DOUBLE), CAST(0.1 AS DOUBLE))")} AS variance FROM (SELECT n.k, unnest(range(0, len(v.x))) AS l, unnest(v.x) AS v FROM near n JOIN vec v ON v.id = n.id WHERE o = 1) GROUP BY k, l""", "near", "vec"),
     "e5_bernoulli_ll": query(f"SELECT chrom, bin, i, k, {R('ll')} AS ll FROM ll", "ll"),
     "e6_gaussian_ll": query(f"""SELECT a.id, CAST(c.id AS INT) AS k, {R("-CAST(0.5 AS DOUBLE) * list_sum(list_transform(range(1, len(a.x) + 1), lambda j: ln(2 * pi() * (j * CAST(0.25 AS DOUBLE))) + (a.x[j] - c.x[j]) * (a.x[j] - c.x[j]) / (j * CAST(0.25 AS DOUBLE))))")} AS ll FROM vec a, vec c WHERE c.id IN (0, 1, 2)""", "vec"),

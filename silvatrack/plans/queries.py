@@ -221,6 +221,23 @@ def e3_min_distance(d):
     return _six(gaussian_init.distances(_vectors(d), _centres(d)), "distance").select("id", "distance", "nearest")
 
 
+@register
+def e3_spread_centres(d):
+    """Three centres of all vectors, by two passes of six candidates each: their ids, how many vectors each stood for as a
+    candidate, and their components."""
+    found = gaussian_init.weighed_centres(_vectors(d), 3, passes=2, per_pass=6)
+    rows = d.spark.createDataFrame([(k, *c) for k, c in enumerate(found)], "k int, id long, weight long, x array<double>")
+    return _six(rows.select("k", "id", "weight", F.posexplode("x").alias("l", "value")), "value")
+
+
+@register
+def e4_start_variance(d):
+    """The variances of the vectors nearest to each of those three centres, as a fit of continuous signal starts from them."""
+    start = gaussian_init.gaussian_start(_vectors(d), 3, passes=2, per_pass=6)
+    rows = [(k, l, float(v)) for (k, l), v in np.ndenumerate(start["variances"])]
+    return _six(d.spark.createDataFrame(rows, "k int, l int, variance double"), "variance")
+
+
 @register
 def e4_cluster_variance(d):
     return _six(gaussian_init.cluster_variances(_vectors(d), _centres(d)), "variance")
@@ -409,7 +426,7 @@ def _signal_packed(d: fx.Data) -> DataFrame:
 
 @register
 def f19_em_gaussian(d):
-    """Means and variances after EM on the continuous signal, with product of chains."""
+    """Means and variances after EM on the continuous signal, with product of chains, started from spread-out bins."""
     packed = em.balanced(_signal_packed(d)).persist()
     params, path = em.fit(packed, "poc", fx.tree(), d.availability_matrix(), fx.K, iterations=3, gaussian=True)
     packed.unpersist()

@@ -152,6 +152,77 @@ def test_gaussian_start(spark):
     assert ll[0] == pytest.approx(-0.5 * (math.log(4 * math.pi) + 0.5)) and ll[1] == -100.0
 
 
+def centres_by_hand(held, k, passes, per_pass, seed):
+    """The same choice in plain Python: held is {id: x}."""
+    far = lambda x, c: sum(abs(a - b) for a, b in zip(x, c))
+    u = gaussian_init.draw_of
+    chosen = [min(held, key=lambda i: (u(i, 0, seed), i))]
+    for n in range(1, passes + 1):
+        d = {i: min(far(x, held[c]) for c in chosen) for i, x in held.items()}
+        chosen += sorted((i for i in held if d[i] > 0), key=lambda i: (-math.log(u(i, n, seed)) / d[i] ** 2, i))[:per_pass]
+    chosen.sort()
+    weights = dict.fromkeys(chosen, 0)
+    for x in held.values():
+        weights[min(chosen, key=lambda c: (far(x, held[c]), c))] += 1
+    out = []
+    for n in range(k):
+        chance = {c: weights[c] * (min(far(held[c], held[o]) for o in out) ** 2 if out else 1) for c in chosen}
+        out.append(min((c for c in chosen if chance[c] > 0), key=lambda c: (-math.log(u(c, 1000 + n, seed)) / chance[c], c)))
+    return [(c, weights[c]) for c in out]
+
+
+def test_centres_take_few_passes_and_do_not_depend_on_tasks(spark):
+    rng = np.random.default_rng(5)
+    blobs = np.array([[0.0, 0, 0], [50, 0, 9], [0, 80, -7], [90, 90, 40]])
+    held = {i: [round(float(v), 3) for v in blobs[i % 4] + rng.normal(0, 1, 3)] for i in range(400)}
+    held[400] = held[7]  # the same place again
+    df = spark.createDataFrame(list(held.items()), "id long, x array<double>")
+    for seed in range(3):
+        got = gaussian_init.weighed_centres(df.repartition(5), 4, seed, passes=3, per_pass=5)
+        assert [(i, w) for i, w, _ in got] == centres_by_hand(held, 4, 3, 5, seed)
+        assert got == gaussian_init.weighed_centres(df.coalesce(1), 4, seed, passes=3, per_pass=5)
+        found = gaussian_init.spread_centres(df, 4, seed)
+        assert {int(np.abs(blobs - c).sum(axis=1).argmin()) for c in found} == {0, 1, 2, 3}  # one in each
+    start = gaussian_init.gaussian_start(df, 4)
+    assert start["means"].shape == start["variances"].shape == (4, 3) and start["variances"].max() < 2.5
+    near = {(r.k, r.l): r.variance for r in gaussian_init.cluster_variances(df, start["means"].tolist()).collect()}
+    assert all(start["variances"][k, l] == pytest.approx(v) for (k, l), v in near.items())
+    same = spark.createDataFrame([(i, [1.0]) for i in range(9)], "id long, x array<double>")
+    assert gaussian_init.spread_centres(same, 3) == [[1.0]] * 3 and gaussian_init.spread_centres(same.limit(0), 3) == []
+    assert (gaussian_init.gaussian_start(same, 3)["variances"] == 0.1).all()
+    with pytest.raises(ValueError):
+        gaussian_init.gaussian_start(same.limit(0), 2)
+
+
+@pytest.fixture(scope="module")
+def signal(spark):
+    """Chunks of continuous signal of three states, far from 0 and of unlike scale."""
+    tree = Tree(["a", "b"], {"b": "a"})
+    rng = np.random.default_rng(2)
+    means, rows, chunks = np.array([[100.0, 5.0], [140.0, 5.0], [140.0, 60.0]]), [], []
+    for c in range(6):
+        n = int(rng.integers(30, 60))
+        chunks.append((c, "c1", c * 100, c * 100 + n))
+        z = np.cumsum(rng.random(n) < 0.15) % 3
+        rows += [(c, t, i, l, float(means[z[t], l] + rng.normal(0, 2.0))) for t in range(n) for i in range(2) for l in range(2)]
+    packed = em.pack(spark.createDataFrame(rows, "chunk_id long, t long, i int, l int, value double"), spark.createDataFrame(chunks, "chunk_id long, chrom string, start long, end long"), "value").persist()
+    return packed, tree, means
+
+
+def test_gaussian_fits_start_from_the_data(signal, monkeypatch):
+    packed, tree, means = signal
+    avail = np.ones((2, 2))
+    seen = {r["id"]: r["x"] for r in em.observations(packed, (2, 2)).collect()}
+    assert len(seen) == 2 * packed.agg(F.sum("n")).first()[0]
+    with monkeypatch.context() as m:
+        m.setattr(em, "OBSERVED", 7)
+        assert {r["id"]: r["x"] for r in em.observations(packed, (2, 2)).collect()} == seen
+    fitted, path = em.fit(packed, "poc", tree, avail, 3, iterations=3, gaussian=True)
+    _, by_chance = em.fit(packed, "poc", tree, avail, 3, iterations=3, gaussian=True, start=random_params(3, 2, 0, means=True))
+    assert len(path) == 3 and path[-1] < by_chance[-1] - 100
+    assert max(np.abs(fitted["means"] - m).sum(axis=1).min() for m in means) < 2  # a state for each
+
+
 @pytest.fixture(scope="module")
 def tracks(spark):
     """Chunks sampled from known parameters."""
