@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.model import Tree, normalize_stats, random_params
 from ..operators import gaussian_init
+from . import chains
 
 
 #: Bins that a task handles, about, where there are partitions enough.
@@ -33,7 +34,7 @@ def pack(cut_calls: DataFrame, chunks: DataFrame, value: str | None = None) -> D
 
 
 def balanced(packed: DataFrame, tasks: int | None = None) -> DataFrame:
-    """packed, dealt to tasks: chunks of each class of size (by powers of two) by a hash, so that tasks get about as many of each.
+    """packed, dealt to tasks: chunks of each class of size (by powers of two) by a hash, so that tasks get about as many of each; units of one species (chains.pack_units) likewise.
     Without a number, there is a task for each TASK_BINS bins, at least as many as the session's parallelism where there are
     chunks enough, and at most as many as its shuffle partitions."""
     if tasks is None:
@@ -42,7 +43,8 @@ def balanced(packed: DataFrame, tasks: int | None = None) -> DataFrame:
         least = min(chunks, spark.sparkContext.defaultParallelism)
         tasks = max(1, least, min(chunks, math.ceil(bins / TASK_BINS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     size = F.floor(F.log2(F.greatest("n", F.lit(1))))
-    return packed.repartitionById(tasks, F.pmod(F.xxhash64("chunk_id") + size, F.lit(tasks)).cast("int"))
+    key = [c for c in ("chunk_id", "i", "block") if c in packed.columns and not dict(packed.dtypes)[c].startswith("array")]
+    return packed.repartitionById(tasks, F.pmod(F.xxhash64(*key) + size, F.lit(tasks)).cast("int"))
 
 
 def _chunk(row, shape: tuple[int, int]) -> np.ndarray:
@@ -86,8 +88,19 @@ def _flat(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([stats[n].ravel() for n in sorted(stats)])
 
 
+def in_units(packed: DataFrame, mode: str) -> bool:
+    """Whether packed is what chains.pack_units gives: blocks of bins of one species, for chains of their own."""
+    if "n_blocks" not in packed.columns:
+        return False
+    if mode not in ("indep", "viterbi_chain"):
+        raise ValueError(f"{mode} needs all species of a chunk together")
+    return True
+
+
 def expectation(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np.ndarray, **how) -> tuple[dict[str, np.ndarray], float]:
     """Statistics and objective summed over all chunks; the driver gets one vector, whose length the model sets."""
+    if in_units(packed, mode):
+        return chains.expectation(packed, params, avail)
     step, shape = kernels.MODES[mode], avail.shape
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,6 +129,11 @@ def posteriors(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np
     """(chunk_id, i, t, q array): of every node of every chunk. mode may be "viterbi" or "viterbi_chain": one-hot of the
     likeliest path of all species together, or of each as a chain of its own."""
     shape, k = avail.shape, len(params["gamma"])
+    if in_units(packed, mode):
+        if mode == "indep":
+            return chains.posteriors(packed, params, avail)
+        one_hot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: (s == F.col("state")).cast("double"))
+        return chains.best_paths(packed, params, avail).select("chunk_id", "i", "t", one_hot.alias("q"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,6 +148,8 @@ def posteriors(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np
 
 def objectives(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np.ndarray, **how) -> DataFrame:
     """(chunk_id, objective) of each chunk."""
+    if in_units(packed, mode):
+        return chains.objectives(packed, params, avail)
     shape = avail.shape
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

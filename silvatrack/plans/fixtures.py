@@ -7,7 +7,6 @@ the chromosome, the ship date the place. Expressions are the same in the SQL tha
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.model import Tree, row_normalize
 from ..operators import convert, features, segment
+from ..sources.tables import folder, kept  # noqa: F401
 
 WINDOW, LEVEL, KERNEL, MIN_READS, MIN_SIZE, K, SPECIES, MARKS = 2000, 0.1, 5, 4.5, 5, 3, 5, 6
 #: Orders of a chromosome: the genome grows with the tables, and stays as densely read.
@@ -46,24 +46,6 @@ def params(k: int = K, marks: int = MARKS) -> dict[str, np.ndarray]:
     }
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the session keeps shared files: spark.checkpoint.dir. Where it is unset, the warehouse of a session on
-    one machine serves; on a cluster it must be set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read from a table from then on."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Data:
     """The steps from the tables of a folder, each built when asked for."""

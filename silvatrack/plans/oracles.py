@@ -208,12 +208,14 @@ JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 GROUP BY u.k
     "f4_mean_field_energy": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(q * (ln(q) - own - ll))')} AS energy FROM q JOIN own USING (chunk_id, i, t, k) JOIN ll USING (chunk_id, i, t, k) GROUP BY chunk_id", "q", "own", "ll"),
     "f5_convergence": query(f"SELECT {R('max(abs(q.q - jac.q))')} AS change, max(abs(q.q - jac.q)) < CAST(1e-3 AS DOUBLE) AS converged FROM q JOIN jac USING (chunk_id, i, t, k)", "q", "jac"),
     "f11_independent": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),
+    "f11_independent_blocks": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),
     "f6_forward_likelihood": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(lg)')} AS loglik FROM fwd WHERE t = n - 1 GROUP BY chunk_id", "fwd"),
     "f11_independent_gaussian": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(lg)')} AS loglik FROM fwdg WHERE t = n - 1 GROUP BY chunk_id", "fwdg"),
     "f12_clique_pair": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('lg')} AS loglik FROM joint WHERE t = n - 1", "joint"),
     "f17_gaussian_m": query(f"""SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, {R('sum(w * v) / sum(w)')} AS mean, {R("greatest(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) * (sum(w * v) / sum(w)), 0) + CAST(1e-6 AS DOUBLE)")} AS variance
 FROM (SELECT id, unnest(range(0, len(x))) AS l, unnest(x) AS v FROM vec) JOIN (SELECT id, k, w / sum(w) OVER (PARTITION BY id) AS w FROM (SELECT id, k, CAST(1 + (id * 3 + k * 7) % 11 AS DOUBLE) AS w FROM vec, st)) USING (id) GROUP BY k, l""", "vec", "st"),
     "f18_viterbi_chain": query("SELECT CAST(chunk_id AS BIGINT) AS chunk_id, i, t, CAST(state AS INT) AS state FROM back", "back"),
+    "f18_viterbi_blocks": query("SELECT CAST(chunk_id AS BIGINT) AS chunk_id, i, t, CAST(state AS INT) AS state FROM back", "back"),
     "g1_map": query("SELECT chrom, bin, i, k AS state FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) WHERE o = 1", "q"),
     "g2_bed": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state
 FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) x JOIN species_dim s ON s.i = x.i WHERE o = 1""", "q", "species_dim"),

@@ -12,7 +12,7 @@ from ..functions.model import Tree, row_normalize
 from ..operators import convert, decode, emission, features, gaussian_init, relational, segment
 from ..sources import reads as sources
 from ..sources import tables
-from . import em
+from . import chains, em
 from . import fixtures as fx
 from .oracles import ORACLES
 
@@ -289,16 +289,29 @@ def _packed(d: fx.Data) -> DataFrame:
     return em.pack(d.cut, d.chunks)
 
 
+def _units(d: fx.Data) -> DataFrame:
+    return em.balanced(fx.kept(chains.pack_units(d.cut, d.chunks, fx.SPECIES), "units"))
+
+
 @register
 def f11_independent(d):
-    q = em.posteriors(_packed(d), "indep", fx.params(2), fx.tree(), d.availability_matrix())
+    q = em.posteriors(_units(d), "indep", fx.params(2), fx.tree(), d.availability_matrix())
+    return q.select("chunk_id", "i", "t", F.round(F.get("q", F.lit(0)), 6).alias("q0"))
+
+
+@register
+def f11_independent_blocks(d):
+    """The same posteriors with chunks cut into blocks of three bins, which a scan ties together."""
+    units = em.balanced(fx.kept(chains.pack_units(d.cut, d.chunks, fx.SPECIES, 3), "units"))
+    q = chains.posteriors(units, fx.params(2), d.availability_matrix(), fan=4)
     return q.select("chunk_id", "i", "t", F.round(F.get("q", F.lit(0)), 6).alias("q0"))
 
 
 @register
 def f6_forward_likelihood(d):
     """The log-likelihood of each chunk, all species as chains of their own."""
-    return _six(em.objectives(_packed(d), "indep", fx.params(2), fx.tree(), d.availability_matrix()), "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
+    found = em.objectives(_units(d), "indep", fx.params(2), fx.tree(), d.availability_matrix())
+    return _six(found, "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
 
 
 @register
@@ -306,7 +319,7 @@ def f12_clique_pair(d):
     """The exact log-likelihood of each chunk, of the first two species."""
     names = sorted(fx.PARENTS)[:2]
     tree = Tree(names, {n: fx.PARENTS[n] for n in names})
-    return _six(em.objectives(_packed(d), "clique", fx.params(2), tree, d.availability_matrix()[:2]), "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
+    return _six(em.objectives(em.balanced(_packed(d)), "clique", fx.params(2), tree, d.availability_matrix()[:2]), "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
 
 
 @register
@@ -319,10 +332,17 @@ def f17_gaussian_m(d):
 
 @register
 def f18_viterbi_chain(d):
-    q = em.posteriors(_packed(d), "viterbi_chain", fx.params(2), fx.tree(), d.availability_matrix())
+    q = em.posteriors(_units(d), "viterbi_chain", fx.params(2), fx.tree(), d.availability_matrix())
     return q.select("chunk_id", "i", "t", decode.likeliest().alias("state"))
 
 
+@register
+def f18_viterbi_blocks(d):
+    """The same paths with chunks cut into blocks of three bins."""
+    units = em.balanced(fx.kept(chains.pack_units(d.cut, d.chunks, fx.SPECIES, 3), "units"))
+    return chains.best_paths(units, fx.params(2), d.availability_matrix(), fan=4)
+
+
 @register
 def g1_map(d):
     return d.posterior.select("chrom", "bin", "i", decode.likeliest().alias("state"))
@@ -445,13 +465,14 @@ def f11_independent_gaussian(d):
     """The log-likelihood of each chunk of the continuous signal, all species as chains of their own, of two states with means 2
     and 5 and variances of 4."""
     params = {n: v for n, v in fx.params(2).items() if n != "emit"} | {"means": np.repeat(np.array([[2.0], [5.0]]), fx.MARKS, axis=1), "variances": np.full((2, fx.MARKS), 4.0)}
-    found = em.objectives(em.balanced(_signal_packed(d)), "indep", params, fx.tree(), d.availability_matrix())
+    units = fx.kept(chains.pack_units(segment.cut(d.signal, d.chunks), d.chunks, fx.SPECIES, value="value"), "units")
+    found = em.objectives(em.balanced(units), "indep", params, fx.tree(), d.availability_matrix())
     return _six(found, "objective").select("chunk_id", (-F.col("objective")).alias("loglik"))
 
 
 @register
 def f21_range_k(d):
-    packed = em.balanced(_packed(d)).persist()
+    packed = _units(d).persist()
     rows = em.sweep(packed, "indep", fx.tree(), d.availability_matrix(), [2, 3], iterations=3)
     packed.unpersist()
     return d.spark.createDataFrame(rows, "k int, iter int, objective double")
@@ -480,7 +501,7 @@ def g6_theta_slice(d):
 @register
 def g7_trajectory(d):
     """Objectives of two runs, the second taking up the first one's parameters."""
-    packed, avail = em.balanced(_packed(d)).persist(), d.availability_matrix()
+    packed, avail = _units(d).persist(), d.availability_matrix()
     first, path = em.fit(packed, "indep", fx.tree(), avail, 2, iterations=2)
     _, more = em.fit(packed, "indep", fx.tree(), avail, 2, iterations=2, start=first)
     packed.unpersist()

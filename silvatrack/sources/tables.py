@@ -1,7 +1,9 @@
-"""Tables that the jobs keep: observation sets, parameters, posteriors and BED rows."""
+"""Tables that the jobs keep: steps, observation sets, parameters, posteriors and BED rows."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,24 @@ from pyspark.sql import functions as F
 PARAMS = "run_id string, iter int, name string, idx array<int>, value double"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the session keeps shared files: spark.checkpoint.dir. Where it is unset, the warehouse of a session on
+    one machine serves; on a cluster it must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read from a table from then on."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_observations(calls: DataFrame, meta: DataFrame, path: str) -> None:
     """Calls by chromosome, sorted by bin, and the set's metadata (window, names as asked for)."""
     calls.repartition("chrom").sortWithinPartitions("bin", "i", "l").write.mode("overwrite").partitionBy("chrom").parquet(f"{path}/calls")
