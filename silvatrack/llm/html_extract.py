@@ -8,6 +8,11 @@ with how much running text they hold, and where labelled pages say nothing, prio
 words and tags come to no positive sum is left out of the region; only scripts, styles and the like, and HTML's comments,
 are never text.
 
+The region is then made whole. The block that holds all of its words is its container; of the container's other parts, headings,
+paragraphs, lists, tables, figures and the like belong to it however short their items are, and any other block whose own words
+come to a positive sum. Straight below the page's body, where menus and the like may stand too, only parts next to the region do.
+A header or an aside inside a container counts by its own words.
+
 Pages are read in one pass whose time grows with their length alone, however malformed.
 """
 
@@ -48,6 +53,10 @@ BLOCK = frozenset(
 )
 FRAME = frozenset("html head body meta link base article main".split())  # tell nothing, or mark the article
 PLAIN = frozenset("article main body html section center hgroup dir".split())  # blocks that say no more than div
+#: Blocks that a region's container holds whole, and blocks that only the page's body may hold.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption details summary address hr hgroup".split())
+TOP = frozenset(["", "html", "body"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a b br i em strong code span small sub sup u s q cite abbr mark time img kbd var samp del ins font wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
@@ -92,21 +101,32 @@ _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 class Token:
     """A tag, or the text between two tags (n words). where: the element of a kind that it is in (-1: none); level: how the
-    page marks it (2: an article, 1: main, 0: not); block: text with the same number is of one block."""
+    page marks it (2: an article, 1: main, 0: not); block: text with the same number is of one block; node: the nearest block
+    element, by its number in order of the page."""
+
+    __slots__ = ("tag", "text", "n", "link", "where", "level", "block", "node", "feature")
+
+    def __init__(self, tag: str, text: str | None, n: int, link: bool, where: int, level: int, block: int, node: int):
+        self.tag, self.text, self.n, self.link, self.where, self.level, self.block, self.node, self.feature = tag, text, n, link, where, level, block, node, ""
+
 
-    __slots__ = ("tag", "text", "n", "link", "where", "level", "block", "feature")
+class Node:
+    """A block element. up: the one that it is in; end: past the last one in it; level: how the page marks it."""
 
-    def __init__(self, tag: str, text: str | None, n: int, link: bool, where: int, level: int, block: int):
-        self.tag, self.text, self.n, self.link, self.where, self.level, self.block, self.feature = tag, text, n, link, where, level, block, ""
+    __slots__ = ("tag", "up", "end", "level")
+
+    def __init__(self, tag: str, up: int, level: int):
+        self.tag, self.up, self.end, self.level = tag, up, 0, level
 
 
 class Element:
-    """An element of a kind. up: the one that it is in; level: how the page marks what it stands in."""
+    """An element of a kind. up: the one that it is in; level: how the page marks what it stands in; node: the block element that it
+    is, if its tag alone speaks of its kind, else -1."""
 
-    __slots__ = ("kind", "up", "level", "words", "links")
+    __slots__ = ("kind", "up", "level", "words", "links", "node")
 
     def __init__(self, kind: str, up: int, level: int):
-        self.kind, self.up, self.level, self.words, self.links = kind, up, level, 0, 0
+        self.kind, self.up, self.level, self.words, self.links, self.node = kind, up, level, 0, 0, -1
 
 
 @lru_cache(maxsize=4096)
@@ -221,16 +241,25 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
 
 def tokens(page: str) -> tuple[list[Token], list[Element], int]:
     """The page's tokens, its elements of a kind, and how it marks its article at best (0: not)."""
+    return parse(page)[:3]
+
+
+def parse(page: str) -> tuple[list[Token], list[Element], int, list[Node]]:
+    """The same, and its block elements; the first stands for the page."""
     out: list[Token] = []
     elements: list[Element] = []
-    # Tag, element of a kind, level of marks, nearest block's tag and place in the stack, whether in a link.
-    stack: list[tuple[str, int, int, str, int, bool]] = [("", -1, 0, "", 0, False)]
+    nodes = [Node("", -1, 0)]
+    # Tag, element of a kind, level of marks, nearest block's tag and place in the stack, whether in a link, nearest block's number.
+    stack: list[tuple[str, int, int, str, int, bool, int]] = [("", -1, 0, "", 0, False, 0)]
     open_: Counter[str] = Counter()
     block = best = 0
 
     def drop(size: int) -> None:
         while len(stack) > size:
-            open_[stack.pop()[0]] -= 1
+            gone = stack.pop()
+            open_[gone[0]] -= 1
+            if gone[0] in BLOCK:
+                nodes[gone[6]].end = len(nodes)
 
     for what, tag, attrs in pieces(page):
         top = stack[-1]
@@ -238,16 +267,16 @@ def tokens(page: str) -> tuple[list[Token], list[Element], int]:
             text = unescape(tag)
             n = len(text.split())
             if n:
-                out.append(Token(top[3], text, n, top[5], top[1], top[2], block))
+                out.append(Token(top[3], text, n, top[5], top[1], top[2], block, top[6]))
             elif out and out[-1].text is not None and out[-1].block == block:
                 out[-1].text += " "
             else:
-                out.append(Token("", " ", 0, False, top[1], top[2], block))
+                out.append(Token("", " ", 0, False, top[1], top[2], block, top[6]))
             continue
         if tag in BLOCK:
             block += 1
         if tag == "br":
-            out.append(Token("", " ", 0, False, top[1], top[2], block))
+            out.append(Token("", " ", 0, False, top[1], top[2], block, top[6]))
         if what == "close":
             if open_[tag] > 0:
                 size = len(stack)
@@ -266,12 +295,20 @@ def tokens(page: str) -> tuple[list[Token], list[Element], int]:
             if kind:
                 elements.append(Element(kind, where, level))
                 where = len(elements) - 1
-            top = (tag, where, level, tag if tag in BLOCK else top[3], len(stack) if tag in BLOCK else top[4], tag == "a" or (top[5] and tag not in BLOCK))
-            if tag not in VOID and not attrs.endswith("/"):
+            node, holds = top[6], tag not in VOID and not attrs.endswith("/")
+            if tag in BLOCK and holds:
+                nodes.append(Node(tag, node, level))
+                node = len(nodes) - 1
+                if kind in ("header", "side") and not _kind("div", attrs)[0]:
+                    elements[where].node = node
+            top = (tag, where, level, tag if tag in BLOCK else top[3], len(stack) if tag in BLOCK else top[4], tag == "a" or (top[5] and tag not in BLOCK), node)
+            if holds:
                 stack.append(top)
                 open_[tag] += 1
         if tag not in FRAME:
-            out.append(Token(tag, None, 1, False, top[1], top[2], block))
+            out.append(Token(tag, None, 1, False, top[1], top[2], block, top[6]))
+    drop(0)
+    nodes[0].end = len(nodes)
     for t in out:
         if t.text is not None and t.where >= 0:
             elements[t.where].words += t.n
@@ -290,7 +327,7 @@ def tokens(page: str) -> tuple[list[Token], list[Element], int]:
             t.feature = f"t|{places[t.where] if t.where >= 0 else ''}|{t.tag if t.tag in BLOCK or t.tag in INLINE else 'other'}"
         elif t.n:
             t.feature = f"w|{places[t.where] if t.where >= 0 else ''}|{'div' if t.tag in PLAIN or not t.tag else t.tag}|{'a' if t.link else ''}"
-    return out, elements, best
+    return out, elements, best, nodes
 
 
 @lru_cache(maxsize=65536)
@@ -369,21 +406,106 @@ def scored(found: list[Token], elements: list[Element], weights: dict[str, float
     return [s * OUT_SHARE if o else s for s, o in zip(scores, left)], left
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
-    """The text of the best region, and its score. Blocks are joined by newlines, white space within one is one space."""
+def container(found: list[Token], nodes: list[Node], words: list[int]) -> int:
+    """The block that holds all of the given tokens, and is no heading, paragraph, item or the like itself."""
+    at = found[words[0]].node
+    for i in words:
+        while not at <= found[i].node < nodes[at].end:
+            at = nodes[at].up
+    while nodes[at].tag in TEXTUAL:
+        at = nodes[at].up
+    return at
+
+
+def make_whole(found: list[Token], elements: list[Element], nodes: list[Node], scores: list[float], left: list[bool], start: int, end: int) -> tuple[set[int], list[bool]]:
+    """The tokens of the region from start to end and of the parts that belong to it, and which tokens are left out of it."""
+    words = [i for i in range(start, end) if found[i].text is not None and found[i].n and not left[i]]
+    taken = set(range(start, end))
+    if not words:
+        return taken, left
+    home = container(found, nodes, words)
+    parts_of_kind: set[int] = set()
+    if nodes[home].tag not in TOP:  # headers and asides of the article's own
+        own = [e.node > home and e.node < nodes[home].end and e.links < LINKS * max(1, e.words) for e in elements]
+        parts_of_kind = {e.node for e, o in zip(elements, own) if o}
+        gone: list[bool] = []
+        for i, e in enumerate(elements):
+            above = e.up >= 0 and gone[e.up]
+            gone.append(above or not own[i])
+        was_out = {t.where for t, o in zip(found, left) if o}
+        kept_out = [i in was_out and gone[i] for i in range(len(elements))]
+        left = [o and (t.where < 0 or kept_out[t.where]) for t, o in zip(found, left)]
+    held = defaultdict(list)
+    first = next(i for i, t in enumerate(found) if home <= t.node < nodes[home].end)
+    part, last = -1, len(found)
+    for i in range(first, len(found)):
+        v = found[i].node
+        if not home <= v < nodes[home].end:
+            last = i
+            break
+        if v == home:
+            part = -1 - found[i].block  # text that stands in the container itself
+        elif part < 0 or not part <= v < nodes[part].end:
+            part = v
+            while nodes[part].up != home:
+                part = nodes[part].up
+        held[part].append(i)
+    order, inside = list(held), set(words)
+    hit = [any(i in inside for i in held[p]) for p in order]
+    low, high = hit.index(True), len(hit) - 1 - hit[::-1].index(True)
+    top, marked = nodes[home].tag in TOP, nodes[home].level > 0
+    headed = next((at for at, p in enumerate(order[:high]) if p >= 0 and nodes[p].tag in HEADINGS), high)
+
+    def belongs(place: int) -> bool:
+        p = order[place]
+        mine = [i for i in held[p] if found[i].text is not None and not left[i]]
+        n = sum(found[i].n for i in mine)
+        links = sum(found[i].n for i in mine if found[i].link)
+        if not n:
+            return not any(found[i].n for i in held[p] if found[i].text is not None)
+        if p < 0:
+            return not top and links < LINKS * n
+        if nodes[p].tag in TEXTUAL:
+            return marked or links < LINKS * n or place > headed  # a menu stands before the title
+        if p in parts_of_kind:
+            return True
+        return not top and links < LINKS * n and sum(scores[i] for i in held[p]) > 0
+
+    for step, places in ((-1, range(low - 1, -1, -1)), (1, range(high + 1, len(order)))):
+        for place in places:
+            if belongs(place):
+                taken.update(held[order[place]])
+            elif top:
+                break
+    for place in (low, high):  # lists and the like that the region cuts
+        if order[place] >= 0 and nodes[order[place]].tag in TEXTUAL:
+            taken.update(held[order[place]])
+    for place in range(low + 1, high):
+        taken.update(held[order[place]])
+    return taken, left
+
+
+def main_text(page: str | None, weights: dict[str, float], whole: bool = True) -> tuple[str, float]:
+    """The text of the best region, made whole or as it is, and the region's score. Blocks are joined by newlines, white space within
+    one is one space."""
     if not page:
         return "", 0.0
-    found, elements, _ = tokens(page)
+    found, elements, _, nodes = parse(page)
     scores, left = scored(found, elements, weights)
     start, end = best_region(scores)
+    total = math.fsum(scores[start:end])
     if end > start:  # a block that the region cuts is taken whole
         first, last = found[start].block, found[end - 1].block
         while start > 0 and found[start - 1].block == first:
             start -= 1
         while end < len(found) and found[end].block == last:
             end += 1
+    taken = range(start, end)
+    if whole and end > start:
+        chosen, left = make_whole(found, elements, nodes, scores, left, start, end)
+        taken = sorted(chosen)
     blocks: list[tuple[int, list[str]]] = []
-    for i in range(start, end):
+    for i in taken:
         t = found[i]
         if t.text is None or left[i]:
             continue
@@ -391,7 +513,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
             blocks.append((t.block, []))
         blocks[-1][1].append(t.text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for _, parts in blocks)
-    return "\n".join(x for x in lines if x), math.fsum(scores[start:end])
+    return "\n".join(x for x in lines if x), total
 
 
 def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 1) -> dict[str, float]:

@@ -61,7 +61,7 @@ def test_region_of_whole_pages_against_brute_force():
         # Whole blocks of the region, word by word.
         blocks = {found[i].block for i in (start, end - 1)} if end > start else set()
         inside = [t for i, t in enumerate(found) if t.text and not left[i] and (start <= i < end or t.block in blocks)]
-        assert "".join(H.main_text(page, {})[0].split()) == "".join("".join(t.text for t in inside).split())
+        assert "".join(H.main_text(page, {}, whole=False)[0].split()) == "".join("".join(t.text for t in inside).split())
         # An element is left out exactly where what is not left out in it comes to no positive sum.
         plain = [s / H.OUT_SHARE if o else s for s, o in zip(scores, left)]
         within = lambda w, i: w == i or (w >= 0 and within(elements[w].up, i))
@@ -86,6 +86,55 @@ def test_names_and_elements_are_no_veto(page):
     assert H.main_text(page, {})[0] == TEXT
 
 
+FIRST = "<h1>A title</h1><p>" + "words of running text that make a paragraph " * 3 + "</p>"
+LAST = "<p>" + "more words of running text that make another " * 3 + "</p>"
+#: Parts that an article may begin or end with, and their text.
+PARTS = {
+    "list": ("<ul><li>one</li><li>two words</li></ul>", "one\ntwo words"),
+    "table": ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "a\nb\n1\n2"),
+    "links": ("<ul><li><a href=x>one link</a></li><li><a href=y>two</a></li></ul>", "one link\ntwo"),
+    "caption": ("<figure><img src=x><figcaption>A short caption</figcaption></figure>", "A short caption"),
+    "definitions": ("<dl><dt>Term</dt><dd>what it is</dd></dl>", "Term\nwhat it is"),
+    "details": ("<details><summary>More</summary>hidden words</details>", "More\nhidden words"),
+    "quote": ("<blockquote>said they</blockquote>", "said they"),
+}
+LEARNED = {"w||p|": (5000, 10), "w||h1|": (500, 1), "w|nav 0 links|li|a": (0, 3000), "t||p": (400, 20), "t||h1": (50, 1), "t|ad 0|div": (0, 900), "w|footer 0|footer|": (0, 800)}
+AROUND = "<body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav><div class=ad>Buy a car now</div>{}<div id=comments><p>I like this article very much indeed, thanks for it</p></div><footer>&copy; all rights</footer></body>"
+
+
+@pytest.mark.parametrize("weights", [{}, H.learn(LEARNED)], ids=["prior", "learned"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>", "<main><div class=story>{}</div></main>", "{}"])
+@pytest.mark.parametrize("part", PARTS)
+def test_articles_keep_what_stands_at_their_ends(part, around, weights):
+    markup, text = PARTS[part]
+    clean = lambda h: "\n".join(" ".join(x.split()) for x in re.sub("<[^>]*>", "\n", h).split("\n") if x.split())
+    body = [clean(x) for x in (FIRST, LAST)]
+    at_end = H.main_text(AROUND.format(around.format(FIRST + LAST + markup)), weights)[0]
+    assert at_end == "\n".join([*body, text])
+    title, rest = FIRST.split("</h1>")
+    after_title = H.main_text(AROUND.format(around.format(f"{title}</h1>{markup}{rest}{LAST}")), weights)[0]
+    assert after_title == "\n".join(["A title", text, clean(rest), body[1]])
+    if part != "links" or "article" in around or "main" in around:
+        before = H.main_text(AROUND.format(around.format(markup + FIRST + LAST)), weights)[0]
+        assert before == "\n".join([text, *body])
+    between = H.main_text(AROUND.format(around.format(FIRST + markup + LAST)), weights)[0]
+    assert between == "\n".join([body[0], text, body[1]])
+
+
+@pytest.mark.parametrize("weights", [{}, H.learn(LEARNED)], ids=["prior", "learned"])
+def test_headers_and_asides_of_an_article(weights):
+    page = AROUND.format(f"<header><h2>Site name</h2></header><article><header><h1>Title</h1><p>by me</p></header>{LAST}<aside>A note aside</aside><aside class=sidebar>Other news</aside><nav><a href=x>next</a></nav></article><aside>Elsewhere today</aside>")
+    got = H.main_text(page, weights)[0].split("\n")
+    assert got[0] == "Title" and got[1] == "by me" and got[-1] == "A note aside" and len(got) == 4
+    page = AROUND.format(f"<div id=wrap><header><a href=/>Site</a> <a href=/x>Menu</a></header><div>{FIRST}{LAST}</div><div><a href=1>more</a> <a href=2>of it</a></div></div>")
+    assert H.main_text(page, weights)[0].split("\n")[0] == "A title" and len(H.main_text(page, weights)[0].split("\n")) == 3
+
+
+def test_menus_without_names_stay_out():
+    page = f"<body><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>{FIRST}{LAST}<footer><p>All rights</p></footer></body>"
+    assert H.main_text(page, {})[0].startswith("A title") and "rights" not in H.main_text(page, {})[0]
+
+
 def test_names_learn_from_pages():
     page = f"<div class=widget>{ARTICLE}</div>"
     assert H.labelled_counts(f"<article>{page}</article>") == {}  # inside the mark the name proves nothing
