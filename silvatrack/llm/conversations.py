@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, written
+from .common import meet, partitions, written  # noqa: F401
 
 #: Rows of a key that one window sums.
 BLOCK = 4096
-#: Rows from which a row that many others meet is broadcast: at most HOT_GROUPS of them have as many.
-HOT_ROWS, HOT_GROUPS = 10_000, 100_000
 
 
 def turn_digest(role: Column, text: Column) -> Column:
@@ -56,17 +52,3 @@ def prefix_sums(df: DataFrame, key: str, at: str, values: list[str], block: int
     carried = prefix_sums(whole, of, up, list(before.values()), block).withColumn(up, F.col(up) + 1)
     met = inside.join(carried, (F.col(key) == F.col(of)) & (F.col(part) == F.col(up)), "left")
     return met.withColumns({v: F.col(v) + F.coalesce(b, F.lit(0)) for v, b in before.items()}).select(*df.columns)
-
-
-def meet(rows: DataFrame, known: DataFrame, on: list[str], weight: str, hot_rows: int | None = None) -> DataFrame:
-    """rows joined with known, a kept table with one row for each value of on, and in weight how many rows meet it. Rows of
-    known that very many meet are broadcast, so that no value is one task's; weight is dropped."""
-    total = known.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(weight) >= max(HOT_ROWS if hot_rows is None else hot_rows, math.ceil(total / HOT_GROUPS))
-    if known.filter(hot).isEmpty():
-        return rows.join(known, on).drop(weight)
-    added = [c for c in known.columns if c not in on and c != weight]
-    few = F.broadcast(known.filter(hot).select(*on, F.struct(*added).alias("hot_")))
-    met = rows.join(few, on, "left")
-    cold = met.filter("hot_ IS NULL").drop("hot_").join(known.filter(~hot).drop(weight), on)
-    return cold.unionByName(met.filter("hot_ IS NOT NULL").select(*rows.columns, *[F.col(f"hot_.{c}").alias(c) for c in added]))

@@ -1,11 +1,11 @@
-"""Secret scans: candidates (long runs of the characters that keys are made of, and shorter values behind a key's word) go
-through a random forest over their length, character transitions, dictionary coverage, path and neighbouring words, which
-tells secrets from look-alikes.
+"""Secret scans: candidates (long runs of the characters that keys are made of, shorter values behind a key's word, and blocks of
+encoded text) go through a random forest over their length, character transitions, dictionary coverage, path and neighbouring
+words, which tells secrets from look-alikes.
 
 All of it is DataFrame functions and Spark's own machine-learning library. Labelled findings may be given; without them
 the forest learns from findings that documented rules label for sure. Each of these is learned from twice, once with
 what the rules decide by masked: so the forest does not repeat the rules, and judges what no rule is sure of by the value
-itself, its path and the words near it.
+itself, its path and the words near it. A sure finding's label weighs more than the forest's word.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash, written
+from .common import meet, unit_hash, written
 
-#: Characters of a run at least; and from which on a run's parts between = and / are candidates too.
-LEAST, MOST = 16, 512
+#: Characters of a run at least.
+LEAST = 16
+#: Characters on either side of a candidate that are looked at.
+CONTEXT = 128
+#: How much of a sure finding's probability is its label.
+SURE_SHARE = 0.6
 #: Characters of a value behind a key's word at least; runs of LEAST key characters in it are candidates of their own.
 SHORT = 6
 #: About how many labelled findings the forest learns from.
@@ -39,15 +43,22 @@ LEAST_LIKELY = -7.0
 LEAST_PROBABILITY = 0.5
 
 # Words that stand before a key's value, words of places where look-alikes stand, known forms of keys.
-_KEY_NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+_KEY_NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|secret[_-]?key)(?:[_-][a-z0-9_-]{1,24})?"
 KEY_WORDS = rf"(?i)(?:^|[^a-z]){_KEY_NAME}[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$"
-PLAIN_WORDS = r"(?i)(?:commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|example|sample|placeholder|dummy|https?://|www\.|@|id)[\s:=\"'./-]*$"
+PLAIN_WORDS = r"(?i)(?:(?:commit|blob|tree|object|parent|etag|integrity|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|example|sample|placeholder|dummy|https?://|www\.|@|id)[\s:=\"'./-]*|base64,|BEGIN (?:CERTIFICATE|[A-Z ]*PUBLIC KEY)-----)$"
+#: Behind this, a value is part of an address.
+ADDRESS = r"(?i)(?:[a-z][a-z0-9+.-]{1,20}://|www\.)[^\s\"'`<>]*$"
 PLAIN_PATHS = r"(?i)(?:test|example|sample|fixture|mock|doc|vendor|third)"
 KNOWN_FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})$"
 FILLER = r"^(?:(.)\1+|[xX*0_-]+|(?i:(?:your|my|the|some)[-_]?.*|.*(?:example|placeholder|changeme|dummy).*))$"
-_KEY = r"[A-Za-z0-9+/=_-]"
+CHECKSUM = r"^(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$"
+PRIVATE = r"BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY( BLOCK)?-----$"
+_KEY = r"[A-Za-z0-9+/_-]"
 _VALUE = r"[^\s\"'`<>]"
 _KEYED = rf"(?i){_KEY_NAME}[\"']?\s{{0,2}}(?:[:=]|=>)\s{{0,2}}[\"']?"
+#: A block of encoded text between lines that say what it is.
+_ARMOUR = r"-----BEGIN [A-Z0-9 ]{1,40}-----"
+_BODY = r"[\sA-Za-z0-9+/=:,.-]"
 
 #: Columns of the value, and of what stands around it.
 VALUE_FEATURES = ["length", "digits", "changes", "entropy", "likely", "covered", "recurs"]
@@ -79,31 +90,49 @@ def _places(rows: DataFrame, text: str, cut: str, keep: str, context: int, near:
     return cuts.select(*others, F.explode(found).alias("c"))
 
 
-def candidates(documents: DataFrame, context: int = 32) -> DataFrame:
-    """(doc_id, text_key, path, pos, value, before, after): the runs of at least LEAST key characters in each text, at each of
-    their places (from 1), with up to context characters on either side. Of runs over MOST, the parts between = and / are
-    candidates too, and one character all through is none. Behind a key's word and : or =, other values of at least SHORT
-    characters, up to white space or a quote, are candidates too. Rows that share doc_id and text have the same
-    candidates, and get them once."""
+def candidates(documents: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """(doc_id, text_key, path, pos, value, before, after): each text's values that may be secrets, at each of their places (from 1),
+    with up to context characters on either side.
+
+    A value is a run of at least LEAST key characters, with up to two = for padding; an = with more behind it ends a run, so that
+    a name before it is no part of the value. A run with / in it is cut there, and its parts of LEAST characters are values,
+    as those of a path are; it is one value where it is quoted, assigned to a name, or what a data address encodes. Behind a
+    key's word and : or =, other values of at least SHORT characters, up to white space or a quote, are values too. A block
+    between a BEGIN and an END line is one value, and what is in it none. All of this holds at any length. Rows that share
+    doc_id and text have the same candidates, and get them once."""
     names = ["doc_id", "text_key", "path", "pos", "value", "before", "after"]
-    keyed = documents.filter(F.col("text").rlike(f"{_KEYED}{_VALUE}{{{SHORT}}}")).select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), "text")
+    base = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), "text")
+    blocks = _places(base.filter(F.col("text").rlike(_ARMOUR)), "text", f"(?<={_ARMOUR})(?={_BODY})|(?=-----END )", f"{_BODY}{{{LEAST}}}", context, 1, LEAST, 1).select("doc_id", "text_key", "path", "c.*")
+    blocks = written(blocks.filter(F.col("before").rlike(f"{_ARMOUR}$")).select(*names))
+    inside = blocks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(F.col("pos").alias("lo"), (F.col("pos") + F.char_length("value")).alias("hi"))).alias("spans"))
+
+    def free(found: DataFrame) -> DataFrame:
+        """found without what stands in a block."""
+        within = found.join(inside.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+        return within.filter(F.col("spans").isNull() | ~F.exists("spans", lambda s: (F.col("pos") >= s["lo"]) & (F.col("pos") < s["hi"]))).select(*names)
+
+    keyed = base.filter(F.col("text").rlike(f"{_KEYED}{_VALUE}{{{SHORT}}}"))
     short = _places(keyed, "text", f"(?<={_KEYED})(?={_VALUE}{{{SHORT}}})", f"{_VALUE}{{{SHORT}}}", context, 1, SHORT, 1).select("doc_id", "text_key", "path", "c.*")
     # Marks at a value's end belong to the sentence.
     short = short.withColumn("piece", F.col("value")).withColumn("value", F.regexp_extract("piece", f"^{_VALUE}{{{SHORT - 1},}}(?<![.,;:)\\]}}])", 0))
     short = short.withColumn("after", F.left(F.concat(F.substr("piece", F.char_length("value") + 1), "after"), F.lit(context)))
     short = short.filter((F.char_length("value") >= SHORT) & ~F.col("value").rlike(f"{_KEY}{{{LEAST}}}")).select(*names)
-    rows = documents.filter(F.col("text").rlike(f"{_KEY}{{{LEAST}}}")).select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), "text")
+    rows = base.filter(F.col("text").rlike(f"{_KEY}{{{LEAST}}}"))
     ends = f"(?<!{_KEY})(?={_KEY}{{{LEAST}}})|(?!{_KEY})(?<={_KEY}{{{LEAST}}})"
     found = _places(rows, "text", ends, f"{_KEY}{{{LEAST}}}", context, 4 * math.ceil(context / 32)).select("doc_id", "text_key", "path", "c.*").select(*names)
-    found = found.filter((F.octet_length("value") <= MOST) | ~F.col("value").rlike(r"^(.)\1+$")).distinct()
+    padding = F.regexp_extract("after", r"^={1,2}(?![A-Za-z0-9+/=_-])", 0)
+    found = found.withColumn("value", F.concat("value", padding)).withColumn("after", F.substr("after", F.char_length(padding) + 1)).distinct()
+    quoted = F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")
+    assigned = F.col("before").rlike(r"[A-Za-z0-9_.-][\"']?\s{0,2}(?:[:=]|=>)\s{0,2}[\"'`]?$") | F.col("before").rlike(r"base64,$") | F.col("before").rlike(KEY_WORDS)
+    cut = F.col("value").contains("/") & ~((quoted | assigned) & ~F.col("before").rlike(ADDRESS))
+    found = written(free(found).withColumn("cut", cut))
     outer = ["doc_id", "text_key", "path", F.col("pos").alias("at"), F.col("before").alias("left"), F.col("after").alias("right")]
-    long = found.filter(F.octet_length("value") > MOST).select(*outer, "value")
-    parts = _places(long, "value", "(?<=[=/])(?=[^=/])|(?<=[^=/])(?=[=/])", "[^=/]", context, context)
+    parts = _places(found.filter("cut").select(*outer, "value"), "value", "(?<=/)(?=[^/])|(?<=[^/])(?=/)", "[^/]", context, context)
     parts = parts.select(
         "doc_id", "text_key", "path", "c.value", (F.col("at") + F.col("c.pos") - 1).alias("pos"),
         F.right(F.concat("left", "c.before"), F.lit(context)).alias("before"), F.left(F.concat("c.after", "right"), F.lit(context)).alias("after"),
     )
-    return found.unionByName(parts).unionByName(short).distinct()
+    return found.filter("NOT cut").select(*names).unionByName(parts.select(*names)).unionByName(free(short)).unionByName(blocks).distinct()
 
 
 def letter_runs(text: Column) -> Column:
@@ -118,14 +147,16 @@ def dictionary(documents: DataFrame) -> DataFrame:
 
 
 def transitions(words: DataFrame) -> Column:
-    """A map from two letters to the log-probability of the second behind the first, in the dictionary's words: 676 at most."""
+    """An array with, at 26 times one letter's number and another's, the log-probability of the second behind the first in the
+    dictionary's words."""
     pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
     counts = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     totals: dict[str, int] = {}
     for p, n in counts.items():
         totals[p[0]] = totals.get(p[0], 0) + n
-    cells = [x for p, n in sorted(counts.items()) for x in (F.lit(p), F.lit(max(LEAST_LIKELY, math.log(n / totals[p[0]]))))]
-    return F.create_map(*cells) if cells else F.create_map(F.lit(""), F.lit(0.0))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cells = [max(LEAST_LIKELY, math.log(counts[a + b] / totals[a])) if a + b in counts else LEAST_LIKELY for a in letters for b in letters]
+    return F.array(*[F.lit(c) for c in cells])
 
 
 def featurise(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -144,25 +175,28 @@ def featurise(found: DataFrame, words: DataFrame) -> DataFrame:
         return -add(F.transform(share, lambda p: p * F.log2(p)))
 
     def mean_likely(c: Column) -> Column:
-        each = F.transform(c, lambda x, i: F.when(i > 0, F.coalesce(F.element_at(likely, F.concat(F.get(c, i - 1), x)), F.lit(LEAST_LIKELY))).otherwise(0.0))
-        return add(each) / (F.size(c) - 1)
+        both = lambda a, b: F.when(a.between("a", "z") & b.between("a", "z"), F.get(likely, 26 * (F.ascii(a) - 97) + F.ascii(b) - 97)).otherwise(LEAST_LIKELY)
+        each = F.transform(c, lambda x, i: F.when(i > 0, both(F.get(c, i - 1), x)).otherwise(0.0))
+        return add(each) / F.greatest(F.size(c) - 1, F.lit(1))
 
     # Hashes go along with the words, not the values, which may be long.
     values = found.select(F.xxhash64("value").alias("value_key"), F.array_distinct(letter_runs(F.regexp_replace(v, "([a-z])([A-Z])", "$1 $2"))).alias("parts"))
     parts = values.select("value_key", F.explode("parts").alias("word")).distinct()
     known = parts.join(words.select("word"), "word").groupBy("value_key").agg(F.sum(F.char_length("word")).alias("in_words"))
-    often = found.select(F.xxhash64("value").alias("value_key"), "doc_id", "text_key").distinct().groupBy("value_key").agg(F.log2(F.count(F.lit(1))).alias("recurs"))
-    rates = found.groupBy("path").agg((F.count(F.lit(1)) / F.count_distinct("doc_id", "text_key")).alias("path_rate"))
+    keyed = found.withColumn("value_key", F.xxhash64("value"))
+    often = keyed.groupBy("value_key").agg(F.log2(F.count_distinct(F.struct("doc_id", "text_key"))).alias("recurs"), F.count(F.lit(1)).alias("weight"))
+    facts = written(often.join(known, "value_key", "left"))
+    rates = written(found.groupBy("path").agg((F.count(F.lit(1)) / F.count_distinct(F.struct("doc_id", "text_key"))).alias("path_rate"), F.count(F.lit(1)).alias("weight")))
     near = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != "")
     placed = lambda c, mark: F.transform(c, lambda w, i: F.concat(F.lit(mark), i.cast("string"), F.lit(":"), w))
     behind = F.slice(F.reverse(near(F.col("before"))), 1, NEAR_BEFORE)
     return (
-        found.withColumn("value_key", F.xxhash64("value")).join(known, "value_key", "left").join(often, "value_key").join(rates, "path", "left")
+        meet(meet(keyed, facts, ["value_key"], "weight"), rates, ["path"], "weight")  # a value or a path that very many rows have is no one task's
         .withColumn("chars", F.split(F.lower(v), ""))
         .withColumn("length", F.log2(n)).withColumn("digits", count(v, "[^0-9]") / n).withColumn("changes", F.char_length(kinds) / n)
         .withColumn("entropy", entropy(F.col("chars"))).withColumn("likely", mean_likely(F.col("chars")))
         .withColumn("covered", F.least(F.lit(1.0), F.coalesce("in_words", F.lit(0)) / n))
-        .withColumn("keyed", F.col("before").rlike(KEY_WORDS).cast("double")).withColumn("plain", F.col("before").rlike(PLAIN_WORDS).cast("double"))
+        .withColumn("keyed", F.col("before").rlike(KEY_WORDS).cast("double")).withColumn("plain", (F.col("before").rlike(PLAIN_WORDS) | F.col("before").rlike(ADDRESS)).cast("double"))
         .withColumn("quoted", (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double"))
         .withColumn("assigned", F.col("before").rlike("[:=>]\\s*[\"'`]?$").cast("double"))
         .withColumn("path_plain", F.col("path").rlike(PLAIN_PATHS).cast("double")).withColumn("path_depth", F.size(F.split("path", "[/.]")).cast("double"))
@@ -173,15 +207,16 @@ def featurise(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rule_labels(found: DataFrame) -> Column:
-    """1.0 for findings that are secrets for sure, 0.0 for those that are none, else null. Sure secrets: known forms, and
-    values of digits and letters quoted behind a key's word. Sure look-alikes: filler, words of the dictionary, and, not
-    behind a key's word, letters alone, digits alone and what stands behind words of checksums, ids and addresses."""
-    v = F.col("value")
+    """1.0 for findings that are secrets for sure, 0.0 for those that are none, else null. Sure secrets: known forms, blocks of
+    private keys, and values of digits and letters behind a key's word that are quoted or stand right behind its = or :. Sure
+    look-alikes: filler, words of the dictionary, and, not behind a key's word, letters alone, digits alone, hexadecimal
+    digits as many as a checksum has, and what stands behind words of checksums, ids and addresses."""
+    v, before = F.col("value"), F.col("before")
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(FILLER)
-    alone = v.rlike("^[A-Za-z_/=+-]+$") | v.rlike("^[0-9_/=+-]+$") | (F.col("plain") == 1)
-    return F.when(v.rlike(KNOWN_FORMS) | ((F.col("keyed") == 1) & (F.col("quoted") == 1) & mixed), 1.0).when(
-        v.rlike(FILLER) | (F.col("covered") >= 0.8) | ((F.col("keyed") == 0) & alone), 0.0
-    )
+    tight = (F.col("quoted") == 1) | before.rlike("[:=]$")
+    alone = v.rlike("^[A-Za-z_/=+-]+$") | v.rlike("^[0-9_/=+-]+$") | v.rlike(CHECKSUM) | (F.col("plain") == 1)
+    sure = v.rlike(KNOWN_FORMS) | before.rlike(PRIVATE) | ((F.col("keyed") == 1) & tight & mixed)
+    return F.when(sure & ~((F.col("plain") == 1) & before.rlike(r"BEGIN|base64,$")), 1.0).when(v.rlike(FILLER) | (F.col("covered") >= 0.8) | ((F.col("keyed") == 0) & alone), 0.0)
 
 
 def _vectors(found: DataFrame) -> DataFrame:
@@ -233,7 +268,8 @@ def judge(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     if model is None:
         judged = found.withColumn("probability", F.coalesce("label", F.lit(0.5)))
     else:
-        judged = model.transform(_vectors(found)).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
+        forest = F.get(vector_to_array("probability"), F.lit(1))
+        judged = model.transform(_vectors(found)).withColumn("probability", F.when(F.col("label").isNull(), forest).otherwise(SURE_SHARE * F.col("label") + (1 - SURE_SHARE) * forest))
     return judged.select("doc_id", "text_key", "pos", "value", "label", "probability", (F.col("probability") >= LEAST_PROBABILITY).alias("secret"))
 
 
@@ -243,8 +279,9 @@ def labelled_findings(documents: DataFrame, labelled: DataFrame | None = None) -
     if labelled is None:
         # A place by which a value would be none does not count where another place shows that it is a secret.
         found = written(found.withColumn("label", rule_labels(found)))
-        sure = found.filter("label = 1.0").select(F.xxhash64("value").alias("sure")).distinct()
-        found = found.join(sure, F.xxhash64("value") == F.col("sure"), "left").withColumn("label", F.when(F.col("label") == 1.0, 1.0).when(F.col("sure").isNull(), F.col("label"))).drop("sure")
+        keyed = found.withColumn("value_key", F.xxhash64("value"))
+        sure = written(keyed.groupBy("value_key").agg(F.coalesce(F.max("label") == 1.0, F.lit(False)).alias("sure"), F.count(F.lit(1)).alias("weight")))
+        found = meet(keyed, sure, ["value_key"], "weight").withColumn("label", F.when(F.col("label") == 1.0, 1.0).when(~F.col("sure"), F.col("label"))).drop("sure", "value_key")
     else:
         found = found.join(labelled.groupBy("value").agg(F.max(F.col("label").cast("double")).alias("label")), "value", "left")
     return written(found)
