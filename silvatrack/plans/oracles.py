@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _SF = "1 - list_sum(list_transform(range(0, CAST({n} AS BIGINT) + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1))))"
 
 _L1 = "list_sum(list_transform(range(1, len(v.x) + 1), lambda j: abs(v.x[j] - c.x[j])))"
@@ -132,6 +134,51 @@ STEPS = {
   e11 * ((a00 * CAST(2 AS DOUBLE) / 9 + a10 * CAST(7 AS DOUBLE) / 10) * 4 / 11 + (a01 * CAST(2 AS DOUBLE) / 9 + a11 * CAST(7 AS DOUBLE) / 10) * 10 / 11) AS x11
   FROM joint j JOIN pair e ON e.chunk_id = j.chunk_id AND e.t = j.t + 1))"""),
 }
+
+
+def _again(step: str, suffix: str, **names: str) -> None:
+    """Adds a step once more, as step + suffix, with other tables in place of those it names."""
+    needs, text = STEPS[step]
+    swap = lambda n: names.get(n, n)
+    unnamed = r"(?= (?:JOIN|LEFT|USING|WHERE|GROUP|ON)\b|\)|$)"  # such a table goes on by the name it had
+    text = re.sub(rf"\b(FROM|JOIN) (\w+){unnamed}", lambda m: f"{m[1]} {swap(m[2])} {m[2]}" if m[2] in names else m[0], text)
+    STEPS[step + suffix] = " ".join(swap(n) for n in needs.split()), re.sub(r"\b(FROM|JOIN) (\w+)(?= \w)", lambda m: f"{m[1]} {swap(m[2])}", text)
+
+
+def _sweep(suffix: str, q: str, **tables: str) -> str:
+    """Adds the steps of a mean-field sweep over the posteriors q; returns the name of what comes out."""
+    for step in ("own", "nxt", "kids"):
+        _again(step, suffix, q=q, **tables)
+    _again("jac", suffix, q=q, own=f"own{suffix}", nxt=f"nxt{suffix}", kids=f"kids{suffix}", **tables)
+    return f"jac{suffix}"
+
+
+def _estimate(suffix: str, q: str) -> dict[str, str]:
+    """Adds the steps of the M-step from the posteriors q; returns which tables take the place of which."""
+    share = "SELECT {0}, (w + CAST(1e-6 AS DOUBLE)) / sum(w + CAST(1e-6 AS DOUBLE)) OVER ({1}) AS p FROM (SELECT {2}, sum({3}) AS w FROM {4} GROUP BY ALL)".format
+    before, above = f"JOIN {q} b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1", f"JOIN {q} u ON u.chunk_id = n.chunk_id AND u.i = parent AND u.t = n.t"
+    node = f"{q} n JOIN tree USING (i)"
+    STEPS[f"gam{suffix}"] = f"{q} tree", share("k", "", "n.k", "n.q", f"(SELECT n.* FROM {node} WHERE parent IS NULL AND n.t = 0) n")
+    STEPS[f"alp{suffix}"] = f"{q} tree", share("h, k", "PARTITION BY h", "h, k", "x", f"(SELECT b.k AS h, n.k, b.q * n.q AS x FROM {node} {before} WHERE parent IS NULL)")
+    STEPS[f"bet{suffix}"] = f"{q} tree", share("v, k", "PARTITION BY v", "v, k", "x", f"(SELECT u.k AS v, n.k, u.q * n.q AS x FROM {node} {above} WHERE n.t = 0)")
+    STEPS[f"the{suffix}"] = f"{q} tree", share("v, h, k", "PARTITION BY v, h", "v, h, k", "x", f"(SELECT u.k AS v, b.k AS h, n.k, u.q * b.q * n.q AS x FROM {node} {above} {before})")
+    STEPS[f"placed{suffix}"] = f"{q} nodes", f"SELECT p.*, n.chrom, n.bin FROM {q} p JOIN nodes n ON n.chunk_id = p.chunk_id AND n.i = p.i AND n.t = p.t"
+    _again("emission", suffix, q=f"placed{suffix}")
+    _again("ll", suffix, emit=f"emission{suffix}")
+    return {n: f"{n}{suffix}" for n in ("gam", "alp", "bet", "the", "ll")}
+
+
+def _energy(q: str, own: str, ll: str, before: str, number: int) -> str:
+    return f"""SELECT CAST({number} AS INT) AS iter, CAST(2 AS INT) AS sweeps, (SELECT round(max(abs(a.q - b.q)), 6) FROM {q} a JOIN {before} b USING (chunk_id, i, t, k)) AS change,
+(SELECT round(sum(n.q * (ln(n.q) - own - ll)), 6) FROM {q} n JOIN {own} USING (chunk_id, i, t, k) JOIN {ll} USING (chunk_id, i, t, k)) AS energy"""
+
+
+_sweep("_1", "jac")
+_again("own", "_2", q="jac_1")
+_NEXT = _estimate("_3", "jac_1")
+_sweep("_4", "jac_1", **_NEXT)
+_sweep("_5", "jac_4", **_NEXT)
+_again("own", "_6", q="jac_5", **_NEXT)
 RECURSIVE = {"fwd", "fwdg", "bwd", "vit", "back", "joint"}
 
 
@@ -206,6 +253,7 @@ UNION ALL SELECT 'beta', u.k || ',' || n.k, {R('sum(u.q * n.q)')} FROM q n JOIN
 UNION ALL SELECT 'theta', u.k || ',' || b.k || ',' || n.k, {R('sum(u.q * b.q * n.q)')} FROM q n JOIN tree USING (i) JOIN q u ON u.chunk_id = n.chunk_id AND u.i = parent AND u.t = n.t
 JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 GROUP BY u.k, b.k, n.k""", "q", "tree"),
     "f4_mean_field_energy": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(q * (ln(q) - own - ll))')} AS energy FROM q JOIN own USING (chunk_id, i, t, k) JOIN ll USING (chunk_id, i, t, k) GROUP BY chunk_id", "q", "own", "ll"),
+    "f19_em_relational": query(_energy("jac_1", "own_2", "ll", "jac", 0) + " UNION ALL " + _energy("jac_5", "own_6", "ll_3", "jac_4", 1), "jac", "jac_1", "own_2", "ll", "jac_4", "jac_5", "own_6", "ll_3"),
     "f5_convergence": query(f"SELECT {R('max(abs(q.q - jac.q))')} AS change, max(abs(q.q - jac.q)) < CAST(1e-3 AS DOUBLE) AS converged FROM q JOIN jac USING (chunk_id, i, t, k)", "q", "jac"),
     "f11_independent": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),
     "f11_independent_blocks": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),

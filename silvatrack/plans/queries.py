@@ -14,6 +14,7 @@ from ..sources import reads as sources
 from ..sources import tables
 from . import chains, em
 from . import fixtures as fx
+from . import relational_em
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,6 +441,16 @@ def f19_em(d):
     return tables.params_frame(d.spark, params, "fit", len(path))
 
 
+@register
+def f19_em_relational(d):
+    """Two iterations of mean-field EM as joins and sums, of two sweeps each, from the posteriors made by formula: the last sweep's
+    largest change and the free energy of each iteration."""
+    nodes, q = fx.kept(d.nodes, "nodes"), fx.kept(_q(d), "posterior")
+    _, _, path = relational_em.fit(q, nodes, d.cells, d.avail, d.tree_frame, fx.params(), iterations=2, epsilon=0.0, most=2, limit=0.0)
+    rows = [(p.number, p.sweeps, float(p.change), float(p.energy)) for p in path]
+    return _six(d.spark.createDataFrame(rows, "iter int, sweeps int, change double, energy double"), "change", "energy")
+
+
 def _signal_packed(d: fx.Data) -> DataFrame:
     return fx.kept(em.pack(segment.cut(d.signal, d.chunks), d.chunks, "value"), "packed")
 
