@@ -229,6 +229,13 @@ def mean_field(x, avail, params, tree: Tree, most: int = 10, epsilon: float = 1e
     return q, stats, value, path
 
 
+def given_parent(above: np.ndarray, start: np.ndarray, nodes: np.ndarray, theta: np.ndarray) -> Chain:
+    """A species' chain given its parent's posteriors (bins, states): transitions are the expected logs of theta under them. start and
+    theta are logs; nodes has what its emissions and children say."""
+    above = above.copy()  # a chain's tables stay as they were when it was made
+    return Chain(start, lambda lo, hi: np.einsum("tv,vhk->thk", above[lo + 1 : hi + 1], theta, optimize=True), nodes)
+
+
 def product_of_chains(x, avail, params, tree: Tree, most: int = 10, epsilon: float = 1e-3, seed: int = 0):
     """Each species' chain exact, given its parent's and children's posteriors."""
     o = emission(x, avail, params)
@@ -236,13 +243,12 @@ def product_of_chains(x, avail, params, tree: Tree, most: int = 10, epsilon: flo
     q, chains = np.empty_like(o), [None] * species
     thetas = [None if p is None else log(theta_of(params, tree, i)) for i, p in enumerate(tree.parent)]
 
-    def put(i: int, start: np.ndarray, steps, nodes: np.ndarray) -> None:
-        chains[i] = Chain(start, steps, nodes)
-        q[i] = chains[i].q
+    def put(i: int, chain: Chain) -> None:
+        chains[i], q[i] = chain, chain.q
 
     for i, p in enumerate(tree.parent):  # start without neighbours: theta averaged over the parent's states
         step = params["alpha"] if p is None else theta_of(params, tree, i).mean(axis=0)
-        put(i, log(params["gamma"] if p is None else params["beta"].mean(axis=0)), log(step), o[i])
+        put(i, Chain(log(params["gamma"] if p is None else params["beta"].mean(axis=0)), log(step), o[i]))
 
     def update() -> None:
         for i, p in enumerate(tree.parent):
@@ -252,11 +258,9 @@ def product_of_chains(x, avail, params, tree: Tree, most: int = 10, epsilon: flo
                 for lo, hi in blocks(n):
                     nodes[lo + 1 : hi + 1] += np.einsum("thv,khv->tk", chains[c].pairs(lo, hi), thetas[c], optimize=True)
             if p is None:
-                put(i, log(params["gamma"]), log(params["alpha"]), nodes)
+                put(i, Chain(log(params["gamma"]), log(params["alpha"]), nodes))
             else:
-                above = q[p].copy()  # a chain's tables stay as they were when it was made
-                steps = lambda lo, hi, above=above, th=thetas[i]: np.einsum("tv,vhk->thk", above[lo + 1 : hi + 1], th, optimize=True)
-                put(i, q[p, 0] @ log(params["beta"]), steps, nodes)
+                put(i, given_parent(q[p], q[p, 0] @ log(params["beta"]), nodes, thetas[i]))
 
     def energy() -> float:
         ent = 0.0

@@ -47,12 +47,19 @@ def smooth_blocks(values: DataFrame, sizes: DataFrame, w: int, block: int = 1 <<
     return done.join(F.broadcast(sizes.select("chrom", "bins")), "chrom").filter("bin >= 0 AND bin < bins").select("chrom", "bin", "s")
 
 
-def runs(values: DataFrame, least: float, value: str = "s") -> DataFrame:
-    """(chrom, start, end): maximal runs of bins of at least this value; end is past the last."""
-    kept = values.filter(F.col(value) >= least)
-    order = Window.partitionBy("chrom").orderBy("bin")
-    island = kept.select("chrom", "bin", (F.col("bin") - F.row_number().over(order)).alias("island"))
-    return island.groupBy("chrom", "island").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end")).drop("island")
+def runs(values: DataFrame, least: float, value: str = "s", block: int = 1 << 16) -> DataFrame:
+    """(chrom, start, end): maximal runs of bins of at least this value; end is past the last. Blocks of bins find their runs on their
+    own; then runs that touch a block's border are joined to those that go on behind it, of which a block has two at most."""
+    kept = values.filter(F.col(value) >= least).select("chrom", "bin", F.expr(f"bin div {block}").alias("block"))
+    order = Window.partitionBy("chrom", "block").orderBy("bin")
+    island = kept.select("chrom", "block", "bin", (F.col("bin") - F.row_number().over(order)).alias("island"))
+    found = island.groupBy("chrom", "block", "island").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end"))
+    found = found.withColumn("touches", (F.col("start") == F.col("block") * block) | (F.col("end") == (F.col("block") + 1) * block))
+    along = Window.partitionBy("chrom").orderBy("start")  # a row or two for each block
+    goes_on = F.coalesce(F.lag("end").over(along) == F.col("start"), F.lit(False))
+    joined = found.filter("touches").select("chrom", "start", "end", F.when(goes_on, 0).otherwise(1).alias("new")).withColumn("run", F.sum("new").over(along))
+    joined = joined.groupBy("chrom", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return found.filter("NOT touches").select("chrom", "start", "end").unionByName(joined.select("chrom", "start", "end"))
 
 
 def chunks(found: DataFrame, min_size: int, legacy_edge: bool = False) -> DataFrame:

@@ -146,6 +146,24 @@ def posteriors(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np
     return packed.mapInPandas(each, "chunk_id long, i int, t long, q array<double>")
 
 
+def leaf_posteriors(packed: DataFrame, posterior: DataFrame, species: int, params: dict, tree: Tree, avail: np.ndarray) -> DataFrame:
+    """(chunk_id, t, q array, value): the chain of a species without children, given its parent's posteriors; posterior is (chunk_id, i, t,
+    q array) of all bins. value is the log of the sum over all paths, the same for all bins of a chunk."""
+    parent, shape = tree.parent[species], avail.shape
+    above = posterior.filter(F.col("i") == parent).groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "q"))), lambda s: s["q"]).alias("above"))
+    beta, theta = kernels.log(params["beta"]), kernels.log(kernels.theta_of(params, tree, species))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                up = np.stack([np.asarray(v) for v in row.above])
+                o = kernels.emission(_chunk(row, shape)[species : species + 1], avail[species : species + 1], params)[0]
+                chain = kernels.given_parent(up, up[0] @ beta, o, theta)
+                yield pd.DataFrame({"chunk_id": row.chunk_id, "t": np.arange(len(o)), "q": list(chain.q), "value": chain.value})
+
+    return packed.join(above, "chunk_id").mapInPandas(each, "chunk_id long, t long, q array<double>, value double")
+
+
 def objectives(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np.ndarray, **how) -> DataFrame:
     """(chunk_id, objective) of each chunk."""
     if in_units(packed, mode):

@@ -74,10 +74,15 @@ class Data:
         )
 
     @cached_property
-    def sizes(self) -> DataFrame:
+    def genome(self) -> DataFrame:
+        """(chrom, length), as a header has them."""
         last = self.table("lineitem").agg(F.max("l_orderkey")).first()[0]
         genome = self.spark.range(0 if last is None else last // ORDERS + 1).toDF("c")
-        return convert.select_chroms(genome.select(F.expr(CHROM).alias("chrom"), F.expr(LENGTH).cast("long").alias("length")), WINDOW)
+        return genome.select(F.expr(CHROM).alias("chrom"), F.expr(LENGTH).cast("long").alias("length"))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return convert.select_chroms(self.genome, WINDOW)
 
     @cached_property
     def binned(self) -> DataFrame:

@@ -14,15 +14,15 @@ from . import em
 
 def infer(
     packed: DataFrame, chunks: DataFrame, mode: str, tree: Tree, avail: np.ndarray, k: int, out: str, run_id: str,
-    resume: str | None = None, save_q: int = 1, iterations: int = 50, **how,
+    resume: str | None = None, save_q: int = 1, iterations: int = 50, start: dict | None = None, **how,
 ) -> tuple[dict[str, np.ndarray], DataFrame | None]:
     """Fits packed chunks and keeps in the folder out: params, the parameters of each iteration, and q, posteriors by level
     (tables.save_posteriors: 0 none, 1 of the last iteration, 2 of every one, 3 also the last one's by chromosome, which is
-    returned). resume names an earlier run in the same folder whose last parameters are the start. packed should be kept;
+    returned). resume names an earlier run in the same folder whose last parameters are the start, in place of those given. packed should be kept;
     separate thetas take up a common one."""
     spark = packed.sparkSession
     branches = len(tree.branch()) if how.get("separate_theta") else None
-    start = tables.load_params(spark, f"{out}/params", resume, children=branches) if resume else None
+    start = tables.load_params(spark, f"{out}/params", resume, children=branches) if resume else start
 
     def keep(n: int, params: dict, last: bool) -> DataFrame | None:
         if save_q >= 2 or (save_q and last):

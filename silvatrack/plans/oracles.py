@@ -123,6 +123,17 @@ STEPS = {
   UNION ALL SELECT chunk_id, i, t, n, x0 / (x0 + x1), x1 / (x0 + x1), lg + ln(x0 + x1) FROM (SELECT e.chunk_id, e.i, e.t, e.n, f.lg,
   e0 * (a0 * CAST(7 AS DOUBLE) / 9 + a1 * CAST(3 AS DOUBLE) / 10) AS x0, e1 * (a0 * CAST(2 AS DOUBLE) / 9 + a1 * CAST(7 AS DOUBLE) / 10) AS x1
   FROM fwdg f JOIN em2g e ON e.chunk_id = f.chunk_id AND e.i = f.i AND e.t = f.t + 1)"""),
+    # A species without children, its parent's posteriors given: tables of each bin from the expected logs of theta, scaled passes over them.
+    "leafe": ("ll chunks", """SELECT chunk_id, t, "end" - "start" AS n, list(exp(ll) ORDER BY k) AS e FROM ll JOIN chunks USING (chunk_id) WHERE i = 1 GROUP BY ALL"""),
+    "leaft": ("q the", """SELECT chunk_id, t, list(x ORDER BY h, k) AS f FROM (SELECT q.chunk_id, q.t, h, the.k, exp(sum(q * ln(p))) AS x FROM q JOIN the ON v = q.k WHERE i = 0 GROUP BY ALL) GROUP BY ALL"""),
+    "leafs": ("q bet leafe", """SELECT e.chunk_id, n, list(x * e[k + 1] ORDER BY k) AS x FROM (SELECT q.chunk_id, bet.k, exp(sum(q * ln(p))) AS x FROM q JOIN bet ON v = q.k WHERE i = 0 AND t = 0 GROUP BY ALL) s
+  JOIN leafe e ON e.chunk_id = s.chunk_id AND e.t = 0 GROUP BY ALL"""),
+    "leaff": ("leafs leafe leaft", """SELECT chunk_id, CAST(0 AS BIGINT) AS t, n, list_transform(x, lambda y: y / list_sum(x)) AS a, ln(list_sum(x)) AS lg FROM leafs
+  UNION ALL SELECT chunk_id, t, n, list_transform(x, lambda y: y / list_sum(x)), lg + ln(list_sum(x)) FROM (SELECT e.chunk_id, e.t, e.n, lg, list_transform([1, 2, 3], lambda k: e[k] * (a[1] * f[k] + a[2] * f[3 + k] + a[3] * f[6 + k])) AS x
+  FROM leaff p JOIN leafe e ON e.chunk_id = p.chunk_id AND e.t = p.t + 1 JOIN leaft w ON w.chunk_id = e.chunk_id AND w.t = e.t)"""),
+    "leafb": ("leafe leaft", """SELECT chunk_id, t, [CAST(1 AS DOUBLE), 1, 1] AS b FROM leafe WHERE t = n - 1
+  UNION ALL SELECT chunk_id, t, list_transform(y, lambda z: z / list_sum(y)) FROM (SELECT e.chunk_id, e.t - 1 AS t, list_transform([0, 3, 6], lambda h: f[h + 1] * e[1] * b[1] + f[h + 2] * e[2] * b[2] + f[h + 3] * e[3] * b[3]) AS y
+  FROM leafb p JOIN leafe e ON e.chunk_id = p.chunk_id AND e.t = p.t JOIN leaft w ON w.chunk_id = p.chunk_id AND w.t = p.t WHERE p.t > 0)"""),
     # Two species, two states: the scaled forward pass over their four joint states (first species' state, second's).
     "pair": ("em2", "SELECT a.chunk_id, a.t, a.n, a.e0 * b.e0 AS e00, a.e0 * b.e1 AS e01, a.e1 * b.e0 AS e10, a.e1 * b.e1 AS e11 FROM em2 a JOIN em2 b ON a.chunk_id = b.chunk_id AND a.t = b.t WHERE a.i = 0 AND b.i = 1"),
     "joint": ("pair", """SELECT chunk_id, t, n, x00 / s AS a00, x01 / s AS a01, x10 / s AS a10, x11 / s AS a11, ln(s) AS lg FROM (SELECT *, x00 + x01 + x10 + x11 AS s FROM
@@ -179,7 +190,7 @@ _NEXT = _estimate("_3", "jac_1")
 _sweep("_4", "jac_1", **_NEXT)
 _sweep("_5", "jac_4", **_NEXT)
 _again("own", "_6", q="jac_5", **_NEXT)
-RECURSIVE = {"fwd", "fwdg", "bwd", "vit", "back", "joint"}
+RECURSIVE = {"leaff", "leafb", "fwd", "fwdg", "bwd", "vit", "back", "joint"}
 
 
 def query(select: str, *steps: str) -> str:
@@ -264,6 +275,15 @@ JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 GROUP BY u.k
 FROM (SELECT id, unnest(range(0, len(x))) AS l, unnest(x) AS v FROM vec) JOIN (SELECT id, k, w / sum(w) OVER (PARTITION BY id) AS w FROM (SELECT id, k, CAST(1 + (id * 3 + k * 7) % 11 AS DOUBLE) AS w FROM vec, st)) USING (id) GROUP BY k, l""", "vec", "st"),
     "f18_viterbi_chain": query("SELECT CAST(chunk_id AS BIGINT) AS chunk_id, i, t, CAST(state AS INT) AS state FROM back", "back"),
     "f18_viterbi_blocks": query("SELECT CAST(chunk_id AS BIGINT) AS chunk_id, i, t, CAST(state AS INT) AS state FROM back", "back"),
+    "f7_leaf_posterior": query(f"""SELECT CAST(chunk_id AS BIGINT) AS chunk_id, t, CAST(unnest([0, 1, 2]) AS INT) AS k, unnest(list_transform([1, 2, 3], lambda k: round(a[k] * b[k] / (a[1] * b[1] + a[2] * b[2] + a[3] * b[3]), 6))) AS q
+FROM leaff JOIN leafb USING (chunk_id, t)""", "leaff", "leafb"),
+    "f9_leaf_energy": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('lg')} AS value FROM leaff WHERE t = n - 1", "leaff"),
+    "g7_trajectory": query(f"""SELECT run_id, CAST(0 AS INT) AS iter, CAST(row_number() OVER (ORDER BY run_id) - 1 AS INT) AS step, {R('gain')} AS gain FROM (SELECT 'a' AS run_id, sum(lg) AS gain FROM fwd WHERE t = n - 1
+UNION ALL SELECT 'b', sum(lg) FROM fwdg WHERE t = n - 1)""", "fwd", "fwdg"),
+    "g2_bed_of_paths": query("""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || state AS name, CAST(1 AS DOUBLE) AS score, '+' AS strand, species, CAST(state AS INT) AS state
+FROM back b JOIN nodes n ON n.chunk_id = b.chunk_id AND n.i = b.i AND n.t = b.t JOIN species_dim s ON s.i = b.i""", "back", "nodes", "species_dim"),
+    "a4_glob_round_trip": query("SELECT i, l, chrom, bin FROM cells", "cells"),
+    "w_convert_split": query("SELECT CAST(chunk_id AS BIGINT) AS chunk_id, chrom, bin, i, l, t FROM cut", "cut"),
     "g1_map": query("SELECT chrom, bin, i, k AS state FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) WHERE o = 1", "q"),
     "g2_bed": query(f"""SELECT chrom, bin * 2000 AS "start", (bin + 1) * 2000 AS "end", species || '.state' || k AS name, {R('q')} AS score, '+' AS strand, species, k AS state
 FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, bin, i ORDER BY q DESC, k) AS o FROM q) x JOIN species_dim s ON s.i = x.i WHERE o = 1""", "q", "species_dim"),

@@ -12,7 +12,7 @@ from ..functions.model import Tree, row_normalize
 from ..operators import convert, decode, emission, features, gaussian_init, relational, segment
 from ..sources import reads as sources
 from ..sources import tables
-from . import chains, em
+from . import chains, convert_split, em, jobs
 from . import fixtures as fx
 from . import relational_em
 from .oracles import ORACLES
@@ -42,11 +42,43 @@ def a1_reads(d):
     return d.reads
 
 
+def _sample_files(d: fx.Data) -> str:
+    """The reads as files, in a folder for each sample that has its name."""
+    path = fx.folder(d.spark, "samples")
+    named = d.reads.withColumn("sample", F.concat_ws("_", "species", "mark", F.concat(F.lit("rep"), "rep")))
+    named.drop("species", "mark", "rep").repartition("sample").write.partitionBy("sample").parquet(path)
+    return path
+
+
+TEMPLATE = "sample={species}_{mark}_rep{rep}/"
+
+
 @register
 def a2_samples(d):
-    """Replicates and reads of every pair of species and mark; it fails where one has none."""
-    sources.require_samples(d.kept_counts, d.species_dim, d.mark_dim)
-    return sources.sample_table(d.reads, d.species_dim, d.mark_dim)
+    """Replicates and reads of every pair of species and mark, found by the names of their files; it fails where one has none."""
+    found = sources.discover_samples(d.spark, f"{_sample_files(d)}/*", TEMPLATE)
+    return sources.sample_table(sources.require_samples(found, d.species_dim, d.mark_dim), d.species_dim, d.mark_dim)
+
+
+@register
+def a4_glob_round_trip(d):
+    """The calls of two observation sets, of even and odd bins, read together by one pattern."""
+    path, meta = fx.folder(d.spark, "sets"), d.spark.createDataFrame([(fx.WINDOW,)], "window int")
+    for half in (0, 1):
+        tables.write_observations(d.cells.filter(F.col("bin") % 2 == half), meta, f"{path}/set-{half}")
+    return tables.read_observations(d.spark, f"{path}/set-*").select("i", "l", "chrom", "bin")
+
+
+def _marks(d: fx.Data) -> list[str]:
+    return [r["mark"] for r in d.mark_dim.orderBy("l").collect()]
+
+
+@register
+def w_convert_split(d):
+    """The jobs from files to chunks: reads found by name are converted to an observation set, which is read by a pattern and split."""
+    out = fx.folder(d.spark, "job")
+    convert_split.convert(d.spark, f"{_sample_files(d)}/*", TEMPLATE, sorted(fx.PARENTS), _marks(d), d.genome, f"{out}/set", fx.WINDOW, fx.LEVEL)
+    return convert_split.split(d.spark, f"{out}/se*", out=f"{out}/split", kernel=fx.KERNEL, min_reads=fx.MIN_READS, min_size=fx.MIN_SIZE)[1]
 
 
 @register
@@ -509,15 +541,36 @@ def g6_theta_slice(d):
     return _six(decode.slice_report(relational.normalize_table(relational.statistics(_q(d), d.tree_frame)), "theta", 0, 0, fx.K), *[f"state{s}" for s in range(fx.K)])
 
 
+@register
+def f7_leaf_posterior(d):
+    """The posteriors of a species without children, given its parent's."""
+    q = em.leaf_posteriors(em.balanced(_packed(d)), _q(d), 1, fx.params(), fx.tree(), d.availability_matrix())
+    return _six(_states(q.select("chunk_id", "t", "q")), "q")
+
+
+@register
+def f9_leaf_energy(d):
+    """The log of the sum over all paths of that species' chain, by chunk."""
+    q = em.leaf_posteriors(em.balanced(_packed(d)), _q(d), 1, fx.params(), fx.tree(), d.availability_matrix())
+    return _six(q.filter("t = 0").select("chunk_id", "value"), "value")
+
+
 @register
 def g7_trajectory(d):
-    """Objectives of two runs, the second taking up the first one's parameters."""
-    packed, avail = _units(d).persist(), d.availability_matrix()
-    first, path = em.fit(packed, "indep", fx.tree(), avail, 2, iterations=2)
-    _, more = em.fit(packed, "indep", fx.tree(), avail, 2, iterations=2, start=first)
-    packed.unpersist()
-    rows = [(r, n, v, "free_energy") for r, p in (("a", path), ("b", more)) for n, v in enumerate(p)]
-    return decode.trajectory(d.spark.createDataFrame(rows, "run_id string, iter int, objective double, kind string"))
+    """The saved objectives of two runs, one behind the other: chains of their own on the calls, and on the continuous signal."""
+    out, avail = fx.folder(d.spark, "runs"), d.availability_matrix()
+    signal = {n: v for n, v in fx.params(2).items() if n != "emit"} | {"means": np.repeat(np.array([[2.0], [5.0]]), fx.MARKS, axis=1), "variances": np.full((2, fx.MARKS), 4.0)}
+    on_signal = fx.kept(chains.pack_units(segment.cut(d.signal, d.chunks), d.chunks, fx.SPECIES, value="value"), "units")
+    for run, units, start, gaussian in (("a", _units(d), fx.params(2), False), ("b", em.balanced(on_signal), signal, True)):
+        jobs.infer(units, d.chunks, "indep", fx.tree(), avail, 2, out, run, save_q=0, iterations=1, start=start, gaussian=gaussian)
+    return _six(jobs.progress(d.spark, out), "gain")
+
+
+@register
+def g2_bed_of_paths(d):
+    """The likeliest paths as BED rows: each bin's state on its species' path, with certainty."""
+    paths = fx.kept(em.posteriors(_units(d), "viterbi_chain", fx.params(2), fx.tree(), d.availability_matrix()), "paths")
+    return decode.bed(decode.stitch(paths, d.chunks), d.species_dim, fx.WINDOW)
 
 
 def segment_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:

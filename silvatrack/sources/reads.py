@@ -32,31 +32,39 @@ def read_sam(spark: SparkSession, path: str | list[str], species: str, mark: str
 
 def discover_samples(spark: SparkSession, paths: str | list[str], template: str, format: str = "parquet", schema: str | None = None) -> DataFrame:
     """The rows of files whose names follow template, such as "{species}_{mark}_rep{rep}", with the parts of the name as
-    columns. Files that do not follow it are left out."""
+    columns. Files that do not follow it are left out. A template with / in it is held against as many folders above the file
+    too: "{species}_{mark}_rep{rep}/" takes the names of the folders that the files are in."""
     pattern = re.escape(template)
     names = re.findall(r"\{(\w+)\}", template)
     for n in names:
         pattern = pattern.replace(re.escape("{" + n + "}"), r"(\d+)" if n == "rep" else r"([^_/.]+)")
     reader = spark.read.format(format)
     df = (reader.schema(schema) if schema else reader).load(paths)
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    df = df.withColumn("_name", name).filter(F.col("_name").rlike("^" + pattern))
+    parts = F.split("_metadata.file_path", "/")
+    name = F.array_join(F.slice(parts, F.size(parts) - template.count("/"), template.count("/") + 1), "/")
+    df = df.withColumn("_name", F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).filter(F.col("_name").rlike("^" + pattern))
     for i, n in enumerate(names, 1):
         part = F.regexp_extract("_name", "^" + pattern, i)
         df = df.withColumn(n, part.cast("int") if n == "rep" else part)
     return df.drop("_name")
 
 
+def _pairs(species: DataFrame, marks: DataFrame) -> DataFrame:
+    """Every species with every mark; the dimension tables are a few rows each."""
+    all_marks = marks.agg(F.collect_set("mark").alias("marks"))  # one row
+    return species.select("species").distinct().withColumn("mark", F.explode(all_marks.scalar()))
+
+
 def missing_samples(samples: DataFrame, species: DataFrame, marks: DataFrame) -> DataFrame:
     """(species, mark) pairs without a sample; the dimension tables are a few rows each."""
-    pairs = species.select("species").withColumn("mark", F.explode(F.array(*[F.lit(r["mark"]) for r in marks.select("mark").collect()])))
+    pairs = _pairs(species, marks)
     return pairs.join(samples.select("species", "mark").distinct(), ["species", "mark"], "left_anti")
 
 
 def sample_table(reads: DataFrame, species: DataFrame, marks: DataFrame) -> DataFrame:
     """(species, mark, reps, n): replicates and reads of every pair of the dimension tables, 0 where there are none."""
     held = reads.groupBy("species", "mark", "rep").agg(F.count(F.lit(1)).alias("n")).groupBy("species", "mark").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("n"))
-    pairs = species.select("species").withColumn("mark", F.explode(F.array(*[F.lit(r["mark"]) for r in marks.select("mark").collect()])))
+    pairs = _pairs(species, marks)
     zero = F.lit(0).cast("long")
     return pairs.join(held, ["species", "mark"], "left").select("species", "mark", F.coalesce("reps", zero).alias("reps"), F.coalesce("n", zero).alias("n"))
 

@@ -37,11 +37,13 @@ def write_observations(calls: DataFrame, meta: DataFrame, path: str) -> None:
 
 def read_observations(spark: SparkSession, *patterns: str) -> DataFrame:
     """The calls of all sets that the patterns match; a pattern without a match is an error."""
-    parts = [f"{p}/calls" for p in patterns]
-    for p in parts:
-        found = spark._jvm.org.apache.hadoop.fs.Path(p)
-        if not found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found):
-            raise FileNotFoundError(f"no observation set matches {p}")
+    parts = []
+    for p in patterns:
+        found = spark._jvm.org.apache.hadoop.fs.Path(f"{p}/calls")
+        matched = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+        if not matched:
+            raise FileNotFoundError(f"no observation set matches {p}/calls")
+        parts += [m.getPath().toString() for m in matched]
     out = spark.read.parquet(parts[0])
     for p in parts[1:]:
         out = out.unionByName(spark.read.parquet(p))

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvatrack.functions.model import Tree, random_params, row_normalize
-from silvatrack.functions.poisson import smallest_present
+from silvatrack.functions.poisson import smallest_present, threshold
 from silvatrack.functions.signal import gauss_kernel
 from silvatrack.operators import convert, decode, emission, features, gaussian_init, relational, segment
 from silvatrack.functions import kernels
-from silvatrack.plans import em, jobs
+from silvatrack.plans import convert_split, em, jobs
 from silvatrack.sources import reads as sources
 from silvatrack.sources import tables
 from silvatrack.streaming import histogram as streaming
@@ -32,6 +32,47 @@ def test_thresholds_against_direct_sums():
     assert smallest_present(5000.0, 1e-12) > 5000 and smallest_present(0.0, 0.1) == 0
 
 
+def test_thresholds_in_the_jvm_are_the_same(spark):
+    rates = [0.0, 1e-9, 0.01, 0.05, 0.105, 0.11, 0.5, 1.0, 3.7, 17.0, 40.0, 333.3, 5000.0, 250_000.5]
+    for level in (0.5, 0.1, 1e-4, 1e-12, 1e-40):
+        df = spark.createDataFrame([(r,) for r in rates], "rate double").select("rate", threshold(F.col("rate"), level).alias("least"))
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.rate: r.least for r in df.collect()} == {r: smallest_present(r, level) for r in rates}
+
+
+def test_runs_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    kept = {c: sorted(int(b) for b in np.flatnonzero(rng.random(60) < p)) for c, p in (("c1", 0.5), ("c2", 0.93), ("c3", 1.0), ("c4", 0.1))}
+    values = spark.createDataFrame([(c, b, 1.0 + (b in bins)) for c, bins in kept.items() for b in range(60)], "chrom string, bin long, s double")
+    want = []
+    for c, bins in kept.items():
+        for b in bins:
+            if b - 1 not in bins:
+                want.append((c, b, next(e for e in range(b, 62) if e not in bins)))
+    for block in (1, 2, 7, 20, 60, 1000):
+        assert rows(segment.runs(values, 2.0, block=block), "chrom", "start", "end") == sorted(want)
+
+
+def test_convert_and_split_jobs(spark, tmp_path):
+    made = [(s, m, r, "c1", 100 * b + 3 * n, 0, 36, 0, 37) for s, m, r in (("A", "k4", 1), ("A", "k4", 2), ("A", "k9", 1), ("B b", "k4", 1), ("B b", "k9", 1), ("C", "k4", 1)) for b in (*range(3, 9), 15) for n in range(6)]
+    df = spark.createDataFrame(made, sources.READS)
+    df.withColumn("sample", F.concat_ws("_", "species", "mark", F.concat(F.lit("rep"), "rep"))).drop("species", "mark", "rep").write.partitionBy("sample").parquet(str(tmp_path / "in"))
+    header = spark.createDataFrame([("c1", 2050), ("chrX", 900)], "chrom string, length bigint")
+    how = {"template": "sample={species}_{mark}_rep{rep}/", "chrom_sizes": header, "window": 100, "level": 0.05}
+    calls = convert_split.convert(spark, str(tmp_path / "in/*"), species=["B b", "A"], marks=["k9", "k4"], out=str(tmp_path / "set-1"), **how)
+    assert {(r.i, r.l) for r in calls.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)} and {r.bin for r in calls.collect()} == {4, 5, 6, 7, 8, 9, 16}
+    meta = spark.read.parquet(str(tmp_path / "set-1/meta")).first()
+    assert (meta.window, meta.species, meta.marks) == (100, ["B b", "A"], ["k9", "k4"])
+    with pytest.raises(ValueError, match="C/k9"):
+        convert_split.convert(spark, str(tmp_path / "in/*"), species=["A", "C"], marks=["k4", "k9"], out=str(tmp_path / "no"), **how)
+    chunks, inside = convert_split.split(spark, str(tmp_path / "set-*"), out=str(tmp_path / "split"), kernel=1, min_reads=2.0, min_size=3)
+    assert rows(chunks, "start", "end") == [(4, 10)] and inside.count() == 24 and rows(inside.agg(F.max("t").alias("t")), "t") == [(5,)]
+    convert_split.convert(spark, str(tmp_path / "in/*"), species=["A"], marks=["k4"], out=str(tmp_path / "set-2"), **how)
+    assert tables.read_observations(spark, str(tmp_path / "set-*")).count() == calls.count() + 7
+    with pytest.raises(FileNotFoundError):
+        convert_split.split(spark, str(tmp_path / "none*"), out=str(tmp_path / "x"))
+
+
 def test_reads_to_calls(spark, sizes):
     cols = sources.READS
     made = [
@@ -278,6 +319,16 @@ def test_gaussian_em_recovers_the_means(spark):
     assert set(with_random) == {"gamma", "alpha", "beta", "theta", "means", "variances"} and np.isfinite(path).all()
 
 
+def test_a_leaf_given_its_parent_is_its_chain_in_the_product(spark, tracks):
+    """One more update of a leaf's chain changes nothing once the chains have settled."""
+    packed, tree, true = tracks
+    avail = np.ones((3, 3))
+    q = em.posteriors(packed, "poc", true, tree, avail, most=200, epsilon=0.0).persist()
+    want = {(r.chunk_id, r.t): r.q for r in q.filter("i = 2").collect()}
+    got = em.leaf_posteriors(packed, q, 2, true, tree, avail).collect()
+    assert len(got) == len(want) and all(np.allclose(r.q, want[r.chunk_id, r.t], atol=1e-6) for r in got)
+
+
 def test_infer_keeps_and_resumes(spark, tracks, tmp_path):
     packed, tree, _ = tracks
     chunks, out = packed.select("chunk_id", "chrom", "start"), str(tmp_path / "fit")
