@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Everything that is not a word character, after A-Z are lower-cased: ASCII save digits and a-z.
@@ -65,6 +66,18 @@ def unit_hash(*cols: Column | str) -> Column:
     return F.xxhash64(*cols).cast("double") / HASH_RANGE + 0.5
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, MapType) or (isinstance(kind, StructType) and any(_has_map(f.dataType) for f in kind.fields))
+
+
+def row_hash(df: DataFrame, number: int = 0) -> Column:
+    """A hash of all columns of a row; of maps, which have none, as their JSON. Rows that are equal have equal hashes of each number."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(*([F.lit(number)] if number else []), *columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,10 +85,11 @@ def partitions(spark: SparkSession) -> int:
 def meet(rows: DataFrame, known: DataFrame, on: list[str], weight: str, hot_rows: int | None = None) -> DataFrame:
     """rows joined with known, a kept table with one row for each value of on, and in weight how many rows meet it. Rows of
     known that very many meet are broadcast, so that no value is one task's; weight is dropped."""
-    total = known.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(weight) >= max(HOT_ROWS if hot_rows is None else hot_rows, math.ceil(total / HOT_GROUPS))
-    if known.filter(hot).isEmpty():
+    total, top = known.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    limit = max(HOT_ROWS if hot_rows is None else hot_rows, math.ceil(total / HOT_GROUPS))
+    if top < limit:
         return rows.join(known, on).drop(weight)
+    hot = F.col(weight) >= limit
     added = [c for c in known.columns if c not in on and c != weight]
     few = F.broadcast(known.filter(hot).select(*on, F.struct(*added).alias("hot_")))
     met = rows.join(few, on, "left")

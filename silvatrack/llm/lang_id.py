@@ -198,9 +198,22 @@ def fit(documents: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1) -> Model
         lang, bounds = batch.column("lang").to_pylist(), batch.column("at").offsets.to_numpy()
         at, n = (batch.column(c).values.to_numpy() for c in ("at", "n"))
         rows += [(lang[i], at[s:e].copy(), n[s:e].copy()) for i, (s, e) in enumerate(zip(bounds, bounds[1:])) if e > s]
+    learned, rest = split(rows, seed)
+    return train(learned, rest, seed=seed)
+
+
+def split(rows: list, seed: int = 1) -> tuple[list, list]:
+    """Rows to learn from, and a share HELD of all rows to calibrate on. A label's first row is always learned from, so a label of one row
+    is calibrated on none."""
     keep = max(1, int(len(rows) * (1 - HELD)))
+    first: dict = {}
+    for i, r in enumerate(rows):
+        first.setdefault(r[0], i)
+    only = set(first.values())
     order = np.random.default_rng(seed).permutation(len(rows))
-    return train([rows[i] for i in order[:keep]], [rows[i] for i in order[keep:]], seed=seed)
+    order = [*sorted(only), *[i for i in order if i not in only]]
+    keep = max(keep, len(only))
+    return [rows[i] for i in order[:keep]], [rows[i] for i in order[keep:]]
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:

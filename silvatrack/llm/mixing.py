@@ -13,11 +13,12 @@ import math
 from itertools import cycle
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TOKEN, free_name, partitions, unit_hash, written
+from .common import TOKEN, free_name, meet, partitions, row_hash, unit_hash, written
+from .sharding import number_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Of all words, how many the mix takes.
@@ -107,25 +108,39 @@ def pivotal(parts: list[float], sizes: list[float], draws: list[float], last: bo
 
 
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["draw", "doc_id", "size"], kind="stable", na_position="last")
+    pdf = pdf.sort_values(["draw", "doc_id", "size", "nth"], kind="stable", na_position="last")
     last = bool(pdf["blocks"].iloc[0] == 1)
     pdf["part"] = pivotal(pdf["part"].tolist(), pdf["size"].astype(float).tolist(), pdf["draw"].tolist(), last)
     return pdf
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows, a kept table, with nth: 0, and numbers from 0 on among rows that are equal."""
+    again = written(rows.groupBy("row_key", "row_key2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("weight", F.col("n")))
+    first = F.lit(0).cast("long").alias("nth")
+    if again.isEmpty():
+        return rows.select("*", first)
+    repeated = written(meet(rows, again, ["row_key", "row_key2"], "weight").select(*rows.columns))
+    few = again.select("row_key", "row_key2")
+    once = rows.join(F.broadcast(few) if few.count() <= MAX_SOURCES else few, ["row_key", "row_key2"], "left_anti").select(*rows.columns)
+    return written(once.select("*", first).unionByName(number_rows(repeated, "row_key", ["row_key2"], out="nth")))
+
+
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """Of each row: doc_id, size (white-space separated words of the text, null: 0), source_size, target (its source's),
     taken (words that the mix takes, repeats counted), copies (whole, 0 to cap), row_key and row_key2 (two hashes of the row).
 
     The draws are hashes of the rows, so reruns agree. Rows without words are not taken. A null source is a source,
-    the last. Rows that repeat get a row each. Further columns only enter the hashes.
+    the last. Rows that repeat get a row each, and draws and blocks of their own; which of them is taken makes no difference.
+    Further columns only enter the hashes, maps as their JSON.
     """
     rows = written(
         documents.select(
-            "doc_id", F.col("source").alias("source"), F.xxhash64(*documents.columns).alias("row_key"), F.xxhash64(F.lit(2), *documents.columns).alias("row_key2"),
+            "doc_id", F.col("source").alias("source"), row_hash(documents).alias("row_key"), row_hash(documents, 2).alias("row_key2"),
             F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"),
         )
     )
+    rows = _numbered(rows)
     found = written(rows.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")))
     few = found.count() <= MAX_SOURCES
     if few:
@@ -138,12 +153,16 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     most = math.ceil((found.agg(F.max("docs")).first()[0] or 0) / block)
     sources = F.broadcast(sources) if few else sources
     whole = F.floor(F.col("ratio")).cast("int")
+
+    def draw(number: int) -> Column:
+        return F.when(F.col("nth") == 0, unit_hash("doc_id", "row_key", F.lit(number))).otherwise(unit_hash("doc_id", "row_key", F.lit(number), "nth"))
+
     start = rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "row_key", "row_key2", "source", "size", "source_size", "target", whole.alias("whole"),
-        F.when(F.col("size") > 0, F.col("ratio") - whole).otherwise(0.0).alias("part"), unit_hash("doc_id", "row_key", F.lit(seed)).alias("draw"), "blocks",
-        F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed + 1)), F.col("blocks")).alias("block"),
+        F.when(F.col("size") > 0, F.col("ratio") - whole).otherwise(0.0).alias("part"), draw(seed).alias("draw"), "blocks",
+        F.pmod(F.when(F.col("nth") == 0, F.xxhash64("doc_id", "row_key", F.lit(seed + 1))).otherwise(F.xxhash64("doc_id", "row_key", F.lit(seed + 1), "nth")), F.col("blocks")).alias("block"), "nth",
     )
-    schema = "doc_id {}, row_key long, row_key2 long, source string, size long, source_size long, target double, whole int, part double, draw double, blocks long, block long"
+    schema = "doc_id {}, row_key long, row_key2 long, source string, size long, source_size long, target double, whole int, part double, draw double, blocks long, block long, nth long"
     schema = schema.format(rows.schema["doc_id"].dataType.simpleString())
     level, done = start, []
     while True:
@@ -155,7 +174,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         most = math.ceil(most / block)
         up = F.ceil(F.col("blocks") / F.lit(block)).cast("long")
         level = (
-            level.filter(open_).withColumn("draw", unit_hash("doc_id", "row_key", F.lit(seed + 2 * len(done))))
+            level.filter(open_).withColumn("draw", draw(seed + 2 * len(done)))
             .withColumn("blocks", up).withColumn("block", F.pmod(F.xxhash64("block", F.lit(len(done))), F.col("blocks")))
         )
     out = done[0]
@@ -171,7 +190,7 @@ def take(documents: DataFrame, **how) -> DataFrame:
     key, key2, mine, mine2, n, held, run = (free_name(documents, x) for x in ("row_key", "row_key2", "mixed_key", "mixed_key2", "copies", "rows", "run"))
     chosen = mix(documents, **how).groupBy(F.col("row_key").alias(mine), F.col("row_key2").alias(mine2)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(held)).filter(F.col(n) > 0)
     chosen = written(chosen)
-    keyed = documents.withColumn(key, F.xxhash64(*documents.columns)).withColumn(key2, F.xxhash64(F.lit(2), *documents.columns))
+    keyed = documents.withColumn(key, row_hash(documents)).withColumn(key2, row_hash(documents, 2))
     match = (F.col(key) == F.col(mine)) & (F.col(key2) == F.col(mine2))
     times = lambda x: F.explode(F.sequence(F.lit(1).cast("long"), x.cast("long")))
     once = keyed.join(chosen.filter(F.col(held) == 1), match).withColumn(run, times(F.col(n))).select(*documents.columns)

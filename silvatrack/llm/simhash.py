@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .common import free_name, partitions, written
+from .common import free_name, meet, partitions, row_hash, written
 
 SHINGLE = 3
 SEED = 42
@@ -209,17 +209,18 @@ def trie_self_join(fps: DataFrame, node: int = NODE) -> DataFrame:
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """(node, root): for each node of links (a, b long) the smallest node that it is connected to, by alternating large-star
     and small-star rounds until the links no longer change."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # A star's centre has as many rows as its class has nodes: such centres are met by a broadcast.
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = written(meet(both.filter("v > u"), least, ["u"], "n", hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small_least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = meet(large, small_least, ["u"], "n", hot_rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = written(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -227,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(documents: DataFrame, k: int = SHINGLE, node: int = NODE) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = SHINGLE, node: int = NODE, hot_rows: int | None = None) -> DataFrame:
     """Of each row: doc_id, fingerprint (16 lower-case hex digits) and component_id (the smallest doc_id among the rows that
     a chain of links of at most MAX_BITS differing bits reaches, its own included; null if none of them has an id).
 
@@ -236,12 +237,12 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, node: int = NODE) ->
     each. Columns beside doc_id and text are not looked at.
     """
     rows = written(fingerprints(documents, k))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(trie_self_join(fps.select("fp"), node))
-    rooted = written(fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = components(trie_self_join(fps.select("fp"), node), hot_rows)
+    rooted = written(fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("met")))
+    classes = written(meet(rooted, least, ["root"], "met", hot_rows).select("fp", "component_id", "n"))
+    return meet(rows, classes, ["fp"], "n", hot_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near duplicates by similarity. Three differing bits of a whole text's fingerprint are a similarity of shingles of about
@@ -474,7 +475,7 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     similarity is brought together with a probability of about 0.99997. Groups of any size are compared in full.
     """
     key, key2 = free_name(documents, "row_key"), free_name(documents, "row_key2")
-    keyed = documents.withColumn(key, F.xxhash64(*documents.columns)).withColumn(key2, F.xxhash64(F.lit(2), *documents.columns))
+    keyed = documents.withColumn(key, row_hash(documents)).withColumn(key2, row_hash(documents, 2))
     names = ["doc_id", "k1", "k2", "t1", "t2", "fp", "bands", "sketch", "m", "node"]
     types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
 

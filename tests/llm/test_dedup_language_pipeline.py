@@ -237,7 +237,49 @@ def test_every_label_is_learned(spark, documents, monkeypatch):
     rows = [(i, " ".join((sounds[i % 26] + sounds[i // 26 % 26]) * 3 for _ in range(8)), f"l{i % 676:03d}", "s", 0, 1, "") for i in range(676 * 4)]
     model = lang_id.fit(spark.createDataFrame(rows, documents.schema), max_rows=300)
     learnable = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
-    assert set(model.langs) <= learnable and len(model.langs) >= 0.75 * len(learnable)  # the others' rows are for calibration
+    assert set(model.langs) == learnable
+
+
+def test_first_rows_of_labels_are_learned_from():
+    rows = [(f"l{i % 3000}", i) for i in range(3100)]
+    learned, held = lang_id.split(rows)
+    assert {r[0] for r in learned} == {r[0] for r in rows} and sorted(learned + held) == sorted(rows) and len(held) == 100
+    few = [("a" if i % 3 else "b", i) for i in range(1000)]
+    learned, held = lang_id.split(few)
+    assert len(held) == len(few) - int(len(few) * (1 - lang_id.HELD)) and {few[0], few[1]} <= set(learned)
+
+
+def test_columns_of_maps(spark, documents):
+    from pyspark.sql import functions as F
+
+    from silvatrack.llm import mixing, simhash
+
+    plain = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    held = plain.withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("deeper", F.array(F.struct(F.create_map(F.lit(1), F.lit(2)).alias("m"))))
+    assert mixing.mix(held).count() == plain.count()
+    taken = mixing.take(held)
+    assert taken.columns == held.columns and taken.count() > 0 and taken.filter("tags IS NULL").count() == 0
+    mine = sorted(str(r.doc_id) for r in simhash.deduplicate(held).collect())
+    assert mine == sorted(str(r.doc_id) for r in simhash.deduplicate(plain).collect())
+
+
+def test_stars_are_met_by_a_broadcast(spark):
+    from silvatrack.llm import simhash
+
+    star = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(40)] + [(399, 1020)]
+    links = spark.createDataFrame(star + [(5000, 5001)], "a long, b long")
+    for hot_rows in (None, 5):
+        found = {r["node"]: r["root"] for r in simhash.components(links, hot_rows).collect()}
+        assert found == dict.fromkeys([*range(1, 400), *range(1000, 1041)], 0) | {5001: 5000}
+
+
+def test_many_copies_of_one_text(spark, documents):
+    from silvatrack.llm import simhash
+
+    copies = spark.range(300).selectExpr("id + 10000 AS doc_id", "CASE WHEN id % 3 = 0 THEN '' ELSE 'the very same words in a text' END AS text")
+    docs = documents.select("doc_id", "text").unionByName(copies)
+    rows = lambda **how: sorted(map(str, (tuple(r) for r in simhash.near_duplicates(docs, **how).collect())))
+    assert rows(hot_rows=20) == rows() and len(rows()) == docs.count()
 
 
 def test_no_labels(nothing, documents):

@@ -190,3 +190,22 @@ def test_likeness_against_brute_force(rows):
             if len(t) >= 200 and t != after:
                 near = merkle.likeness(merkle.Tree(t.encode()), merkle.Tree(edited.encode()))
                 assert near > 0.5 and (near > merkle.likeness(merkle.Tree(t.encode()), merkle.Tree(after.encode())) or t in after or after in t)
+
+
+def test_very_many_equal_rows_are_rounded_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from silvatrack.llm import mixing
+
+    equal = spark.range(6000).selectExpr("7L AS doc_id", "'one two three' AS text", "'a' AS source")
+    others = spark.range(500).selectExpr("id + 100 AS doc_id", "concat('word ', id) AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source")
+    docs = equal.unionByName(others)
+    got = mixing.mix(docs, weights=(1.0, 2.0), share=0.5, block=256)
+    sums = {r.source_size: (r.taken, r.target) for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()}
+    assert got.count() == 6500 and all(abs(taken - target) < 3 + 1e-6 for taken, target in sums.values())
+    again = mixing.mix(docs.repartition(7), weights=(1.0, 2.0), share=0.5, block=256)
+    key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "taken", "copies").collect())
+    assert key(got) == key(again)
+    numbered = mixing._numbered(mixing.written(docs.withColumns({"row_key": F.xxhash64("doc_id"), "row_key2": F.xxhash64("text")})))
+    assert [r.nth for r in numbered.filter("doc_id = 7").orderBy("nth").collect()] == list(range(6000))
+    assert numbered.filter("doc_id <> 7").agg(F.max("nth")).first()[0] == 0
