@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, stacks
 from ..functions.model import Tree, normalize_stats, random_params
 from ..operators import gaussian_init
 from . import chains
@@ -22,6 +22,8 @@ from . import chains
 TASK_BINS = 20_000
 #: Bins whose observations become rows at a time.
 OBSERVED = 4096
+#: Numbers of a stack's pair posteriors, about: chunks times species times bins times states squared.
+STACK = 1 << 22
 
 
 def pack(cut_calls: DataFrame, chunks: DataFrame, value: str | None = None) -> DataFrame:
@@ -84,6 +86,30 @@ def gaussian_start(packed: DataFrame, avail: np.ndarray, k: int, seed: int = 0,
     return gaussian_init.gaussian_start(observations(packed, avail.shape), k, seed, pseudocount)
 
 
+def _stacks(pdf: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """Parts of pdf, a chunk a row, whose chunks are at most half as long again as their shortest; size is how many numbers a bin takes."""
+    pdf = pdf.sort_values("n", kind="stable")
+    n, lo = pdf["n"].to_numpy(), 0
+    for hi in range(1, len(n) + 1):
+        if hi == len(n) or 2 * n[hi] > 3 * n[lo] or (hi + 1 - lo) * n[hi] * size > STACK:
+            yield pdf.iloc[lo:hi]
+            lo = hi
+
+
+def _solved(pdf: pd.DataFrame, mode: str, params: dict, tree: Tree, avail: np.ndarray, how: dict) -> Iterator[tuple[list[int], list[int], np.ndarray, dict, np.ndarray]]:
+    """(chunk_ids, numbers of bins, posteriors (chunks, species, bins, K), summed statistics, objectives) of the chunks of pdf: one by one, or
+    in stacks where the mode has a step for them."""
+    if mode != "poc":
+        for row in pdf.itertuples():
+            q, stats, value, _ = kernels.MODES[mode](_chunk(row, avail.shape), avail, params, tree, seed=int(row.chunk_id) % 2**32, **how)
+            yield [row.chunk_id], [int(row.n)], q[None], stats, np.array([value])
+        return
+    for part in _stacks(pdf, avail.shape[0] * len(params["gamma"]) ** 2):
+        ids, n = part["chunk_id"].to_numpy(), part["n"].to_numpy()
+        for which, q, stats, value in stacks.product_of_chains([_chunk(r, avail.shape) for r in part.itertuples()], avail, params, tree, **how):
+            yield ids[which].tolist(), n[which].tolist(), q, stats, value
+
+
 def _flat(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([stats[n].ravel() for n in sorted(stats)])
 
@@ -101,14 +127,12 @@ def expectation(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: n
     """Statistics and objective summed over all chunks; the driver gets one vector, whose length the model sets."""
     if in_units(packed, mode):
         return chains.expectation(packed, params, avail)
-    step, shape = kernels.MODES[mode], avail.shape
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
-            for row in pdf.itertuples():
-                _, stats, value, _ = step(_chunk(row, shape), avail, params, tree, seed=int(row.chunk_id) % 2**32, **how)
-                part = np.append(_flat(stats), value)
+            for _, _, _, stats, value in _solved(pdf, mode, params, tree, avail, how):
+                part = np.append(_flat(stats), value.sum())
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"place": np.arange(len(total)), "value": total})
@@ -137,11 +161,13 @@ def posteriors(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples():
-                x = _chunk(row, shape)
-                q = np.eye(k)[kernels.viterbi(x, avail, params, tree, mode == "viterbi", **how)] if mode.startswith("viterbi") else kernels.MODES[mode](x, avail, params, tree, seed=int(row.chunk_id) % 2**32, **how)[0]
+            if mode.startswith("viterbi"):
+                found = ((r.chunk_id, np.eye(k)[kernels.viterbi(_chunk(r, shape), avail, params, tree, mode == "viterbi", **how)]) for r in pdf.itertuples())
+            else:
+                found = ((c, a[:, :m]) for ids, n, q, _, _ in _solved(pdf, mode, params, tree, avail, how) for c, m, a in zip(ids, n, q))
+            for chunk_id, q in found:
                 i, t = np.indices(q.shape[:2])
-                yield pd.DataFrame({"chunk_id": row.chunk_id, "i": i.ravel().astype(np.int32), "t": t.ravel(), "q": list(q.reshape(-1, k))})
+                yield pd.DataFrame({"chunk_id": chunk_id, "i": i.ravel().astype(np.int32), "t": t.ravel(), "q": list(q.reshape(-1, k))})
 
     return packed.mapInPandas(each, "chunk_id long, i int, t long, q array<double>")
 
@@ -168,12 +194,11 @@ def objectives(packed: DataFrame, mode: str, params: dict, tree: Tree, avail: np
     """(chunk_id, objective) of each chunk."""
     if in_units(packed, mode):
         return chains.objectives(packed, params, avail)
-    shape = avail.shape
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values = [kernels.MODES[mode](_chunk(r, shape), avail, params, tree, **how)[2] for r in pdf.itertuples()]
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "objective": values})
+            for ids, _, _, _, value in _solved(pdf, mode, params, tree, avail, how):
+                yield pd.DataFrame({"chunk_id": ids, "objective": value})
 
     return packed.mapInPandas(each, "chunk_id long, objective double")
 

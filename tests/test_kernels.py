@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from silvatrack.functions import kernels as K
+from silvatrack.functions import stacks
 from silvatrack.functions.model import Tree, log, normalize_stats, random_params
 
 CASES = {
@@ -206,3 +207,27 @@ def test_loopy_memory_of_a_bin():
     rng, params, avail = np.random.default_rng(0), random_params(15, 2, 1), np.ones((3, 2))
     of = lambda n: peak(lambda: K.loopy(rng.integers(0, 2, (3, n, 2)).astype(np.int8), avail, params, tree, most=3, tolerance=0))
     assert (of(3000) - of(1000)) / 2000 < 2000  # bytes; the tables of one bin have 81,000
+
+
+@pytest.mark.parametrize("separate", [False, True])
+@pytest.mark.parametrize("means", [False, True])
+def test_stacks_of_chunks_equal_one_by_one(monkeypatch, separate, means):
+    _, avail, _, tree = loops()
+    avail = avail.copy()
+    avail[1, 0] = 0
+    rng = np.random.default_rng(2)
+    params = random_params(3, 2, 1, 4 if separate else None, means)
+    xs = [rng.normal(0, 2, (5, n, 2)) if means else rng.integers(0, 2, (5, n, 2)).astype(np.int8) for n in (1, 2, 5, 9, 9, 30, 7)]
+    for block in (4, K.BLOCK):
+        monkeypatch.setattr(stacks, "BLOCK", block)
+        for how in ({}, {"most": 1}, {"most": 0}, {"most": 30, "epsilon": 1e-9}):
+            one = [K.product_of_chains(x, avail, params, tree, **how) for x in xs]
+            total, seen = K.empty_stats(params), []
+            for which, q, stats, value in stacks.product_of_chains(xs, avail, params, tree, **how):
+                for b, posterior, v in zip(which.tolist(), q, value):
+                    n = xs[b].shape[1]
+                    assert np.allclose(posterior[:, :n], one[b][0], atol=1e-9) and not posterior[:, n:].any() and v == pytest.approx(one[b][2], abs=1e-8)
+                seen += which.tolist()
+                total = {s: total[s] + stats[s] for s in total}
+            assert sorted(seen) == list(range(len(xs)))
+            assert all(np.allclose(total[s], sum(r[1][s] for r in one), atol=1e-7) for s in total)
