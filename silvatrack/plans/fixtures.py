@@ -186,9 +186,7 @@ class Data:
         """(chunk_id, i, t, ll array of K)."""
         from ..operators import emission
 
-        ll = emission.bernoulli(self.nodes, self.cells, self.emit(), self.avail)
-        by = ll.groupBy("chrom", "bin", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ll"))), lambda s: s["ll"]).alias("ll"))
-        return self.nodes.join(by, ["chrom", "bin", "i"]).select("chunk_id", "i", "t", "ll")
+        return emission.bernoulli_arrays(self.nodes, self.cells, self.emit(), self.avail).select("chunk_id", "i", "t", "ll")
 
     def availability_matrix(self) -> np.ndarray:
         """The pairs with data, as an array of SPECIES by MARKS."""

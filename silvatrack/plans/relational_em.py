@@ -28,9 +28,7 @@ def likelihoods(nodes: DataFrame, calls: DataFrame, emit: np.ndarray, avail: Dat
     """(chunk_id, i, t, ll array of K) of each node (chunk_id, chrom, bin, t, i)."""
     spark = nodes.sparkSession
     e = spark.createDataFrame([(k, l, float(v)) for (k, l), v in np.ndenumerate(emit)], "k int, l int, e double")
-    ll = emission.bernoulli(nodes, calls, e, avail)
-    by = ll.groupBy("chrom", "bin", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ll"))), lambda s: s["ll"]).alias("ll"))
-    return nodes.join(by, ["chrom", "bin", "i"]).select("chunk_id", "i", "t", "ll")
+    return emission.bernoulli_arrays(nodes, calls, e, avail).select("chunk_id", "i", "t", "ll")
 
 
 def settle(q: DataFrame, ll: DataFrame, tree: DataFrame, params: dict[str, np.ndarray], most: int, limit: float, cut_every: int = 2) -> tuple[DataFrame, int, float]:
