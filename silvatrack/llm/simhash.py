@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .common import free_name, meet, partitions, row_hash, written
+from .common import HOT_ROWS, free_name, meet, partitions, row_hash, written
 
 SHINGLE = 3
 SEED = 42
@@ -216,11 +216,17 @@ def components(links: DataFrame, hot_rows: int | None = None) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # A star's centre has as many rows as its class has nodes: such centres are met by a broadcast.
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = written(meet(both.filter("v > u"), least, ["u"], "n", hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small_least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-        small = meet(large, small_least, ["u"], "n", hot_rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # A star's centre has as many rows as its class has nodes: where there are large ones, they are met by a broadcast.
+        hot = (both.groupBy("u").count().agg(F.max("count")).first()[0] or 0) >= (HOT_ROWS if hot_rows is None else hot_rows)
+        keep = written if hot else (lambda df: df)
+
+        def met(rows: DataFrame, known: DataFrame) -> DataFrame:
+            return meet(rows, known, ["u"], "n", hot_rows) if hot else rows.join(known, "u").drop("n")
+
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = keep(met(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small_least = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = met(large, small_least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = written(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
