@@ -265,6 +265,8 @@ UNION ALL SELECT 'theta', u.k || ',' || b.k || ',' || n.k, {R('sum(u.q * b.q * n
 JOIN q b ON b.chunk_id = n.chunk_id AND b.i = n.i AND b.t = n.t - 1 GROUP BY u.k, b.k, n.k""", "q", "tree"),
     "f4_mean_field_energy": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, {R('sum(q * (ln(q) - own - ll))')} AS energy FROM q JOIN own USING (chunk_id, i, t, k) JOIN ll USING (chunk_id, i, t, k) GROUP BY chunk_id", "q", "own", "ll"),
     "f19_em_relational": query(_energy("jac_1", "own_2", "ll", "jac", 0) + " UNION ALL " + _energy("jac_5", "own_6", "ll_3", "jac_4", 1), "jac", "jac_1", "own_2", "ll", "jac_4", "jac_5", "own_6", "ll_3"),
+    "a6_posteriors_by_level": query(f"""SELECT CAST(0 AS INT) AS iter, chrom, bin, i, k, {R('q')} AS q FROM q UNION ALL
+SELECT CAST(1 AS INT), n.chrom, n.bin, n.i, k, {R('q')} FROM jac JOIN nodes n USING (chunk_id, i, t)""", "q", "jac", "nodes"),
     "f5_convergence": query(f"SELECT {R('max(abs(q.q - jac.q))')} AS change, max(abs(q.q - jac.q)) < CAST(1e-3 AS DOUBLE) AS converged FROM q JOIN jac USING (chunk_id, i, t, k)", "q", "jac"),
     "f11_independent": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),
     "f11_independent_blocks": query(f"SELECT CAST(chunk_id AS BIGINT) AS chunk_id, f.i, f.t, {R('a0 * b0 / (a0 * b0 + a1 * b1)')} AS q0 FROM fwd f JOIN bwd b USING (chunk_id, i, t)", "fwd", "bwd"),

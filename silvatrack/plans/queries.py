@@ -99,6 +99,16 @@ def a3_observations_round_trip(d):
     return tables.read_observations(d.spark, path).select("i", "l", "chrom", "bin")
 
 
+@register
+def a6_posteriors_by_level(d):
+    """The posteriors of two iterations, made by formula and a sweep later, as level 3 keeps them, read back."""
+    path, q = fx.folder(d.spark, "posteriors"), fx.kept(_q(d), "posterior")
+    after = relational.jacobi(q, d.log_likelihood(), d.tree_frame, fx.params())
+    for n, found in enumerate([q, after]):
+        tables.save_posteriors(decode.stitch(found, d.chunks), path, 3, n, n == 1)
+    return _six(_states(d.spark.read.parquet(path).select(F.col("iter").cast("int").alias("iter"), "chrom", "bin", "i", "q")), "q")
+
+
 @register
 def a7_bed_round_trip(d):
     path = fx.folder(d.spark, "bed")

@@ -88,17 +88,19 @@ def load_params(spark: SparkSession, path: str, run_id: str, iteration: int | No
 
 def save_posteriors(posterior: DataFrame, path: str, level: int, iteration: int, last: bool) -> DataFrame | None:
     """Level 0 keeps none, 1 the last iteration's, 2 every one's, 3 also the last one's stitched by chromosome. Returns the
-    stitched table at level 3, in order of chrom, i, bin, each chromosome's bins sorted."""
+    stitched table at level 3, in order of chrom, i, bin; a chromosome spreads over as many tasks as its bins call for."""
     if level >= 2 or (level == 1 and last):
         posterior.withColumn("iter", F.lit(iteration)).write.mode("append").partitionBy("iter", "chrom").parquet(path)
     if level >= 3 and last:
-        return posterior.repartition("chrom").sortWithinPartitions("chrom", "i", "bin")
+        return posterior.repartitionByRange("chrom", "i", "bin").sortWithinPartitions("chrom", "i", "bin")
     return None
 
 
 def write_bed(bed: DataFrame, path: str) -> None:
-    """One folder for each species and state, tab-separated, sorted by place within a file."""
-    bed.repartition("species", "state").sortWithinPartitions("chrom", "start").write.mode("overwrite").partitionBy("species", "state").csv(path, sep="\t")
+    """One folder for each species and state, tab-separated, sorted by place within a file; a large one has several files, each
+    of a range of places."""
+    order = ["species", "state", "chrom", "start"]
+    bed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("species", "state").csv(path, sep="\t")
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -173,6 +174,7 @@ def test_tables(spark, tmp_path):
         stitched = [tables.save_posteriors(q, path, level, n, n == 2) for n in range(3)][-1]
         assert len(list((tmp_path / f"q{level}").glob("iter=*"))) == kept
         assert (stitched is not None) == (level == 3)
+    assert [r["bin"] for r in stitched.collect()] == [0, 1]
     bed = decode.bed(q, spark.createDataFrame([(0, "A")], "i int, species string"), 100)
     assert rows(bed, "start", "end", "name", "score") == [(0, 100, "A.state1", 0.8), (100, 200, "A.state0", 0.5)]  # a tie: the lowest
     tables.write_bed(bed, str(tmp_path / "bed"))
@@ -180,6 +182,23 @@ def test_tables(spark, tmp_path):
     assert decode.bed_probabilities(q, spark.createDataFrame([(0, "A")], "i int, species string"), 100).count() == 4
 
 
+def test_one_chromosome_is_written_by_many_tasks(spark, tmp_path):
+    n = 3000
+    q = spark.range(n).select(F.lit("c1").alias("chrom"), F.pmod(F.col("id") * 7, F.lit(n)).alias("bin"), F.lit(0).alias("i"), F.array(F.lit(0.9), F.lit(0.1)).alias("q"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stitched = tables.save_posteriors(q, str(tmp_path / "q"), 3, 0, True)
+        held = stitched.withColumn("task", F.spark_partition_id()).collect()
+        bed = decode.bed(q, spark.createDataFrame([(0, "A")], "i int, species string"), 100)
+        tables.write_bed(bed, str(tmp_path / "bed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["bin"] for r in held] == list(range(n))
+    assert max(Counter(r["task"] for r in held).values()) < n / 2
+    files = [[int(line.split("\t")[1]) for line in f.read_text().splitlines()] for f in (tmp_path / "bed").rglob("part-*")]
+    assert len(files) > 1 and all(f == sorted(f) for f in files) and sum(map(len, files)) == n
+
+
 def test_gaussian_start(spark):
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(c, 0.05, (40, 2)) for c in ((0, 0), (5, 5), (9, 0))])

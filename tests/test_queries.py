@@ -8,7 +8,7 @@ import pytest
 from silvatrack.plans import queries
 
 FOLDER = Path("/root/testdata/sf0.001")
-NAMES = ["a1_reads", "a2_samples", "e1_tree", "e3_spread_centres", "e4_start_variance", "e6_gaussian_ll", "f11_independent_gaussian", "g6_theta_slice", "c4_calls", "c5_diagnostics", "d6_chunks", "d8_coverage", "e2_normalize", "e5_bernoulli_ll", "f2_jacobi", "f11_independent", "f12_clique_pair", "f18_viterbi_chain", "g2_bed", "h4_gradient"]
+NAMES = ["a1_reads", "a2_samples", "a6_posteriors_by_level", "e1_tree", "e3_spread_centres", "e4_start_variance", "e6_gaussian_ll", "f11_independent_gaussian", "g6_theta_slice", "c4_calls", "c5_diagnostics", "d6_chunks", "d8_coverage", "e2_normalize", "e5_bernoulli_ll", "f2_jacobi", "f11_independent", "f12_clique_pair", "f18_viterbi_chain", "g2_bed", "h4_gradient"]
 
 
 @pytest.fixture(scope="module")
