@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, written
+from .common import free_name, meet, written
 
 SHARDS = 16
 #: Partial partitions that one task combines.
 BLOCK = 4096
 #: Rows that one task numbers.
 CELL = 20_000
-#: Rows from which a group of equal texts is met by a broadcast: at most HOT_GROUPS groups have as many.
-HOT_ROWS, HOT_GROUPS = 10_000, 100_000
+#: Rows from which a group of equal texts is met by a broadcast.
+HOT_ROWS = 10_000
 
 
 def differencing(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +70,10 @@ def _combine(k: int, name: str):
     return block
 
 
-def assign_groups(groups: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
-    """groups has group (a string, unique) and bytes; returns (group, shard)."""
-    n = groups.count()
-    blocks = max(1, math.ceil(n / block))
+def assign_groups(groups: DataFrame, about: int, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """groups has group (a string, unique), bytes and rows, and is computed once; about is near their number, and only sets
+    how many blocks there are. Returns (group, rows, shard)."""
+    blocks = max(1, math.ceil(about / block))
     at = F.pmod(F.xxhash64("group", F.lit(7)), F.lit(blocks)).cast("long")
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,10 +81,10 @@ def assign_groups(groups: DataFrame, shards: int = SHARDS, block: int = BLOCK) -
         sums = np.zeros((len(pdf), shards), dtype=np.int64)
         sums[:, 0] = pdf["bytes"].to_numpy()
         out, total = differencing(sums)
-        return pd.DataFrame({"group": pdf["group"], "block": pdf["block"], "inner": out[:, 0].astype(np.int32), "total": [total if i == 0 else None for i in range(len(pdf))]})
+        return pd.DataFrame({"group": pdf["group"], "rows": pdf["rows"], "block": pdf["block"], "inner": out[:, 0].astype(np.int32), "total": [total if i == 0 else None for i in range(len(pdf))]})
 
     dealt = written(
-        groups.select("group", "bytes", at.alias("block")).groupBy("block").applyInPandas(first, "group string, block long, inner int, total array<long>")
+        groups.select("group", "bytes", "rows", at.alias("block")).groupBy("block").applyInPandas(first, "group string, rows long, block long, inner int, total array<long>")
     )
     level = dealt.filter("total IS NOT NULL").select(F.col("block").alias("part"), F.col("total").alias("sums"))
     maps = []
@@ -97,10 +97,10 @@ def assign_groups(groups: DataFrame, shards: int = SHARDS, block: int = BLOCK) -
         maps.append(step.select("part", F.col("block").alias("up"), "becomes"))
         level = step.filter("total IS NOT NULL").select(F.col("block").alias("part"), F.col("total").alias("sums"))
         blocks = up
-    out = dealt.select("group", F.col("block").alias("part"), F.col("inner").alias("shard"))
+    out = dealt.select("group", "rows", F.col("block").alias("part"), F.col("inner").alias("shard"))
     for m in maps:
-        out = out.join(m, "part").select("group", F.col("up").alias("part"), F.get("becomes", F.col("shard")).alias("shard"))
-    return out.select("group", "shard")
+        out = out.join(m, "part").select("group", "rows", F.col("up").alias("part"), F.get("becomes", F.col("shard")).alias("shard"))
+    return out.select("group", "rows", "shard")
 
 
 def number_rows(df: DataFrame, by: str, order: list[str], cell: int = CELL, out: str = "slot") -> DataFrame:
@@ -135,14 +135,10 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, block: int = BLO
     rows = written(
         documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("group"))
     )
-    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
-    placed_groups = written(groups.join(assign_groups(groups.select("group", "bytes"), shards, block), "group").select("group", "shard", "rows"))
+    about = rows.agg(F.approx_count_distinct("group")).first()[0]
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     # A text that very many rows have, as null and empty ones may, would be one key of a shuffle.
-    hot = F.col("rows") >= max(HOT_ROWS, math.ceil((groups.agg(F.sum("rows")).first()[0] or 0) / HOT_GROUPS))
-    few = F.broadcast(placed_groups.filter(hot).select("group", F.col("shard").alias("hot_shard")))
-    met = rows.join(few, "group", "left")
-    cold = met.filter("hot_shard IS NULL").join(placed_groups.filter(~hot).select("group", "shard"), "group")
-    placed = cold.select("doc_id", "size", "text_crc32", "shard").unionByName(met.filter("hot_shard IS NOT NULL").select("doc_id", "size", "text_crc32", F.col("hot_shard").alias("shard")))
+    placed = meet(rows, assign_groups(groups, about, shards, block), ["group"], "rows", HOT_ROWS).drop("group")
     numbered = number_rows(written(placed), "shard", ["doc_id", "text_crc32", "size"], cell)
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

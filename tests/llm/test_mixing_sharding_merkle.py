@@ -128,6 +128,19 @@ def test_shards_come_out_near_equal(spark):
     assert len(loads) == 16 and max(loads) - min(loads) < 0.0005 * sum(loads) / 16
 
 
+def test_sharding_keeps_three_tables_of_one_block(spark, monkeypatch):
+    """Each file of a kept table costs a process on a local disk; rows, dealt groups and placed rows are what is read again."""
+    kept, keep = [], sharding.written
+    monkeypatch.setattr(sharding, "written", lambda df: kept.append(df.columns) or keep(df))
+    docs = spark.range(300).selectExpr("id AS doc_id", "if(id % 7 = 0, null, 'text ' || id % 90) AS text")
+    got = sharding.shard_documents(docs, cell=10).collect()
+    assert len(kept) == 3 and len(got) == 300
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[None if r.doc_id % 7 == 0 else r.doc_id % 90].add(r.shard)
+    assert len(by_text) == 91 and all(len(s) == 1 for s in by_text.values())
+
+
 def test_merkle_rows(documents, rows, nothing):
     got = merkle.fingerprint_edits(documents).collect()
     order = sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
