@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -41,6 +45,35 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Gives the machine what this Python worker's allocators hold and do not use. A worker outlives its tasks, and so would what the
+    largest of them took; it counts against the executor while others, or the JVM alone, work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # not glibc
+        pass
+
+
+def tidy(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """each, a function of a task's batches, that gives back memory after every batch and when the task ends."""
+
+    def between(batches: Iterable) -> Iterator:
+        for b in batches:
+            yield b
+            del b
+            give_back()
+
+    @functools.wraps(each)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from each(between(batches))
+        finally:
+            give_back()
+
+    return run
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z alone. Texts that are all ASCII take the much faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

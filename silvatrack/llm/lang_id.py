@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, unit_hash
+from .common import free_name, give_back, tidy, unit_hash
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -192,7 +192,7 @@ def fit(documents: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1) -> Model
     sample = labelled.withColumn("pick", unit_hash("doc_id", F.lit(seed))).join(shares, F.col("lang") == F.col("of")).filter(F.col("pick") < F.col("share"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))
     sample = sample.select("pick", "lang", F.col("text").cast("binary").alias("text")).withColumn("nth", first).filter(F.col("nth") <= quota)
-    sample = sample.select("pick", "lang", "text").mapInArrow(features, "pick double, lang string, at array<int>, n array<float>")
+    sample = sample.select("pick", "lang", "text").mapInArrow(tidy(features), "pick double, lang string, at array<int>, n array<float>")
     rows = []
     for batch in sample.orderBy("pick").toArrow().to_batches():  # as arrays: a number costs four bytes
         lang, bounds = batch.column("lang").to_pylist(), batch.column("at").offsets.to_numpy()
@@ -228,6 +228,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         found = [(UNKNOWN, 0.0) if shared.value is None else shared.value.predict(t.as_py()) for t in texts]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     names = [free_name(documents, n) for n in ("held_out", "lang_pred", "score", "rejected")]

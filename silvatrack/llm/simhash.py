@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .common import HOT_ROWS, free_name, meet, partitions, row_hash, written
+from .common import HOT_ROWS, free_name, give_back, meet, partitions, row_hash, tidy, written
 
 SHINGLE = 3
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), k) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(each), f"doc_id {kind}, fp long")
 
 
 class Forest:
@@ -178,6 +178,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
         right, left = np.uint64(16 * run), np.uint64(64 - 16 * run)
         links.append(((found >> right) | (found << left) if run else found).view(np.int64))
     a, b = np.concatenate(links, axis=1)
+    give_back()
     return pd.DataFrame({"a": a, "b": b})
 
 
@@ -333,7 +334,9 @@ def _near(similarity: float):
         one, two = (np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint8).reshape(-1, PLACES) for x in (a, b))
         m, n = (x.to_numpy(zero_copy_only=False) for x in (m, n))
         sizes = np.minimum(m, n) >= similarity * np.maximum(m, n)
-        return pa.array(sizes & (sketch_similarity(one, two) >= similarity - SKETCH_MARGIN))
+        alike = pa.array(sizes & (sketch_similarity(one, two) >= similarity - SKETCH_MARGIN))
+        give_back()
+        return alike
 
     return near
 
@@ -348,6 +351,7 @@ def _similar(similarity: float):
             x, y = (np.frombuffer(z.as_buffer(), dtype="<u4") for z in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both >= similarity * (len(x) + len(y) - both))
+        give_back()
         return pa.array(out)
 
     return similar
@@ -398,6 +402,7 @@ def _compare_cell(similarity: float, exact: bool):
             pairs = unit(rows)
             a, b = ([None], [None]) if pairs is None else np.concatenate([np.empty((0, 2), dtype=np.int64), *pairs]).T
             out.append(pd.DataFrame({"unit": name, "a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64")}))
+        give_back()
         return pd.concat(out)
 
     return compare
@@ -506,7 +511,7 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = written(
         keyed.select("doc_id", F.col(key).alias("k1"), F.col(key2).alias("k2"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(each, f"doc_id {kind}, k1 long, k2 long, t1 long, t2 long, fp long, bands array<long>, sketch binary, m long, node long")
+        .mapInArrow(tidy(each), f"doc_id {kind}, k1 long, k2 long, t1 long, t2 long, fp long, bands array<long>, sketch binary, m long, node long")
     )
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best")
     texts = written(rows.groupBy("t1", "t2").agg(F.min("node").alias("node"), best, *[F.first(c).alias(c) for c in ("fp", "bands", "sketch", "m")]))
@@ -519,7 +524,7 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, k: int = W
         need = written(nodes.join(texts.select("node", F.col("best.k1").alias("need1"), F.col("best.k2").alias("need2")), "node").withColumnRenamed("node", "need_node"))
         found = keyed.select(F.col(key).alias("k1"), F.col(key2).alias("k2"), F.col("text").cast("binary").alias("text"))
         found = found.join(some(need), (F.col("k1") == F.col("need1")) & (F.col("k2") == F.col("need2"))).select(F.col("need_node").alias("node"), "text")
-        return written(found.mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]))
+        return written(found.mapInArrow(tidy(shingles), "node long, shingles binary").dropDuplicates(["node"]))
 
     classes = similar_texts(texts.select("node", "fp", "bands", "sketch", "m"), sets, similarity).withColumnRenamed("node", "mine")
     rooted = texts.select("node", "best").join(classes, F.col("node") == F.col("mine"), "left")

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, shared_dir, written
+from .common import partitions, shared_dir, tidy, written
 
 END_ID = 2
 #: Bytes of ids after which a frame ends; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 18
 #: Bytes of text that are encoded at a time; a longer text is taken alone.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 1 << 20
 #: Distinct pieces of text whose ids a Python worker remembers (about 60 bytes each), and half of which it keeps when they are more.
 CACHE = 300_000
 #: Bytes of ids, and documents, after which a task begins a new file; a file's index is held until it ends.
@@ -312,7 +312,7 @@ def write_tokens(documents: DataFrame, to: str | None = None, tokenizer: str | N
         if writer is not None:
             yield end()
 
-    return written(ordered.mapInArrow(put, "file_no long, path string, docs long, tokens long"))
+    return written(ordered.mapInArrow(tidy(put), "file_no long, path string, docs long, tokens long"))
 
 
 def read_tokens(table: DataFrame, to: str) -> DataFrame:
@@ -343,7 +343,7 @@ def read_tokens(table: DataFrame, to: str) -> DataFrame:
     files = table.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     n = max(1, table.count())
     files = files.withColumn("at", (F.row_number().over(Window.orderBy("file_no")) - 1).cast("int"))
-    return files.repartitionById(n, "at").select("path", "start").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionById(n, "at").select("path", "start").mapInArrow(tidy(get), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(documents: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, to: str | None = None) -> DataFrame:
