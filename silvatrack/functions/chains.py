@@ -30,10 +30,12 @@ def block_tables(o: np.ndarray, n: np.ndarray, first: np.ndarray, params: dict)
 
 
 def log_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The product of two log tables."""
-    both = a[:, :, None] + b[None, :, :]
-    high = both.max(axis=1)
-    return high + np.log(np.exp(both - high[:, None, :]).sum(axis=1))
+    """The product of log tables, over the last two axes; no array of three states is made."""
+    high = best_product(a, b)
+    total = np.exp(a[..., :, 0, None] + b[..., 0, None, :] - high)
+    for j in range(1, a.shape[-1]):
+        total += np.exp(a[..., :, j, None] + b[..., j, None, :] - high)
+    return high + np.log(total)
 
 
 def forward_backward(o: np.ndarray, n: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray, params: dict):

@@ -20,6 +20,8 @@ from ..sources.tables import kept
 BLOCK = 4096
 #: Numbers of a stack: blocks times bins times states, about.
 STACK = 1 << 20
+#: Bins that become rows at a time.
+ROWS = 16_384
 #: Blocks of long chunks whose entries are broadcast at most: more are joined by a shuffle.
 MAX_BROADCAST = 100_000
 KEY = ["chunk_id", "i"]
@@ -97,18 +99,33 @@ def entries(units: DataFrame, params: dict, avail: np.ndarray, fan: int = scan.F
         return units.withColumns({"enter": none, "leave": none})
     k = len(params["gamma"])
     table = _tables(units, params, avail, chains.block_tables)
-    square = lambda v: v.reshape(k, k)
-    before = scan.exclusive(table.select(*KEY, F.col("block").alias("at"), "value"), KEY, lambda a, b: chains.log_product(square(a), square(b)).ravel(), fan)
-    after = scan.exclusive(_backwards(table), KEY, lambda a, b: chains.log_product(square(b), square(a)).ravel(), fan)
+    square = lambda v: v.reshape(-1, k, k)
+    before = scan.exclusive(table.select(*KEY, F.col("block").alias("at"), "value"), KEY, lambda a, b: chains.log_product(square(a), square(b)).reshape(a.shape), fan, stacked=True)
+    after = scan.exclusive(_backwards(table), KEY, lambda a, b: chains.log_product(square(b), square(a)).reshape(a.shape), fan, stacked=True)
     both = table.select(*KEY, "block", (F.col("n_blocks") - 1 - F.col("block")).alias("back")).join(before.select(*KEY, F.col("at").alias("block"), F.col("before").alias("enter")), [*KEY, "block"])
     both = both.join(after.select(*KEY, F.col("at").alias("back"), F.col("before").alias("leave")), [*KEY, "back"])
 
+    def spread(v: np.ndarray) -> np.ndarray:
+        return np.exp(v - v.max(axis=1, keepdims=True))
+
+    def enters(tables: np.ndarray) -> np.ndarray:
+        v = spread(tables[:, 0])  # the rows are alike: they begin with a first block
+        return v / v.sum(axis=1, keepdims=True)
+
+    def leaves(tables: np.ndarray) -> np.ndarray:
+        return spread(chains.log_product(tables, np.zeros((1, k, 1)))[:, :, 0])
+
+    def where(column: pd.Series, make) -> list:
+        """make of those that are there."""
+        there = np.flatnonzero(column.notna())
+        out: list = [None] * len(column)
+        for b, v in zip(there, make(square(np.stack(list(column.iloc[there])))) if len(there) else ()):
+            out[b] = v
+        return out
+
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        exp = lambda v: np.exp(v - v.max())
         for pdf in batches:
-            enter = [None if v is None else exp(square(np.asarray(v))[0]) for v in pdf["enter"]]  # the rows are alike: they begin with a first block
-            leave = [None if v is None else exp(chains.log_product(square(np.asarray(v)), np.zeros((k, 1)))[:, 0]) for v in pdf["leave"]]
-            yield pdf[[*KEY, "block"]].assign(enter=[None if v is None else v / v.sum() for v in enter], leave=leave)
+            yield pdf[[*KEY, "block"]].assign(enter=where(pdf["enter"], enters), leave=where(pdf["leave"], leaves))
 
     carried = kept(both.mapInPandas(vectors, "chunk_id long, i int, block long, enter array<double>, leave array<double>"), "entries")
     return _with(units, carried)
@@ -118,6 +135,17 @@ def _or(column: pd.Series, k: int, fill: float) -> np.ndarray:
     return np.stack([np.full(k, fill) if v is None else np.asarray(v) for v in column])
 
 
+def _rows(part: pd.DataFrame, n: np.ndarray, **found: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(chunk_id, i, t and one column more): a row for each bin of a stack's blocks, ROWS at a time, however short the blocks."""
+    (name, values), = found.items()
+    block, t = np.nonzero(chains.live(n, values.shape[1]))
+    chunk_id, i, first = (part[c].to_numpy() for c in ("chunk_id", "i", "first"))
+    for lo in range(0, len(t), ROWS):
+        b, at = block[lo : lo + ROWS], t[lo : lo + ROWS]
+        cells = values[b, at]
+        yield pd.DataFrame({"chunk_id": chunk_id[b], "i": i[b], "t": first[b] + at, name: list(cells) if cells.ndim > 1 else cells})
+
+
 def _solved(units: DataFrame, params: dict, avail: np.ndarray, fan: int, make, schema: str) -> DataFrame:
     k = len(params["gamma"])
 
@@ -133,8 +161,7 @@ def posteriors(units: DataFrame, params: dict, avail: np.ndarray, fan: int = sca
     """(chunk_id, i, t, q array) of every bin of every unit."""
 
     def make(part, x, own, n, found):
-        for row, q in zip(part.itertuples(), found[0]):
-            yield pd.DataFrame({"chunk_id": row.chunk_id, "i": row.i, "t": row.first + np.arange(row.n), "q": list(q[: row.n])})
+        return _rows(part, n, q=found[0])
 
     return _solved(units, params, avail, fan, make, "chunk_id long, i int, t long, q array<double>")
 

@@ -1,6 +1,7 @@
 """Chains in blocks against the same chains in one piece."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,45 @@ def test_scan_of_any_operation(spark):
     got = scan.exclusive(table, ["a", "b"], lambda a, b: np.concatenate([a, b]), fan=3).collect()  # joining keeps the order visible
     assert all((list(r.before) if r.before is not None else []) == words[r.a][: r.at] and r.b == f"s{r.a}" for r in got)
     assert len(got) == 58
+
+
+def test_a_scan_goes_over_all_short_keys_together(spark):
+    """Thousands of keys of a few values: the operation is called for stacks of them, not for each; groups may go on in the next batch."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def add(a, b):
+        assert a.shape == b.shape and a.shape[1] == 2
+        calls.add(1)
+        return a + b
+
+    table = spark.range(12_000).selectExpr("id div 4 AS c", "id % 4 AS at", "array(CAST(id AS double), 1D) AS value")
+    table = table.unionByName(spark.range(700).selectExpr("-1L AS c", "id AS at", "array(CAST(id AS double), 1D) AS value"))
+    for rows, upto in (("10000", 3000), ("7", 90)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = scan.exclusive(table.filter(F.col("c") < upto), ["c"], add, fan=4, stacked=True).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        if rows == "10000":
+            assert 0 < calls.value < 400
+        assert len(got) == 700 + 4 * upto
+        for r in got:
+            before = range(r["at"]) if r["c"] < 0 else range(4 * r["c"], 4 * r["c"] + r["at"])
+            assert (r["before"] is None) == (r["at"] == 0) and list(r["before"] or [0, 0]) == [sum(before), len(before)]
+
+
+def test_short_blocks_become_rows_together():
+    n = np.array([3] * 5000 + [2] * 1000)
+    part = pd.DataFrame({"chunk_id": np.arange(len(n)), "i": 1, "first": 7, "n": n})
+    frames = list(chains._rows(part, n, state=np.arange(len(n))[:, None] * 10 + np.arange(3)))
+    assert len(frames) == 2
+    rows = pd.concat(frames)
+    assert len(rows) == n.sum() and (rows["state"] == rows["chunk_id"] * 10 + rows["t"] - 7).all() and rows.groupby("chunk_id").size().tolist() == n.tolist()
+
+
+def test_a_product_of_stacks_is_that_of_each():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(0, 200, (2, 9, 4, 4))
+    got = C.log_product(a, b)
+    want = np.logaddexp.reduce(a[:, :, :, None] + b[:, None, :, :], axis=2)
+    assert np.allclose(got, want, rtol=1e-13) and np.allclose(C.log_product(a[0], b[0]), got[0])
