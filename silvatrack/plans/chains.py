@@ -213,8 +213,8 @@ def best_paths(units: DataFrame, params: dict, avail: np.ndarray, fan: int = sca
 
     if many:
         table = _tables(units, params, avail, chains.best_tables)
-        square = lambda v: v.reshape(k, k)
-        before = scan.exclusive(table.select(*KEY, F.col("block").alias("at"), "value"), KEY, lambda a, b: chains.best_product(square(a), square(b)).ravel(), fan)
+        square = lambda v: v.reshape(-1, k, k)
+        before = scan.exclusive(table.select(*KEY, F.col("block").alias("at"), "value"), KEY, lambda a, b: chains.best_product(square(a), square(b)).reshape(a.shape), fan, stacked=True)
         carried = kept(before.select(*KEY, F.col("at").alias("block"), F.slice("before", 1, k).alias("enter")), "enter")
 
         def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,7 +230,7 @@ def best_paths(units: DataFrame, params: dict, avail: np.ndarray, fan: int = sca
         long = _with(units.filter("n_blocks > 1"), carried)
         back = kept(long.mapInPandas(maps, "chunk_id long, i int, block long, n_blocks long, value array<double>"), "maps")
         # What leads from the end of the chunk to the end of a block: later blocks' maps come first.
-        ends = scan.exclusive(_backwards(back), KEY, lambda a, b: b[a.astype(np.int64)], fan)
+        ends = scan.exclusive(_backwards(back), KEY, lambda a, b: np.take_along_axis(b, a.astype(np.int64), axis=1), fan, stacked=True)
         ends = back.select(*KEY, "block", (F.col("n_blocks") - 1 - F.col("block")).alias("at")).join(ends, [*KEY, "at"]).select(*KEY, "block", F.col("before").alias("ends"))
         given = _with(units, kept(carried.join(ends, [*KEY, "block"]), "entries"))
 
@@ -240,7 +240,6 @@ def best_paths(units: DataFrame, params: dict, avail: np.ndarray, fan: int = sca
                 back, score = steps(part, o, n, first)
                 end = np.array([s.argmax() if e is None else int(e[0]) for s, e in zip(score, part["ends"])])
                 states, _ = chains.trace(back, n, end)
-                for row, path in zip(part.itertuples(), states):
-                    yield pd.DataFrame({"chunk_id": row.chunk_id, "i": row.i, "t": row.first + np.arange(row.n), "state": path[: row.n].astype(np.int32)})
+                yield from _rows(part, n, state=states.astype(np.int32))
 
     return given.mapInPandas(paths, "chunk_id long, i int, t long, state int")
