@@ -7,6 +7,7 @@ the chromosome, the ship date the place. Expressions are the same in the SQL tha
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -20,6 +21,8 @@ from ..operators import convert, features, segment
 from ..sources.tables import folder, kept  # noqa: F401
 
 WINDOW, LEVEL, KERNEL, MIN_READS, MIN_SIZE, K, SPECIES, MARKS = 2000, 0.1, 5, 4.5, 5, 3, 5, 6
+#: Nodes that a task makes, about.
+TASK_NODES = 50_000
 #: Orders of a chromosome: the genome grows with the tables, and stays as densely read.
 ORDERS = 3750
 #: The name of the chromosome with number c, and its length, which is not always whole windows.
@@ -164,8 +167,10 @@ class Data:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """(chunk_id, chrom, bin, t, i): every bin of every chunk and species."""
-        bins = self.chunks.select("chunk_id", "chrom", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("bin"))
+        """(chunk_id, chrom, bin, t, i): every bin of every chunk and species. Chunks are dealt to tasks first: their table is one small file."""
+        total = self.chunks.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+        tasks = max(1, min(math.ceil(total * SPECIES / TASK_NODES), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        bins = self.chunks.repartition(tasks, "chunk_id").select("chunk_id", "chrom", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("bin"))
         return bins.select("chunk_id", "chrom", "bin", (F.col("bin") - F.col("start")).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(SPECIES - 1))).alias("i"))
 
     @cached_property

@@ -88,9 +88,10 @@ def load_params(spark: SparkSession, path: str, run_id: str, iteration: int | No
 
 def save_posteriors(posterior: DataFrame, path: str, level: int, iteration: int, last: bool) -> DataFrame | None:
     """Level 0 keeps none, 1 the last iteration's, 2 every one's, 3 also the last one's stitched by chromosome. Returns the
-    stitched table at level 3, in order of chrom, i, bin; a chromosome spreads over as many tasks as its bins call for."""
+    stitched table at level 3, in order of chrom, i, bin; a chromosome spreads over as many tasks as its bins call for. An iteration
+    is a folder with a file for each task, in order of chrom, however many chromosomes there are."""
     if level >= 2 or (level == 1 and last):
-        posterior.withColumn("iter", F.lit(iteration)).write.mode("append").partitionBy("iter", "chrom").parquet(path)
+        posterior.sortWithinPartitions("chrom", "i", "bin").write.mode("append").parquet(f"{path}/iter={iteration}")
     if level >= 3 and last:
         return posterior.repartitionByRange("chrom", "i", "bin").sortWithinPartitions("chrom", "i", "bin")
     return None

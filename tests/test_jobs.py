@@ -410,3 +410,18 @@ def test_stream_counts_like_a_batch(spark, sizes, tmp_path):
     want = rows(convert.pool(convert.bin_reads(spark.createDataFrame(made, sources.READS), sizes, 100)), "chrom", "bin", "n")
     assert rows(spark.table("counts"), "chrom", "bin", "n") == want
     assert rows(streaming.total(spark.read.parquet(str(tmp_path / "out"))), "chrom", "bin", "n") == want
+
+
+def test_posteriors_of_many_chromosomes_are_few_files(spark, tmp_path):
+    """An iteration is a file for each task, sorted, not one for each task and chromosome."""
+    q = spark.range(2000).select(F.concat(F.lit("c"), F.pmod(F.col("id") * 7, F.lit(400))).alias("chrom"), F.expr("id div 400").alias("bin"), F.lit(0).alias("i"), F.array(F.lit(0.9), F.lit(0.1)).alias("q")).repartition(3)
+    path = str(tmp_path / "q")
+    for n in (0, 1):
+        tables.save_posteriors(q, path, 3, n, n == 1)
+    files = list((tmp_path / "q").rglob("part-*.parquet"))
+    assert 2 <= len(files) <= 6 and {f.parent.name for f in files} == {"iter=0", "iter=1"}
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.filter("iter = 1").select("chrom", "bin").collect())) == sorted(map(tuple, q.select("chrom", "bin").collect()))
+    for f in files:
+        held = [(r["chrom"], r["i"], r["bin"]) for r in spark.read.parquet(str(f)).collect()]
+        assert held == sorted(held)
