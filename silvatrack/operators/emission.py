@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def bernoulli_arrays(nodes: DataFrame, calls: DataFrame, emit: DataFrame, avail: DataFrame) -> DataFrame:
     """nodes (chrom, bin, i and more) with ll, an array of K: the sum over available marks of log e or log (1 - e) in each state. emit is
     (k, l, e), avail (i, l), calls (chrom, bin, i, l). Absent marks come from the base of each species, present ones add their odds:
-    a row of K sums for each cell with calls is all that is shuffled."""
+    a row of K sums for each cell with calls is all that is shuffled. Nodes and cells both grow with the data, and neither is broadcast."""
     states = (emit.agg(F.max("k")).first()[0] or 0) + 1
     in_order = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("k", value))), lambda s: s[value])
     base = avail.join(F.broadcast(emit), "l").groupBy("i", "k").agg(F.sum(F.log(1 - F.col("e"))).alias("base")).groupBy("i").agg(in_order("base").alias("base"))
@@ -17,7 +17,7 @@ def bernoulli_arrays(nodes: DataFrame, calls: DataFrame, emit: DataFrame, avail:
     sums = [F.sum(F.get("odds", F.lit(k))).alias(f"odds{k}") for k in range(states)]
     present = calls.join(F.broadcast(avail), ["i", "l"]).join(F.broadcast(odds), "l").groupBy("chrom", "bin", "i").agg(*sums)
     ll = F.array(*[F.get("base", F.lit(k)) + F.coalesce(f"odds{k}", F.lit(0.0)) for k in range(states)])
-    return nodes.join(F.broadcast(base), "i").join(present, ["chrom", "bin", "i"], "left").select(*nodes.columns, ll.alias("ll"))
+    return nodes.join(F.broadcast(base), "i").join(present.hint("merge"), ["chrom", "bin", "i"], "left").select(*nodes.columns, ll.alias("ll"))
 
 
 def bernoulli(nodes: DataFrame, calls: DataFrame, emit: DataFrame, avail: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Steps of the inference as plain joins, windows and sums over posteriors q: (chunk_id, i, t, q array of K). The tree is
-(i, parent), parent null for roots; parameters are numpy arrays, written into the expressions."""
+(i, parent), parent null for roots; parameters are numpy arrays, written into the expressions. Tables of posteriors take a byte or
+less a row in files, by which Spark would take them for small: they meet by sorted merges, and are never broadcast."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ def neighbours(q: DataFrame, tree: DataFrame) -> DataFrame:
     order = Window.partitionBy("chunk_id", "i").orderBy("t")
     own = q.join(F.broadcast(tree.select("i", "parent")), "i").withColumn("before", F.lag("q").over(order)).withColumn("after", F.lead("q").over(order))
     up = q.select("chunk_id", F.col("i").alias("parent"), "t", F.col("q").alias("above")).withColumn("above_after", F.lead("above").over(Window.partitionBy("chunk_id", "parent").orderBy("t")))
-    return own.join(up, ["chunk_id", "parent", "t"], "left")
+    return own.join(up.hint("merge"), ["chunk_id", "parent", "t"], "left")
 
 
 def own_terms(near: DataFrame, params: dict[str, np.ndarray]) -> Column:
@@ -55,7 +56,7 @@ def jacobi(q: DataFrame, ll: DataFrame, tree: DataFrame, params: dict[str, np.nd
         F.when(F.col("before").isNull(), _dot(b[s, :], F.col("q"))).otherwise(_dot(th[s], F.col("before"), F.col("q"))).alias(f"m{s}") for s in range(k)
     ]
     kids = near.filter("parent IS NOT NULL").select("chunk_id", F.col("parent").alias("i"), "t", *to_parent).groupBy("chunk_id", "i", "t").agg(*[F.sum(f"m{s}").alias(f"m{s}") for s in range(k)])
-    z = near.select("chunk_id", "i", "t", own_terms(near, params).alias("own"), after.alias("next")).join(kids, ["chunk_id", "i", "t"], "left").join(ll, ["chunk_id", "i", "t"])
+    z = near.select("chunk_id", "i", "t", own_terms(near, params).alias("own"), after.alias("next")).join(kids.hint("merge"), ["chunk_id", "i", "t"], "left").join(ll.hint("merge"), ["chunk_id", "i", "t"])
     logits = F.array(*[F.get("own", F.lit(s)) + F.get("next", F.lit(s)) + F.coalesce(F.col(f"m{s}"), F.lit(0.0)) + F.get("ll", F.lit(s)) for s in range(k)])
     out = z.select("chunk_id", "i", "t", logits.alias("z")).select("chunk_id", "i", "t", F.transform("z", lambda v: F.exp(v - F.array_max("z"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda x, y: x + y)
@@ -81,14 +82,14 @@ def statistics(q: DataFrame, tree: DataFrame) -> DataFrame:
 def free_energy(q: DataFrame, ll: DataFrame, tree: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     """(chunk_id, energy): the mean-field free energy of each chunk."""
     near = neighbours(q, tree)
-    z = near.select("chunk_id", "i", "t", "q", own_terms(near, params).alias("own")).join(ll, ["chunk_id", "i", "t"])
+    z = near.select("chunk_id", "i", "t", "q", own_terms(near, params).alias("own")).join(ll.hint("merge"), ["chunk_id", "i", "t"])
     terms = F.transform(F.arrays_zip("q", "own", "ll"), lambda s: s["q"] * (F.log(F.greatest(s["q"], F.lit(1e-150))) - s["own"] - s["ll"]))
     return z.select("chunk_id", F.aggregate(terms, F.lit(0.0), lambda x, y: x + y).alias("e")).groupBy("chunk_id").agg(F.sum("e").alias("energy"))
 
 
 def largest_change(old: DataFrame, new: DataFrame, limit: float = 1e-3) -> DataFrame:
     """One row: change, the largest change of a posterior, and converged, whether it is under limit."""
-    both = old.select("chunk_id", "i", "t", F.col("q").alias("old")).join(new, ["chunk_id", "i", "t"])
+    both = old.select("chunk_id", "i", "t", F.col("q").alias("old")).join(new.hint("merge"), ["chunk_id", "i", "t"])
     change = F.array_max(F.transform(F.arrays_zip("old", "q"), lambda s: F.abs(s["old"] - s["q"])))
     return both.agg(F.max(change).alias("change")).withColumn("converged", F.col("change") < limit)
 

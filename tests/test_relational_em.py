@@ -1,5 +1,7 @@
 """The relational fit against the same steps in memory."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -74,3 +76,13 @@ def test_fit_equals_em_in_memory(data):
     assert same(posteriors(got), held) and all(np.allclose(fitted[m], mine[m], atol=1e-9) for m in mine)
     assert path[1].energy < path[0].energy
 
+
+
+def test_no_posteriors_are_broadcast(data):
+    """Tables of posteriors look small by their files: joins of two tables that grow are sorted merges, whatever their estimates."""
+    f, _, _, _, params = data
+    ll = rel.likelihoods(f["nodes"], f["calls"], params["emit"], f["avail"])
+    after = relational.jacobi(f["q"], ll, f["tree"], params)
+    for df, merges in ((ll, 1), (after, 4), (relational.free_energy(f["q"], ll, f["tree"], params), 3), (relational.largest_change(f["q"], after), 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(r"Broadcast\w*Join \[(?:chunk_id|chrom)", plan) and len(re.findall(r"SortMergeJoin", plan)) >= merges
