@@ -36,9 +36,13 @@ def gaussian(rows: DataFrame, centres: DataFrame) -> DataFrame:
     return pairs.select("id", "k", F.when(F.isnan(ll) | ll.isNull() | (F.abs(ll) == float("inf")) | (ll == 0), -100.0).otherwise(ll).alias("ll"))
 
 
-def normalize(q: DataFrame, calls: DataFrame, avail: DataFrame, pseudocount: float) -> DataFrame:
-    """(k, l, e): posterior weight of present over that of available, with pseudocounts. q is (chrom, bin, i, k, q)."""
-    total = q.groupBy("i", "k").agg(F.sum("q").alias("q")).join(F.broadcast(avail), "i").groupBy("k", "l").agg(F.sum("q").alias("total"))
-    present = q.join(calls.join(F.broadcast(avail), ["i", "l"]), ["chrom", "bin", "i"]).groupBy("k", "l").agg(F.sum("q").alias("present"))
-    e = (F.coalesce("present", F.lit(0.0)) + pseudocount) / (F.col("total") + 2 * pseudocount)
-    return total.join(present, ["k", "l"], "left").select("k", "l", e.alias("e"))
+def normalize(q: DataFrame, calls: DataFrame, avail: DataFrame, pseudocount: float, states: int) -> DataFrame:
+    """(k, l, e): posterior weight of present over that of available, with pseudocounts. q is (chrom, bin, i, q array of states): it meets
+    the calls as one row for each cell. Both sides grow with the data, whatever a plan takes posteriors made from a few chunks for, so
+    neither is broadcast."""
+    ks = range(states)
+    total = q.groupBy("i").agg(*[F.sum(F.get("q", F.lit(k))).alias(f"q{k}") for k in ks]).join(F.broadcast(avail), "i").groupBy("l").agg(*[F.sum(f"q{k}").alias(f"total{k}") for k in ks])
+    cells = calls.join(F.broadcast(avail), ["i", "l"]).hint("merge").join(q, ["chrom", "bin", "i"])
+    present = cells.groupBy("l").agg(*[F.sum(F.get("q", F.lit(k))).alias(f"present{k}") for k in ks])
+    e = F.array(*[(F.coalesce(f"present{k}", F.lit(0.0)) + pseudocount) / (F.col(f"total{k}") + 2 * pseudocount) for k in ks])
+    return total.join(F.broadcast(present), "l", "left").select("l", F.posexplode(e).alias("k", "e")).select("k", "l", "e")

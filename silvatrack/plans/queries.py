@@ -81,10 +81,14 @@ def w_convert_split(d):
     return convert_split.split(d.spark, f"{out}/se*", out=f"{out}/split", kernel=fx.KERNEL, min_reads=fx.MIN_READS, min_size=fx.MIN_SIZE)[1]
 
 
+def _emissions(d: fx.Data) -> DataFrame:
+    return emission.normalize(d.posterior.select("chrom", "bin", "i", "q"), d.cells, d.avail, 1e-6, fx.K)
+
+
 @register
 def a5_params_roundtrip(d):
     """Emissions estimated from the posteriors, saved as parameters of a run and loaded again."""
-    e = {(r["k"], r["l"]): r["e"] for r in emission.normalize(_states(d.posterior.select("chrom", "bin", "i", "q")), d.cells, d.avail, 1e-6).collect()}
+    e = {(r["k"], r["l"]): r["e"] for r in _emissions(d).collect()}
     path = fx.folder(d.spark, "params")
     for n, scale in ((0, 0.5), (1, 1.0)):
         tables.save_params(d.spark, {"emit": scale * np.array([[e[k, l] for l in range(fx.MARKS)] for k in range(fx.K)])}, path, "run", n)
@@ -299,8 +303,7 @@ def e6_gaussian_ll(d):
 
 @register
 def e7_emission_normalize(d):
-    q = _states(d.posterior.select("chrom", "bin", "i", "q"))
-    return _six(emission.normalize(q, d.cells, d.avail, 1e-6), "e")
+    return _six(_emissions(d), "e")
 
 
 def _q(d: fx.Data) -> DataFrame:
@@ -542,7 +545,7 @@ def f22_compare(d):
 @register
 def g6_parameter_report(d):
     """Presence in percent by state and mark, from the emission statistics."""
-    return decode.emission_report(emission.normalize(_states(d.posterior.select("chrom", "bin", "i", "q")), d.cells, d.avail, 1e-6), fx.MARKS)
+    return decode.emission_report(_emissions(d), fx.MARKS)
 
 
 @register

@@ -54,9 +54,9 @@ def estimate(q: DataFrame, nodes: DataFrame, calls: DataFrame, avail: DataFrame,
     sums = {n: np.zeros_like(params[n]) for n in ("gamma", "alpha", "beta", "theta")}
     for r in relational.statistics(q, tree).collect():
         sums[r["name"]][tuple(r["idx"])] = r["value"]
-    states = nodes.join(q.hint("merge"), ["chunk_id", "i", "t"]).select("chrom", "bin", "i", F.posexplode("q").alias("k", "q"))
+    states = nodes.join(q.hint("merge"), ["chunk_id", "i", "t"]).select("chrom", "bin", "i", "q")
     emit = params["emit"].copy()
-    for r in emission.normalize(states, calls, avail, pseudocount).collect():
+    for r in emission.normalize(states, calls, avail, pseudocount, len(params["gamma"])).collect():
         emit[r["k"], r["l"]] = np.clip(r["e"], 1e-9, 1 - 1e-9)
     return {n: row_normalize(a + pseudocount) for n, a in sums.items()} | {"emit": emit}
 

@@ -425,3 +425,25 @@ def test_posteriors_of_many_chromosomes_are_few_files(spark, tmp_path):
     for f in files:
         held = [(r["chrom"], r["i"], r["bin"]) for r in spark.read.parquet(str(f)).collect()]
         assert held == sorted(held)
+
+
+def test_emissions_from_posteriors_of_cells(spark):
+    """A row for each cell meets the calls, without a broadcast, however few rows the posteriors are made from."""
+    marks, k = 3, 3
+    q = spark.createDataFrame([("c1", 0, 40), ("c2", 7, 19)], "chrom string, start long, end long").select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("bin"))
+    q = q.select("chrom", "bin", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    q = q.withColumn("q", F.array(*[((1 + (F.col("bin") * 3 + F.col("i") + s * 5) % 7) / 21.0).cast("double") for s in range(k)]))
+    calls = q.select("i", F.expr("explode(sequence(0, 1))").alias("l"), "chrom", "bin").filter("(bin + l + i) % 3 = 0").unionAll(spark.createDataFrame([(0, 2, "c3", 5)], "i int, l int, chrom string, bin long"))
+    avail = spark.createDataFrame([(i, l) for i in range(2) for l in range(marks) if (i, l) != (1, 0)], "i int, l int")
+    got = emission.normalize(q, calls, avail, 1e-6, k)
+    held = {(r["chrom"], r["bin"], r["i"]): r["q"] for r in q.collect()}
+    seen = [tuple(r) for r in calls.select("i", "l", "chrom", "bin").collect() if (r["i"], r["l"]) != (1, 0)]
+    want = {}
+    for l in range(marks):
+        for s in range(k):
+            total = sum(v[s] for (_, _, i), v in held.items() if (i, l) != (1, 0))
+            present = sum(held[c, b, i][s] for i, m, c, b in seen if m == l and (c, b, i) in held)
+            want[s, l] = (present + 1e-6) / (total + 2e-6)
+    assert got.columns == ["k", "l", "e"] and {(r["k"], r["l"]): pytest.approx(r["e"], abs=1e-12) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [chrom" in plan and "BroadcastHashJoin [chrom" not in plan
