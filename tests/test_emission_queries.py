@@ -11,7 +11,7 @@ from silvatrack.plans import queries
 FOLDER = Path("/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["a5_params_roundtrip", "e7_emission_normalize"])
+@pytest.mark.parametrize("name", ["a5_params_roundtrip", "g6_parameter_report", "e7_emission_normalize"])
 def test_emissions(spark, monkeypatch, name):
     if not FOLDER.is_dir():
         pytest.skip("no tables here")
